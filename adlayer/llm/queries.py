@@ -7,17 +7,60 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, pii, simhash
+from . import decontaminate, html_text, langid, mixing, pii, quality, search, simhash, urls, warc
+from .common import bounded_sample, fold_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    queries = docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return search.search(docs, queries, k=10)
+
+
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source", "n_entities")
 
 
+#: Labelled rows that the quality classifier is fitted on, at most.
+OP3_ROWS = 8000
+
+
+def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = lambda c: F.coalesce(fold_of(c, 5) == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").where(fold_of(F.col("doc_id"), 5) != 0).select("doc_id", F.col("quality").alias("label"))
+    some = F.broadcast(bounded_sample(labels, F.col("doc_id"), OP3_ROWS))
+    model = quality.fit(docs.select("doc_id", "text", "n_chars").join(some, "doc_id"), OP3_ROWS)
+    return quality.score(docs, model).select("doc_id", held(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derive(warc.responses_from_pages(table(spark, sf_dir, "pages")))
+    source = lambda k: F.try_element_at(F.col("headers"), F.lit(k))
+    return made.select(
+        source("WARC-Page-ID").cast("long").alias("page_id"), "record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "block_digest",
+        source("WARC-Source-Block-Digest").alias("source_block_digest"), source("WARC-Source-Payload-Digest").alias("source_payload_digest"),
+        F.length("block").alias("content_length"), F.col("block").cast("string").alias("content"),
+    )
+
+
+#: The rules of op5_url_filter; the URLs that they decide are what its trees learn from.
+OP5_RULES = [urls.Rule("allow", "org/"), urls.Rule("block", "example.org/es/"), urls.Rule("block", "example.org/en/1"), urls.Rule("allow", "com/fr/"), urls.Rule("block", "com/de/")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, OP5_RULES, urls.fit(urls.labelled_by(OP5_RULES, pages)))
+
+
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -68,8 +111,13 @@ FROM placed
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bm25_topk": op1_bm25_topk,
     "op2_pii_surrogates": op2_pii_surrogates,
+    "op3_quality_fm": op3_quality_fm,
+    "op4_warc_derivatives": op4_warc_derivatives,
+    "op5_url_filter": op5_url_filter,
     "op6_mix_sources": op6_mix_sources,
+    "op7_html_main_text": op7_html_main_text,
     "op8_decontaminate": op8_decontaminate,
     "op9_language_id": op9_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
