@@ -1,0 +1,153 @@
+"""Lattice Monte Carlo as Spark jobs.
+
+Where rates don't depend on the lattice, events are independent of each other:
+each is a row of a range with draws of its own, made in one pass, and only the
+clock is a running sum.
+
+Where they do, a patch's next event needs the state that the last one left,
+but patches don't touch each other: a round gives every patch one event, by
+counts, a weighted choice and a pick among the places that fit, all as joins
+and aggregations over all patches at once. Rounds are written to the shared
+folder, so that lineage doesn't grow.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import expressions as X
+from ..functions import splitmix
+from ..schemas import VACANT
+from ..staging import stage
+from .choose import by_alias
+from .lattice import PATCH_SEED, bands, edge_states, live_counts, nth_neighbour, propensities, with_patches
+from .ordered import running_sum
+
+
+@dataclass(frozen=True)
+class Reaction:
+    rate_q16: int
+    transition_a: int
+    transition_b: int = 0
+    is_bimolecular: bool = False
+
+
+def reactions_of(catalogue: DataFrame) -> list[Reaction]:
+    """The rows of a catalogue (some thousands at most) by reaction_id."""
+    return [Reaction(r["rate_q16"], r["transition_a"], r["transition_b"], r["is_bimolecular"]) for r in catalogue.orderBy("reaction_id").collect()]
+
+
+def _at(values: list, index: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), index + 1)
+
+
+def static_steps(spark: SparkSession, reactions: list[Reaction], width: int, height: int, patches: int, steps: int) -> DataFrame:
+    """(patch_id, step, tau, reaction_id, site_a, site_b) of each step in each patch; sites are numbered over the whole lattice.
+
+    site_b: a uniform one of the neighbours within the patch, for two-site
+    reactions; a step that finds none is left out. Four draws a step, from the
+    stream of its patch.
+    """
+    rows, n = bands(height, patches)
+    step, patch = F.col("id") % steps, F.floor(F.col("id") / steps)
+    df = spark.range(n * steps).select(patch.cast("int").alias("patch_id"), step.alias("step"))
+    df = df.withColumn("rows", F.least(F.lit(rows), F.lit(height) - F.col("patch_id") * rows).cast("long"))
+    seed = F.lit(splitmix.signed(PATCH_SEED)).cast("long").bitwiseXOR(F.col("patch_id").cast("long"))
+    nth = F.col("step") * 4
+    df = splitmix.with_uniform(df, "u_reaction", seed, nth + 1)
+    df = splitmix.with_uniform(df, "u_time", seed, nth + 2)
+    df = splitmix.with_draw(df, "d_site", seed, nth + 3)
+    df = splitmix.with_draw(df, "d_pick", seed, nth + 4)
+    df = splitmix.with_below(df, "local", "d_site", F.col("rows") * width)
+    total = sum(r.rate_q16 for r in reactions) / 65536.0
+    df = df.withColumn("reaction_id", by_alias(F.col("u_reaction"), [float(r.rate_q16) for r in reactions])).withColumn("tau", X.waiting_time(F.col("u_time"), F.lit(total)))
+    row, col = X.row_col(F.col("local"), width)
+    near = nth_neighbour(row, col, width, F.col("rows"), F.shiftrightunsigned("d_pick", 33))
+    two = _at([r.is_bimolecular for r in reactions], F.col("reaction_id"))
+    df = df.withColumn("near", F.when(two, near)).where(~two | F.col("near").isNotNull())
+    start = F.col("patch_id").cast("long") * rows * width
+    return df.select("patch_id", "step", "tau", "reaction_id", (start + F.col("local")).alias("site_a"), (start + F.col("near")).alias("site_b"))
+
+
+def as_events(steps: DataFrame, reactions: list[Reaction]) -> DataFrame:
+    """(patch_id, step, part, sim_time, site_idx, reaction_id, transition): a row for each site that an event changes."""
+    timed = running_sum(steps, ["patch_id"], "step", "tau", "sim_time")
+    one = lambda part, site, transition: F.struct(F.lit(part).alias("part"), F.col(site).alias("site_idx"), transition.alias("transition"))
+    a, b = (_at([getattr(r, name) for r in reactions], F.col("reaction_id")) for name in ("transition_a", "transition_b"))
+    touched = F.filter(F.array(one(0, "site_a", a), one(1, "site_b", b)), lambda x: x["site_idx"].isNotNull())
+    return timed.select("patch_id", "step", "sim_time", "reaction_id", F.explode(touched).alias("t")).select("patch_id", "step", "t.part", "sim_time", "t.site_idx", "reaction_id", "t.transition")
+
+
+def _uniform(df: DataFrame, name: str, round_: int, draw: int) -> DataFrame:
+    seed = F.lit(splitmix.signed(PATCH_SEED)).cast("long").bitwiseXOR(F.col("patch_id").cast("long"))
+    return splitmix.with_uniform(df, name, seed, F.lit(8 * round_ + draw))
+
+
+def _places(placed: DataFrame, width: int, species: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(patch_id, a, b): the places where each patch's chosen reaction can happen; b is null for one site, and for pairs the first neighbour that fits."""
+    sites = placed.join(chosen.where(~F.col("is_bimolecular")), "patch_id")
+    reactant, product = X.reactant_of(F.col("transition_a")), X.product_of(F.col("transition_a"))
+    bit = F.when(reactant == VACANT, product).otherwise(reactant)
+    seed = F.lit(splitmix.signed(PATCH_SEED)).cast("long").bitwiseXOR(F.col("patch_id").cast("long"))
+    hashed = splitmix.with_site_bucket(sites, "_bucket", F.col("site"), bit, seed)
+    single = hashed.where((F.col("state") == reactant) & (F.col("_bucket") == F.col("bin_id"))).select("patch_id", F.col("site").alias("a"), F.lit(None).cast("long").alias("b"))
+    two = edge_states(placed, width, forward=False).join(chosen.where("is_bimolecular").select("patch_id", "transition_a", "transition_b"), "patch_id")
+    fits = two.where((F.col("state_a") == X.reactant_of(F.col("transition_a"))) & (F.col("state_b") == X.reactant_of(F.col("transition_b"))))
+    return single.unionByName(fits.groupBy("patch_id", "a").agg(F.min_by("b", "ord").alias("b")))
+
+
+def gated_round(placed: DataFrame, width: int, catalogue: DataFrame, species: DataFrame, round_: int, pressures: dict[int, float] | None = None) -> DataFrame:
+    """(patch_id, tau, total, reaction_id, transition_a, transition_b, a, b): the next event of each patch that has one.
+
+    The reaction falls on a uniform number over the weights in the order of
+    reaction_id; the place is the one with the smallest hash, uniform over the
+    sites, or over the first sites of pairs, that fit.
+    """
+    weighed = propensities(live_counts(placed, width, catalogue, species), pressures)
+    upto = F.sum("weight").over(Window.partitionBy("patch_id").orderBy("reaction_id").rowsBetween(Window.unboundedPreceding, 0))
+    spans = weighed.withColumn("hi", upto).withColumn("total", F.sum("weight").over(Window.partitionBy("patch_id"))).where("total > 0 and weight > 0")
+    spans = _uniform(_uniform(spans, "u", round_, 1), "v", round_, 2)
+    hit = spans.where(F.col("u") * F.col("total") < F.col("hi"))
+    names = ["reaction_id", "transition_a", "transition_b", "is_bimolecular", "bin_id", "total", "v"]
+    chosen = hit.groupBy("patch_id").agg(F.min_by(F.struct(*names), "reaction_id").alias("c")).select("patch_id", *(F.col("c")[n].alias(n) for n in names))
+    chosen = chosen.withColumn("tau", X.waiting_time(F.col("v"), F.col("total") / 65536.0)).drop("v")
+    places = _places(placed, width, species, chosen)
+    seed = F.lit(splitmix.signed(PATCH_SEED)).cast("long").bitwiseXOR(F.col("patch_id").cast("long"))
+    drawn = splitmix.with_draw(places, "_key", seed, F.col("a") * 1_000_003 + (8 * round_ + 3))
+    place = drawn.groupBy("patch_id").agg(F.min_by(F.struct("a", "b"), F.struct("_key", "a")).alias("p")).select("patch_id", "p.a", "p.b")
+    return chosen.join(place, "patch_id").select("patch_id", "tau", "total", "reaction_id", "transition_a", "transition_b", "a", "b")
+
+
+def apply_events(placed: DataFrame, events: DataFrame) -> DataFrame:
+    """placed after one event in some of its patches."""
+    sites = events.select("patch_id", F.explode(F.array(F.struct(F.col("a").alias("site"), F.col("transition_a").alias("transition")), F.struct(F.col("b").alias("site"), F.col("transition_b").alias("transition")))).alias("t"))
+    sites = sites.select("patch_id", "t.site", "t.transition").where("site is not null")
+    changed = placed.join(sites, ["patch_id", "site"], "left")
+    return changed.withColumn("state", F.when(F.col("transition").isNotNull(), X.apply_transition(F.col("state"), F.col("transition"))).otherwise(F.col("state"))).select(placed.columns)
+
+
+def gated_run(lattice: DataFrame, width: int, height: int, patches: int, catalogue: DataFrame, species: DataFrame, rounds: int, pressures: dict[int, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(lattice, events) after so many rounds, or when no patch has an event left.
+
+    events: (patch_id, round, sim_time, reaction_id, site_a, site_b), sites
+    numbered over the whole lattice. A lattice with sites occupied goes on from
+    there.
+    """
+    spark = lattice.sparkSession
+    rows, _ = bands(height, patches)
+    placed = stage(with_patches(lattice, width, height, patches), "lattice")
+    log = None
+    for i in range(rounds):
+        events = stage(gated_round(placed, width, catalogue, species, i, pressures).withColumn("round", F.lit(i)), "events")
+        if events.isEmpty():
+            break
+        placed = stage(apply_events(placed, events), "lattice")
+        log = events if log is None else log.unionByName(events)
+    start = F.col("patch_id").cast("long") * rows * width
+    if log is None:
+        log = spark.createDataFrame([], "patch_id int, tau double, total double, reaction_id int, transition_a int, transition_b int, a long, b long, round int")
+    clock = F.sum("tau").over(Window.partitionBy("patch_id").orderBy("round").rowsBetween(Window.unboundedPreceding, 0))
+    return placed.select("site_idx", "state"), log.select("patch_id", "round", clock.alias("sim_time"), "reaction_id", (start + F.col("a")).alias("site_a"), (start + F.col("b")).alias("site_b"))
