@@ -12,14 +12,13 @@ The replacement is a keyed hash of the type and the entity's canonical form
 (letter case, and separators of numbers, don't count), so that one entity has
 one replacement in all documents. All distinct entities of the corpus are then
 compared: of those with one replacement, or with one that is itself an entity
-of the corpus, all but the first are hashed again until none are left. Only
-the few that were hashed again are joined to the documents that hold them.
+of the corpus, all but the first are hashed again until none are left. A text's
+replacements are gathered by a hash of the text, so copies are looked up once,
+and only texts that hold an entity are shuffled.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,21 +55,11 @@ SYLLABLES = {"latin": ["bar", "del", "fin", "gor", "hal", "jen", "kos", "lin", "
 _MASTER = "|".join(f"(?:{p})" for p in PATTERNS.values()).replace(r"([ -]?)[0-9]{4}\1[0-9]{4}\1", r"(?:[ -]?[0-9]{4}){2}[ -]?")
 
 
-def kind_of(entity: Column) -> Column:
-    """The type of a detected entity: the first pattern, in their order, that fits all of it."""
-    return F.coalesce(*(F.when(entity.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in PATTERNS.items()), F.lit("phone"))
-
-
-def canonical(kind: Column, entity: Column) -> Column:
-    """What counts of an entity: no letter case in addresses, no separators in numbers, of credentials the value, of names the words after the address."""
-    number = F.regexp_replace(entity, r"[^0-9A-Za-z]", "")
-    return (
-        F.when(kind.isin("email"), F.lower(entity))
-        .when(kind.isin("card", "ssn", "phone", "iban"), F.upper(number))
-        .when(kind == "secret", F.regexp_extract(entity, r"[=:] ?\"?([A-Za-z0-9+/_-]+)", 1))
-        .when(kind == "name", F.concat_ws("|", gender(entity), F.lower(F.regexp_replace(entity, r"^\p{L}+\.? ", ""))))
-        .otherwise(entity)
-    )
+def luhn(digits: Column) -> Column:
+    """The Luhn sum, mod 10, of a string of digits."""
+    values = F.transform(F.split(F.reverse(digits), ""), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
+    doubled = F.transform(values, lambda x, i: F.when(i % 2 == 1, F.when(x > 4, 2 * x - 9).otherwise(2 * x)).otherwise(x))
+    return F.aggregate(doubled, F.lit(0), lambda a, x: a + x) % 10
 
 
 def gender(name: Column) -> Column:
@@ -78,15 +67,38 @@ def gender(name: Column) -> Column:
     return F.when(title.isin(MALE), "m").when(title.isin(FEMALE), "f").otherwise("u")
 
 
+def described(entities: DataFrame) -> DataFrame:
+    """entities (entity, ...) with `kind`, the first pattern that fits all of it, and `canon`, what counts of it.
+
+    No letter case counts in addresses, no separators in numbers; of
+    credentials the value counts, of names the words after the form of address
+    and its gender. A number in the form of a card's that fails the check digit
+    is none: its kind is null.
+    """
+    e = F.col("entity")
+    number = F.regexp_replace(e, r"[^0-9A-Za-z]", "")
+    kind = F.coalesce(*(F.when(e.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in PATTERNS.items()), F.lit("phone"))
+    canon = (
+        F.when(F.col("kind") == "email", F.lower(e))
+        .when(F.col("kind").isin("card", "ssn", "phone", "iban"), F.upper(number))
+        .when(F.col("kind") == "secret", F.regexp_extract(e, r"[=:] ?\"?([A-Za-z0-9+/_-]+)", 1))
+        .when(F.col("kind") == "name", F.concat_ws("|", gender(e), F.lower(F.regexp_replace(e, r"^\p{L}+\.? ", ""))))
+        .otherwise(e)
+    )
+    typed = entities.withColumn("kind", kind)
+    typed = typed.withColumn("kind", F.when((F.col("kind") == "card") & (luhn(number) != 0), None).otherwise(F.col("kind")))
+    return typed.withColumn("canon", canon)
+
+
 def _nibbles(key: str, *parts: Column) -> Column:
     """128 keyed hexadecimal digits."""
     text = F.concat_ws("\u0001", F.lit(key), *parts)
     return F.concat(F.sha2(text, 256), F.sha2(F.concat(F.lit("+"), text), 256))
 
 
-def _number(stream: Column, at: Column | int, digits: int = 4) -> Column:
-    """The number in `digits` hexadecimal digits from place 4 x at on, going round."""
-    return F.conv(F.substr(stream, F.lit(4) * (at % 31) + 1, F.lit(digits)), 16, 10).cast("int")
+def _number(stream: Column, at: Column | int) -> Column:
+    """The number in four of the hexadecimal digits, from place 2 x at on, going round."""
+    return F.conv(F.substr(stream, F.lit(2) * (at % 62) + 1, F.lit(4)), 16, 10).cast("int")
 
 
 def _pick(values: list[str], n: Column) -> Column:
@@ -94,86 +106,67 @@ def _pick(values: list[str], n: Column) -> Column:
 
 
 def _alike(text: Column, stream: Column, keep: Column | int = 0) -> Column:
-    """text with keyed digits for digits and letters for ASCII letters, upper and lower; the first `keep` characters stay. A first digit other than 0 stays other than 0."""
+    """text with keyed digits for digits and letters for ASCII letters, upper and lower; the first `keep` characters stay.
+
+    A number's first digit other than 0 stays other than 0, and a text of
+    hexadecimal digits after the kept ones stays one.
+    """
     keep = F.lit(keep) if isinstance(keep, int) else keep
+    letters = F.when(text.rlike(r'[0-9a-f]{12}"?$'), 6).otherwise(26)
 
     def one(i: Column) -> Column:
         c, n = F.substr(text, i, F.lit(1)), _number(stream, i)
-        lead = (c != "0") & ~F.substr(text, i - 1, F.lit(1)).rlike("[0-9]") | (c != "0") & (i == 1)
+        lead = (c != "0") & ((i == 1) | ~F.substr(text, i - 1, F.lit(1)).rlike("[0-9]"))
         digit = F.when(lead, n % 9 + 1).otherwise(n % 10).cast("string")
-        letter = lambda start: F.char(F.lit(ord(start)) + n % 26)
-        return F.when(i <= keep, c).when(c.rlike("[0-9]"), digit).when(c.rlike("[a-z]"), letter("a")).when(c.rlike("[A-Z]"), letter("A")).otherwise(c)
+        return F.when(i <= keep, c).when(c.rlike("[0-9]"), digit).when(c.rlike("[a-z]"), F.char(97 + n % letters)).when(c.rlike("[A-Z]"), F.char(65 + n % letters)).otherwise(c)
 
     return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), one), "")
 
 
-def _luhn(digits: Column) -> Column:
-    """The Luhn sum, mod 10, of a string of digits."""
-    values = F.transform(F.split(F.reverse(digits), ""), lambda x: F.coalesce(F.try_to_number(x, F.lit("9")).cast("int"), F.lit(0)))
-    doubled = F.transform(values, lambda x, i: F.when(i % 2 == 1, F.when(x > 4, 2 * x - 9).otherwise(2 * x)).otherwise(x))
-    return F.aggregate(doubled, F.lit(0), lambda a, x: a + x) % 10
-
-
-def _card(entity: Column, stream: Column) -> Column:
-    made = _alike(entity, stream, 1)
-    digits = F.regexp_replace(made, "[^0-9]", "")
-    body = F.substr(digits, F.lit(1), F.length(digits) - 1)
-    check = (10 - _luhn(F.concat(body, F.lit("0")))) % 10
-    valid = _luhn(F.regexp_replace(entity, "[^0-9]", "")) == 0
-    return F.when(valid, F.concat(F.substr(made, F.lit(1), F.length(made) - 1), check.cast("string"))).otherwise(made)
-
-
-def _email(entity: Column, key: str, attempt: Column, stream: Column) -> Column:
-    """Local part alike, domain by domain (one for all addresses in it) under the reserved .example."""
-    domain = F.lower(F.substring_index(entity, "@", -1))
-    alike = _alike(F.substring_index(domain, ".", 1), _nibbles(key, F.lit("domain"), domain))
-    return F.concat(_alike(F.substring_index(entity, "@", 1), stream), F.lit("@"), alike, F.lit(".example"))
-
-
-def _ip(stream: Column) -> Column:
-    return F.concat_ws(".", *((_number(stream, i) % 254 + 1).cast("string") for i in range(4)))
-
-
-def _phone(entity: Column, stream: Column) -> Column:
-    return _alike(entity, stream, F.length(F.regexp_extract(entity, r"^(\+[0-9]{1,3}(?![0-9])|\+[0-9])", 1)))
-
-
 def _name(entity: Column, key: str, attempt: Column) -> Column:
     """Form of address as it was; each word by itself, so that a family name alone and with a given name is replaced alike."""
     title = F.regexp_extract(entity, r"^(\p{L}+\.? )", 1)
     words = F.split(F.regexp_replace(entity, r"^\p{L}+\.? ", ""), " ")
     who = gender(entity)
     script = F.when(entity.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-
-    def one(word: Column, i: Column) -> Column:
-        given = (i == 0) & (F.size(words) > 1)
-        stream = _nibbles(key, F.lit("word"), who, F.lower(word), F.when(given, "given").otherwise("family"), attempt.cast("string"))
-        out = F.lit(None).cast("string")
-        for (g, s), names in GIVEN.items():
-            out = F.coalesce(out, F.when(given & (who == g) & (script == s), _pick(names, _number(stream, 1))))
-        for s, parts in SYLLABLES.items():
-            ending = F.when((who == "f") & (script == "cyrillic"), "ова").when(script == "cyrillic", "ов").otherwise("")
-            family = F.concat(F.initcap(F.concat(*(_pick(parts, _number(stream, k)) for k in range(2, 7)))), ending)
-            out = F.coalesce(out, F.when(~given & (script == s), family))
-        return out
-
-    return F.concat(title, F.array_join(F.transform(words, one), " "))
-
-
-def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column:
-    stream = _nibbles(key, kind, canonical(kind, entity), attempt.cast("string"))
-    head = F.length(F.regexp_extract(entity, r"^([^=:]*[=:] ?\"?)", 1))
-    return (
-        F.when(kind == "email", _email(entity, key, attempt, stream))
-        .when(kind == "ip", _ip(stream))
-        .when(kind == "card", _card(entity, stream))
-        .when(kind == "phone", _phone(entity, stream))
-        .when(kind == "name", _name(entity, key, attempt))
-        .when(kind == "secret", _alike(entity, stream, head))
-        .when(kind == "key", _alike(entity, stream, 4))
-        .when(kind == "iban", _alike(entity, stream, 2))
-        .otherwise(_alike(entity, stream))
+    two = F.size(words) > 1
+    streams = F.transform(words, lambda w, i: _nibbles(key, F.lit("word"), who, F.lower(w), F.when((i == 0) & two, "given").otherwise("family"), attempt.cast("string")))
+
+    def one(stream: Column, i: Column) -> Column:
+        given = F.coalesce(*(F.when((who == g) & (script == s), _pick(names, _number(stream, 1))) for (g, s), names in GIVEN.items()))
+        ending = F.when((who == "f") & (script == "cyrillic"), "ова").when(script == "cyrillic", "ов").otherwise("")
+        family = F.coalesce(*(F.when(script == s, F.concat(*(_pick(parts, _number(stream, k)) for k in range(2, 7)))) for s, parts in SYLLABLES.items()))
+        return F.when((i == 0) & two, given).otherwise(F.concat(F.initcap(family), ending))
+
+    return F.concat(title, F.array_join(F.transform(streams, one), " "))
+
+
+def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """entities (entity, kind, canon, attempt, ...) with `new`, the replacement."""
+    e, kind, stream = F.col("entity"), F.col("kind"), F.col("_stream")
+    keyed = entities.withColumn("_stream", _nibbles(key, kind, F.col("canon"), F.col("attempt").cast("string")))
+    keyed = keyed.withColumn("_domain", F.lower(F.substring_index(e, "@", -1))).withColumn("_of_domain", _nibbles(key, F.lit("domain"), F.col("_domain")))
+    body = F.when(kind == "email", F.substring_index(e, "@", 1)).otherwise(e)
+    stays = (
+        F.when(kind == "card", 1)
+        .when(kind == "key", 4)
+        .when(kind == "iban", 2)
+        .when(kind == "phone", F.length(F.regexp_extract(e, r"^(\+[0-9]{1,3}(?![0-9])|\+[0-9])", 1)))
+        .when(kind == "secret", F.length(F.regexp_extract(e, r"^([^=:]*[=:] ?\"?)", 1)))
+        .otherwise(0)
+    )
+    keyed = keyed.withColumn("_body", body).withColumn("_keep", stays)
+    keyed = keyed.withColumn("_alike", _alike(F.col("_body"), stream, F.col("_keep")))
+    alike = F.col("_alike")
+    check = ((10 - luhn(F.concat(F.substr(F.regexp_replace(alike, "[^0-9]", ""), F.lit(1), F.length(F.regexp_replace(e, "[^0-9]", "")) - 1), F.lit("0")))) % 10).cast("string")
+    new = (
+        F.when(kind == "email", F.concat(alike, F.lit("@"), _alike(F.substring_index("_domain", ".", 1), F.col("_of_domain")), F.lit(".example")))
+        .when(kind == "ip", F.concat_ws(".", *((_number(stream, 2 * i) % 254 + 1).cast("string") for i in range(4))))
+        .when(kind == "card", F.concat(F.substr(alike, F.lit(1), F.length(alike) - 1), check))
+        .when(kind == "name", _name(e, key, F.col("attempt")))
+        .otherwise(alike)
     )
+    return keyed.withColumn("new", new).drop("_stream", "_domain", "_of_domain", "_body", "_keep", "_alike")
 
 
 def detected(text: Column) -> Column:
@@ -183,24 +176,24 @@ def detected(text: Column) -> Column:
 
 
 def resolve(entities: DataFrame, key: str, most: int = 50) -> DataFrame:
-    """(kind, canon, attempt): the distinct entities whose first replacement was taken, with the attempt that is free.
+    """(entity, new): each distinct entity of entities (entity) with its replacement.
 
-    entities: (entity). Two entities may not share a replacement, and none may
-    be an entity of the corpus; the first by canonical form keeps its place.
+    Two canonical forms may not share a replacement, and none may be an entity
+    of the corpus: all but the first, by canonical form, are hashed again.
+    Forms of one canonical form differ as they do in writing only.
     """
-    made = entities.select(kind_of(F.col("entity")).alias("kind"), "entity")
-    known = made.groupBy("kind", canonical(F.col("kind"), F.col("entity")).alias("canon")).agg(F.min("entity").alias("entity"))
-    known = stage(known.withColumn("attempt", F.lit(0)), "entities")
+    forms = stage(described(entities.distinct()).where("kind is not null"), "forms")
+    known = stage(forms.groupBy("kind", "canon").agg(F.min("entity").alias("entity")).withColumn("attempt", F.lit(0)), "known")
     for _ in range(most):
-        tried = known.withColumn("new", surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), key))
-        tried = tried.withColumn("canon_new", canonical(F.col("kind"), F.col("new")))
+        made = with_surrogates(known, key).select("kind", "canon", "new")
+        tried = stage(described(made.select(F.col("new").alias("entity"), F.col("kind").alias("of"), F.col("canon").alias("of_canon"))).select(F.col("of").alias("kind"), F.col("of_canon").alias("canon"), F.coalesce("canon", "entity").alias("canon_new")), "tried")
         per = tried.groupBy("kind", "canon_new").agg(F.count("*").alias("n"), F.min("canon").alias("keeps"))
-        taken = per.join(known.select("kind", F.col("canon").alias("canon_new"), F.lit(True).alias("real")), ["kind", "canon_new"], "left").where("n > 1 or real")
-        again = tried.join(taken, ["kind", "canon_new"]).where("real or canon <> keeps").select("kind", "canon").withColumn("again", F.lit(1))
-        again = stage(again, "again")
+        real = known.select("kind", F.col("canon").alias("canon_new"), F.lit(True).alias("real"))
+        taken = per.join(real, ["kind", "canon_new"], "left").where("n > 1 or real")
+        again = stage(tried.join(taken, ["kind", "canon_new"]).where("real or canon <> keeps").select("kind", "canon", F.lit(1).alias("again")), "again")
         if again.isEmpty():
-            return known.where("attempt > 0").select("kind", "canon", "attempt")
-        known = stage(known.join(again, ["kind", "canon"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0))).drop("again"), "entities")
+            return with_surrogates(forms.join(known.select("kind", "canon", "attempt"), ["kind", "canon"]), key).select("entity", "new")
+        known = stage(known.join(again, ["kind", "canon"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0))).drop("again"), "known")
     raise RuntimeError(f"replacements still collide after {most} attempts")
 
 
@@ -211,23 +204,16 @@ def pseudonymise(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
     replaced. key: a secret of the caller's; another key gives other
     replacements.
     """
-    found = detected(F.col("text"))
-    entities = docs.select(F.explode(found).alias("entity"))
-    retried = resolve(entities, key)
-    kind = lambda e: kind_of(e)
-    some = retried.isEmpty()
-    if some:
-        marked = docs.withColumn("_al_attempts", F.lit(None).cast("map<string,int>"))
-    else:
-        held = docs.select("doc_id", F.explode(F.array_distinct(found)).alias("entity")).withColumn("kind", kind_of(F.col("entity")))
-        held = held.withColumn("canon", canonical(F.col("kind"), F.col("entity"))).join(retried, ["kind", "canon"])
-        held = held.select("doc_id", "entity", "attempt").distinct()
-        maps = held.groupBy(F.col("doc_id").alias("_al_id")).agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("_al_attempts"))
-        marked = docs.join(maps, F.col("doc_id").eqNullSafe(F.col("_al_id")), "left").drop("_al_id")
-    attempt = lambda e: F.coalesce(F.try_element_at(F.col("_al_attempts"), e), F.lit(0))
-    new = F.transform(F.col("_al_found"), lambda e: surrogate(kind(e), e, attempt(e), key))
-    gaps = F.split("text", _MASTER, -1)
-    rest = F.zip_with(new, F.slice(gaps, F.lit(2), F.size("_al_found")), lambda a, b: F.concat(a, b))
-    text = F.when(F.size("_al_found") > 0, F.concat(F.element_at(gaps, 1), F.array_join(rest, ""))).otherwise(F.col("text"))
-    out = marked.withColumn("_al_found", detected(F.col("text"))).withColumn("n_entities", F.greatest(F.size("_al_found"), F.lit(0))).withColumn("text", text)
-    return out.drop("_al_found", "_al_attempts")
+    marked = docs.withColumn("_al_found", detected(F.col("text")))
+    some = F.size("_al_found") > 0
+    held = stage(marked.where(some).select(F.xxhash64("text").alias("_al_key"), F.explode(F.array_distinct("_al_found")).alias("entity")).distinct(), "held")
+    new = stage(resolve(held.select("entity"), key), "surrogates")
+    maps = held.join(new, "entity").groupBy("_al_key").agg(F.map_from_entries(F.collect_list(F.struct("entity", "new"))).alias("_al_new"))
+    with_any = marked.where(some).withColumn("_al_key", F.xxhash64("text")).join(maps, "_al_key", "left").drop("_al_key")
+    replaced = F.transform("_al_found", lambda e: F.coalesce(F.try_element_at(F.col("_al_new"), e), e))
+    with_any = with_any.withColumn("_al_gaps", F.split("text", _MASTER, -1)).withColumn("_al_put", replaced)
+    rest = F.zip_with("_al_put", F.slice("_al_gaps", F.lit(2), F.greatest(F.size("_al_gaps") - 1, F.lit(0))), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    count = F.size(F.filter("_al_found", lambda e: F.coalesce(F.map_contains_key("_al_new", e), F.lit(False))))
+    with_any = with_any.withColumn("n_entities", count).withColumn("text", F.concat(F.element_at("_al_gaps", 1), F.array_join(rest, "")))
+    names = [*(c for c in docs.columns if c != "n_entities"), "n_entities"]
+    return with_any.select(names).unionByName(marked.where(~some).withColumn("n_entities", F.lit(0)).select(names))
