@@ -12,16 +12,21 @@ def read_events(spark: SparkSession, path: str, schema, files_a_trigger: int = 1
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(path)
 
 
+def _watermarked(events: DataFrame, time: str, late: str | None) -> DataFrame:
+    """events that wait so long for late rows; watermarks need times with a zone."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if late else events
+
+
 def windowed_counts(events: DataFrame, time: str, key: str, width: str, late: str | None = None, slide: str | None = None) -> DataFrame:
     """(start, key, n) of events by window of time; late: how long a stream waits for rows."""
-    rows = events.withWatermark(time, late) if late else events
+    rows = _watermarked(events, time, late)
     span = F.window(time, width, slide) if slide else F.window(time, width)
     return rows.groupBy(span.alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
 
 
 def sessions(events: DataFrame, time: str, key: str, gap: str, late: str | None = None) -> DataFrame:
     """(key, start, end, n) of runs of events that are less than gap apart."""
-    rows = events.withWatermark(time, late) if late else events
+    rows = _watermarked(events, time, late)
     return rows.groupBy(key, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
