@@ -19,7 +19,7 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = ["reaction_catalogue", "quantile_buckets_lineitem", "rescaled_rates", "upsert_by_sid", "first_match_pattern", "pair_counts", "vacancy_counts", "propensity_snapshot", "event_replay", "coverage_timeseries", "final_lattice", "categorical_draw", "static_sim", "gated_round", "windowed_event_counts", "session_events"]
 #: The published set-up of the static engine: 1024 x 1024 sites, 8 patches; fewer steps, and rates are events a second.
-STEPS = 2_000_000
+STEPS = int(os.environ.get("BENCH_STEPS", "2000000"))
 
 
 def timed(run) -> float:
