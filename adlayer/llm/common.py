@@ -2,30 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_fallback: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, from spark.checkpoint.dir; a temporary one where that is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        app = spark.sparkContext.applicationId
-        found = _fallback.setdefault(app, tempfile.mkdtemp(prefix="adlayer-"))
-    return found
-
+from ..staging import stage
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: what follows no longer depends on lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/adlayer-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["bounded_sample", "fold_of", "stage"]
 
 
 def bounded_sample(df: DataFrame, key: Column, max_rows: int, seed: int = 7) -> DataFrame:
