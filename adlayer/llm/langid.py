@@ -33,7 +33,8 @@ def words_of(text: str | None) -> list[str]:
     """Lower-cased runs of letters; a run without a letter (only numerals such as a superscript) is none."""
     if not text:
         return []
-    return [w for w in _RUN.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
+    found = _RUN.findall(text.lower())
+    return found if "".join(found).isalpha() else [w for w in found if any(map(str.isalpha, w))]
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -53,12 +54,14 @@ class LanguageModel:
     gram_cost: np.ndarray
     max_n: int
 
-    def unseen_cost(self, word: str) -> np.ndarray | None:
+    def grams_known(self, word: str) -> list[int]:
+        """Numbers of the word's longest n-grams of which any is known."""
+        get = self.grams.get
         for n in range(self.max_n, 0, -1):
-            found = [i for g in grams_of(word, n) if (i := self.grams.get(g)) is not None]
+            found = [i for g in grams_of(word, n) if (i := get(g)) is not None]
             if found:
-                return self.gram_cost[found].mean(axis=0)
-        return None
+                return found
+        return []
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +137,7 @@ def fit(labelled: DataFrame, max_rows: int = 20_000, max_words: int = 150_000, m
     return LanguageModel(langs, prior / prior.sum(), words, word_cost, index, np.concatenate(parts), max_n)
 
 
-def score_texts(model: LanguageModel | None, texts: list[str | None], cache: dict[str, np.ndarray], sharpness: float = 8.0) -> tuple[list[str], list[float]]:
+def score_texts(model: LanguageModel | None, texts: list[str | None], cache: dict[str, list[int]], sharpness: float = 8.0) -> tuple[list[str], list[float]]:
     langs, scores = [], []
     for text in texts:
         words = words_of(text)
@@ -145,16 +148,19 @@ def score_texts(model: LanguageModel | None, texts: list[str | None], cache: dic
         at = [model.words.get(w, -1) for w in words]
         known = [i for i in at if i >= 0]
         total, n = model.word_cost[known].sum(axis=0), len(known)
+        grams: list[int] = []
+        shares: list[float] = []
         if n < len(words):
             for w, k in Counter(w for w, i in zip(words, at) if i < 0).items():
-                cost = cache.get(w)
-                if cost is None:
-                    if len(cache) >= 100_000:
+                if (found := cache.get(w)) is None:
+                    if len(cache) >= 50_000:
                         cache.clear()
-                    cost = model.unseen_cost(w)
-                    cost = cache[w] = np.full(len(model.langs), np.nan) if cost is None else cost
-                if cost[0] == cost[0]:
-                    total, n = total + k * cost, n + k
+                    found = cache[w] = model.grams_known(w)
+                if found:
+                    grams += found
+                    shares += [k / len(found)] * len(found)
+                    n += k
+            total = total + np.array(shares) @ model.gram_cost[grams] if grams else total
         mean = total / n if n else -np.log(model.prior)
         p = np.exp(-(mean - mean.min()) * min(n or 1, sharpness))
         best = min(range(len(model.langs)), key=lambda i: (mean[i], -model.prior[i], i))
@@ -173,7 +179,7 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, np.ndarray] = {}
+        cache: dict[str, list[int]] = {}
         for batch in batches:
             langs, scores = score_texts(model, batch.column("text").to_pylist(), cache)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
@@ -188,7 +194,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel | None, min_score: flo
     kinds = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, np.ndarray] = {}
+        cache: dict[str, list[int]] = {}
         for batch in batches:
             langs, scores = score_texts(model, batch.column(names.index("text")).to_pylist(), cache)
             yield batch.filter(pa.array([x != UNDETERMINED and s >= min_score for x, s in zip(langs, scores)]))

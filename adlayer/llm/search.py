@@ -10,9 +10,11 @@ in each run of `block_docs` documents, and runs every query of the block on it:
 * A query whose blocks' summed maxima stay below its threshold (the k-th best
   score so far in this task) skips the shard.
 * WAND's pivot: with terms by ascending maximum, those whose maxima sum to
-  less than the threshold can't carry a document alone. Only the postings of
-  the others are read; a document then counts if its partial score and its
-  block's maxima of the skipped terms reach the threshold.
+  less than the threshold can't carry a document alone. The postings of the
+  others are read first; a document then counts if its partial score and its
+  block's maxima of the unread terms reach the threshold, which the k-th
+  partial score raises. Further lists are read, the strongest first, while
+  many documents still count.
 * These documents, best bound first, are scored in full from their own terms,
   while the threshold rises.
 
@@ -126,37 +128,48 @@ class Best:
 
 
 def evaluate(shard: Shard, terms: np.ndarray, weights: np.ndarray, best: Best, dense: np.ndarray) -> int:
-    """Bring the query's best up to date with a shard; returns how many documents were scored in full."""
+    """Bring the query's best up to date with a shard; returns how many documents were scored in full.
+
+    Partial scores are lower bounds, so the k-th of them raises the threshold
+    as lists are read, and lists are read only as long as too many documents
+    can still reach it.
+    """
     most = shard.term_max[terms] * weights
     live = most > 0
-    terms, weights, most = terms[live], weights[live], most[live]
+    order = np.flatnonzero(live)[np.argsort(-most[live], kind="stable")]
+    terms, weights, most = terms[order], weights[order], most[order]
     if not len(terms):
         return 0
-    low = lambda: best.threshold * (1 - SLACK) - SLACK
+    low = best.threshold
     bound = shard.bounds(terms, weights)
-    if bound.max() < low():
+    if bound.max() < low * (1 - SLACK):
         return 0
+    after = np.r_[np.cumsum(most[::-1])[::-1][1:], 0.0]  # what the lists after each can add at most
+    score = np.zeros(len(shard.ids))
+    at = 0
+    pivot = min(len(terms), int(np.searchsorted(-after, -low, side="right")) + 1) if low > 0 else max(1, len(terms) // 4)
+    left = bound.copy()
+    while True:
+        score += shard.partial(terms[at:pivot], weights[at:pivot])
+        left -= shard.bounds(terms[at:pivot], weights[at:pivot])
+        at = pivot
+        if len(score) >= best.k:
+            low = max(low, float(np.partition(score, len(score) - best.k)[len(score) - best.k]))
+        floor = low * (1 - SLACK) - SLACK
+        most_of = score + left[shard.block_of]
+        can = (bound[shard.block_of] >= floor) & (most_of >= floor) & (most_of > SLACK)
+        docs = np.flatnonzero(can)
+        if at == len(terms) or len(docs) <= 4 * best.k:
+            break
+        pivot = min(len(terms), at + max(16, (len(terms) - at) // 2))
+    reach = score[docs] + left[shard.block_of[docs]]
+    docs, reach = docs[np.argsort(-reach, kind="stable")], -np.sort(-reach)
     dense[terms] = weights
-    scored = np.zeros(len(shard.ids), dtype=bool)
-    if len(best.scores) < best.k:
-        top = np.argsort(-bound, kind="stable")[:2]
-        seed = np.flatnonzero(np.isin(shard.block_of, top))
-        best.add(shard.full(seed, dense), shard.ids[seed])
-        scored[seed] = True
-    order = np.argsort(most, kind="stable")
-    weak = np.cumsum(most[order]) < low()
-    skipped, pivotal = order[weak], order[~weak]
-    score = shard.partial(terms[pivotal], weights[pivotal])
-    reach = score + shard.bounds(terms[skipped], weights[skipped])[shard.block_of]
-    ok = (score > 0) & (reach >= low()) & (bound[shard.block_of] >= low()) & ~scored
-    docs = np.flatnonzero(ok)
-    docs = docs[np.argsort(-reach[docs], kind="stable")]
-    done = int(scored.sum())
-    at, step = 0, 4 * best.k
-    while at < len(docs) and reach[docs[at]] >= low():
-        part = docs[at : at + step]
+    done, step = 0, 2 * best.k
+    while done < len(docs) and reach[done] >= best.threshold * (1 - SLACK) - SLACK:
+        part = docs[done : done + step]
         best.add(shard.full(part, dense), shard.ids[part])
-        done, at, step = done + len(part), at + step, min(2 * step, 2048)
+        done += len(part)
     dense[terms] = 0
     return done
 
@@ -176,9 +189,11 @@ def _count(vocabulary):
         counts = np.zeros(len(terms), dtype=np.int64)
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                own, _, length = _numbered(text, terms.get)
-                counts[own] += 1
-                total, docs = total + length, docs + 1
+                words = words_of(text)
+                own = set(map(terms.get, words))
+                own.discard(None)
+                counts[list(own)] += 1
+                total, docs = total + len(words), docs + 1
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, -2, some].astype(np.int32)), pa.array(np.r_[docs, total, counts[some]].astype(np.int64))], ["term", "n"])
 
@@ -221,7 +236,7 @@ def _search(vocabulary, queries, idf: np.ndarray, mean: float, k: int, k1: float
     return run
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, shard_docs: int = 8192, block_docs: int = 64, max_terms: int = 1_000_000) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, shard_docs: int = 16_384, block_docs: int = 64, max_terms: int = 1_000_000) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best of docs (doc_id long, text) for each of queries (query_id long, text).
 
     Words are lower-cased runs of letters and digits; a word counts in a query

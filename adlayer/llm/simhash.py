@@ -3,18 +3,20 @@
 A fingerprint takes the majority of each bit over the hashes of a text's word
 shingles. Two of them link at `radius` differing bits or fewer.
 
-Links come from signatures. The 64 bits are divided into m parts with a
-threshold t_i each; if the thresholds sum to radius - m + 1, then any two
-fingerprints within the radius agree on some part within that part's
-threshold (-1 leaves a part out). Bits that vary together go to one part, a
-dynamic programme gives each part the threshold with the least estimated
-number of signature rows and candidates, and the best m is taken. Equal
+The 64 bits are divided into m parts with a threshold t_i each; if the
+thresholds sum to radius - m + 1, then any two fingerprints within the radius
+agree on some part within that part's threshold (-1 leaves a part out). Bits
+that vary together go to one part, a dynamic programme gives each part the
+threshold with the least estimated work, and the best m is taken. Equal
 fingerprints are merged before this, so that a group of exact copies is one
-row. Signatures are shuffled by (part, value); each run of equal values is
-compared by its bit differences in its task and yields a star of links for
-each connected class, never all its pairs. Values that more than `block` rows
-share are divided into pairs of blocks, so no task gets more than two blocks
-of one value.
+row.
+
+Fingerprints are dealt by part and by the part's first `high` bits: each to
+its own group, and as a probe to the groups within the threshold. In a group,
+the remaining bits of the part name the candidates, which are compared in
+whole; a group yields a star of links for each connected class, never all its
+pairs. Groups beyond `block` rows are divided into pairs of blocks, so no task
+gets more than two blocks of one group.
 
 Classes come from alternating large-star and small-star steps over the links,
 each step written to the shared folder.
@@ -23,6 +25,7 @@ each step written to the shared folder.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,36 +57,46 @@ def _mixed(hashes: np.ndarray) -> np.ndarray:
     return (z ^ (z >> np.uint64(31))).astype(">u8")
 
 
-def fingerprint_bytes(text: bytes | None, width: int = 3, double: bool = False) -> bytes:
+def fingerprint_bytes(text: bytes | None, width: int = 3, extra: int = 0) -> bytes:
     """The fingerprint of a UTF-8 text, most significant byte first; zero bytes without words.
 
-    double: 64 further bits, from the mixed hashes, follow.
+    extra: so many further words of 64 bits, from the hashes mixed again and
+    again, follow.
     """
     words = (text or b"").lower().split()  # of bytes: A-Z and the six ASCII spaces only
     if not words:
-        return bytes(16 if double else 8)
+        return bytes(8 + 8 * extra)
     digest = xxhash.xxh64_digest
     join = b" ".join
     made = [digest(join(s), SEED) for s in zip(*(words[i:] for i in range(width)))] or [digest(join(words), SEED)]
     hashes = np.frombuffer(b"".join(made), dtype=">u8")
-    return _majority(hashes) + (_majority(_mixed(hashes)) if double else b"")
+    out = [_majority(hashes)]
+    for _ in range(extra):
+        hashes = _mixed(hashes)
+        out.append(_majority(hashes))
+    return b"".join(out)
 
 
-def fingerprints(docs: DataFrame, width: int = 3, double: bool = False) -> DataFrame:
-    """(doc_id, fp long, more long) for each row of docs (doc_id, text); a null or empty text has fingerprint 0.
+def fingerprints(docs: DataFrame, width: int = 3, extra: int = 0) -> DataFrame:
+    """(doc_id, fp long, more binary) for each row of docs (doc_id, text); a null or empty text has zero bits only.
 
-    more: the further bits of a double fingerprint, else 0.
+    more: the further words, 8 bytes each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = b"".join([fingerprint_bytes(x, width, double) for x in batch.column("text").cast(pa.binary()).to_pylist()])
-            bits = np.frombuffer(made, dtype=">i8").astype(np.int64).reshape(-1, 2 if double else 1)
-            more = bits[:, 1] if double else np.zeros(len(bits), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bits[:, 0]), pa.array(more)], ["doc_id", "fp", "more"])
+            made = [fingerprint_bytes(x, width, extra) for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            fps = np.frombuffer(b"".join([x[:8] for x in made]), dtype=">i8").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps), pa.array([x[8:] for x in made], pa.binary())], ["doc_id", "fp", "more"])
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long, more long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long, more binary")
+
+
+def _words(more: pa.Array) -> np.ndarray:
+    """A row of 64-bit words for each value."""
+    values = more.to_pylist()
+    return np.frombuffer(b"".join(values), dtype=np.uint64).reshape(len(values), -1) if values else np.zeros((0, 0), np.uint64)
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -135,12 +148,17 @@ def allocate(costs: list[dict[int, float]], total: int) -> tuple[float, tuple[in
     return best.get(total, (np.inf, ()))
 
 
-def plan(sample: np.ndarray, rows: int, radius: int = 3, parts: range = range(2, 7), row_cost: float = 60.0) -> Scheme:
+def _ball(bits: int, radius: int) -> int:
+    return sum(math.comb(bits, k) for k in range(radius + 1))
+
+
+def plan(sample: np.ndarray, rows: int, radius: int = 3, parts: range = range(2, 9), high: int = 3, row_cost: float = 1000.0, visit_cost: float = 20_000.0) -> Scheme:
     """The scheme with the least estimated work for `rows` fingerprints, of which `sample` is a part.
 
-    Work is the candidates to compare plus row_cost for each signature row. The
-    candidates of a part come from the pairs of the sample, and from
-    independent bits where the sample is too small to show any.
+    Work is counted in candidates to compare: row_cost for each row that is
+    dealt, visit_cost for each value of a part that is looked up. Candidates
+    come from the pairs of the sample, and from independent bits where the
+    sample is too small to show any.
     """
     bits = _bits(sample).astype(float) if len(sample) else np.zeros((1, BITS))
     few = sample[:1500]
@@ -158,11 +176,12 @@ def plan(sample: np.ndarray, rows: int, radius: int = 3, parts: range = range(2,
             dist = np.array([1.0])
             for b in part:
                 dist = np.convolve(dist, [1 - differ[b], differ[b]])
-            options, probes = {-1: 0.0}, 1.0
+            options = {-1: 0.0}
             for t in range(min(radius, len(part)) + 1):
-                probes += (len(part) * (len(part) - 1) ** max(0, t - 1) / (2 * max(1, t))) if t else 0
                 share = max(float((d <= t).mean()) if len(d) else 0.0, float(dist[: t + 1].sum()))
-                options[t] = row_cost * rows * probes + share * rows * rows / 2
+                dealt = rows * (1 + (_ball(high, t) - 1) / 2)
+                visits = min(2.0 ** len(part), float(rows)) * _ball(max(0, len(part) - high), t)
+                options[t] = row_cost * dealt + visit_cost * (visits if t else 0.0) + share * rows * rows / 2
             costs.append(options)
         cost, chosen = allocate(costs, radius - m + 1)
         if chosen and (best is None or cost < best[0]):
@@ -171,30 +190,61 @@ def plan(sample: np.ndarray, rows: int, radius: int = 3, parts: range = range(2,
     return best[1]
 
 
-def _signatures(scheme: Scheme):
-    """(part, value, probe, fp, more): the part's value, and as probes the values up to t flipped bits away.
+def _values(fps: np.ndarray, part: tuple[int, ...]) -> np.ndarray:
+    """The part's bits of each fingerprint as a number, the part's first bit lowest."""
+    return (_bits(fps)[:, list(part)] << np.arange(len(part), dtype=np.uint64)).sum(axis=1, dtype=np.uint64).astype(np.int64)
+
 
-    Of two fingerprints that differ in a part, the one that has the lowest differing bit set does the flipping.
+def _dealt(scheme: Scheme, high: int, fps: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(part, group, rows, flips): which rows of fps go to which groups of each part, and how many group bits are flipped for it.
+
+    Of two fingerprints in different groups, the one that has the lowest differing bit set goes to the other's.
     """
+    for k, (part, t) in enumerate(zip(scheme.parts, scheme.thresholds)):
+        if t < 0:
+            continue
+        g = min(high, len(part))
+        own = _values(fps, part[:g])
+        for n in range(min(t, g) + 1):
+            for flip in itertools.combinations(range(g), n):
+                rows = np.flatnonzero((own >> flip[0]) & 1) if flip else np.arange(len(fps))
+                yield k, own[rows] ^ sum(1 << x for x in flip), rows, n
+
+
+def _count_groups(scheme: Scheme, high: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column("fp").to_numpy(zero_copy_only=False)
+            for k, group, _, _ in _dealt(scheme, high, fps):
+                values, counts = np.unique(group, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), k, np.int32)), pa.array(values), pa.array(counts.astype(np.int64))], ["part", "value", "n"])
+
+    return run
+
+
+def _deal(scheme: Scheme, high: int, blocks: dict[tuple[int, int], int]):
+    """(part, value, cell, flips, fp, more). blocks: of large groups, in how many blocks each is divided; cell names a pair of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["part", "value", "cell", "flips", "fp", "more"]
         for batch in batches:
-            fps, more = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("fp", "more"))
-            bits = _bits(fps)
-            for k, (part, t) in enumerate(zip(scheme.parts, scheme.thresholds)):
-                if t < 0:
-                    continue
-                own = bits[:, list(part)]
-                weight = np.uint64(1) << np.arange(len(part), dtype=np.uint64)
-                value = (own * weight).sum(axis=1, dtype=np.uint64)
-                made = [(value, fps, more)]
-                for n in range(1, t + 1):
-                    for flip in itertools.combinations(range(len(part)), n):
-                        has = own[:, flip[0]] == 1
-                        made.append((value[has] ^ np.bitwise_or.reduce(weight[list(flip)]), fps[has], more[has]))
-                for at, (v, f, m) in enumerate(made):
-                    n = len(v)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, dtype=np.int32)), pa.array(v.astype(np.int64)), pa.array(np.full(n, at > 0)), pa.array(f), pa.array(m)], ["part", "value", "probe", "fp", "more"])
+            fps, more = batch.column("fp").to_numpy(zero_copy_only=False), batch.column("more")
+            words = _words(more)
+            at = _mixed(fps.view(np.uint64) ^ words[:, 0] if words.shape[1] else fps.view(np.uint64)).astype(np.uint64)
+            for k, group, rows, n in _dealt(scheme, high, fps):
+                cells = [(rows, group, np.zeros(len(rows), np.int64))]
+                for (part, value), b in blocks.items():
+                    if part == k and (hit := group == value).any():
+                        _, _, cell = cells[0]
+                        own = (at[rows[hit]] % np.uint64(b)).astype(np.int64)
+                        for other in range(b):
+                            pair = np.minimum(own, other) * b + np.maximum(own, other)
+                            if other:
+                                cells.append((rows[hit], group[hit], pair))
+                            else:
+                                cell[hit] = pair
+                for r, v, cell in cells:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), k, np.int32)), pa.array(v), pa.array(cell), pa.array(np.full(len(r), n, np.int32)), pa.array(fps[r]), more.take(pa.array(r))], names)
 
     return run
 
@@ -221,95 +271,110 @@ class _Classes:
             root[:] = up
 
 
-def link_runs(key: np.ndarray, probe: np.ndarray, fps: np.ndarray, more: np.ndarray, radius: int, both: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal keys (sorted): rows of each class's first member and of each other.
+def link_group(low: np.ndarray, flips: np.ndarray, fps: np.ndarray, more: np.ndarray, width: int, threshold: int, radius: int, both: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links in a group: rows of each class's first member and of each other.
 
-    Two rows link if fps differ in at most radius bits, and fps and more together in at most both.
-    Short runs are compared at once, the rows d apart for d = 1, 2, ...; in
-    longer ones a few rows that aren't probes are compared with all at a time.
+    low: the part's remaining `width` bits; flips: how many group bits a probe
+    had flipped, 0 for the group's own rows. An own row is compared with every
+    row whose low bits differ in at most threshold - flips; two rows link if
+    fps differ in at most radius bits, and fps and more together in at most
+    both.
     """
-    n = len(key)
-    found = _Classes(n)
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if n else np.zeros(0, int)
-    length = np.diff(np.r_[starts, n])
-    end = np.repeat(starts + length, length) if n else starts
-    live = np.flatnonzero(np.repeat(length <= 48, length)) if n else starts
-    d = 1
-    while len(live := live[live + d < end[live]]):
-        a = live[~(probe[live] & probe[live + d])]
-        x = differing(fps[a], fps[a + d])
-        a, x = a[x <= radius], x[x <= radius]
-        a = a[x + differing(more[a], more[a + d]) <= both]
-        found.join(a, a + d)
-        d += 1
-    for at, size in zip(starts[length > 48].tolist(), length[length > 48].tolist()):
-        own, rest = fps[at : at + size].view(np.uint64), more[at : at + size].view(np.uint64)
-        index = np.flatnonzero(~probe[at : at + size])
-        for i in range(0, len(index), 16):
-            few = index[i : i + 16]
-            r, c = np.nonzero(np.bitwise_count(own[few][:, None] ^ own) <= radius)
-            r = few[r]
-            ok = (r != c) & (found.root[at + r] != found.root[at + c])
-            r, c = r[ok], c[ok]
-            ok = np.bitwise_count(own[r] ^ own[c]) + np.bitwise_count(rest[r] ^ rest[c]) <= both
-            found.join(at + r[ok], at + c[ok])
-    other = np.flatnonzero(found.root != np.arange(n))
-    return found.root[other], other
-
-
-def _matches(radius: int, both: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted by key; a run that a batch ends in is kept for the next batch."""
-        names = ("part", "value", "lo", "hi", "probe", "fp", "more")
-        rest: list[np.ndarray] | None = None
-
-        def done(columns: list[np.ndarray]) -> pa.RecordBatch:
-            change = np.zeros(len(columns[0]), dtype=bool)
-            for c in columns[:4]:
-                change[1:] |= c[1:] != c[:-1]
-            *_, probe, fps, more = columns
-            a, b = link_runs(np.cumsum(change), probe, fps, more, radius, both)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (fps[a], more[a], fps[b], more[b])], ["a", "a_more", "b", "b_more"])
+    order = np.lexsort((flips, low))
+    key = (low * (threshold + 1) + flips)[order]
+    f, m, v = fps[order].view(np.uint64), more[order], low[order]
+    own = np.flatnonzero(flips[order] == 0)
+    found = _Classes(len(key))
+    masks = [(sum(1 << x for x in flip), n) for n in range(min(threshold, width) + 1) for flip in itertools.combinations(range(width), n)]
+
+    def spans(values: np.ndarray, mask: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows to compare own rows of these values with, the mask flipped: own ones once, probes always."""
+        to = values ^ mask
+        return np.searchsorted(key, to * (threshold + 1) + (to < values)), np.searchsorted(key, to * (threshold + 1) + threshold - n + 1)
+
+    def compare(a: np.ndarray, b: np.ndarray) -> None:
+        ok = found.root[a] != found.root[b]
+        a, b = a[ok], b[ok]
+        d = np.bitwise_count(f[a] ^ f[b])
+        a, b, d = a[d <= radius], b[d <= radius], d[d <= radius]
+        ok = d + np.bitwise_count(m[a] ^ m[b]).sum(axis=1, dtype=np.int64) <= both
+        found.join(a[ok], b[ok])
+
+    values, first, size = np.unique(v[own], return_index=True, return_counts=True)
+    if len(values) and len(key) > 12 * len(values):
+        begin, end = zip(*(spans(values, mask, n) for mask, n in masks))
+        for i, (at, count) in enumerate(zip(first.tolist(), size.tolist())):
+            mine = own[at : at + count]
+            rest = np.concatenate([np.arange(b[i], e[i]) for b, e in zip(begin, end)])
+            theirs = f[rest]
+            for s in range(0, count, 16):
+                few = mine[s : s + 16]
+                r, c = np.nonzero(np.bitwise_count(f[few][:, None] ^ theirs) <= radius)
+                compare(few[r], rest[c])
+    else:
+        for mask, n in masks:
+            begin, end = spans(v[own], mask, n)
+            begin = np.maximum(begin, own + 1) if mask == 0 else begin
+            count = np.maximum(end - begin, 0)
+            total = np.cumsum(count)
+            for s in range(0, len(own), 1 << 16):
+                c = count[s : s + (1 << 16)]
+                a = np.repeat(own[s : s + (1 << 16)], c)
+                step = np.arange(len(a)) - np.repeat(total[s : s + (1 << 16)] - c - (total[s - 1] if s else 0), c)
+                compare(a, np.repeat(begin[s : s + (1 << 16)], c) + step)
+    other = np.flatnonzero(found.root != np.arange(len(key)))
+    return order[found.root[other]], order[other]
+
+
+def _matches(scheme: Scheme, high: int, radius: int, both: int):
+    def done(groups: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """One group, in pieces."""
+        whole = pa.Table.from_batches(groups).combine_chunks()
+        part, flips, fps = (whole.column(x).to_numpy() for x in ("part", "flips", "fp"))
+        more = whole.column("more").combine_chunks()
+        bits, threshold = scheme.parts[part[0]], scheme.thresholds[part[0]]
+        rest = bits[min(high, len(bits)) :]
+        a, b = link_group(_values(fps, rest), flips.astype(np.int64), fps, _words(more), len(rest), threshold, radius, both)
+        return pa.RecordBatch.from_arrays([pa.array(fps[a]), more.take(pa.array(a)), pa.array(fps[b]), more.take(pa.array(b))], ["a", "a_more", "b", "b_more"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows arrive sorted by group; the group that a batch ends in is kept for the next batch."""
+        rest: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
-            columns = [batch.column(x).to_numpy(zero_copy_only=False) for x in names]
-            if rest is not None:
-                columns = [np.concatenate(x) for x in zip(rest, columns)]
-            if not len(columns[0]):
+            if not batch.num_rows:
                 continue
-            last = np.ones(len(columns[0]), dtype=bool)
-            for c in columns[:4]:
-                last &= c == c[-1]
-            cut = int(np.argmax(last))
-            rest = [c[cut:] for c in columns]
-            if cut:
-                yield done([c[:cut] for c in columns])
-        if rest is not None:
+            keys = [batch.column(x).to_numpy(zero_copy_only=False) for x in ("part", "value", "cell")]
+            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            for x, y in itertools.pairwise([0, *change.tolist(), batch.num_rows]):
+                group = tuple(int(k[x]) for k in keys)
+                if rest and group != last:
+                    yield done(rest)
+                    rest = []
+                last = group
+                rest.append(batch.slice(x, y - x))
+        if rest:
             yield done(rest)
 
     return run
 
 
-def links(distinct: DataFrame, radius: int = 3, both: int = 128, block: int = 4096, sample_rows: int = 20_000) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 3, both: int = BITS, block: int = 262_144, sample_rows: int = 20_000) -> DataFrame:
     """(a, a_more, b, b_more): links between the fingerprints in distinct (fp, more; each once) whose classes are those of all links.
 
-    sample_rows bounds the fingerprints that the scheme is fitted on; every fingerprint is probed.
+    sample_rows bounds the fingerprints that the scheme is fitted on; every
+    fingerprint is dealt. The groups of a part are 2^high, 8 and more, so that
+    one has some 2^16 fingerprints of its own.
     """
     rows = distinct.count()
     sample = np.array([r[0] for r in bounded_sample(distinct.select("fp"), F.col("fp"), sample_rows).collect()], dtype=np.int64)
-    scheme = plan(sample, rows, radius)
-    signatures = distinct.select("fp", "more").mapInArrow(_signatures(scheme), "part int, value long, probe boolean, fp long, more long")
-    common = signatures.groupBy("part", "value").count().where(F.col("count") > block)
-    common = common.select("part", "value", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("fp", "more"), F.coalesce("blocks", F.lit(1))).cast("int")
-    cells = (
-        signatures.join(common, ["part", "value"], "left")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-        .select("part", "value", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "probe", "fp", "more")
-    )
-    dealt = cells.repartition("part", "value", "lo", "hi").sortWithinPartitions("part", "value", "lo", "hi")
-    return dealt.mapInArrow(_matches(radius, both), "a long, a_more long, b long, b_more long").distinct()
+    high = max(3, math.ceil(math.log2(max(rows, 1) / 65_536)))
+    scheme = plan(sample, rows, radius, high=high)
+    counts = distinct.select("fp").mapInArrow(_count_groups(scheme, high), "part int, value long, n long").groupBy("part", "value").agg(F.sum("n").alias("n"))
+    blocks = {(r["part"], r["value"]): -(-r["n"] // block) for r in counts.where(F.col("n") > block).collect()}  # at most rows / block of them
+    dealt = distinct.select("fp", "more").mapInArrow(_deal(scheme, high, blocks), "part int, value long, cell long, flips int, fp long, more binary")
+    dealt = dealt.repartition("part", "value", "cell").sortWithinPartitions("part", "value", "cell")
+    return dealt.mapInArrow(_matches(scheme, high, radius, both), "a long, a_more binary, b long, b_more binary").distinct()
 
 
 def classes(edges: DataFrame, most: int = 40) -> DataFrame:
@@ -338,7 +403,7 @@ def classes(edges: DataFrame, most: int = 40) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, both: int | None = None, block: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, extra: int = 0, both: int = BITS, block: int = 262_144) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs (doc_id, text), repeated rows included.
 
     fingerprint: 16 lowercase hex digits, zeros for a text without words (null
@@ -346,13 +411,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, both: int
     doc_id that links lead to, the row's own included; null ids never count as
     smallest. An empty table gives an empty result.
 
-    both: fingerprints get 64 further bits, and a link also needs at most so
-    many differing bits of the 128. For a radius beyond a few bits, unrelated
-    texts come within it by chance; the further bits tell them apart.
+    extra: further words of 64 bits; a link then also needs at most `both`
+    differing bits in all. For a radius beyond a few bits, unrelated texts come
+    within it by chance, and 64 bits tell a similarity roughly; the further
+    bits verify.
     """
-    fps = stage(fingerprints(docs, width, both is not None), "fingerprints")
+    fps = stage(fingerprints(docs, width, extra), "fingerprints")
     distinct = stage(fps.groupBy("fp", "more").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "distinct")
-    pairs = links(distinct, radius, 2 * BITS if both is None else both, block)
+    pairs = links(distinct, radius, both, block)
     ids = distinct.select("fp", "more", "node")
     for side in "ab":
         named = ids.toDF(side, f"{side}_more", f"{side}_node")
@@ -364,16 +430,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, both: int
     return fps.join(labels, ["fp", "more"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Cosine of two texts' shingle counts as the share d of differing bits tells it: cos(pi d) >= 0.8 up to 13 of 64 and 26 of 128 bits.
-SIMILAR = {"width": 5, "radius": 13, "both": 26}
+#: Five-word shingles with a similarity (Jaccard) of 0.8: texts of that similarity differ in 15 % of the bits, 77 of 512 and
+#: 10 of 64 on average. Both limits lie above, so that most such pairs are found: 86 by one standard deviation, 14 by one and a half.
+SIMILAR = {"width": 5, "radius": 14, "extra": 7, "both": 86}
 
 
-def keep_first(docs: DataFrame, width: int = SIMILAR["width"], radius: int = SIMILAR["radius"], both: int | None = SIMILAR["both"]) -> DataFrame:
+def keep_first(docs: DataFrame, width: int = SIMILAR["width"], radius: int = SIMILAR["radius"], extra: int = SIMILAR["extra"], both: int = SIMILAR["both"]) -> DataFrame:
     """The rows of docs, all columns, that are the first (smallest doc_id) of their group; of rows with one id, one stays.
 
     Rows with a null id stay.
     """
-    found = stage(near_duplicates(docs, width, radius, both).select("doc_id", "component_id"), "groups")
+    found = stage(near_duplicates(docs, width, radius, extra, both).select("doc_id", "component_id"), "groups")
     later = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(later, "doc_id", "left_anti")
     twice = stage(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "twice")

@@ -69,7 +69,7 @@ def test_thresholds_are_allocated_at_least_cost():
 def test_groups_link_as_all_pairs_do(rows, threshold, radius):
     rows = [r for r in rows if r[1] <= threshold]
     low, flips, fps = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(3))
-    a, b = simhash.link_group(low, flips, fps, np.zeros(len(rows), np.int64), 4, threshold, radius, 128)
+    a, b = simhash.link_group(low, flips, fps, np.zeros((len(rows), 0), np.uint64), 4, threshold, radius, 128)
     want, found = simhash._Classes(len(rows)), simhash._Classes(len(rows))
     for i, j in itertools.combinations(range(len(rows)), 2):
         near = int(low[i] ^ low[j]).bit_count() + max(flips[i], flips[j]) <= threshold
@@ -91,11 +91,12 @@ def test_links_of_clusters_against_all_pairs(spark, radius, both):
     rows = sorted(rows)
     limit = both or 128
     for block in (262_144, 16):
-        got = simhash.links(spark.createDataFrame(rows, "fp long, more long"), radius, limit, block)
-        at = {r: i for i, r in enumerate(rows)}
+        word = lambda x: (x & (2**64 - 1)).to_bytes(8, "little") if both else b""
+        got = simhash.links(spark.createDataFrame([(x, word(y)) for x, y in rows], "fp long, more binary"), radius, limit, block)
+        at = {(x, word(y)): i for i, (x, y) in enumerate(rows)}
         found, want = simhash._Classes(len(rows)), simhash._Classes(len(rows))
         for r in got.collect():
-            found.join(np.array([at[r["a"], r["a_more"]]]), np.array([at[r["b"], r["b_more"]]]))
+            found.join(np.array([at[r["a"], bytes(r["a_more"])]]), np.array([at[r["b"], bytes(r["b_more"])]]))
         for (i, p), (j, q) in itertools.combinations(enumerate(rows), 2):
             d = [((p[k] ^ q[k]) & (2**64 - 1)).bit_count() for k in range(2)]
             if d[0] <= radius and sum(d) <= limit:
