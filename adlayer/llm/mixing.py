@@ -35,7 +35,8 @@ def fill(sizes: DataFrame, weights: DataFrame, epochs: int = 3) -> DataFrame:
 
     A source without words or with no positive weight has target 0.
     """
-    known = sizes.join(weights, sizes["source"].eqNullSafe(weights["source"]), "left").select(sizes["source"], "source_size", F.greatest(F.coalesce("weight", F.lit(0)), F.lit(0)).alias("weight"))
+    weights = weights.select(F.col("source").alias("of"), "weight")
+    known = sizes.join(weights, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "source_size", F.greatest(F.coalesce("weight", F.lit(0)), F.lit(0)).alias("weight"))
     cap = F.col("source_size") * epochs
     order = Window.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
