@@ -85,7 +85,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, epochs: int = 3, seed
     placed = sized.join(cut, F.col("source").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("of_bin")))
     ends = (F.col("below") < F.col("quota")) & (F.col("upto") > F.col("quota"))
     names = ["doc_id", "source", "size", "source_size", "target", "whole"]
-    clear = placed.where(~ends).select(*names, (F.col("upto") <= F.col("quota")).cast("int").alias("once"))
+    clear = placed.where(~ends).select(*names, ((F.col("quota") > 0) & (F.col("upto") <= F.col("quota"))).cast("int").alias("once"))
     run = F.sum("size").over(Window.partitionBy("source", "bin").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0))
     tight = placed.where(ends).withColumn("run", F.col("below") + run).select(*names, (F.col("run") - F.col("size") / 2 <= F.col("quota")).cast("int").alias("once"))
     repeats = F.col("whole") + F.col("once")

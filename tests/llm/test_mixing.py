@@ -51,8 +51,9 @@ def test_taken_words(spark):
 
 
 def test_edge_cases(spark):
-    rows = [(1, None, "a"), (2, "", "a"), (3, " \t\n", None), (4, "x y z", None), (4, "x y z", None), (None, "q", "b"), (5, "long " * 200_000, "b")]
+    rows = [(1, None, "a"), (2, "", "a"), (3, " \t\n", None), (4, "x\u00a0y z", None), (4, "x\u00a0y z", None), (None, "q", "b"), (5, "long " * 200_000, "b")]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
-    assert len(got) == len(rows) and {r["doc_id"]: r["size"] for r in got} == {1: 0, 2: 0, 3: 0, 4: 3, None: 1, 5: 200_000}
+    assert len(got) == len(rows) and {r["doc_id"]: r["size"] for r in got} == {1: 0, 2: 0, 3: 0, 4: 2, None: 1, 5: 200_000}
+    assert all(r["repeats"] <= 3 for r in got)
     assert all(r["target"] == 0 and r["taken"] == 0 for r in got if r["source"] == "a")
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
