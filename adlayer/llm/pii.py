@@ -39,6 +39,8 @@ PATTERNS = {
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
     "name": r"\b(?:" + "|".join(MALE + FEMALE + OPEN) + r")\b\.? \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?",
 }
+# The calling codes of countries, none of which begins another.
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: Texts that match none of these hold no entity.
 HINT = r"[0-9@]|(?i:password|passwd|pwd|secret|token|api[_-]?key)|\b(?:" + "|".join(MALE + FEMALE + OPEN) + r")\b"
 # Given names by gender and script, and syllables of family names.
@@ -105,19 +107,28 @@ def _pick(values: list[str], n: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), n % len(values) + 1)
 
 
-def _alike(text: Column, stream: Column, keep: Column | int = 0) -> Column:
+def _places(text: Column, upto: Column) -> Column:
+    """How many of the first characters of text are ASCII letters or digits."""
+    return F.length(F.regexp_replace(F.substr(text, F.lit(1), upto), r"[^0-9A-Za-z]", ""))
+
+
+def _alike(text: Column, stream: Column, keep: Column | int = 0, loose: Column | bool = False) -> Column:
     """text with keyed digits for digits and letters for ASCII letters, upper and lower; the first `keep` characters stay.
 
     A number's first digit other than 0 stays other than 0, and a text of
-    hexadecimal digits after the kept ones stays one.
+    hexadecimal digits after the kept ones stays one. loose: separators don't
+    count, so that the forms of one number get the same digits.
     """
     keep = F.lit(keep) if isinstance(keep, int) else keep
+    loose = F.lit(loose) if isinstance(loose, bool) else loose
     letters = F.when(text.rlike(r'[0-9a-f]{12}"?$'), 6).otherwise(26)
+    kept = _places(text, keep)
 
     def one(i: Column) -> Column:
-        c, n = F.substr(text, i, F.lit(1)), _number(stream, i)
-        lead = (c != "0") & ((i == 1) | ~F.substr(text, i - 1, F.lit(1)).rlike("[0-9]"))
-        digit = F.when(lead, n % 9 + 1).otherwise(n % 10).cast("string")
+        c, place = F.substr(text, i, F.lit(1)), F.when(loose, _places(text, i)).otherwise(i)
+        n = _number(stream, place)
+        starts = F.when(loose, place == kept + 1).otherwise((i == 1) | ~F.substr(text, i - 1, F.lit(1)).rlike("[0-9]"))
+        digit = F.when((c != "0") & starts, n % 9 + 1).otherwise(n % 10).cast("string")
         return F.when(i <= keep, c).when(c.rlike("[0-9]"), digit).when(c.rlike("[a-z]"), F.char(97 + n % letters)).when(c.rlike("[A-Z]"), F.char(65 + n % letters)).otherwise(c)
 
     return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), one), "")
@@ -151,12 +162,12 @@ def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
         F.when(kind == "card", 1)
         .when(kind == "key", 4)
         .when(kind == "iban", 2)
-        .when(kind == "phone", F.length(F.regexp_extract(e, r"^(\+[0-9]{1,3}(?![0-9])|\+[0-9])", 1)))
+        .when(kind == "phone", F.length(F.regexp_extract(e, COUNTRY, 0)))
         .when(kind == "secret", F.length(F.regexp_extract(e, r"^([^=:]*[=:] ?\"?)", 1)))
         .otherwise(0)
     )
     keyed = keyed.withColumn("_body", body).withColumn("_keep", stays)
-    keyed = keyed.withColumn("_alike", _alike(F.col("_body"), stream, F.col("_keep")))
+    keyed = keyed.withColumn("_alike", _alike(F.col("_body"), stream, F.col("_keep"), kind.isin("card", "phone", "iban")))
     alike = F.col("_alike")
     check = ((10 - luhn(F.concat(F.substr(F.regexp_replace(alike, "[^0-9]", ""), F.lit(1), F.length(F.regexp_replace(e, "[^0-9]", "")) - 1), F.lit("0")))) % 10).cast("string")
     new = (
