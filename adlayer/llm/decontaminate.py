@@ -3,14 +3,17 @@
 One pass over the documents finds where n-grams of benchmark items occur; a
 document with none goes no further. The hits give every seed's document
 count. Rare seeds, and at least the rarer half of each item's, name the items
-that a document is aligned with: Smith-Waterman over words, in the windows
-around the seeds, scores exact, edited and partly paraphrased copies. Items are
-looked up in blocks of bounded size, so that a benchmark of any size passes.
+that a document is aligned with; an item of which it holds common seeds only,
+be it a single one, is aligned too unless the words around the seeds can't reach
+the least score. Smith-Waterman over words, in the windows around all seeds,
+scores exact, edited and partly paraphrased copies. Items are looked up in
+blocks of bounded size, so that a benchmark of any size passes.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,6 +84,12 @@ def similarity(item: list[str], text: list[str], hits: list[tuple[int, int]]) ->
     return best
 
 
+def reachable(item: list[str], text: list[str], hits: list[tuple[int, int]]) -> float:
+    """What similarity can't exceed: the largest share of the item's words that a window holds, in any order."""
+    own = Counter(item)
+    return max((MATCH * (own & Counter(text[a:b])).total() / (MATCH * len(item)) for a, b in windows(hits, len(item), len(text))), default=0.0)
+
+
 def _find_hits(grams: dict[str, int], sizes: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,19 +112,24 @@ def _find_hits(grams: dict[str, int], sizes: list[int]):
     return run
 
 
-def _score(items: dict, seeds: dict[int, list[tuple]], least: float):
-    """items: words by item number; seeds: (item number, position) lists of the seeds that count."""
+def _score(items: dict, seeds: dict[int, list[tuple]], rare: set[tuple[int, int]], least: float):
+    """items: words by item number; seeds: (item number, position) lists; rare: (seed, item number) that align without a look at the words around."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, out = batch.column("doc_id"), []
             for i, (text, found, places) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "seeds", "places")))):
                 hits: dict[int, list[tuple[int, int]]] = {}
+                named = set()
                 for s, p in zip(found, places):
-                    for item, q in seeds.get(s, ()):
+                    for item, q in seeds[s]:
                         hits.setdefault(item, []).append((p, q))
-                words = words_of(text) if hits else []
+                        if (s, item) in rare:
+                            named.add(item)
+                words = words_of(text)
                 for item, own in hits.items():
+                    if item not in named and reachable(items[item], words, own) < least:
+                        continue
                     share, a, b = similarity(items[item], words, own)
                     if share >= least:
                         out.append((i, item, share, a, b))
@@ -130,9 +144,11 @@ def _score(items: dict, seeds: dict[int, list[tuple]], least: float):
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, rare_docs: int = 50, least: float = 0.6, block_items: int = 20_000) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, end_word): the documents that hold a copy of a benchmark item.
 
-    docs: (doc_id, text); benchmark: (item_id, text). A seed counts if it
-    occurs in at most rare_docs documents or is among the rarer half of its
-    item's seeds (ties included). similarity: the best local alignment's share
+    docs: (doc_id, text); benchmark: (item_id, text). A document is aligned with
+    an item if it holds a seed that occurs in at most rare_docs documents or is
+    among the rarer half of the item's seeds (ties included), or any other of
+    its seeds with enough of its words around; so rare_docs changes the work,
+    not the result. similarity: the best local alignment's share
     of the item's own score (match 2, mismatch and gap -1), at least `least`;
     1 is a whole exact copy. first_word and end_word: the words of the text
     that the copy lies in. Null and empty texts, on either side, match nothing;
@@ -160,8 +176,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, rare_docs: i
             for k, _ in places:
                 by_item.setdefault(k, []).append(docs_of.get(s, 0))
         middle = {k: sorted(x)[len(x) // 2] for k, x in by_item.items()}
-        rare = {s: kept for s, places in seeds.items() if (kept := [(k, q) for k, q in places if docs_of.get(s, 0) <= max(rare_docs, middle[k])])}
-        found = hits.mapInArrow(_score(items, rare, least), f"doc_id {kinds['doc_id']}, item long, similarity double, first_word int, end_word int")
+        rare = {(s, k) for s, places in seeds.items() for k, _ in places if docs_of.get(s, 0) <= max(rare_docs, middle[k])}
+        found = hits.mapInArrow(_score(items, seeds, rare, least), f"doc_id {kinds['doc_id']}, item long, similarity double, first_word int, end_word int")
         names = spark.createDataFrame([(k, r["item_id"]) for k, r in enumerate(own)], f"item long, item_id {kinds['item_id']}")
         part = found.join(names, "item").select("doc_id", "item_id", "similarity", "first_word", "end_word")
         out = part if out is None else out.unionByName(part)

@@ -51,6 +51,23 @@ def test_common_passages_are_found(spark):
     assert d.contaminated(docs, items, rare_docs=5).count() == 300
 
 
+def test_edited_copies_of_a_common_item_are_found(spark):
+    item = [f"w{i}" for i in range(39)]
+    edited = lambda *at: " ".join(f"other{i}" if i in at else w for i, w in enumerate(item))
+    half = edited(5, 12, 19, 26, 33)  # 20 of 36 seeds broken
+    one = edited(3, 7, 11, 15, 19, 23, 27, 31, 36)  # a single seed intact, score (30 * 2 - 9) / 78
+    passing = " ".join(item[32:36]) + " " + NOISE  # the same seed, nothing else
+    rows = [(i, f"{NOISE} {i} {' '.join(item)} {i}") for i in range(300)] + [(300, f"{NOISE} {half} {NOISE}"), (301, f"{NOISE} {one} {NOISE}"), (302, passing)]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r["doc_id"] for r in d.contaminated(docs, items).collect()} == set(range(302))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), min_size=1, max_size=12), st.lists(st.sampled_from("abcd"), max_size=25), st.lists(st.tuples(st.integers(0, 20), st.integers(0, 8)), max_size=3))
+def test_no_alignment_exceeds_what_is_reachable(item, text, hits):
+    assert d.similarity(item, text, hits)[0] <= d.reachable(item, text, hits)
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
