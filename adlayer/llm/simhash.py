@@ -430,17 +430,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, extra: int
     return fps.join(labels, ["fp", "more"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Five-word shingles with a similarity (Jaccard) of 0.8: texts of that similarity differ in 15 % of the bits, 77 of 512 and
-#: 10 of 64 on average. Both limits lie above, so that most such pairs are found: 86 by one standard deviation, 14 by one and a half.
-SIMILAR = {"width": 5, "radius": 14, "extra": 7, "both": 86}
-
-
-def keep_first(docs: DataFrame, width: int = SIMILAR["width"], radius: int = SIMILAR["radius"], extra: int = SIMILAR["extra"], both: int = SIMILAR["both"]) -> DataFrame:
+def keep_first(docs: DataFrame, width: int = 5) -> DataFrame:
     """The rows of docs, all columns, that are the first (smallest doc_id) of their group; of rows with one id, one stays.
 
-    Rows with a null id stay.
+    A group: texts with a Jaccard similarity of 0.8 or more over distinct
+    shingles of `width` words, linked in any number of steps. At that
+    similarity fingerprints tell texts apart only roughly, so the shingles
+    themselves are compared. Rows with a null id stay.
     """
-    found = stage(near_duplicates(docs, width, radius, extra, both).select("doc_id", "component_id"), "groups")
+    from .similar import near_copies
+
+    found = stage(near_copies(docs, width), "groups")
     later = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(later, "doc_id", "left_anti")
     twice = stage(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "twice")

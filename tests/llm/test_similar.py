@@ -1,0 +1,56 @@
+"""Groups by exact similarity: against all pairs, with pairs just above and just below 0.8."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from adlayer.llm import similar, simhash
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def by_all_pairs(rows):
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both * 5 >= len(sets[i] | sets[j]) * 4 and root[i] != root[j]:
+                a, b = root[i], root[j]
+                root = [b if x == a else x for x in root]
+    first = {}
+    for (k, _), r in zip(rows, root):
+        first[r] = min(first.get(r, k), k)
+    return {k: first[r] for (k, _), r in zip(rows, root)}
+
+
+def texts():
+    draw = random.Random(5)
+    made = []
+    for base in range(60):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(draw.choice((20, 60, 200)))]
+        made.append(" ".join(words))
+        for _ in range(3):  # an edit breaks five shingles: similarities around 0.8
+            other = words.copy()
+            for at in draw.sample(range(len(words)), max(1, round(len(words) * draw.uniform(0.015, 0.03)))):
+                other[at] = f"e{draw.randrange(10**6)}"
+            made.append(" ".join(other))
+    line = "one line that is said again and again " * 30
+    made += [line + f"{i} " + " ".join(f"z{i}_{k}" for k in range(12)) for i in range(6)] + [None, "", "one two", "One  two", "one two three"]
+    return list(enumerate(made))
+
+
+@pytest.mark.parametrize("options", [{}, {"small": 2, "sample_rows": 40, "block": 2}])
+def test_groups_are_those_of_all_pairs(spark, options):
+    rows = texts()
+    got = {r["doc_id"]: r["component_id"] for r in similar.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()}
+    assert got == by_all_pairs(rows)
+
+
+def test_those_that_stay_are_the_firsts_of_all_pairs(spark):
+    rows = texts()
+    kept = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(by_all_pairs(rows).values())
