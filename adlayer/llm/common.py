@@ -1,4 +1,4 @@
-"""What several operators share: staging in the shared folder and bounded sampling."""
+"""What several operators share: staging in the shared folder, bounded sampling, row keys, joins with hot keys."""
 
 from __future__ import annotations
 
@@ -7,18 +7,46 @@ from pyspark.sql import functions as F
 
 from ..staging import stage
 
-__all__ = ["bounded_sample", "fold_of", "stage"]
+__all__ = ["bounded_sample", "fold_of", "node_of", "split_join", "stage", "text_key"]
 
 
 def bounded_sample(df: DataFrame, key: Column, max_rows: int, seed: int = 7) -> DataFrame:
-    """About max_rows rows of df at most, chosen by a hash of key; all rows of a df that is no larger."""
+    """About max_rows rows of df at most, chosen by a hash; all rows of a df that is no larger.
+
+    A row is chosen by a hash of key and its other plain columns, and equal rows
+    count once, so that what repeats doesn't carry the sample over its bound.
+    """
     total = df.count()
     if total <= max_rows:
         return df
-    cut = int((max_rows / total) * (1 << 31))
-    return df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 31)) < cut)
+    whole = F.struct(*(F.col(f"`{c}`").cast("string") for c, kind in df.dtypes if kind in ("string", "boolean", "float", "double") or "int" in kind or kind.startswith("decimal")))
+    place = F.pmod(F.xxhash64(key, whole, F.lit(seed)), F.lit(1 << 31))
+    cut = int(max_rows / total * (1 << 31))
+    return df.where(place < cut).dropDuplicates()
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, mod folds."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
+
+
+def text_key(text: Column) -> Column:
+    """A hash of 128 bits of a text; of its own for null."""
+    return F.coalesce(F.md5(text), F.lit("null"))
+
+
+def node_of(doc_id: Column, key: Column) -> Column:
+    """What orders rows by id, null ids last, then by key."""
+    return F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), key.alias("key"))
+
+
+def split_join(rows: DataFrame, labels: DataFrame, keys: list[str], total: int, most: int = 10_000) -> DataFrame:
+    """rows joined to labels (keys, n, ...), which has each key once, with the n rows that have it of `total`.
+
+    Keys of more than total / most rows, which are `most` at most, are
+    broadcast; so no task gets all rows of a hot key. keys may not be null.
+    """
+    hot = stage(labels.where(F.col("n") * most > total), "hot")
+    names = F.broadcast(hot.select(keys))
+    near = rows.join(F.broadcast(hot), keys)
+    return near.unionByName(rows.join(names, keys, "left_anti").join(labels.where(F.col("n") * most <= total), keys))

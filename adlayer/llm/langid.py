@@ -6,8 +6,9 @@ length first; the first length with a known n-gram decides. A text scores the
 mean over its words, and the smallest mean wins.
 
 Training counts run as Spark aggregations over a bounded, hashed sample of the
-labelled rows; the model (at most `max_words` words and `max_grams` n-grams)
-goes to the tasks, which score whole texts in Arrow batches without a shuffle.
+labelled rows; the model (at most `max_words` words and `max_grams` n-grams of
+each language) goes to the tasks, which score whole texts in Arrow batches
+without a shuffle.
 """
 
 from __future__ import annotations
@@ -42,21 +43,42 @@ def grams_of(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+@dataclass
+class Costs:
+    """Costs of words or n-grams, kept for the languages that have them; others have the row's penalty.
+
+    Entries start[i] to start[i + 1] are row i's: the language's number, and
+    the cost less the penalty.
+    """
+
+    index: dict[str, int]
+    start: np.ndarray
+    lang: np.ndarray
+    less: np.ndarray
+    penalty: np.ndarray
+
+    def total(self, rows: list[int], shares: np.ndarray, langs: int) -> np.ndarray:
+        """The rows' costs in each language, each times its share."""
+        at = np.array(rows, np.int64)
+        first, n = self.start[at], self.start[at + 1] - self.start[at]
+        ends = np.cumsum(n)
+        entry = np.repeat(first - ends + n, n) + np.arange(ends[-1])
+        return self.penalty[at] @ shares + np.bincount(self.lang[entry], self.less[entry] * np.repeat(shares, n), langs)
+
+
 @dataclass
 class LanguageModel:
-    """Costs are negative natural log frequencies; a word or n-gram that a language lacks costs that language's penalty."""
+    """Costs are negative natural log frequencies; a word or n-gram that a language lacks costs a penalty, the same in all languages."""
 
     langs: list[str]
     prior: np.ndarray
-    words: dict[str, int]
-    word_cost: np.ndarray
-    grams: dict[str, int]
-    gram_cost: np.ndarray
+    words: Costs
+    grams: Costs
     max_n: int
 
     def grams_known(self, word: str) -> list[int]:
         """Numbers of the word's longest n-grams of which any is known."""
-        get = self.grams.get
+        get = self.grams.index.get
         for n in range(self.max_n, 0, -1):
             found = [i for g in grams_of(word, n) if (i := get(g)) is not None]
             if found:
@@ -91,25 +113,45 @@ def _count_grams(max_n: int):
     return run
 
 
-def _table(rows: list, langs: list[str], totals: dict) -> tuple[dict[str, int], np.ndarray]:
-    """Index of each key and its cost in each language. totals: of what the costs are shares."""
-    index: dict[str, int] = {}
-    for r in rows:
-        index.setdefault(r[1], len(index))
-    penalty = np.array([[math.log(max(totals.get(x, 0), 1)) + 1.0 for x in langs]])
-    cost = np.repeat(np.maximum(penalty, penalty.max()), max(len(index), 1), axis=0)
-    at = {x: i for i, x in enumerate(langs)}
-    for lang, key, n in rows:
-        cost[index[key], at[lang]] = -math.log(n / totals[lang])
-    return index, cost
+def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of counts (lang, n, ...) that are among their language's `most` most frequent; of equal ones that would go beyond, none.
 
-
-def fit(labelled: DataFrame, max_rows: int = 20_000, max_words: int = 150_000, max_grams: int = 150_000, max_n: int = 5, min_count: int = 2) -> LanguageModel | None:
+    From a histogram of n for each language, so that no task sorts a language.
+    """
+    cuts, seen = {}, {}
+    for r in sorted(counts.groupBy("lang", "n").count().collect(), key=lambda r: -r["n"]):
+        seen[r["lang"]] = seen.get(r["lang"], 0) + r["count"]
+        if seen[r["lang"]] <= most:
+            cuts[r["lang"]] = r["n"]
+    if not cuts:
+        return counts.where("false")
+    least = F.broadcast(counts.sparkSession.createDataFrame(list(cuts.items()), "lang string, least long"))  # a row for each language
+    return counts.join(least, "lang").where("n >= least").drop("least")
+
+
+def _costs(table: pa.Table, key: str, langs: list[str], share_of) -> Costs:
+    """table: (lang, key, n); share_of(key, lang): of how many the n are a share."""
+    at = {x: i for i, x in enumerate(langs)}
+    keys, names, counts = (table.column(c).to_pylist() for c in (key, "lang", "n"))
+    index: dict[str, int] = {}
+    row = np.array([index.setdefault(k, len(index)) for k in keys], np.int64)
+    of = np.array([share_of(k, x) for k, x in zip(keys, names)], float)
+    lang = np.array([at[x] for x in names], np.int32)
+    penalty = np.zeros(len(index))
+    worst = {n: math.log(max(max((share_of("x" * n, x) for x in langs), default=1), 1)) + 1.0 for n in {len(k) for k in index}}
+    for k, i in index.items():
+        penalty[i] = worst[len(k)]
+    order = np.lexsort((lang, row))
+    start = np.searchsorted(row[order], np.arange(len(index) + 1))
+    return Costs(index, start, lang[order], (-np.log(np.array(counts, float) / of) - penalty[row])[order], penalty)
+
+
+def fit(labelled: DataFrame, max_rows: int = 20_000, max_words: int = 40_000, max_grams: int = 30_000, max_n: int = 5) -> LanguageModel | None:
     """Learn from the rows of (doc_id, text, lang) whose lang is known; None if there are none.
 
     max_rows bounds the labelled rows that are used, max_words and max_grams
-    what the model keeps of the most frequent words and n-grams over all
-    languages. Null texts count as empty.
+    the most frequent words and n-grams that the model keeps for each language,
+    whatever the others have. Null texts count as empty.
     """
     rows = bounded_sample(labelled.where(F.col("lang").isNotNull()).select("doc_id", "lang", "text"), F.col("doc_id"), max_rows)
     counts = rows.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
@@ -118,23 +160,15 @@ def fit(labelled: DataFrame, max_rows: int = 20_000, max_words: int = 150_000, m
         langs = sorted(totals)
         if not langs:
             return None
-        top = counts.where(F.col("n") >= min_count).orderBy(F.desc("n"), "lang", "word").limit(max_words).collect()
+        words = _costs(_most_frequent(counts, max_words).toArrow(), "word", langs, lambda _, x: totals[x])
         grams = counts.mapInArrow(_count_grams(max_n), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
-        gram_totals = {(r[0], r[1]): r[2] for r in grams.groupBy("lang", F.length("gram")).agg(F.sum("n")).collect()}
-        best = grams.where(F.col("n") >= min_count).orderBy(F.desc("n"), "lang", "gram").limit(max_grams).collect()
+        of_length = {(r[0], r[1]): r[2] for r in grams.groupBy("lang", F.length("gram")).agg(F.sum("n")).collect()}
+        parts = _costs(_most_frequent(grams, max_grams).toArrow(), "gram", langs, lambda g, x: of_length.get((x, len(g)), 0))
         grams.unpersist()
     finally:
         counts.unpersist()
-    words, word_cost = _table(top, langs, totals)
-    index: dict[str, int] = {}
-    parts = []
-    for n in range(1, max_n + 1):
-        own = [r for r in best if len(r[1]) == n]
-        found, cost = _table(own, langs, {x: gram_totals.get((x, n), 0) for x in langs})
-        index |= {k: v + sum(map(len, parts)) for k, v in found.items()}
-        parts.append(cost)
     prior = np.array([totals[x] for x in langs], dtype=float)
-    return LanguageModel(langs, prior / prior.sum(), words, word_cost, index, np.concatenate(parts), max_n)
+    return LanguageModel(langs, prior / prior.sum(), words, parts, max_n)
 
 
 def score_texts(model: LanguageModel | None, texts: list[str | None], cache: dict[str, list[int]], sharpness: float = 8.0) -> tuple[list[str], list[float]]:
@@ -145,9 +179,10 @@ def score_texts(model: LanguageModel | None, texts: list[str | None], cache: dic
             langs.append(UNDETERMINED)
             scores.append(0.0)
             continue
-        at = [model.words.get(w, -1) for w in words]
+        at = [model.words.index.get(w, -1) for w in words]
         known = [i for i in at if i >= 0]
-        total, n = model.word_cost[known].sum(axis=0), len(known)
+        n, size = len(known), len(model.langs)
+        total = model.words.total(known, np.ones(n), size) if known else np.zeros(size)
         grams: list[int] = []
         shares: list[float] = []
         if n < len(words):
@@ -160,7 +195,7 @@ def score_texts(model: LanguageModel | None, texts: list[str | None], cache: dic
                     grams += found
                     shares += [k / len(found)] * len(found)
                     n += k
-            total = total + np.array(shares) @ model.gram_cost[grams] if grams else total
+            total = total + model.grams.total(grams, np.array(shares), size) if grams else total
         mean = total / n if n else -np.log(model.prior)
         p = np.exp(-(mean - mean.min()) * min(n or 1, sharpness))
         best = min(range(len(model.langs)), key=lambda i: (mean[i], -model.prior[i], i))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, stage
+from .common import bounded_sample, node_of, split_join, stage, text_key
 
 BITS = 64
 SEED = 42
@@ -417,35 +417,39 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, extra: int
     bits verify.
     """
     fps = stage(fingerprints(docs, width, extra), "fingerprints")
-    distinct = stage(fps.groupBy("fp", "more").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "distinct")
+    first = node_of(F.col("doc_id"), F.struct("fp", "more"))
+    distinct = stage(fps.groupBy("fp", "more").agg(F.count("*").alias("n"), F.min(first).alias("node")), "distinct")
     pairs = links(distinct, radius, both, block)
     ids = distinct.select("fp", "more", "node")
     for side in "ab":
         named = ids.toDF(side, f"{side}_more", f"{side}_node")
         pairs = pairs.join(named, [side, f"{side}_more"])
     found = classes(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
-    rooted = distinct.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = rooted.join(firsts, "root").select("fp", "more", "component_id")
-    return fps.join(labels, ["fp", "more"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labels = distinct.join(found, "node", "left").select("fp", "more", "n", F.coalesce("root", "node")["id"].alias("component_id"))
+    total = fps.count()
+    out = split_join(fps, stage(labels, "labels"), ["fp", "more"], total)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, width: int = 5) -> DataFrame:
-    """The rows of docs, all columns, that are the first (smallest doc_id) of their group; of rows with one id, one stays.
+    """The rows of docs, all columns, that are the first (smallest doc_id, null last) of their group; of rows with one id and text, one stays.
 
     A group: texts with a Jaccard similarity of 0.8 or more over distinct
     shingles of `width` words, linked in any number of steps. At that
-    similarity fingerprints tell texts apart only roughly, so the shingles
-    themselves are compared. Rows with a null id stay.
+    similarity fingerprints tell texts apart only roughly, and within their
+    radius is a fixed share of all pairs; so the shingles themselves are
+    compared.
     """
     from .similar import near_copies
 
     found = stage(near_copies(docs, width), "groups")
-    later = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(later, "doc_id", "left_anti")
-    twice = stage(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "twice")
+    own = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("component_key"))
+    counted = found.groupBy("doc_id", "text_key").agg(F.bool_or(own).alias("stays"), F.count("*").alias("n"))
+    odd = stage(counted.where("not stays or n > 1").select(F.col("doc_id").alias("_al_id"), F.col("text_key").alias("_al_key"), F.col("stays").alias("_al_stays")), "later")
+    at = F.col("doc_id").eqNullSafe(F.col("_al_id")) & (text_key(F.col("text")) == F.col("_al_key"))
+    kept = docs.join(odd, at, "left_anti")
+    twice = odd.where("_al_stays")
     if twice.isEmpty():
-        return kept.select(docs.columns)
-    once = kept.join(twice, "doc_id", "left_anti").select(docs.columns)
-    again = kept.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(again)
+        return kept
+    again = docs.join(twice, at).dropDuplicates(["_al_id", "_al_key"])
+    return kept.unionByName(again.select(docs.columns))

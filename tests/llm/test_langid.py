@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,11 +27,50 @@ def test_known_words_decide(spark, model):
 
 
 def test_unseen_words_fall_back_to_shorter_grams(model):
-    assert "hunde" not in model.words
-    names = {i: g for g, i in model.grams.items()}
-    longest = [names[i] for i in model.grams_known("hunde")]
-    assert longest == ["<hund"] and model.langs[model.gram_cost[model.grams_known("hunde")].mean(axis=0).argmin()] == "de"
-    assert model.grams_known("東京") in ([], [model.grams.get(">"), model.grams.get("<")], [model.grams.get("<"), model.grams.get(">")])
+    assert "hunde" not in model.words.index
+    names = {i: g for g, i in model.grams.index.items()}
+    rows = model.grams_known("hunde")
+    assert [names[i] for i in rows] == ["<hund"] and model.langs[model.grams.total(rows, np.ones(1), 3).argmin()] == "de"
+    assert {names[i] for i in model.grams_known("東京")} <= {"<", ">"}
+
+
+def plain_costs(rows, text, max_n=5):
+    """Mean cost of a text in each language from whole counts, by dictionaries and loops."""
+    langs = sorted({x for _, x in rows})
+    words = {x: Counter(w for t, y in rows if y == x for w in langid.words_of(t)) for x in langs}
+    grams = {(x, n): Counter(g for w, k in words[x].items() for g in langid.grams_of(w, n) for _ in range(k)) for x in langs for n in range(1, max_n + 1)}
+    cost = lambda tables, key: [-math.log(t[key] / t.total()) if t[key] else math.log(max(u.total() for u in tables)) + 1 for t in tables]
+    found = []
+    for w in langid.words_of(text):
+        if any(w in words[x] for x in langs):
+            found.append(cost([words[x] for x in langs], w))
+            continue
+        for n in range(max_n, 0, -1):
+            own = [g for g in langid.grams_of(w, n) if any(g in grams[x, n] for x in langs)]
+            if own:
+                found.append([sum(c) / len(own) for c in zip(*(cost([grams[x, n] for x in langs], g) for g in own))])
+                break
+    return dict(zip(langs, [sum(c) / len(found) for c in zip(*found)]))
+
+
+def test_scores_against_plain_code(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang is not null")
+    rows = docs.orderBy("doc_id").select("text", "lang").collect()
+    model = langid.fit(docs, max_words=10**6, max_grams=10**6)
+    texts = ["und sie", "elle quxzwv dans", "the then erthing yyy", "zzqx", rows[3][0][:2000]]
+    got, scores = langid.score_texts(model, texts, {})
+    for text, lang, score in zip(texts, got, scores):
+        mean = plain_costs([(r[0] or "", r[1]) for r in rows], text)
+        n = len(langid.words_of(text))
+        p = {x: math.exp(-(c - min(mean.values())) * min(n, 8)) for x, c in mean.items()}
+        assert lang == min(mean, key=mean.get) and score == pytest.approx(p[lang] / sum(p.values()))
+
+
+def test_a_small_language_keeps_its_words(spark):
+    rows = [(i, " ".join(f"large{'abcdefghij'[i % 10]}{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10]}" for k in range(100)), "xx") for i in range(30)] + [(99, "tiny words only", "yy")]
+    model = langid.fit(spark.createDataFrame(rows, DOCS), max_words=50, max_grams=50)
+    assert {"tiny", "words", "only"} <= set(model.words.index) and len(model.words.index) <= 53
+    assert langid.score_texts(model, ["tiny words"], {})[0] == ["yy"]
 
 
 def test_edge_cases(spark, model):
