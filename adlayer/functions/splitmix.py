@@ -39,10 +39,12 @@ def _long(value: int) -> Column:
     return F.lit(signed(value)).cast("long")
 
 
-def finalised(z: Column) -> Column:
-    z = z.bitwiseXOR(F.shiftrightunsigned(z, 30)) * _long(MIX_1)
-    z = z.bitwiseXOR(F.shiftrightunsigned(z, 27)) * _long(MIX_2)
-    return z.bitwiseXOR(F.shiftrightunsigned(z, 31))
+def _finalised(df: DataFrame, name: str, z: Column) -> DataFrame:
+    """df with z mixed. Each step is a column: it is used twice by the next, and would be written out eight times in one expression."""
+    df = df.withColumn("_z0", z)
+    for i, (shift, factor) in enumerate(((30, MIX_1), (27, MIX_2))):
+        df = df.withColumn(f"_z{i + 1}", F.col(f"_z{i}").bitwiseXOR(F.shiftrightunsigned(f"_z{i}", shift)) * _long(factor))
+    return df.withColumn(name, F.col("_z2").bitwiseXOR(F.shiftrightunsigned("_z2", 31))).drop("_z0", "_z1", "_z2")
 
 
 def with_draw(df: DataFrame, name: str, seed: Column | int, nth: Column) -> DataFrame:
@@ -50,7 +52,7 @@ def with_draw(df: DataFrame, name: str, seed: Column | int, nth: Column) -> Data
     seed = _long(seed) if isinstance(seed, int) else seed
     with wrapping(df.sparkSession):
         start = seed.bitwiseXOR(_long(GOLDEN))
-        return df.withColumn(name, finalised(start + nth.cast("long") * _long(GOLDEN)))
+        return _finalised(df, name, start + nth.cast("long") * _long(GOLDEN))
 
 
 def with_uniform(df: DataFrame, name: str, seed: Column | int, nth: Column) -> DataFrame:
@@ -72,7 +74,7 @@ def with_site_bucket(df: DataFrame, name: str, site: Column, bit: Column, seed:
     seed = _long(seed) if isinstance(seed, int) else seed
     with wrapping(df.sparkSession):
         z = site.cast("long") * _long(GOLDEN) + bit.cast("long") * _long(MIX_1) + seed
-        return df.withColumn(name, finalised(z).bitwiseAND(F.lit(buckets - 1)).cast("int"))
+        return _finalised(df, name, z).withColumn(name, F.col(name).bitwiseAND(F.lit(buckets - 1)).cast("int"))
 
 
 def draw_of(seed: int, nth: int) -> int:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions import splitmix
 from ..schemas import LANES
+from .ordered import last_known, numbered
 
 
+# The default constants of the rate law.
 @dataclass(frozen=True)
 class Kinetics:
     alpha: float = 0.87
@@ -44,14 +46,14 @@ def one_site_rates(buckets: DataFrame, species: DataFrame, pairs: DataFrame, kin
     adsorbs = F.when(dissociates, _row(0, k(F.col("_ea")), bit, bit, True, none, "dissociative_adsorption")).otherwise(_row(0, k(F.col("_ea")), bit, none, False, F.col("bucket"), "adsorption"))
     desorbs = _row(1, k(X.reverse_ev(F.col("_ea"), energy)), F.shiftleft(bit, 8), none, False, F.col("bucket"), "desorption")
     rows = F.filter(F.array(adsorbs, F.when(F.col("_replaced").isNull(), desorbs)), lambda x: x.isNotNull())
-    return buckets.join(F.broadcast(known), "species").withColumn("_ea", ea).select(F.lit(0).alias("part"), F.col("species").cast("string").alias("of"), F.col("bucket").cast("long").alias("at"), F.explode(rows).alias("r")).select("part", "of", "at", "r.*")
+    return buckets.join(known, "species").withColumn("_ea", ea).select(F.lit(0).alias("part"), F.col("species").cast("string").alias("of"), F.col("bucket").cast("long").alias("at"), F.explode(rows).alias("r")).select("part", "of", "at", "r.*")
 
 
 def two_site_rates(pairs: DataFrame, species: DataFrame, kinetics: Kinetics, order: Column) -> DataFrame:
     """Recombinations forward, dissociative adsorptions both ways; pairs that name an unknown species give nothing."""
     bits = species.select("species", "bit")
     a, b = bits.select(F.col("species").alias("species_a"), F.col("bit").alias("_a")), bits.select(F.col("species").alias("species_b"), F.col("bit").alias("_b"))
-    both = pairs.join(F.broadcast(a), "species_a").join(F.broadcast(b), "species_b")
+    both = pairs.join(a, "species_a").join(b, "species_b")
     ea, e = F.col("ea_mev") / 1000.0, F.col("energy_mev") / 1000.0
     k = lambda x: X.rate(x, kinetics.nu, kinetics.temperature)
     full_a, full_b, none = F.shiftleft("_a", 8), F.shiftleft("_b", 8), F.lit(0)
@@ -65,12 +67,13 @@ def two_site_rates(pairs: DataFrame, species: DataFrame, kinetics: Kinetics, ord
 def catalogue(rates: DataFrame) -> DataFrame:
     """schemas.REACTIONS with category: rates rescaled to the largest, numbered by bin_id, then order of emission.
 
-    A catalogue has a few rows for each species and bucket, so one window takes it.
+    Two-site records give a row or two each, so rates can be many: the largest
+    is an aggregate, and numbers come from ranges.
     """
-    all_rows = Window.partitionBy()
-    scaled = rates.withColumn("rate_q16", X.rescaled_q16(F.col("k"), F.max("k").over(all_rows)))
-    place = F.row_number().over(Window.orderBy("bin_id", "part", "of", "at", "emit")) - 1
-    return scaled.select(place.cast("int").alias("reaction_id"), "rate_q16", "bin_id", "transition_a", "transition_b", "is_bimolecular", "category")
+    placed = numbered(rates, ["bin_id", "part", "of", "at", "emit"], "_place")
+    top = F.broadcast(placed.agg(F.max("k").alias("_top")))  # one row
+    scaled = placed.crossJoin(top).withColumn("rate_q16", X.rescaled_q16(F.col("k"), F.col("_top")))
+    return scaled.select((F.col("_place") - 1).cast("int").alias("reaction_id"), "rate_q16", "bin_id", "transition_a", "transition_b", "is_bimolecular", "category")
 
 
 def build(records: DataFrame, pairs: DataFrame, species: DataFrame, metal=None, facet=None, kinetics: Kinetics = Kinetics(), order: list[Column] | None = None) -> DataFrame:
@@ -101,8 +104,8 @@ def usable_bin_at_or_below(bins: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (bin) with the nearest bin at or below it that has reactions and a positive total, else null."""
     marks = bins.where("n > 0 and total > 0").select(F.col("bin_id").alias("at"), F.col("bin_id").alias("usable"), F.lit(0).alias("side"))
     asked = wanted.select(F.col("bin").alias("at"), F.lit(None).cast("int").alias("usable"), F.lit(1).alias("side"))
-    last = F.last("usable", ignorenulls=True).over(Window.orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
-    return marks.unionByName(asked).withColumn("usable", last).where("side = 1").select(F.col("at").alias("bin"), "usable")
+    found = last_known(marks.unionByName(asked), [], ["at", "side"], {"nearest": "usable"})
+    return found.where("side = 1").select(F.col("at").alias("bin"), F.col("nearest").alias("usable"))
 
 
 def demo_catalogue(spark: SparkSession, count: int, seed: int = 0xC0FFEE00C0FFEE00) -> DataFrame:
@@ -118,5 +121,5 @@ def demo_catalogue(spark: SparkSession, count: int, seed: int = 0xC0FFEE00C0FFEE
         X.pack_transition(bits(33, 3), bits(36, 3)).alias("_b"),
     )
     made = cut.withColumn("bin_id", X.magnitude_class(F.col("rate_q16"))).withColumn("transition_b", F.when(F.col("is_bimolecular"), F.col("_b")).otherwise(0))
-    place = F.row_number().over(Window.orderBy("bin_id", "id")) - 1
-    return made.select(place.cast("int").alias("reaction_id"), "rate_q16", "bin_id", "transition_a", "transition_b", "is_bimolecular")
+    placed = numbered(made, ["bin_id", "id"], "_place")
+    return placed.select((F.col("_place") - 1).cast("int").alias("reaction_id"), "rate_q16", "bin_id", "transition_a", "transition_b", "is_bimolecular")

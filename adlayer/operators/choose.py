@@ -2,43 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import running_sums
+
 
 def cumulative(choices: DataFrame, by: list[str], order: str, weight: str) -> DataFrame:
-    """choices with lo and hi, the span of each in the running sum of weights, and total, its end."""
-    over = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = choices.withColumn("hi", F.sum(weight).over(over))
-    return summed.withColumn("lo", F.col("hi") - F.col(weight)).withColumn("total", F.sum(weight).over(Window.partitionBy(*by)))
-
-
-def alias_table(weights: list[float]) -> tuple[list[float], list[int]]:
-    """Walker's alias table: with i uniform over the rows and u in (0, 1), the choice is i if u < keep[i], else other[i]."""
-    n, total = len(weights), sum(weights)
-    if total <= 0:
-        raise ValueError("no weight is positive")
-    scaled = [w * n / total for w in weights]
-    keep, other = [1.0] * n, list(range(n))
-    small, large = [i for i in range(n) if scaled[i] < 1], [i for i in range(n) if scaled[i] >= 1]
-    while small and large:
-        s, g = small.pop(), large.pop()
-        keep[s], other[s] = scaled[s], g
-        scaled[g] -= 1 - scaled[s]
-        (small if scaled[g] < 1 else large).append(g)
-    return keep, other
-
-
-def by_alias(u: Column, weights: list[float]) -> Column:
-    """The chosen row's number, from one uniform number: its whole part over the rows picks, its fraction keeps or goes on.
-
-    Two array lookups for each draw, whatever the number of rows.
-    """
-    keep, other = alias_table(weights)
-    n = len(weights)
-    at = F.least(F.floor(u * n), F.lit(n - 1)).cast("int")
-    put = lambda values: F.array(*map(F.lit, values))
-    return F.when(u * n - at < F.element_at(put(keep), at + 1), at).otherwise(F.element_at(put(other), at + 1))
+    """choices with lo and hi, the span of each in the running sum of weights, and total, its end; by values may not be null."""
+    summed = running_sums(choices, by, [order], {"hi": weight}).withColumn("lo", F.col("hi") - F.col(weight))
+    ends = choices.groupBy(*by).agg(F.sum(weight).alias("total"))
+    return summed.join(ends, by) if by else summed.crossJoin(F.broadcast(ends))  # without by, one row
 
 
 def by_range(draws: DataFrame, spans: DataFrame, u: str = "u") -> DataFrame:

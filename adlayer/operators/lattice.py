@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions import splitmix
-from ..schemas import BUCKETS, VACANT
+from ..schemas import BUCKETS, MAX_SPECIES, VACANT
 
 PATCH_SEED = 0x5EED000000000000
 
@@ -65,7 +65,7 @@ def site_counts(placed: DataFrame, species: DataFrame) -> DataFrame:
 
     species: (bit), eight rows at most. Corrupt sites count nowhere.
     """
-    bits = F.broadcast(species.select("bit"))
+    bits = F.broadcast(species.select("bit").limit(MAX_SPECIES))  # eight rows
     both = placed.join(bits, (F.col("state") == VACANT) | (F.col("state") == F.col("bit")))
     seeded = both.withColumn("_seed", F.lit(splitmix.signed(PATCH_SEED)).cast("long").bitwiseXOR(F.col("patch_id").cast("long")))
     hashed = splitmix.with_site_bucket(seeded, "bucket", F.col("site"), F.col("bit"), F.col("_seed"))
@@ -81,7 +81,7 @@ def live_counts(placed: DataFrame, width: int, reactions: DataFrame, species: Da
     a, b = X.reactant_of(F.col("transition_a")), X.reactant_of(F.col("transition_b"))
     low, high = X.canonical_pair(a, b)
     wanted = reactions.withColumn("_vacant", a == VACANT).withColumn("_bit", F.when(a == VACANT, X.product_of(F.col("transition_a"))).otherwise(a)).withColumn("_low", low).withColumn("_high", high)
-    wanted = placed.select("patch_id").distinct().crossJoin(F.broadcast(wanted))  # a catalogue's rows for each patch
+    wanted = placed.select("patch_id").distinct().crossJoin(wanted)  # a row for each patch and reaction is the result
     sites = site_counts(placed, species).select("patch_id", F.col("bit").alias("_bit"), F.col("vacant").alias("_vacant"), F.col("bucket").alias("bin_id"), F.col("n").alias("_sites"))
     pairs = pair_counts(placed, width).select("patch_id", F.col("low").alias("_low"), F.col("high").alias("_high"), F.col("n").alias("_pairs"))
     joined = wanted.join(sites, ["patch_id", "_bit", "_vacant", "bin_id"], "left").join(pairs, ["patch_id", "_low", "_high"], "left")
@@ -110,9 +110,3 @@ def histogram(lattice: DataFrame) -> DataFrame:
 
 def corrupt_sites(lattice: DataFrame, mask: int) -> DataFrame:
     return lattice.where(X.is_corrupt(F.col("state"), mask))
-
-
-def nth_neighbour(row: Column, col: Column, width: int, rows: Column | int, pick: Column) -> Column:
-    """The neighbour number pick (from 0, going round) of those that exist; null without neighbours."""
-    near = X.neighbours(row, col, width, rows)
-    return F.when(F.size(near) > 0, F.element_at(near, (pick % F.greatest(F.size(near), F.lit(1)) + 1).cast("int"))["site"])

@@ -1,8 +1,14 @@
-"""Numbers and running sums over all rows in order, without a window that takes them all."""
+"""Numbers, running sums and carried values over all rows in order, without a window that takes them all.
+
+Rows are dealt by ranges of the order and written to the shared folder; what
+the ranges before hold is added to what stands before a row within its range.
+A range is about as large as any other, whatever the values, if the order
+tells most rows apart.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import stage
@@ -10,22 +16,41 @@ from ..staging import stage
 _LOW = (1 << 33) - 1
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
-    """df with its place in the order, from 1: rows are dealt by ranges of the order, and each range starts where the ones before end."""
+def ranged(df: DataFrame, order: list[str | Column]) -> DataFrame:
+    """df with `_range`, the number of the row's range, and `_in`, its place in it from 0; ranges follow each other in the order."""
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    dealt = stage(dealt.withColumn("_range", F.shiftright("_id", 33)).withColumn("_in", F.col("_id").bitwiseAND(F.lit(_LOW))).drop("_id"), "ordered")
+    return stage(dealt.withColumn("_range", F.shiftright("_id", 33)).withColumn("_in", F.col("_id").bitwiseAND(F.lit(_LOW))).drop("_id"), "ordered")
+
+
+def _earlier(by: list[str]) -> Window:
+    """The ranges before, for each value of by; one row for a range and value."""
+    return Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def numbered(df: DataFrame, order: list[str | Column], name: str = "n") -> DataFrame:
+    """df with its place in the order, from 1."""
+    dealt = ranged(df, order)
     counts = dealt.groupBy("_range").agg(F.count("*").alias("_size"))
-    before = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_range", before.alias("_before"))  # a row for each range
+    starts = counts.select("_range", F.coalesce(F.sum("_size").over(_earlier([])), F.lit(0)).alias("_before"))  # a row for each range
     return dealt.join(F.broadcast(starts), "_range").withColumn(name, F.col("_before") + F.col("_in") + 1).drop("_range", "_in", "_before")
 
 
-def running_sum(df: DataFrame, by: list[str], at: str, value: str, name: str, block: int = 65_536) -> DataFrame:
-    """df with the running sum of value within by, in the order of the whole number at: sums of blocks of it, then sums within the block."""
-    cut = df.withColumn("_block", F.floor(F.col(at) / block))
-    sums = cut.groupBy(*by, "_block").agg(F.sum(value).alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.sum(value).over(Window.partitionBy(*by, "_block").orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
-    placed = cut.join(sums.select(*by, "_block", before.alias("_before")), [*by, "_block"])
-    return placed.withColumn(name, F.col("_before") + within).drop("_block", "_before")
-
+def running_sums(df: DataFrame, by: list[str], order: list[str | Column], sums: dict[str, str]) -> DataFrame:
+    """df with, for each name in sums, the sum of that column over the row and those before it with the same values of by (null-free)."""
+    dealt = ranged(df, [*by, *order])
+    each = dealt.groupBy(*by, "_range").agg(*(F.sum(c).alias(f"_of_{n}") for n, c in sums.items()))
+    starts = each.select(*by, "_range", *(F.coalesce(F.sum(f"_of_{n}").over(_earlier(by)), F.lit(0)).alias(f"_of_{n}") for n in sums))
+    within = Window.partitionBy(*by, "_range").orderBy("_in").rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.withColumns({f"_in_{n}": F.sum(c).over(within) for n, c in sums.items()})
+    return summed.join(starts, [*by, "_range"]).withColumns({n: F.col(f"_in_{n}") + F.col(f"_of_{n}") for n in sums}).select(*df.columns, *sums)
+
+
+def last_known(df: DataFrame, by: list[str], order: list[str | Column], values: dict[str, str]) -> DataFrame:
+    """df with, for each name in values, that column's last value other than null in the row or those before it with the same values of by."""
+    dealt = ranged(df, [*by, *order])
+    held = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_in"))).alias(f"_of_{n}") for n, c in values.items()]
+    each = dealt.groupBy(*by, "_range").agg(*held)
+    starts = each.select(*by, "_range", *(F.last(f"_of_{n}", ignorenulls=True).over(_earlier(by)).alias(f"_of_{n}") for n in values))
+    within = Window.partitionBy(*by, "_range").orderBy("_in").rowsBetween(Window.unboundedPreceding, 0)
+    known = dealt.withColumns({f"_in_{n}": F.last(c, ignorenulls=True).over(within) for n, c in values.items()})
+    return known.join(starts, [*by, "_range"]).withColumns({n: F.coalesce(f"_in_{n}", f"_of_{n}") for n in values}).select(*df.columns, *values)

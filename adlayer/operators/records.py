@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import BUCKETS
+from .ordered import numbered
 
 
 def require_rows(df: DataFrame, what: str = "input") -> DataFrame:
@@ -48,21 +49,16 @@ def species_counts(records: DataFrame, species: DataFrame) -> DataFrame:
     return species.select("species").join(counts, "species", "left").fillna(0, ["n", "with_barrier"])
 
 
-def ranked(records: DataFrame, order: list[Column], bins: int = 1024) -> DataFrame:
+def ranked(records: DataFrame, order: list[Column]) -> DataFrame:
     """records (species, energy_mev, ...) with `rank` from 0 by energy, then order, within the species, and `n`, its records.
 
-    A species can hold most of the rows, so no window takes a whole species:
-    records are counted by an energy bin, whose place in the species comes from
-    running sums over bins, and ranked within the bin only.
+    A species, or one energy, can have most of the rows, so no window takes
+    either: rows are numbered over all species in one order, and a species
+    begins at its smallest number. order should tell rows apart.
     """
-    ends = records.groupBy("species").agg(F.min("energy_mev").alias("_low"), F.max("energy_mev").alias("_high"), F.count("*").alias("n"))
-    span = F.greatest(F.col("_high") - F.col("_low") + F.lit(1), F.lit(1))
-    binned = records.join(ends, "species").withColumn("_bin", F.floor((F.col("energy_mev") - F.col("_low")) * bins / span).cast("int"))
-    counts = binned.groupBy("species", "_bin").agg(F.count("*").alias("_in"))
-    before = F.coalesce(F.sum("_in").over(Window.partitionBy("species").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = binned.join(counts.select("species", "_bin", before.alias("_before")), ["species", "_bin"])
-    within = F.row_number().over(Window.partitionBy("species", "_bin").orderBy("energy_mev", *order)) - 1
-    return placed.withColumn("rank", F.col("_before") + within).drop("_low", "_high", "_bin", "_before")
+    placed = numbered(records, ["species", "energy_mev", *order], "_place")
+    starts = placed.groupBy("species").agg(F.min("_place").alias("_first"), F.count("*").alias("n"))
+    return placed.join(starts, "species").withColumn("rank", F.col("_place") - F.col("_first")).drop("_place", "_first")
 
 
 def quantile_buckets(records: DataFrame, order: list[Column], buckets: int = BUCKETS) -> DataFrame:

@@ -1,13 +1,15 @@
-"""Event logs replayed into states and coverage, as windows instead of a loop.
+"""Event logs replayed into states and coverage, without a loop.
 
 A transition clears its reactant's bits and sets its product's. For each bit,
 a site's state after an event is what the last event that touched the bit
-left, so one window by site, with an ignore-nulls last for each bit, gives all
-states. Coverage over time is a running sum of the changes.
+left: what is last within a range of the site's events, else what the ranges
+before it left, so a busy site is no one task. Coverage over time is a running
+sum of the changes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,17 +17,17 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..schemas import VACANT
-from .ordered import numbered
+from .ordered import numbered, ranged, running_sums
 
 
-def with_transitions(events: DataFrame, reactions: DataFrame, exact: bool = True) -> DataFrame:
-    """events (ord, sim_time, site_idx, reaction_id) with their transition; an unknown reaction is an error.
+def with_transitions(events: DataFrame, reactions: DataFrame, exact: bool = True, unknown: str = "error") -> DataFrame:
+    """events (ord, sim_time, site_idx, reaction_id) with their transition; an unknown reaction is an error, or has none if unknown is "null".
 
     A two-site event is two rows of one time and reaction; the second, by ord,
     has the reaction's transition_b if exact, else transition_a like the first.
     """
-    known = events.join(F.broadcast(reactions.select("reaction_id", "transition_a", "transition_b", "is_bimolecular")), "reaction_id", "left")  # a catalogue has some thousand rows
-    a = F.when(F.col("transition_a").isNull(), F.raise_error(F.concat(F.lit("unknown reaction "), F.col("reaction_id").cast("string"))).cast("int")).otherwise(F.col("transition_a"))
+    known = events.join(reactions.select("reaction_id", "transition_a", "transition_b", "is_bimolecular"), "reaction_id", "left")
+    a = F.col("transition_a") if unknown == "null" else F.when(F.col("transition_a").isNull(), F.raise_error(F.concat(F.lit("unknown reaction "), F.col("reaction_id").cast("string"))).cast("int")).otherwise(F.col("transition_a"))
     if not exact:
         return known.withColumn("transition", a).select(*events.columns, "transition")
     twin = F.row_number().over(Window.partitionBy("sim_time", "reaction_id").orderBy("ord")) % 2 == 0
@@ -38,18 +40,26 @@ def states(events: DataFrame, order: list[str], bits: list[int], initial: DataFr
     bits: all bits that may occur. initial: (site_idx, state) at the start, all
     vacant by default.
     """
-    site = Window.partitionBy("site_idx").orderBy(*order)
-    upto = site.rowsBetween(Window.unboundedPreceding, 0)
     begun = events if initial is None else events.join(initial.select("site_idx", F.col("state").alias("_start")), "site_idx", "left")
     start = F.lit(0) if initial is None else F.coalesce("_start", F.lit(0))
     product, reactant = X.product_of(F.col("transition")), X.reactant_of(F.col("transition"))
+    touch = lambda bit: F.when(product.bitwiseAND(F.lit(bit)) != 0, F.lit(bit)).when(reactant.bitwiseAND(F.lit(bit)) != 0, F.lit(0))
+    names = {bit: f"_touch_{bit}" for bit in bits}
+    dealt = ranged(begun.withColumns({names[bit]: touch(bit) for bit in bits}), ["site_idx", *order])
+    # what each range's part of a site leaves, and so what the next begins with
+    ends = dealt.groupBy("site_idx", "_range").agg(*(F.max_by(n, F.when(F.col(n).isNotNull(), F.col("_in"))).alias(n) for n in names.values()))
+    before = Window.partitionBy("site_idx").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("site_idx", "_range", *(F.last(n, ignorenulls=True).over(before).alias(f"{n}_before") for n in names.values()))
+    site = Window.partitionBy("site_idx", "_range").orderBy("_in")
+    upto = site.rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.withColumns({f"{n}_in": F.last(n, ignorenulls=True).over(upto) for n in names.values()}).join(ends, ["site_idx", "_range"])
 
-    def bit_after(bit: int) -> Column:
-        touch = F.when(product.bitwiseAND(F.lit(bit)) != 0, F.lit(bit)).when(reactant.bitwiseAND(F.lit(bit)) != 0, F.lit(0))
-        return F.coalesce(F.last(touch, ignorenulls=True).over(upto), start.bitwiseAND(F.lit(bit)))
+    def state(last: Callable[[str], list[Column]]) -> Column:
+        return reduce(lambda a, b: a.bitwiseOR(b), (F.coalesce(*last(n), start.bitwiseAND(F.lit(bit))) for bit, n in names.items()))
 
-    after = reduce(lambda a, b: a.bitwiseOR(b), map(bit_after, bits))
-    done = begun.withColumn("state_after", after).withColumn("state_before", F.coalesce(F.lag("state_after").over(site), start))
+    done = placed.withColumn("state_after", state(lambda n: [F.col(f"{n}_in"), F.col(f"{n}_before")]))
+    done = done.withColumn("_begin", state(lambda n: [F.col(f"{n}_before")]))
+    done = done.withColumn("state_before", F.coalesce(F.lag("state_after").over(site), F.col("_begin")))
     return done.select(*events.columns, "state_before", "state_after")
 
 
@@ -90,8 +100,7 @@ def coverage_of(placed: DataFrame, species: list[tuple[str, int]], sites: int, e
         first = known.agg(*((F.count_if(F.col("state") == s) + (F.lit(sites) - F.count("*") if s == VACANT else F.lit(0))).cast("long").alias(name) for name, s in wanted))
     start = first.select(F.lit(0).cast("long").alias("sample"), F.lit(0).cast("long").alias("event"), F.lit(0.0).alias("sim_time"), F.lit(True).alias("_inside"), *(n for n, _ in wanted))
     rows = ends.join(deltas, "sample", "left").select("sample", "event", "sim_time", "_inside", *(F.coalesce(n, F.lit(0).cast("long")).alias(n) for n, _ in wanted)).unionByName(start)
-    upto = Window.orderBy("sample").rowsBetween(Window.unboundedPreceding, 0)  # a row for each sample
-    summed = rows.select("event", "sim_time", "_inside", *(F.sum(n).over(upto).alias(n) for n, _ in wanted))
+    summed = running_sums(rows, [], ["sample"], {f"_sum_{n}": n for n, _ in wanted}).select("event", "sim_time", "_inside", *(F.col(f"_sum_{n}").alias(n) for n, _ in wanted))
     if exact:
         return summed.drop("_inside").withColumn("other", F.lit(sites).cast("long") - sum(F.col(n) for n, _ in wanted))
     return summed.where("_inside").drop("_inside")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
@@ -12,8 +12,8 @@ from .lattice import histogram
 
 def coverage_percent(rows: DataFrame, series: list[str]) -> DataFrame:
     """Coverage rows (event, sim_time, counts) with each count as a percentage of all sites, which the first row sums to, and the time in microseconds."""
-    total = F.first(sum(F.col(s) for s in series)).over(Window.orderBy("event").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    shares = rows.withColumn("_total", total)
+    total = rows.agg(F.min_by(sum(F.col(s) for s in series), "event").alias("_total"))
+    shares = rows.crossJoin(F.broadcast(total))  # one row
     return shares.select("event", (F.col("sim_time") * 1e6).alias("time_us"), *(X.percent(F.col(s), F.col("_total")).alias(s) for s in series))
 
 
@@ -36,11 +36,6 @@ def summary(lattice: DataFrame, species: dict[int, str]) -> DataFrame:
     return histogram(lattice).groupBy(label.otherwise("corrupt").alias("label")).agg(F.sum("sites").alias("sites"))
 
 
-def throughput(events: DataFrame, seconds: float) -> float:
-    """Events that happened a second, not those asked for."""
-    return events.select("patch_id", "step").distinct().count() / max(seconds, 1e-9)
-
-
 def write_coverage_csv(rows: DataFrame, path: str) -> None:
     """One CSV file with a header, in the order of events; a row for each sample."""
     rows.coalesce(1).sortWithinPartitions("event").write.mode("overwrite").csv(path, header=True)

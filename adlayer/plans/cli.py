@@ -1,4 +1,4 @@
-"""Command lines over the library: build a catalogue, simulate, replay, and land raw records."""
+"""Command lines over the library: build a catalogue, replay an event log, and land raw records."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import catalogue, lattice, records, replay, report, simulate
+from ..operators import catalogue, lattice, records, replay, report
 from ..schemas import METALS
 from ..sources import binary, config, landing
 
@@ -45,26 +45,6 @@ def build(args: argparse.Namespace, spark: SparkSession) -> None:
     print(binary.write_catalogue(made, args.output, "gated", [(s.bit, s.name) for s in own.species]), "blocks")
 
 
-def run(args: argparse.Namespace, spark: SparkSession) -> None:
-    """Simulate from a catalogue. Events and the lattice go to Parquet; an existing lattice is gone on from."""
-    read = binary.read_catalogue(spark, args.catalogue)
-    start = spark.read.parquet(args.resume) if args.resume else binary.empty_lattice(spark, args.width, args.height)
-    if read.kind == "static":
-        reactions = simulate.reactions_of(read.reactions)
-        events = simulate.as_events(simulate.static_steps(spark, reactions, args.width, args.height, args.patches, args.steps), reactions)
-        events.write.mode("overwrite").parquet(f"{args.output}/events")
-        bits = [1 << i for i in range(8)]
-        done = replay.states(spark.read.parquet(f"{args.output}/events"), ["step", "part"], bits, start)
-        replay.final_lattice(done, ["step", "part"], args.width * args.height).write.mode("overwrite").parquet(f"{args.output}/lattice")
-        return
-    named = config.Config(species=[config.Species(n, b, None, None, None, "molecular", None) for b, n in read.species])
-    given = config.resolve_pressures(named, dict((k, float(v)) for k, _, v in (p.partition("=") for p in args.pressure)))
-    species = spark.createDataFrame([(n, b) for b, n in read.species], "species string, bit int")
-    ended, events = simulate.gated_run(start, args.width, args.height, args.patches, read.reactions, species, args.steps, {b: given[n] for b, n in read.species})
-    events.write.mode("overwrite").parquet(f"{args.output}/events")
-    ended.write.mode("overwrite").parquet(f"{args.output}/lattice")
-
-
 def coverage(args: argparse.Namespace, spark: SparkSession) -> None:
     """A trajectory file and its catalogue to coverage over time, as CSV."""
     read = binary.read_catalogue(spark, args.catalogue, padding=True)
@@ -120,11 +100,6 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--facet", type=int)
     for name in ("alpha", "beta", "nu", "temperature"):
         p.add_argument(f"--{name}", type=float)
-    p = command(run, "catalogue", sized=True)
-    p.add_argument("--patches", type=int, default=4)
-    p.add_argument("--steps", type=int, default=1000)
-    p.add_argument("--resume")
-    p.add_argument("--pressure", action="append", default=[], metavar="SPECIES=VALUE")
     p = command(coverage, "trajectory", "catalogue", sized=True)
     p.add_argument("--sample-every", type=int, default=10_000)
     p.add_argument("--as-recorded", action="store_true", help="apply the first transition to both rows of a two-site event")

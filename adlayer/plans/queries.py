@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..functions import splitmix
 from ..operators import catalogue as C
-from ..operators import choose, ordered, records as R, replay, report, simulate
+from ..operators import choose, ordered, records as R, replay, report
 from ..operators import lattice as L
+from ..sources import binary, landing
 from ..sources import config as cfg
-from ..sources import landing
+from ..staging import shared_dir
 from ..streaming import events as S
 from . import standins as T
 
@@ -182,9 +184,10 @@ def magnitude_bins(spark, sf_dir):
     return C.magnitude_bins(rows).select("bin_id", "first_id", "n", X.fixed_to_double(F.col("total")).alias("total"), X.bin_ceiling(F.col("bin_id")).alias("ceiling"))
 
 
-@query("WITH sizes AS (SELECT p_size AS bin_id, COUNT(*) AS n FROM part WHERE p_brand = 'Brand#12' GROUP BY 1), wanted AS (SELECT range AS bin FROM range(60)) SELECT bin::INT AS bin, (SELECT MAX(bin_id) FROM sizes WHERE bin_id <= bin)::INT AS usable FROM wanted")
+@query("WITH sizes AS (SELECT p_size // 7 * 7 AS bin_id, COUNT(*) AS n FROM part GROUP BY 1), wanted AS (SELECT range AS bin FROM range(60)) SELECT bin::INT AS bin, (SELECT MAX(bin_id) FROM sizes WHERE bin_id <= bin)::INT AS usable FROM wanted")
 def nearest_usable_bin(spark, sf_dir):
-    sizes = T.table(spark, sf_dir, "part").where("p_brand = 'Brand#12'").groupBy(F.col("p_size").alias("bin_id")).agg(F.count("*").alias("n")).withColumn("total", F.col("n"))
+    bin_id = (F.floor(F.col("p_size") / 7) * 7).cast("int")
+    sizes = T.table(spark, sf_dir, "part").groupBy(bin_id.alias("bin_id")).agg(F.count("*").alias("n")).withColumn("total", F.col("n"))
     return C.usable_bin_at_or_below(sizes, spark.range(60).select(F.col("id").cast("int").alias("bin")))
 
 
@@ -240,30 +243,30 @@ def json_stoichiometry(spark, sf_dir):
 
 
 CONFIG = """[system]
-metal = Pd
-facet = 111
+metal = Rh
+facet = 211
 [species]
-O = 0x01, O2gas, 0.5, Ostar, dissociative, 0
-H = 0x04, H2gas, 0.5, Hstar, dissociative, 1
-CO = 0x02, COgas, 1.0, COstar, molecular, 5
-OH = 0x08, -, -, OHstar, product_only, -
-H2O = 0x10, H2Ogas, 1.0, H2Ostar, molecular, -
+O = 0x02, O2gas, 0.5, Ostar, dissociative, 3
+N = 0x01, N2gas, 0.5, Nstar, dissociative, 4
+NO = 0x10, NOgas, 1.0, NOstar, molecular, 9
+NH = 0x04, -, -, NHstar, product_only, -
+NH3 = 0x20, NH3gas, 1.0, NH3star, molecular, -
 [bimolecular]
-co_oxidation = O, CO, recombination, CO2gas
-h2_recombination = H, H, recombination, H2gas
-water_splitting = H, OH, dissociative, H2Ogas
+nitrous = N, NO, recombination, N2Ogas
+nitrogen = N, N, recombination, N2gas
+ammonia = N, NH, dissociative, NH3gas
 """
-#: Reactants, products and what they are, by event_id mod 9; the last two are no known reaction.
+#: Reactants, products and what they are, by event_id mod 9; the last three are no known reaction.
 _NODES = [
-    ('{"star": 1, "COgas": 1}', '{"COstar": 1}', "mono", 2, None),
+    ('{"star": 1, "NOgas": 1}', '{"NOstar": 1}', "mono", 2, None),
     ('{"star": 2, "Ogas": 3}', '{"Ostar": 1}', "mono", 0, None),
-    ('{"star": 0, "Ostar": 1, "COstar": 1}', '{"CO2gas": 1, "star": 2}', "recombination", 0, 2),
-    ('{"Hstar": 2}', '{"H2gas": 1}', "recombination", 1, 1),
-    ('{"star": 2, "H2Ogas": 1}', '{"Hstar": 1, "OHstar": 1}', "dissociative", 1, 3),
-    ('{"star": 1, "H2Ogas": 1}', '{"H2Ostar": 1}', "mono", 4, None),
-    ('{"star": 1, "COgas": 1}', '{"COstar": 2}', None, None, None),
-    ('{"Hstar": 1}', '{"H2gas": 1}', None, None, None),
-    ('{"star": 1, "XXgas": 1}', '{"COstar": 1}', None, None, None),
+    ('{"star": 0, "Nstar": 1, "NOstar": 1}', '{"N2Ogas": 1, "star": 2}', "recombination", 1, 2),
+    ('{"Nstar": 2}', '{"N2gas": 1}', "recombination", 1, 1),
+    ('{"star": 2, "NH3gas": 1}', '{"Nstar": 1, "NHstar": 1}', "dissociative", 1, 3),
+    ('{"star": 1, "NH3gas": 1}', '{"NH3star": 1}', "mono", 4, None),
+    ('{"star": 1, "NOgas": 1}', '{"NOstar": 2}', None, None, None),
+    ('{"Nstar": 1}', '{"N2gas": 1}', None, None, None),
+    ('{"star": 1, "XXgas": 1}', '{"NOstar": 1}', None, None, None),
 ]
 
 
@@ -289,13 +292,14 @@ def clean_adsorptions(spark, sf_dir):
     return landing.clean_adsorptions(nodes(spark, sf_dir), cfg.parse(CONFIG)).select("sid", "species")
 
 
-UPSERT_SQL = """WITH pass1 AS (SELECT o_orderkey AS sid, o_totalprice AS energy, o_orderstatus AS tag, o_orderkey AS id FROM orders WHERE o_orderkey % 3 > 0),
-pass2 AS (SELECT l_orderkey AS sid, l_extendedprice AS energy, l_returnflag AS tag, l_orderkey * 100000000 + l_partkey * 10000 + l_suppkey AS id, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY (l_orderkey * 100000000 + l_partkey * 10000 + l_suppkey)::VARCHAR DESC, l_extendedprice DESC, l_returnflag DESC) AS n FROM lineitem WHERE l_linenumber < 3)"""
+UPSERT_SQL = """WITH pass1 AS (SELECT o_orderkey AS sid, o_totalprice AS energy, o_orderstatus AS tag, o_orderkey AS id FROM orders),
+pass2 AS (SELECT 2 * l_orderkey AS sid, l_extendedprice AS energy, l_returnflag AS tag, l_orderkey * 100000000 + l_partkey * 10000 + l_suppkey AS id, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY (l_orderkey * 100000000 + l_partkey * 10000 + l_suppkey)::VARCHAR DESC, l_extendedprice DESC, l_returnflag DESC) AS n FROM lineitem)"""
 
 
 def _passes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    first = T.table(spark, sf_dir, "orders").where("o_orderkey % 3 > 0").selectExpr("o_orderkey AS sid", "o_totalprice AS energy", "o_orderstatus AS tag", "cast(o_orderkey AS string) AS id")
-    second = T.table(spark, sf_dir, "lineitem").where("l_linenumber < 3").selectExpr("l_orderkey AS sid", "l_extendedprice AS energy", "l_returnflag AS tag", "concat(cast(l_orderkey * 100000000 + l_partkey * 10000 + l_suppkey AS string), '/', lpad(cast(cast(l_extendedprice * 100 AS long) AS string), 12, '0'), l_returnflag) AS id")
+    """All orders, and all lines under twice their order's number, so that half of these are new."""
+    first = T.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS sid", "o_totalprice AS energy", "o_orderstatus AS tag", "cast(o_orderkey AS string) AS id")
+    second = T.table(spark, sf_dir, "lineitem").selectExpr("2 * l_orderkey AS sid", "l_extendedprice AS energy", "l_returnflag AS tag", "concat(cast(l_orderkey * 100000000 + l_partkey * 10000 + l_suppkey AS string), '/', lpad(cast(cast(l_extendedprice * 100 AS long) AS string), 12, '0'), l_returnflag) AS id")
     return first, second
 
 
@@ -315,13 +319,13 @@ def adsorption_runs(spark, sf_dir):
     runs = part.select(F.col("p_partkey").alias("sid"), F.when(F.col("p_size") % 7 > 0, F.col("p_retailprice") / 1000.0).alias("y_relaxed"))
     d = F.col("p_size") % 10
     mapping = part.select(
-        F.concat(F.lit("random"), F.col("p_partkey").cast("string")).alias("key"), F.element_at(F.array(F.lit(0), F.lit(5), F.lit(77)), (F.col("p_partkey") % 3 + 1).cast("int")).alias("ads_id"),
+        F.concat(F.lit("random"), F.col("p_partkey").cast("string")).alias("key"), F.element_at(F.array(F.lit(3), F.lit(9), F.lit(77)), (F.col("p_partkey") % 3 + 1).cast("int")).alias("ads_id"),
         F.lit("Pd4").alias("bulk_symbols"), F.when(d == 0, F.array(F.lit(10), F.lit(0), F.lit(0))).otherwise(F.array(F.lit(0), -d, F.lit(1))).alias("miller_index"),
     )
     return landing.adsorption_runs(runs, mapping, cfg.parse(CONFIG)).select("species", "sid", "energy_mev", "facet")
 
 
-@query("SELECT * FROM (VALUES (0, 'O', 1, 'dissociative'), (1, 'H', 4, 'dissociative'), (2, 'CO', 2, 'molecular'), (3, 'OH', 8, 'product_only'), (4, 'H2O', 16, 'molecular')) AS v(idx, name, bit, role)")
+@query("SELECT * FROM (VALUES (0, 'O', 2, 'dissociative'), (1, 'N', 1, 'dissociative'), (2, 'NO', 16, 'molecular'), (3, 'NH', 4, 'product_only'), (4, 'NH3', 32, 'molecular')) AS v(idx, name, bit, role)")
 def config_species(spark, sf_dir):
     return cfg.parse(CONFIG).species_frame(spark).select("idx", "name", "bit", "role")
 
@@ -413,7 +417,7 @@ def lattice_summary(spark, sf_dir):
     return report.summary(T.lattice(spark, sf_dir), {1: "O", 2: "CO"})
 
 
-# Weighted choice and simulation
+# Weighted choice
 
 
 @query(
@@ -422,86 +426,21 @@ d AS (SELECT o_orderkey, {sql_uniform(sql_draw('17', 'o_orderkey + 1'))} AS u FR
 SELECT o_orderkey, choice FROM d ASOF JOIN w ON d.u * (SELECT MAX(total) FROM w) >= w.hi - w.weight"""
 )
 def categorical_draw(spark, sf_dir):
-    """Large tables of choices go by an as-of match on one sorted union, not by a range join."""
+    """Many choices meet draws by slices of the total."""
     part = T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("choice"), F.round("p_retailprice").cast("long").alias("weight"))
     draws = splitmix.with_uniform(T.table(spark, sf_dir, "orders").select("o_orderkey"), "u", 17, F.col("o_orderkey") + 1)
     return choose.by_search(draws, choose.cumulative(part, [], "choice", "weight"), "u").select("o_orderkey", "choice")
 
 
-REACTIONS = [simulate.Reaction(40_000, 1), simulate.Reaction(30_000, 2), simulate.Reaction(20_000, 256), simulate.Reaction(10_000, 512), simulate.Reaction(25_000, 256, 512, True), simulate.Reaction(5_000, 1, 2, True)]
-SIM = {"width": 50, "height": 42, "patches": 4, "steps": 5000}
-_KEEP, _OTHER = choose.alias_table([float(r.rate_q16) for r in REACTIONS])
-_BAND, _BANDS = L.bands(SIM["height"], SIM["patches"])
-_W = SIM["width"]
-_NEAR = f"list_filter([{', '.join(f'CASE WHEN r + {dr} BETWEEN 0 AND rows - 1 AND c + {dc} BETWEEN 0 AND {_W} - 1 THEN (r + {dr}) * {_W} + c + {dc} END' for dr, dc in ((0, '-1'), (0, '1'), (-1, '(r % 2 - 1)'), (-1, '(r % 2)'), (1, '(r % 2 - 1)'), (1, '(r % 2)')))}], lambda x: x IS NOT NULL)"
-STATIC_SQL = f"""WITH ids AS (SELECT (range // {SIM['steps']})::INT AS patch_id, range % {SIM['steps']} AS step FROM range({_BANDS * SIM['steps']})),
-seeds AS (SELECT *, {PATCH_SEED_SQL} AS seed, LEAST({_BAND}, {SIM['height']} - patch_id * {_BAND}) AS rows FROM ids),
-d AS (SELECT *, {sql_uniform(sql_draw('seed', 'step * 4 + 1'))} AS u, {sql_uniform(sql_draw('seed', 'step * 4 + 2'))} AS v, {sql_draw('seed', 'step * 4 + 3')} AS ds, {sql_draw('seed', 'step * 4 + 4')} AS dp FROM seeds),
-c1 AS (SELECT *, LEAST(floor(u * {len(REACTIONS)})::INT, {len(REACTIONS) - 1}) AS slot, ((ds::UHUGEINT * (rows * {_W})::UHUGEINT) // {_M64})::BIGINT AS local FROM d),
-c2 AS (SELECT *, CASE WHEN u * {len(REACTIONS)} - slot < ({_KEEP!r})[slot + 1] THEN slot ELSE ({_OTHER!r})[slot + 1] END AS reaction_id, local // {_W} AS r, local % {_W} AS c FROM c1),
-c3 AS (SELECT *, {_NEAR} AS near FROM c2),
-steps AS (SELECT patch_id, step, -ln(v) / {sum(r.rate_q16 for r in REACTIONS) / 65536.0!r} AS tau, reaction_id, patch_id * {_BAND * _W} + local AS site_a,
-  CASE WHEN ({[r.is_bimolecular for r in REACTIONS]!r})[reaction_id + 1] THEN patch_id * {_BAND * _W} + near[((dp >> 33) % len(near))::INT + 1] END AS site_b FROM c3)""".replace("True", "true").replace("False", "false")
-
-
-def steps(spark: SparkSession) -> DataFrame:
-    return simulate.static_steps(spark, REACTIONS, **SIM)
-
-
-@query(f"{STATIC_SQL} SELECT patch_id, step, round(tau, 9) AS tau, reaction_id::INT AS reaction_id, site_a::BIGINT AS site_a, site_b::BIGINT AS site_b FROM steps")
-def static_steps(spark, sf_dir):
-    return steps(spark).withColumn("tau", F.round("tau", 9))
-
-
-_TA, _TB = [r.transition_a for r in REACTIONS], [r.transition_b for r in REACTIONS]
-LOG_SQL = f"""{STATIC_SQL}, timed AS (SELECT *, SUM(tau) OVER (PARTITION BY patch_id ORDER BY step) AS sim_time FROM steps),
-log AS (SELECT patch_id, step, 0 AS part, sim_time, site_a AS site_idx, reaction_id, ({_TA!r})[reaction_id + 1] AS transition FROM timed UNION ALL SELECT patch_id, step, 1, sim_time, site_b, reaction_id, ({_TB!r})[reaction_id + 1] FROM timed WHERE site_b IS NOT NULL)"""
-
-
-@query(f"{LOG_SQL} SELECT patch_id, step, part::INT AS part, round(sim_time, 6) AS sim_time, site_idx::BIGINT AS site_idx, reaction_id::INT AS reaction_id, transition::INT AS transition FROM log")
-def static_sim(spark, sf_dir):
-    return simulate.as_events(steps(spark), REACTIONS).withColumn("sim_time", F.round("sim_time", 6))
-
-
 def touch_sql(bits: list[int], source: str, order: str) -> str:
     parts = " + ".join(f"COALESCE(last_value(CASE WHEN (transition & {b}) <> 0 THEN {b} WHEN ((transition >> 8) & {b}) <> 0 THEN 0 END IGNORE NULLS) OVER w, 0)" for b in bits)
     return f"""after AS (SELECT *, ({parts})::INT AS state_after FROM {source} WINDOW w AS (PARTITION BY site_idx ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 replayed AS (SELECT *, COALESCE(lag(state_after) OVER (PARTITION BY site_idx ORDER BY {order}), 0)::INT AS state_before FROM after)"""
 
 
-@query(f"{LOG_SQL}, {touch_sql([1, 2], 'log', 'step, part')} SELECT site_idx::BIGINT AS site_idx, arg_max(state_after, step * 2 + part) AS state FROM replayed GROUP BY site_idx")
-def static_lattice(spark, sf_dir):
-    events = simulate.as_events(steps(spark), REACTIONS)
-    return replay.final_lattice(replay.states(events, ["step", "part"], [1, 2]), ["step", "part"])
-
-
-GATED_SQL = f"""WITH {LIVE_SQL}, spans AS (
-  SELECT *, SUM(weight) OVER (PARTITION BY patch_id ORDER BY reaction_id) AS hi, SUM(weight) OVER (PARTITION BY patch_id) AS total, {sql_uniform(sql_draw(PATCH_SEED_SQL, '1'))} AS u, {sql_uniform(sql_draw(PATCH_SEED_SQL, '2'))} AS v FROM weights),
-chosen AS (SELECT * FROM spans WHERE total > 0 AND weight > 0 AND u * total < hi QUALIFY ROW_NUMBER() OVER (PARTITION BY patch_id ORDER BY reaction_id) = 1),
-single AS (SELECT p.patch_id, site AS a, NULL AS b FROM (SELECT p.*, c.bin_id, c.transition_a, CASE WHEN c.transition_a < 256 THEN c.transition_a ELSE c.transition_a >> 8 END AS bit FROM placed p JOIN chosen c ON c.patch_id = p.patch_id WHERE NOT is_bimolecular AND state = c.transition_a >> 8) p WHERE ({BUCKET_SQL} % 4)::INT = bin_id),
-two AS (SELECT e.patch_id, a, arg_min(b, ord) AS b FROM edge_states e JOIN chosen c ON c.patch_id = e.patch_id WHERE is_bimolecular AND state_a = transition_a >> 8 AND state_b = transition_b >> 8 GROUP BY ALL),
-places AS (SELECT * FROM single UNION ALL SELECT * FROM two),
-keyed AS (SELECT *, {sql_draw(PATCH_SEED_SQL, 'a * 1000003 + 3')} AS k FROM places),
-place AS (SELECT * FROM keyed QUALIFY ROW_NUMBER() OVER (PARTITION BY patch_id ORDER BY CASE WHEN k >= 9223372036854775808 THEN k::HUGEINT - 18446744073709551616 ELSE k::HUGEINT END, a) = 1)"""
-
-
-@query(f"{GATED_SQL} SELECT c.patch_id::INT AS patch_id, c.reaction_id, round(-ln(v) / (total / 65536.0), 12) AS tau, a, b::BIGINT AS b FROM chosen c JOIN place p ON p.patch_id = c.patch_id")
-def gated_round(spark, sf_dir):
-    rows = simulate.gated_round(placed(spark, sf_dir), T.WIDTH, T.templates(spark), T.lattice_species(spark), 0, PRESSURES)
-    return rows.select("patch_id", "reaction_id", F.round("tau", 12).alias("tau"), "a", "b")
-
-
-@query()
-def gated_run(spark, sf_dir):
-    """Three events in each of a hundred patches; tests hold it to the batch counts."""
-    lattice = T.lattice(spark, sf_dir)
-    _, events = simulate.gated_run(lattice, T.WIDTH, T.height(spark, sf_dir), 100, T.templates(spark), T.lattice_species(spark), 3)
-    return events
-
-
 # Replay of the event log
 
-NUMBERED_SQL = f"""{T.EVENTS_SQL}, numbered AS (SELECT *, ROW_NUMBER() OVER (ORDER BY sim_time, ord) AS n FROM log), inside AS (SELECT * FROM numbered WHERE site_idx < {T.SITES}), {touch_sql([1, 2, 4], 'inside', 'n')}"""
+NUMBERED_SQL = f"""{T.EVENTS_SQL}, numbered AS (SELECT *, ROW_NUMBER() OVER (ORDER BY sim_time, ord) AS n FROM log), inside AS (SELECT * FROM numbered WHERE site_idx < {T.SITES_SQL}), {touch_sql([1, 2, 4], 'inside', 'n')}"""
 
 
 def numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -509,7 +448,7 @@ def numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.states(numbered_events(spark, sf_dir).where(F.col("site_idx") < T.SITES), ["n"], [1, 2, 4])
+    return replay.states(numbered_events(spark, sf_dir), ["n"], [1, 2, 4])
 
 
 @query(f"WITH {NUMBERED_SQL} SELECT ord, n, state_before, state_after FROM replayed")
@@ -520,20 +459,20 @@ def event_replay(spark, sf_dir):
 _CHANGE = ", ".join(f"SUM((state_after = {s})::INT - (state_before = {s})::INT)::BIGINT AS {name}" for name, s in (("vacant", 0), ("O", 1), ("CO", 2)))
 COVERAGE_SQL = f"""WITH {NUMBERED_SQL}, ends AS (SELECT (n + {T.EVERY - 1}) // {T.EVERY} AS sample, MAX(n) AS event, arg_max(sim_time, n) AS sim_time FROM numbered GROUP BY 1),
 deltas AS (SELECT (n + {T.EVERY - 1}) // {T.EVERY} AS sample, {_CHANGE} FROM replayed GROUP BY 1),
-points AS (SELECT 0 AS sample, 0 AS event, 0.0 AS sim_time, {T.SITES} AS vacant, 0 AS O, 0 AS CO UNION ALL SELECT e.sample, event, sim_time, COALESCE(vacant, 0), COALESCE(O, 0), COALESCE(CO, 0) FROM ends e LEFT JOIN deltas d ON d.sample = e.sample),
+points AS (SELECT 0 AS sample, 0 AS event, 0.0 AS sim_time, {T.SITES_SQL} AS vacant, 0 AS O, 0 AS CO UNION ALL SELECT e.sample, event, sim_time, COALESCE(vacant, 0), COALESCE(O, 0), COALESCE(CO, 0) FROM ends e LEFT JOIN deltas d ON d.sample = e.sample),
 coverage AS (SELECT event::BIGINT AS event, sim_time::DOUBLE AS sim_time, SUM(vacant) OVER w::BIGINT AS vacant, SUM(O) OVER w::BIGINT AS O, SUM(CO) OVER w::BIGINT AS CO FROM points WINDOW w AS (ORDER BY sample))"""
 
 
 def covered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.coverage_of(numbered_events(spark, sf_dir), [("O", 1), ("CO", 2)], T.SITES, T.EVERY, bits=[1, 2, 4])
+    return replay.coverage_of(numbered_events(spark, sf_dir), [("O", 1), ("CO", 2)], T.sites(spark, sf_dir), T.EVERY, bits=[1, 2, 4])
 
 
-@query(f"{COVERAGE_SQL} SELECT *, {T.SITES} - vacant - O - CO AS other FROM coverage")
+@query(f"{COVERAGE_SQL} SELECT *, {T.SITES_SQL} - vacant - O - CO AS other FROM coverage")
 def coverage_timeseries(spark, sf_dir):
     return covered(spark, sf_dir)
 
 
-@query(f"{COVERAGE_SQL} SELECT event, round(sim_time * 1e6, 0) AS time_us, 100.0 * vacant / {T.SITES}::DOUBLE AS vacant, 100.0 * O / {T.SITES}::DOUBLE AS O, 100.0 * CO / {T.SITES}::DOUBLE AS CO FROM coverage")
+@query(f"{COVERAGE_SQL} SELECT event, round(sim_time * 1e6, 0) AS time_us, 100.0 * vacant / {T.SITES_SQL}::DOUBLE AS vacant, 100.0 * O / {T.SITES_SQL}::DOUBLE AS O, 100.0 * CO / {T.SITES_SQL}::DOUBLE AS CO FROM coverage")
 def coverage_percent(spark, sf_dir):
     return report.coverage_percent(covered(spark, sf_dir).drop("other"), ["vacant", "O", "CO"]).withColumn("time_us", F.round("time_us", 0))
 
@@ -556,6 +495,169 @@ def corrupt_sites(spark, sf_dir):
     return L.corrupt_sites(replay.final_lattice(replayed(spark, sf_dir), ["n"]), 3)
 
 
+# Files: written from a table, read back
+
+
+def _file(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def numbered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with numbers for species (0 to 9, two of them beyond the eighth), metal and facet."""
+    own = T.records(spark, sf_dir)
+    return own.select((F.col("sid") % 10).cast("int").alias("species"), "energy_mev", "sid", "real_ea_mev", (F.col("sid") % 13).cast("int").alias("metal"), (F.col("facet") * 11).cast("int").alias("facet"))
+
+
+@query(f"WITH {T.RECORDS_SQL} SELECT (sid % 10)::INT AS species, energy_mev, sid, real_ea_mev, (sid % 13)::INT AS metal, (facet * 11)::INT AS facet, round(energy_mev / 1000.0, 6)::DOUBLE AS energy_ev FROM records WHERE sid % 10 < 8")
+def energy_file(spark, sf_dir):
+    """Records of species beyond the eighth are left out by the reader."""
+    path = _file(spark, "energies")
+    binary.write_energies(numbered_records(spark, sf_dir), path)
+    return binary.read_energies(spark, path).select("species", "energy_mev", "sid", "real_ea_mev", "metal", "facet", F.round("energy_ev", 6).alias("energy_ev"))
+
+
+@query(f"WITH {T.PAIRS_SQL} SELECT (sid % 9)::INT AS species_a, (sid % 5)::INT AS species_b, energy_mev, sid, ea_mev, (sid % 13)::INT AS metal, facet, is_dissociative FROM pairs WHERE sid % 9 < 8")
+def bimolecular_file(spark, sf_dir):
+    path = _file(spark, "pairs")
+    k = F.col("sid")
+    rows = T.pairs(spark, sf_dir).withColumns({"species_a": (k % 9).cast("int"), "species_b": (k % 5).cast("int"), "metal": (k % 13).cast("int")})
+    binary.write_bimolecular(rows, path)
+    return binary.read_bimolecular(spark, path).drop("energy_ev", "ea_ev")
+
+
+@query(f"{CATALOGUE_SQL} SELECT reaction_id, rate_q16, (bin_id % 256)::INT AS bin_id, transition_a, transition_b, is_bimolecular FROM reactions")
+def catalogue_file(spark, sf_dir):
+    path = _file(spark, "catalogue")
+    binary.write_catalogue(built(spark, sf_dir), path, "gated", list(zip(T.BITS, T.TYPES)))
+    return binary.read_catalogue(spark, path).reactions
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {b}, '{n}')" for i, (b, n) in enumerate(zip(T.BITS, T.TYPES))) + ") AS v(idx, bit, name)")
+def catalogue_header(spark, sf_dir):
+    path = _file(spark, "catalogue")
+    binary.write_catalogue(C.demo_catalogue(spark, 40), path, "static", list(zip(T.BITS, T.TYPES)))
+    return spark.createDataFrame([(i, b, n) for i, (b, n) in enumerate(binary.read_catalogue(spark, path).species)], "idx int, bit int, name string")
+
+
+@query(f"WITH {T.LATTICE_SQL} SELECT site_idx, state::INT AS state FROM placed")
+def lattice_file(spark, sf_dir):
+    path, sites = _file(spark, "lattice"), T.lattice(spark, sf_dir)
+    n = sites.count()
+    binary.write_lattice(sites, path, n)
+    return binary.read_lattice(spark, path, n, 1, strict=True)
+
+
+_KINDS = list(T.EVENT_TRANSITIONS)
+_KIND_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(_KINDS)) + " END"
+
+
+def logged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """schemas.EVENTS of the event log, in the order of event_id."""
+    own = T.table(spark, sf_dir, "events")
+    kind = F.coalesce(*(F.when(F.col("event_type") == k, F.lit(i)) for i, k in enumerate(_KINDS)))
+    seconds = F.when(F.col("event_id") % 17 > 0, F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).otherwise(0.0)
+    return own.select(F.col("event_id").alias("ord"), seconds.alias("sim_time"), F.col("user_id").alias("site_idx"), kind.alias("reaction_id"))
+
+
+@query(f"SELECT ROW_NUMBER() OVER (ORDER BY event_id) - 1 AS ord, epoch_us(ts) / 1e6 AS sim_time, user_id AS site_idx, ({_KIND_SQL})::INT AS reaction_id FROM events QUALIFY event_id % 17 > 0")
+def trajectory_file(spark, sf_dir):
+    """Records of time 0 are filling and are left out by the reader."""
+    path = _file(spark, "trajectory")
+    binary.write_trajectory(logged(spark, sf_dir), path)
+    return binary.read_trajectory(spark, path, slice_bytes=1 << 20)
+
+
+@query(f"SELECT event_id AS ord, ({_KIND_SQL})::INT AS reaction_id, (CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in list(T.EVENT_TRANSITIONS.items())[:3]) + " END)::INT AS transition FROM events")
+def event_reactions(spark, sf_dir):
+    """Events looked up in a catalogue that lacks the last two reactions: unknown ones have no transition."""
+    rows = [(i, 1, 0, v, 0, False) for i, v in enumerate(list(T.EVENT_TRANSITIONS.values())[:3])]
+    catalogue = spark.createDataFrame(rows, "reaction_id int, rate_q16 long, bin_id int, transition_a int, transition_b int, is_bimolecular boolean")
+    return replay.with_transitions(logged(spark, sf_dir), catalogue, unknown="null").select("ord", "reaction_id", "transition")
+
+
+@query(f"{COVERAGE_SQL} SELECT event, round(sim_time, 3) AS sim_time, vacant, O, CO FROM coverage")
+def coverage_csv(spark, sf_dir):
+    path = _file(spark, "coverage")
+    report.write_coverage_csv(covered(spark, sf_dir).drop("other"), path)
+    return landing.read_coverage_csv(spark, path).withColumn("sim_time", F.round("sim_time", 3))
+
+
+def landed(spark: SparkSession, sf_dir: str) -> str:
+    """nodes() as landed pages, a page for each user; every third node is of another metal, every fifth of another facet."""
+    own = nodes(spark, sf_dir).withColumn("k", X.sid_from_id(F.col("id")))
+    own = own.withColumn("surfaceComposition", F.when(F.col("k") % 3 == 0, "Cu9").otherwise("Pd4")).withColumn("facet", F.when(F.col("k") % 5 == 0, "100").otherwise("111"))
+    node = F.struct(*(F.col(c.split(" ")[0]) for c in landing.NODE.split(", ")))
+    pages = own.groupBy((F.col("k") % 64).alias("page")).agg(F.collect_list(F.struct(node.alias("node"))).alias("edges"))
+    answer = F.struct(F.struct(F.struct(F.struct(F.lit(False).alias("hasNextPage"), F.col("page").cast("string").alias("endCursor")).alias("pageInfo"), "edges").alias("reactions")).alias("data"))
+    path = _file(spark, "pages")
+    pages.select(F.to_json(answer).alias("value")).write.text(path)
+    return path
+
+
+@query("SELECT event_id AS sid, CASE event_id % 9 WHEN 0 THEN 2 ELSE 4 END::INT AS species, 1::INT AS metal, 111::INT AS facet FROM events WHERE event_id % 9 IN (0, 5) AND event_id % 11 > 0 AND event_id % 3 > 0 AND event_id % 5 > 0")
+def landed_pages(spark, sf_dir):
+    """Pages written and read back, of one metal and facet."""
+    found = landing.read_pages(spark, landed(spark, sf_dir), metal="Pd4", facet="111")
+    return landing.clean_adsorptions(found, cfg.parse(CONFIG)).select("sid", "species", "metal", "facet")
+
+
+@query("WITH c AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN 2 ELSE 4 END::INT AS species FROM events WHERE event_id % 9 IN (0, 5) AND event_id % 11 > 0) SELECT species, event_id AS sid FROM c QUALIFY ROW_NUMBER() OVER (PARTITION BY species ORDER BY base64(('Reaction:' || event_id)::BLOB)) <= 7")
+def first_of_species(spark, sf_dir):
+    """The first seven of each species, by id."""
+    return landing.clean_adsorptions(nodes(spark, sf_dir), cfg.parse(CONFIG), limit=7).select("species", "sid")
+
+
+# Configurations
+
+_SPECIES_LINE = "[species]\nQ = 1, Q2gas, 0.5, Qstar, dissociative, 0\n"
+#: Texts and whether they are configurations.
+_TEXTS = [
+    ("whole", CONFIG, True), ("empty", "", True), ("comment", "# nothing", True), ("later scalar wins", "[bep]\nalpha = 1\nalpha = 2", True),
+    ("no section", "alpha = 1", False), ("unknown section", "[colour]", False), ("no value", "[bep]\nalpha", False), ("no number", "[bep]\nalpha = x", False), ("unknown key", "[system]\ncolour = red", False), ("facet too large", "[system]\nfacet = 70000", False),
+    ("fields missing", "[species]\nQ = 1, -, -", False), ("two bits", "[species]\nQ = 3, -, -, -, molecular, -", False), ("unknown role", "[species]\nQ = 1, -, -, -, other, -", False),
+    ("name twice", _SPECIES_LINE + "Q = 2, -, -, -, molecular, -", False), ("bit twice", _SPECIES_LINE + "R = 1, -, -, -, molecular, -", False), ("undeclared species", _SPECIES_LINE + "[bimolecular]\nx = Q, R, recombination, -", False),
+    ("unknown direction", _SPECIES_LINE + "[bimolecular]\nx = Q, Q, sideways, -", False), ("nine species", "[species]\n" + "".join(f"S{i} = {1 << min(i, 7)}, -, -, -, molecular, -\n" for i in range(9)), False),
+]
+
+
+def _accepts(text: str) -> bool:
+    try:
+        cfg.parse(text)
+    except cfg.ConfigError:
+        return False
+    return True
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {str(ok).lower()})" for n, _, ok in _TEXTS) + ") AS v(text, accepted)")
+def config_validation(spark, sf_dir):
+    return spark.createDataFrame([(n, _accepts(t)) for n, t, _ in _TEXTS], "text string, accepted boolean")
+
+
+@query("SELECT * FROM (VALUES (0, 'nitrous', 1, 2), (1, 'nitrogen', 1, 1), (2, 'ammonia', 1, 3)) AS v(ord, key, species_a, species_b)")
+def config_reactions(spark, sf_dir):
+    """The species that reactions name, by number."""
+    return cfg.parse(CONFIG).bimolecular_frame(spark).select("ord", "key", "species_a", "species_b")
+
+
+@query("SELECT * FROM (VALUES ('O', 1.0::DOUBLE), ('N', 4.0), ('NO', 2.5), ('NH', 1.0), ('NH3', 1.0)) AS v(species, pressure)")
+def config_pressures(spark, sf_dir):
+    """Given pressures win over older ones; unknown older ones are left out."""
+    found = cfg.resolve_pressures(cfg.parse(CONFIG), {"NO": 2.5}, {"NO": 9.0, "N": 4.0, "XX": 3.0})
+    return spark.createDataFrame(list(found.items()), "species string, pressure double")
+
+
+@query(f"WITH {T.RECORDS_SQL} SELECT COUNT(*) AS records, false AS empty_is_taken FROM records")
+def empty_input(spark, sf_dir):
+    """A table with rows passes, an empty one is an error."""
+    rows = T.records(spark, sf_dir)
+    try:
+        R.require_rows(rows.where("false"))
+        taken = True
+    except ValueError:
+        taken = False
+    return R.require_rows(rows).agg(F.count("*").alias("records")).withColumn("empty_is_taken", F.lit(taken))
+
+
 # Events as time windows
 
 

@@ -15,7 +15,7 @@ WIDTH, PATCHES = 50, 4
 TEMPLATES = [(900, 0, 1, 0, False), (800, 1, 1, 0, False), (700, 2, 2, 0, False), (600, 0, 256, 0, False), (500, 3, 512, 0, False), (400, 0, 256, 512, True), (300, 0, 1, 1, True), (200, 0, 512, 512, True), (100, 0, 1, 2, True)]
 #: What each type of event does to its site, as a packed transition; errors leave two bits.
 EVENT_TRANSITIONS = {"view": 1, "click": 2, "purchase": 256, "signup": 512, "error": 3 * 256 + 5}
-SITES, EVERY = 100, 1000
+EVERY = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,11 @@ def height(spark: SparkSession, sf_dir: str) -> int:
     return table(spark, sf_dir, "orders").count() // WIDTH
 
 
+def sites(spark: SparkSession, sf_dir: str) -> int:
+    """Sites of the event log: as many as its largest number asks for."""
+    return table(spark, sf_dir, "events").agg(F.max("user_id")).first()[0] + 1
+
+
 def lattice_species(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("O", 1), ("CO", 2)], "species string, bit int")
 
@@ -73,6 +78,7 @@ RECORDS_SQL = """records AS (
   SELECT p_type AS species, (round(p_retailprice) - 1000)::INT AS energy_mev, p_partkey AS sid, p_brand AS metal, p_size AS facet,
          CASE WHEN p_partkey % 7 = 0 THEN abs((round(p_retailprice) - 1000)::INT) + 150 END AS real_ea_mev
   FROM part)"""
+SITES_SQL = "(SELECT MAX(user_id) + 1 FROM events)"
 _NAMES = "[" + ", ".join(f"'{t}'" for t in TYPES) + "]"
 PAIRS_SQL = f"""pairs AS (
   SELECT ({_NAMES})[s_nationkey % 6 + 1] AS species_a, ({_NAMES})[s_suppkey % 6 + 1] AS species_b,

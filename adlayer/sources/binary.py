@@ -1,23 +1,31 @@
 """Binary files of records, catalogues, lattices and trajectories.
 
-Readers take whatever path Spark reads: files come in through binaryFile, and
-each is cut into Arrow batches in its task. Writers make one file, as these
-formats are; Parquet is the format for anything large.
+All have records of one size, so a file is read in slices of bytes, each by a
+task of its own. Where a path is one that only Spark opens, files come whole
+through binaryFile. Writers deal rows by ranges of their order; each task packs
+its ranges into part files, and the parts are then joined behind the header by
+copying bytes, as each format is one file.
 """
 
 from __future__ import annotations
 
+import io
+import re
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.expressions import ev_from_mev
-from ..schemas import EVENTS, LANES, LATTICE, MAX_SPECIES, REACTIONS
+from ..operators.ordered import ranged
+from ..schemas import EVENTS, LANES, LATTICE, MAX_SPECIES, REACTIONS, VACANT
 
 # Magic numbers and packed layouts of the formats.
 ENERGY_MAGIC, BIMOLECULAR_MAGIC = b"OC20E003", b"OC20BI03"
@@ -29,22 +37,14 @@ BLOCK_BYTES, HEADER_BYTES = 320, 64
 EVENT = np.dtype([("sim_time", "<f8"), ("site_idx", "<u4"), ("reaction_id", "<u4")])
 PAGE_BYTES = 4096
 CHUNK = 1 << 16
+#: Bytes of a file that one task reads, about.
+SLICE = 64 << 20
 
 
 class FormatError(ValueError):
     pass
 
 
-def records_in(data: bytes, magic: bytes, layout: np.dtype) -> np.ndarray:
-    """The records that a file's header counts; bytes after them are ignored, a shorter file is an error."""
-    if len(data) < 12 or data[:8] != magic:
-        raise FormatError(f"not a {magic.decode()} file")
-    (count,) = struct.unpack_from("<I", data, 8)
-    if len(data) < 12 + count * layout.itemsize:
-        raise FormatError(f"the header counts {count} records; the file has {len(data)} bytes")
-    return np.frombuffer(data, layout, count, 12)
-
-
 def species_in(header: bytes) -> list[tuple[int, str]]:
     """(bit, name) of each species from a catalogue's header."""
     count, at, found = header[8], 9, []
@@ -100,32 +100,140 @@ def _content(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content")
 
 
-def _read(spark: SparkSession, path: str, magic: bytes, layout: np.dtype, schema: str) -> DataFrame:
-    kinds = [(n, pa.from_numpy_dtype(layout[n])) for n in layout.names]
+def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(re.sub("^file:/*", "/", path))
+
+
+@dataclass(frozen=True)
+class Slices:
+    """How files of one kind are cut: their records from `first` on, `step` a batch.
+
+    kind: energies, bimolecular, events or lattice; sites: of a lattice; strict:
+    whether its file must have exactly those.
+    """
+
+    kind: str
+    sites: int = 0
+    strict: bool = False
+
+    @property
+    def layout(self) -> np.dtype:
+        return {"energies": ENERGY, "bimolecular": BIMOLECULAR, "events": EVENT, "lattice": np.dtype("u1")}[self.kind]
+
+    @property
+    def begin(self) -> int:
+        return 12 if self.kind in ("energies", "bimolecular") else 0
+
+    def count(self, head: bytes, size: int) -> int:
+        """Records of a file, from its first bytes and its size."""
+        if self.kind == "events":
+            return size // EVENT.itemsize
+        if self.kind == "lattice":
+            if self.strict and size != self.sites:
+                raise FormatError(f"{size} bytes are not {self.sites} sites")
+            return self.sites
+        magic = ENERGY_MAGIC if self.kind == "energies" else BIMOLECULAR_MAGIC
+        if len(head) < 12 or head[:8] != magic:
+            raise FormatError(f"not a {magic.decode()} file")
+        (count,) = struct.unpack_from("<I", head, 8)
+        if size < 12 + count * self.layout.itemsize:
+            raise FormatError(f"the header counts {count} records; the file has {size} bytes")
+        return count
+
+    def batches(self, file: io.RawIOBase | pa.NativeFile, first: int, count: int) -> Iterator[pa.RecordBatch]:
+        """Records first to first + count - 1 of an open file."""
+        width = self.layout.itemsize
+        file.seek(self.begin + first * width)
+        for at in range(first, first + count, CHUNK):
+            n = min(CHUNK, first + count - at)
+            data = file.read(n * width)
+            if self.kind == "lattice":
+                state = np.frombuffer(data.ljust(n, b"\0"), np.uint8).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + n)), pa.array(state)], ["site_idx", "state"])
+                continue
+            rows = np.frombuffer(data, self.layout, n)
+            if self.kind == "events":
+                real = np.flatnonzero(np.ascontiguousarray(rows["sim_time"]).view("<u8") != 0)
+                rows = rows[real]
+                yield pa.RecordBatch.from_arrays([pa.array(real + at), pa.array(np.ascontiguousarray(rows["sim_time"])), pa.array(rows["site_idx"].astype(np.int64)), pa.array(rows["reaction_id"].astype(np.int32))], ["ord", "sim_time", "site_idx", "reaction_id"])
+                continue
+            names = list(self.layout.names)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[x].astype(np.int64 if x == "sid" else np.int32)) for x in names], names)
+
+
+@dataclass
+class _Slice(InputPartition):
+    path: str
+    first: int
+    count: int
+
+
+class _SliceReader(DataSourceReader):
+    def __init__(self, options: dict) -> None:
+        self.cut = Slices(options["kind"], int(options["sites"]), options["strict"] == "true")
+        self.path, self.bytes = options["path"], int(options["slice"])
+
+    def partitions(self) -> list[InputPartition]:
+        system, path = _filesystem(self.path)
+        info = system.get_file_info(path)
+        files = [info] if info.is_file else sorted(system.get_file_info(fs.FileSelector(path)), key=lambda x: x.path)
+        found = []
+        for f in files:
+            if f.is_file:
+                with system.open_input_file(f.path) as opened:
+                    count = self.cut.count(opened.read(12), f.size)
+                step = max(1, self.bytes // self.cut.layout.itemsize)
+                found += [_Slice(f.path, at, min(step, count - at)) for at in range(0, count, step)]
+        return found or [_Slice("", 0, 0)]
+
+    def read(self, partition: _Slice) -> Iterator[pa.RecordBatch]:
+        if partition.count:
+            system, _ = _filesystem(self.path)
+            with system.open_input_file(partition.path) as opened:
+                yield from self.cut.batches(opened, partition.first, partition.count)
+
+
+class SlicedRecords(DataSource):
+    """Files of fixed-size records, cut into slices of bytes; options as in Slices, with path and slice (bytes)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "sliced_records"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _SliceReader(dict(self.options))
+
+
+def _read(spark: SparkSession, path: str, cut: Slices, schema: str, slice_bytes: int = SLICE) -> DataFrame:
+    try:
+        system, at = _filesystem(path)
+        known = system.get_file_info(at).type != fs.FileType.NotFound
+    except (pa.ArrowInvalid, OSError):
+        known = False
+    if known:
+        spark.dataSource.register(SlicedRecords)
+        options = {"path": path, "kind": cut.kind, "sites": cut.sites, "strict": str(cut.strict).lower(), "slice": slice_bytes}
+        return spark.read.format("sliced_records").schema(schema).options(**options).load()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("content"):
-                rows = records_in(data.as_py(), magic, layout)
-                for at in range(0, len(rows), CHUNK):
-                    part = rows[at : at + CHUNK]
-                    arrays = [pa.array(np.ascontiguousarray(part[n])) for n, _ in kinds]
-                    wide = [a.cast(pa.int64() if n == "sid" else pa.int32()) for a, (n, _) in zip(arrays, kinds)]
-                    yield pa.RecordBatch.from_arrays(wide, [n for n, _ in kinds])
+                raw = data.as_py()
+                yield from cut.batches(io.BytesIO(raw), 0, cut.count(raw[:12], len(raw)))
 
     return _content(spark, path).mapInArrow(run, schema)
 
 
 def read_energies(spark: SparkSession, path: str) -> DataFrame:
     """schemas.ENERGIES with energy_ev and real_ea_ev; species beyond the eighth are left out."""
-    raw = _read(spark, path, ENERGY_MAGIC, ENERGY, "species int, energy_mev int, sid long, has_real_ea int, real_ea_mev int, metal int, facet int")
+    raw = _read(spark, path, Slices("energies"), "species int, energy_mev int, sid long, has_real_ea int, real_ea_mev int, metal int, facet int")
     known = raw.where(F.col("species") < MAX_SPECIES).withColumn("real_ea_mev", F.when(F.col("has_real_ea") != 0, F.col("real_ea_mev"))).drop("has_real_ea")
     return known.withColumn("energy_ev", ev_from_mev(F.col("energy_mev"))).withColumn("real_ea_ev", ev_from_mev(F.col("real_ea_mev")))
 
 
 def read_bimolecular(spark: SparkSession, path: str) -> DataFrame:
     """schemas.BIMOLECULAR with energy_ev and ea_ev; records that name species beyond the eighth are left out."""
-    raw = _read(spark, path, BIMOLECULAR_MAGIC, BIMOLECULAR, "species_a int, species_b int, energy_mev int, sid long, ea_mev int, metal int, facet int, is_dissociative int")
+    raw = _read(spark, path, Slices("bimolecular"), "species_a int, species_b int, energy_mev int, sid long, ea_mev int, metal int, facet int, is_dissociative int")
     known = raw.where((F.col("species_a") < MAX_SPECIES) & (F.col("species_b") < MAX_SPECIES)).withColumn("is_dissociative", F.col("is_dissociative") != 0)
     return known.withColumn("energy_ev", ev_from_mev(F.col("energy_mev"))).withColumn("ea_ev", ev_from_mev(F.col("ea_mev")))
 
@@ -139,20 +247,7 @@ def read_catalogue(spark: SparkSession, path: str, padding: bool = False) -> Cat
 
 def read_lattice(spark: SparkSession, path: str, width: int, height: int, strict: bool = False) -> DataFrame:
     """schemas.LATTICE of width x height sites; bytes that a short file lacks are vacant, an error if strict. A missing file needs empty_lattice."""
-    size = width * height
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column("content"):
-                own = np.frombuffer(data.as_py(), np.uint8)
-                if strict and len(own) != size:
-                    raise FormatError(f"{len(own)} bytes are not {width} x {height} sites")
-                own = np.pad(own[:size], (0, max(0, size - len(own))))
-                for at in range(0, size, CHUNK):
-                    part = own[at : at + CHUNK]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.array(part.astype(np.int32))], ["site_idx", "state"])
-
-    return _content(spark, path).mapInArrow(run, LATTICE)
+    return _read(spark, path, Slices("lattice", width * height, strict), LATTICE)
 
 
 def empty_lattice(spark: SparkSession, width: int, height: int) -> DataFrame:
@@ -161,50 +256,74 @@ def empty_lattice(spark: SparkSession, width: int, height: int) -> DataFrame:
     return spark.range(width * height).select(F.col("id").alias("site_idx"), F.lit(0).alias("state"))
 
 
-def read_trajectory(spark: SparkSession, path: str) -> DataFrame:
+def read_trajectory(spark: SparkSession, path: str, slice_bytes: int = SLICE) -> DataFrame:
     """schemas.EVENTS; ord is the record's place in the file. Records of time 0 fill pages and are left out, as is a broken last one."""
+    return _read(spark, path, Slices("events"), EVENTS, slice_bytes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column("content"):
-                raw = data.as_py()
-                rows = np.frombuffer(raw, EVENT, len(raw) // EVENT.itemsize)
-                for at in range(0, len(rows), CHUNK):
-                    part = rows[at : at + CHUNK]
-                    real = np.flatnonzero(part["sim_time"].view("<u8") != 0) if part["sim_time"].flags.c_contiguous else np.flatnonzero(np.ascontiguousarray(part["sim_time"]).view("<u8") != 0)
-                    own = part[real]
-                    yield pa.RecordBatch.from_arrays([pa.array(real + at), pa.array(np.ascontiguousarray(own["sim_time"])), pa.array(own["site_idx"].astype(np.int64)), pa.array(own["reaction_id"].astype(np.int32))], ["ord", "sim_time", "site_idx", "reaction_id"])
 
-    return _content(spark, path).mapInArrow(run, EVENTS)
+def _write(df: DataFrame, path: str, layout: np.dtype, order: list[str], head=lambda count: b"", tail=lambda count: b"") -> int:
+    """The rows of df in order as packed records; returns how many. Parts stand beside path until they are joined."""
+    names, where = list(layout.names), f"{path}.parts-{uuid.uuid4().hex}"
+    system, base = _filesystem(where)
+    system.create_dir(base)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A file for each range; a task that is run again writes the same files again."""
+        own, root = _filesystem(where)
+        part, out, n, temporary = None, None, 0, ""
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if out is not None:
+                out.close()
+                own.move(temporary, f"{root}/{part:08d}")
+                yield pa.RecordBatch.from_pydict({"part": [part], "n": [n]})
+
+        for batch in batches:
+            ranges = batch.column("_range").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(ranges[1:] != ranges[:-1]) + 1).tolist(), len(ranges)] if len(ranges) else [0]
+            for x, y in zip(cuts, cuts[1:]):
+                if int(ranges[x]) != part:
+                    yield from close()
+                    part, n, temporary = int(ranges[x]), 0, f"{root}/_{uuid.uuid4().hex}"
+                    out = own.open_output_stream(temporary)
+                made = np.zeros(y - x, layout)
+                for c in names:
+                    kind = np.float64 if layout[c].kind == "f" else np.int64
+                    made[c] = batch.column(c).slice(x, y - x).to_numpy(zero_copy_only=False).astype(kind).astype(layout[c], casting="unsafe")
+                out.write(made.tobytes())
+                n += y - x
+        yield from close()
+
+    dealt = ranged(df.select(*dict.fromkeys([*names, *order])), order).repartition("_range").sortWithinPartitions("_range", "_in")
+    parts = sorted(dealt.mapInArrow(pack, "part long, n long").collect())  # a row for each range
+    count = sum(r["n"] for r in parts)
+    target, at = _filesystem(path)
+    if count or head(0) or tail(0):
+        with target.open_output_stream(at) as out:
+            out.write(head(count))
+            for r in parts:
+                with system.open_input_stream(f"{base}/{r['part']:08d}") as piece:
+                    while block := piece.read(8 << 20):
+                        out.write(block)
+            out.write(tail(count))
+    system.delete_dir(base)
+    return count
 
 
-def _packed(df: DataFrame, layout: np.dtype, order: list[str]) -> bytes:
-    """The rows of df, of at most a file's size, in the order of some columns, as packed records."""
-    columns = df.select(*layout.names).orderBy(*order).toPandas() if order else df.select(*layout.names).toPandas()
-    out = np.zeros(len(columns), layout)
-    for n in layout.names:
-        out[n] = columns[n].to_numpy().astype(np.int64 if layout[n].kind in "iu" else np.float64).astype(layout[n], casting="unsafe")
-    return out.tobytes()
+def _counted(magic: bytes):
+    return lambda count: magic + struct.pack("<I", count)
 
 
 def write_energies(df: DataFrame, path: str) -> int:
     """One file of energy records ordered by sid; returns how many."""
     ready = df.withColumn("has_real_ea", F.col("real_ea_mev").isNotNull().cast("int")).withColumn("real_ea_mev", F.coalesce("real_ea_mev", F.lit(0))).withColumn("sid", F.col("sid").bitwiseAND(F.lit(0xFFFFFFFF)))
-    return _write(path, ENERGY_MAGIC, _packed(ready, ENERGY, ["sid", "species"]), ENERGY)
+    return _write(ready, path, ENERGY, ["sid", "species", "energy_mev"], _counted(ENERGY_MAGIC))
 
 
 def write_bimolecular(df: DataFrame, path: str) -> int:
     """One file of bimolecular records ordered by sid; none is written without records."""
     ready = df.withColumn("is_dissociative", F.col("is_dissociative").cast("int")).withColumn("sid", F.col("sid").bitwiseAND(F.lit(0xFFFFFFFF)))
-    body = _packed(ready, BIMOLECULAR, ["sid", "species_a", "species_b"])
-    return _write(path, BIMOLECULAR_MAGIC, body, BIMOLECULAR) if body else 0
-
-
-def _write(path: str, magic: bytes, body: bytes, layout: np.dtype) -> int:
-    count = len(body) // layout.itemsize
-    with open(path, "wb") as f:
-        f.write(magic + struct.pack("<I", count) + body)
-    return count
+    return _write(ready, path, BIMOLECULAR, ["sid", "species_a", "species_b", "energy_mev"], lambda count: _counted(BIMOLECULAR_MAGIC)(count) if count else b"")
 
 
 def default_bimolecular_path(path: str) -> str:
@@ -213,34 +332,49 @@ def default_bimolecular_path(path: str) -> str:
     return f"{stem}_bimolecular.{suffix}" if dot else f"{path}_bimolecular"
 
 
-def write_catalogue(reactions: DataFrame, path: str, kind: str, species: list[tuple[int, str]]) -> int:
-    """One catalogue file, lanes by reaction_id, the last block filled with rate 0; returns the blocks."""
-    rows = reactions.orderBy("reaction_id").toPandas()
-    blocks = -(-len(rows) // LANES)
-    out = bytearray(species_header(kind, species))
-    for at in range(0, blocks * LANES, LANES):
-        part = rows.iloc[at : at + LANES]
-        made = b"".join(np.pad(part[n].to_numpy().astype(np.int64), (0, LANES - len(part))).astype(BLOCK[n].base).tobytes() for n in BLOCK.names)
-        out += made.ljust(BLOCK_BYTES, b"\0")
-    with open(path, "wb") as f:
-        f.write(out)
-    return blocks
+def write_catalogue(reactions: DataFrame, path: str, kind: str, species: list[tuple[int, str]], most: int = 1_000_000) -> int:
+    """One catalogue file, lanes by reaction_id, the last block filled with rate 0; returns the blocks.
+
+    A block is packed by the task that has its reactions. `most` bounds the
+    blocks that are then joined here, of 320 bytes each.
+    """
+    head = species_header(kind, species)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for lanes in batch.column("lanes").to_pylist():
+                part = {n: np.zeros(LANES, np.int64) for n in BLOCK.names}
+                for lane in lanes:
+                    for n in BLOCK.names:
+                        part[n][lane["lane"]] = int(lane[n])
+                out.append(b"".join(part[n].astype(BLOCK[n].base).tobytes() for n in BLOCK.names).ljust(BLOCK_BYTES, b"\0"))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(out, pa.binary())], ["block", "data"])
+
+    block, lane = F.floor(F.col("reaction_id") / LANES).cast("long"), (F.col("reaction_id") % LANES).cast("int")
+    lanes = reactions.select(block.alias("block"), F.struct(lane.alias("lane"), *BLOCK.names).alias("r")).groupBy("block").agg(F.collect_list("r").alias("lanes"))  # a block has 32 at most
+    blocks = lanes.mapInArrow(pack, "block long, data binary")
+    last = reactions.agg(F.max("reaction_id")).first()[0]
+    count = 0 if last is None else last // LANES + 1
+    if count > most:
+        raise FormatError(f"{count} blocks are more than a catalogue file takes here: {most}")
+    made = {r["block"]: bytes(r["data"]) for r in blocks.collect()}
+    system, at = _filesystem(path)
+    with system.open_output_stream(at) as out:
+        out.write(head)
+        for k in range(count):
+            out.write(made.get(k, b"\0" * BLOCK_BYTES))
+    return count
 
 
 def write_lattice(lattice: DataFrame, path: str, size: int) -> None:
     """One byte for each of size sites in order; sites that the rows lack are vacant."""
-    with open(path, "wb") as f:
-        at = 0
-        for row in lattice.where(F.col("site_idx") < size).orderBy("site_idx").toLocalIterator(prefetchPartitions=True):
-            f.write(b"\0" * (row["site_idx"] - at) + bytes([row["state"] & 255]))
-            at = row["site_idx"] + 1
-        f.write(b"\0" * (size - at))
+    sites = lattice.sparkSession.range(size).select(F.col("id").alias("site_idx"))
+    known = lattice.where(F.col("site_idx") < size).select("site_idx", F.col("state").bitwiseAND(F.lit(255)).alias("state"))
+    whole = sites.join(known, "site_idx", "left").fillna(VACANT, ["state"])
+    _write(whole.select("site_idx", "state").withColumnRenamed("site_idx", "_site"), path, np.dtype([("state", "u1")]), ["_site"])
 
 
 def write_trajectory(events: DataFrame, path: str) -> None:
     """Records in the order of ord, the last page filled with zeros."""
-    with open(path, "wb") as f:
-        size = 0
-        for row in events.orderBy("ord").toLocalIterator(prefetchPartitions=True):
-            size += f.write(struct.pack("<dII", row["sim_time"], row["site_idx"], row["reaction_id"]))
-        f.write(b"\0" * (-size % PAGE_BYTES))
+    _write(events, path, EVENT, ["ord"], tail=lambda count: b"\0" * (-count * EVENT.itemsize % PAGE_BYTES))

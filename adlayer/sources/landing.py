@@ -18,21 +18,31 @@ PAGE = f"data struct<reactions:struct<pageInfo:struct<hasNextPage:boolean,endCur
 
 
 def read_pages(spark: SparkSession, path: str, metal: str | None = None, facet: str | None = None) -> DataFrame:
-    """The nodes of landed pages, an answer a line; an answer with errors is an error. metal and facet filter as the service does."""
-    pages = spark.read.schema(PAGE).json(path)
+    """The nodes of landed pages, an answer a line, with their file and place; an answer with errors is an error.
+
+    metal and facet filter as the service does: within the page's array, so
+    other nodes never become rows.
+    """
+    pages = spark.read.schema(PAGE).json(path).select("*", F.col("_metadata.file_path").alias("file"))
     fine = pages.where(F.when(F.col("errors").isNotNull(), F.raise_error(F.col("errors"))).otherwise(F.lit(True)).cast("boolean"))
-    nodes = fine.select(F.explode("data.reactions.edges").alias("edge")).select("edge.node.*")
-    if metal is not None:
-        nodes = nodes.where(F.col("surfaceComposition") == metal)
-    return nodes if facet is None else nodes.where(F.col("facet") == facet)
+
+    def wanted(edge: Column) -> Column:
+        metals = F.lit(True) if metal is None else edge["node"]["surfaceComposition"] == metal
+        return metals if facet is None else metals & (edge["node"]["facet"] == facet)
+
+    return fine.select("file", F.posexplode(F.filter("data.reactions.edges", wanted)).alias("place", "edge")).select("edge.node.*", "file", "place")
 
 
 def prepared(nodes: DataFrame) -> DataFrame:
     """One row for each id with a reaction energy: maps of stoichiometry, sid, meV, metal and facet numbers.
 
-    Of rows with one id any may stay: they are repeats of one answer.
+    Of rows with one id the first stays, by file and place where nodes has
+    them, then by its other columns; null ids are one id.
     """
-    typed = nodes.where(F.col("reactionEnergy").isNotNull()).dropDuplicates(["id"])
+    known = nodes.where(F.col("reactionEnergy").isNotNull())
+    at = [F.col(c) for c in ("file", "place") if c in nodes.columns]
+    row = F.struct(*(F.col(c.split(" ")[0]) for c in NODE.split(", ")))
+    typed = known.groupBy("id").agg(F.min_by(row, F.struct(*at, row)).alias("r")).select("r.*")
     return typed.select(
         "id",
         sid_from_id(F.col("id")).alias("sid"),
@@ -150,7 +160,7 @@ def adsorption_runs(runs: DataFrame, mapping: DataFrame, config: Config) -> Data
     spark = runs.sparkSession
     ids = {s.oc20_ads_id: i for i, s in enumerate(config.species) if s.oc20_ads_id is not None}
     known = spark.createDataFrame(list(ids.items()), "ads_id long, species int")
-    meta = mapping.withColumn("ads_id", F.col("ads_id").cast("long")).join(F.broadcast(known), "ads_id")  # at most eight species
+    meta = mapping.withColumn("ads_id", F.col("ads_id").cast("long")).join(F.broadcast(known), "ads_id")  # eight rows: a configuration has no more
     meta = meta.select(
         F.expr("substr(key, 7)").cast("long").alias("sid"),
         "species",

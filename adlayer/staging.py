@@ -11,9 +11,13 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder where it is unset, as in local tests."""
+    """spark.checkpoint.dir of the session. Where it is unset: a temporary folder if all runs on this machine, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="adlayer-"))
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
+    return _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="adlayer-"))
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import struct
 
 import pytest
@@ -66,7 +67,11 @@ def test_bad_headers(header):
 
 @given(st.binary(max_size=400))
 def test_any_bytes_parse_or_are_rejected(data):
-    for read in (lambda d: b.records_in(d, b.ENERGY_MAGIC, b.ENERGY), lambda d: b.records_in(b.BIMOLECULAR_MAGIC + d, b.BIMOLECULAR_MAGIC, b.BIMOLECULAR), lambda d: b.catalogue_in(b"KMCSTAT1" + d)):
+    def read_all(kind, d):
+        cut = b.Slices(kind, sites=50)
+        return list(cut.batches(io.BytesIO(d), 0, cut.count(d[:12], len(d))))
+
+    for read in (lambda d: read_all("energies", d), lambda d: read_all("bimolecular", b.BIMOLECULAR_MAGIC + d), lambda d: read_all("events", d), lambda d: read_all("lattice", d), lambda d: b.catalogue_in(b"KMCSTAT1" + d)):
         try:
             read(data)
         except b.FormatError:
@@ -80,7 +85,7 @@ def test_lattice(spark, tmp_path):
     assert (tmp_path / "l.bin").read_bytes() == bytes([0, 2, 0, 128, 0, 16])
     assert {r["site_idx"]: r["state"] for r in b.read_lattice(spark, path, 4, 2).collect()} == {0: 0, 1: 2, 2: 0, 3: 128, 4: 0, 5: 16, 6: 0, 7: 0}
     assert b.read_lattice(spark, path, 3, 2, strict=True).count() == 6
-    with pytest.raises(PySparkException, match="not 4 x 2"):
+    with pytest.raises(PySparkException, match="not 8 sites"):
         b.read_lattice(spark, path, 4, 2, strict=True).count()
     assert b.empty_lattice(spark, 3, 2).where("state = 0").count() == 6
     with pytest.raises(b.FormatError):
@@ -94,3 +99,13 @@ def test_trajectory(spark, tmp_path):
     assert sorted(map(tuple, b.read_trajectory(spark, path).collect())) == [(0, 1.5, 7, 3), (1, 1.5, 8, 3)]
     (tmp_path / "broken.bin").write_bytes(struct.pack("<dII", 2.0, 1, 1) + b"\1" * 9)
     assert b.read_trajectory(spark, str(tmp_path / "broken.bin")).count() == 1
+
+
+def test_a_file_is_read_in_slices(spark, tmp_path):
+    path = str(tmp_path / "long.bin")
+    rows = spark.range(5000).selectExpr("id AS ord", "cast(id % 7 AS double) AS sim_time", "id % 11 AS site_idx", "cast(id % 3 AS int) AS reaction_id")
+    b.write_trajectory(rows.repartition(5), path)
+    got = b.read_trajectory(spark, path, slice_bytes=16 * 700)
+    assert got.rdd.getNumPartitions() == -(-(5000 * 16 + 4096 - 5000 * 16 % 4096) // (16 * 700))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.where("sim_time <> 0").collect()))
+    assert not list(tmp_path.glob("*.parts*"))

@@ -14,9 +14,9 @@ SPECIES = "[species]\nO = 1, O2gas, 0.5, Ostar, dissociative, 0\n"
 
 def test_whole_text():
     got = c.parse(CONFIG)
-    assert (got.metal, got.facet, got.alpha, got.beta, got.nu, got.temperature) == ("Pd", 111, 0.87, 0.0, 1e13, 298.15)
-    assert [(s.name, s.bit, s.gas, s.role, s.oc20_ads_id) for s in got.species][3:] == [("OH", 8, None, "product_only", None), ("H2O", 16, "H2Ogas", "molecular", None)]
-    assert [(b.species_a, b.species_b, b.direction) for b in got.bimolecular] == [("O", "CO", "recombination"), ("H", "H", "recombination"), ("H", "OH", "dissociative")]
+    assert (got.metal, got.facet, got.alpha, got.beta, got.nu, got.temperature) == ("Rh", 211, 0.87, 0.0, 1e13, 298.15)
+    assert [(s.name, s.bit, s.gas, s.role, s.oc20_ads_id) for s in got.species][3:] == [("NH", 4, None, "product_only", None), ("NH3", 32, "NH3gas", "molecular", None)]
+    assert [(b.species_a, b.species_b, b.direction) for b in got.bimolecular] == [("N", "NO", "recombination"), ("N", "N", "recombination"), ("N", "NH", "dissociative")]
 
 
 def test_later_scalars_win_and_sections_repeat():
@@ -59,7 +59,7 @@ def test_any_text_parses_or_is_rejected(text):
 
 def test_pressures():
     config = c.parse(CONFIG)
-    assert c.resolve_pressures(config, {"CO": 2.0}, {"CO": 9.0, "H": 3.0, "XX": 4.0}) == {"O": 1.0, "H": 3.0, "CO": 2.0, "OH": 1.0, "H2O": 1.0}
+    assert c.resolve_pressures(config, {"NO": 2.0}, {"NO": 9.0, "N": 3.0, "XX": 4.0}) == {"O": 1.0, "N": 3.0, "NO": 2.0, "NH": 1.0, "NH3": 1.0}
     for bad in ({"XX": 1.0}, {"O": -1.0}, {"O": float("nan")}, {"O": float("inf")}):
         with pytest.raises(c.ConfigError):
             c.resolve_pressures(config, bad)
@@ -69,4 +69,4 @@ def test_load_and_frames(spark, tmp_path):
     (tmp_path / "a.conf").write_text(CONFIG)
     got = c.load(spark, str(tmp_path / "a.conf"))
     assert got.species_frame(spark).count() == 5
-    assert [tuple(r)[2:4] for r in got.bimolecular_frame(spark).orderBy("ord").collect()] == [(0, 2), (1, 1), (1, 3)]
+    assert [tuple(r)[2:4] for r in got.bimolecular_frame(spark).orderBy("ord").collect()] == [(1, 2), (1, 1), (1, 3)]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from adlayer.functions import expressions as X
 from adlayer.functions import splitmix
 from adlayer.operators import catalogue as C
-from adlayer.operators import choose, ordered, replay, report, simulate
+from adlayer.operators import choose, ordered, replay, report
 from adlayer.operators import lattice as L
 from adlayer.operators import records as R
 from adlayer.plans.queries import CONFIG
@@ -177,16 +177,7 @@ def test_corrupt_sites_and_layout(spark):
     assert labels[3] == (0.5, 0.866, "corrupt") and labels[2] == (2.0, 0.0, "CO")
 
 
-# Choice and simulation
-
-
-@settings(max_examples=50, deadline=None)
-@given(st.lists(st.integers(0, 50), min_size=1, max_size=12).filter(sum))
-def test_alias_table_keeps_the_weights(weights):
-    keep, other = choose.alias_table([float(w) for w in weights])
-    n = len(weights)
-    share = [keep[i] / n + sum((1 - keep[j]) / n for j in range(n) if other[j] == i and j != i) for i in range(n)]
-    assert share == pytest.approx([w / sum(weights) for w in weights])
+# Choice
 
 
 def test_range_and_search_choose_alike(spark):
@@ -197,47 +188,6 @@ def test_range_and_search_choose_alike(spark):
     assert [sum(i == k for _, i in a) for k in range(4)] == [50, 0, 10, 40]
 
 
-def test_static_shares_and_bounds(spark):
-    reactions = [simulate.Reaction(3000, 1), simulate.Reaction(1000, 1, 1, True)]
-    steps = simulate.static_steps(spark, reactions, 20, 21, 4, 5000).cache()
-    assert steps.count() == 20_000
-    share = steps.where("reaction_id = 1").count() / 20_000
-    assert abs(share - 0.25) < 0.02 and abs(steps.agg(F.avg("tau")).first()[0] / (65536 / 4000) - 1) < 0.05
-    assert steps.where("site_a < 0 or site_a >= 420 or site_b >= 420 or (reaction_id = 1) <> (site_b is not null)").count() == 0
-    rows, _ = L.bands(21, 4)
-    assert steps.where(f"floor(site_a / {20 * rows}) <> patch_id or floor(site_b / {20 * rows}) <> patch_id").count() == 0
-    assert simulate.static_steps(spark, reactions, 1, 1, 1, 100).where("reaction_id = 1").count() == 0
-    events = simulate.as_events(steps, reactions)
-    assert events.count() == 20_000 + steps.where("reaction_id = 1").count()
-    assert report.throughput(events, 2.0) == 10_000
-
-
-CATALOGUE = [(0, 900, 0, 1, 0, False), (1, 900, 1, 1, 0, False), (2, 900, 2, 1, 0, False), (3, 900, 3, 1, 0, False), (4, 50, 0, 256, 256, True)]
-
-
-def test_gated_run(spark):
-    catalogue = spark.createDataFrame(CATALOGUE, "reaction_id int, rate_q16 long, bin_id int, transition_a int, transition_b int, is_bimolecular boolean")
-    only_o = spark.createDataFrame([("O", 1)], "species string, bit int")
-    start = spark.range(8 * 8).select(F.col("id").alias("site_idx"), F.lit(0).alias("state"))
-    lattice, events = simulate.gated_run(start, 8, 8, 4, catalogue, only_o, 5)
-    states = {r["site_idx"]: r["state"] for r in lattice.collect()}
-    rows = sorted(events.collect(), key=lambda r: (r["patch_id"], r["round"]))
-    assert len(rows) == 20 and set(states.values()) <= {0, 1}
-    now = dict.fromkeys(range(64), 0)
-    for i, r in enumerate(rows):
-        _, _, _, a, b, two = CATALOGUE[r["reaction_id"]]
-        for site, t in ((r["site_a"], a), (r["site_b"], b)):
-            if site is not None:
-                assert now[site] == t >> 8 and site // 16 == r["patch_id"]
-                now[site] = (now[site] & ~(t >> 8)) | t & 255
-        assert (r["site_b"] is not None) == two
-        assert i == 0 or rows[i - 1]["patch_id"] != r["patch_id"] or rows[i - 1]["sim_time"] < r["sim_time"]
-    assert now == states
-    full = start.withColumn("state", F.lit(1))
-    _, none = simulate.gated_run(full, 8, 8, 2, catalogue.where("not is_bimolecular"), only_o, 3)
-    assert none.count() == 0
-
-
 def test_pressure(spark):
     live = spark.createDataFrame([(0, 10, 0, 1, 0, False, 3), (1, 10, 0, 256, 0, False, 3), (2, 10, 0, 1, 2, True, 3), (3, 10, 0, 1, 1, True, 3)], "reaction_id int, rate_q16 long, bin_id int, transition_a int, transition_b int, is_bimolecular boolean, live long")
     assert [r["weight"] for r in L.propensities(live, {1: 2.0}).orderBy("reaction_id").collect()] == [60.0, 30.0, 30.0, 60.0]
@@ -251,8 +201,27 @@ def test_numbering_and_running_sums(spark):
     df = spark.createDataFrame(rows, "t int, k int").repartition(7)
     got = ordered.numbered(df, ["t", "k"]).collect()
     assert sorted((r["n"], r["t"], r["k"]) for r in got) == [(i + 1, *x) for i, x in enumerate(sorted(rows))]
-    sums = ordered.running_sum(spark.range(300).selectExpr("id % 2 AS g", "id AS at", "id AS v"), ["g"], "at", "v", "s", block=16).collect()
-    assert all(r["s"] == sum(x for x in range(r["at"] + 1) if x % 2 == r["g"]) for r in sums)
+    sums = ordered.running_sums(spark.range(300).selectExpr("id % 2 AS g", "id AS at", "id AS v").repartition(5), ["g"], ["at"], {"s": "v"}).collect()
+    assert len(sums) == 300 and all(r["s"] == sum(x for x in range(r["at"] + 1) if x % 2 == r["g"]) for r in sums)
+    marks = spark.range(300).selectExpr("id % 2 AS g", "id AS at", "if(id % 7 = 3, id, null) AS v").repartition(5)
+    last = ordered.last_known(marks, ["g"], ["at"], {"x": "v"}).collect()
+    assert all(r["x"] == max((x for x in range(r["at"] + 1) if x % 2 == r["g"] and x % 7 == 3), default=None) for r in last)
+
+
+def test_hot_values_spread_over_ranges(spark):
+    """One species, one energy and one site have nearly all rows; ranges still are about even."""
+    rows = spark.range(20_000).selectExpr("'O' AS species", "if(id = 0, 1000000000, 5) AS energy_mev", "id AS sid")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sizes = [r["count"] for r in ordered.ranged(rows, ["species", "energy_mev", "sid"]).groupBy("_range").count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 4 and max(sizes) < 8_000
+    events = spark.range(20_000).selectExpr("id AS n", "if(id % 100 = 0, id, 7) AS site_idx", "if(id % 3 = 0, 256, 1) AS transition")
+    got = replay.states(events, ["n"], [1]).where("site_idx = 7").orderBy("n").collect()
+    state = 0
+    for r in got:
+        assert r["state_before"] == state
+        state = 0 if r["transition"] == 256 else 1
+        assert r["state_after"] == state
 
 
 REACTIONS = [(0, 1, 0, False), (1, 256, 0, False), (2, 2 * 256, 256, True), (3, 3 * 256, 6, True)]
@@ -298,7 +267,7 @@ def test_initial_lattice_and_unknown_reactions(spark):
 
 
 def test_pages(spark, tmp_path):
-    node = {"id": "UmVhY3Rpb246NDQ4ODE1", "reactants": '{"star": 1, "COgas": 1}', "products": '{"COstar": 1}', "reactionEnergy": -1.2345, "activationEnergy": 0.5, "surfaceComposition": "Pd", "facet": "111"}
+    node = {"id": "UmVhY3Rpb246NDQ4ODE1", "reactants": '{"star": 1, "NOgas": 1}', "products": '{"NOstar": 1}', "reactionEnergy": -1.2345, "activationEnergy": 0.5, "surfaceComposition": "Pd", "facet": "111"}
     page = lambda *nodes: json.dumps({"data": {"reactions": {"pageInfo": {"hasNextPage": False, "endCursor": "x"}, "edges": [{"node": n} for n in nodes]}}})
     (tmp_path / "p.json").write_text("\n".join([page(node, node | {"reactionEnergy": None, "id": "b"}), page(node, node | {"surfaceComposition": "Cu", "id": "c"})]))
     config = cfg.parse(CONFIG)
