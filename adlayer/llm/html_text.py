@@ -2,22 +2,30 @@
 
 Markup is cut into blocks at block-level tags. Scripts, styles, forms,
 navigation, headers, footers, sidebars, notices, adverts and reader comments go
-with their tags, or with the words of a class, id or role that name them.
+with their tags, or with the words of a class, id or role that name them. An
+element that only its name or `form` speaks against stays if it holds most of
+the page's text, and its marked article if there is one: it is a wrapper.
 
 First pass, each block by itself: too many of its characters in links is bad;
-short ones are undecided, unless they are all link; long ones are good with
-enough stop words, undecided with somewhat fewer, and bad without. Second
-pass: undecided blocks take the label of the nearest decided neighbours; where
-these differ, the nearer one's, of equally near ones the bad one's, except for
-headings, which follow the text after them. Where a page marks its article,
-only that is looked at, its text is undecided rather than bad for want of stop
-words, and its edges count as good neighbours.
+short ones are undecided; long ones are good with enough stop words, undecided
+with somewhat fewer, and bad without. Stop words are those of a fixed list,
+and the short words that the page itself says again and again, so that the
+language doesn't matter; where words aren't spaced, each character is one.
+
+Second pass: undecided blocks take the label of the nearest decided neighbours;
+where these differ, the nearer one's; headings follow the text after them. The
+page's ends count as bad neighbours for what is no sentence. Where a page marks
+its article, and the article holds a third of its text or more, only that is
+looked at, its ends count as good, and its text without links is never bad for
+want of stop words. A page without any good block, but with a long one, gives its
+blocks without links.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +36,11 @@ from pyspark.sql import DataFrame
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED_TAGS = frozenset("nav footer aside form menu dialog button select head datalist label".split())
+#: Names that may also stand on a wrapper of the whole page are taken at their word only where they hold little of it.
 DROPPED_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus respond reply replies share sharing social newsletter subscribe subscription related recommended widget popup modal toolbar pager pagination copyright skip signup login".split())
+COMMENT_NAMES = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: Parts that turn a name around, or make it a state of the page.
+STATES = frozenset("has no not with without is show hide open closed enabled disabled active status".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 PAGE_HEADER_NAMES = frozenset("header masthead topbar".split())
 RAW_TAGS = "script|style|noscript|template|iframe|svg|canvas|object|textarea|math|title"
@@ -41,12 +53,16 @@ STOP_WORDS = frozenset(
     el los las y del que por con para una su al lo como más o pero sus este ya entre cuando muy sin sobre también me hasta hay donde quien desde todo nos""".split()
 )
 
-_RAW = re.compile(rf"<({RAW_TAGS})\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>", re.S)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>")
+_TAG = re.compile(r"<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>")
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW_TAGS.split("|")}
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
-_WORD = re.compile(r"\w+")
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff"
+_WORD = re.compile(rf"[{_UNSPACED}]|[^\W{_UNSPACED}]+")
+_WIDE = re.compile(f"[{_UNSPACED}]")
+_SENTENCE = re.compile(r"[.!?…:;。！？।؟][\"'”’»)\]]*$")
+#: Share of a page's text that makes an element its wrapper, or a marked article the whole of it.
+WRAPPER, MARKED = 0.6, 1 / 3
 
 
 @dataclass
@@ -57,61 +73,89 @@ class Block:
     inside: bool
 
 
-def _dropped(tag: str, attributes: str, inside: bool) -> bool:
+def _dropped(tag: str, attributes: str, inside: bool) -> str:
+    """strong: the element goes; weak: it goes unless it holds most of the page; empty: it stays."""
     if tag in DROPPED_TAGS or (tag == "header" and not inside):
-        return True
+        return "weak" if tag == "form" else "strong"
     if "=" not in attributes:
-        return False
+        return ""
+    found = ""
     for name, *values in _NAMES.findall(attributes):
-        parts = set(_SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", "".join(values)).lower()))
+        value = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", "".join(values)).lower()
         if name.lower() == "role":
-            if parts & DROPPED_ROLES:
-                return True
-        elif tag not in ("body", "html", "article", "main") and (parts & DROPPED_NAMES or (not inside and parts & PAGE_HEADER_NAMES)):
-            return True
-    return False
+            if set(_SPLIT.split(value)) & DROPPED_ROLES:
+                return "strong"
+            continue
+        for word in value.split():
+            parts = set(_SPLIT.split(word))
+            if parts & STATES:
+                continue
+            if parts & COMMENT_NAMES and tag not in ("body", "html", "main"):
+                return "strong"
+            if tag not in ("body", "html", "article", "main") and (parts & DROPPED_NAMES or (not inside and parts & PAGE_HEADER_NAMES)):
+                found = "weak"
+    return found
 
 
-def blocks_of(page: str | None) -> list[Block]:
-    """The blocks of a page in order, without what its tags or names mark as not main text."""
-    page = _RAW.sub(" ", _HIDDEN.sub("", page or ""))
-    found: list[Block] = []
+def blocks_of(page: str | None, everything: bool = False) -> list[Block]:
+    """The blocks of a page in order, without what its tags or names mark as not main text.
+
+    everything: only what no reader sees goes (scripts, styles, the head, comments in the markup).
+    """
+    page = page or ""
+    found: list[tuple[Block, tuple[int, ...]]] = []
     pieces: list[str] = []
     linked = 0
-    open_tags: list[tuple[str, bool]] = []
-    hidden = links = inside = 0
+    open_tags: list[tuple[str, str]] = []
+    weak: list[int] = []  # the numbers of the open elements that only their name speaks against
+    number = hidden = links = inside = 0
 
-    def close(tag: str) -> None:
+    def close() -> None:
         nonlocal linked
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                found.append(Block(tag, text, min(linked, len(text)), inside > 0))
+                tag = next((t for t, _ in reversed(open_tags) if t in BLOCK_TAGS), "")
+                found.append((Block(tag, text, min(linked, len(text)), inside > 0), tuple(weak)))
             pieces.clear()
         linked = 0
 
     def pop() -> str:
         nonlocal hidden, links, inside
         tag, drop = open_tags.pop()
-        hidden -= drop
+        hidden -= drop == "strong"
+        if drop == "weak":
+            weak.pop()
         links -= tag == "a"
         inside -= tag in ("article", "main")
         return tag
 
-    at = 0
-    for m in _TAG.finditer(page):
-        if m.start() > at and not hidden:
-            piece = page[at : m.start()]
+    def put(piece: str) -> None:
+        nonlocal linked
+        if piece and not hidden:
             pieces.append(piece)
             if links:
                 linked += len(" ".join(html.unescape(piece).split()))
+
+    at = 0
+    while m := _TAG.search(page, at):
+        put(page[at : m.start()])
         at = m.end()
+        if m[0] == "<!--":
+            end = page.find("-->", at)
+            at = len(page) if end < 0 else end + 3
+            continue
         if m[2] is None:
             continue
         tag = m[2].lower()
-        is_block = tag in BLOCK_TAGS
-        if is_block:
-            close(next((t for t, _ in reversed(open_tags) if t in BLOCK_TAGS), ""))
+        if tag in _RAW and not m[1]:
+            end = _RAW[tag].search(page, at)
+            at = end.end() if end else len(page)
+            if not hidden:
+                pieces.append(" ")
+            continue
+        if tag in BLOCK_TAGS:
+            close()
         elif tag == "br" and not hidden:
             pieces.append(" ")
         if m[1]:
@@ -122,43 +166,59 @@ def blocks_of(page: str | None) -> list[Block]:
             if tag in ("p", "li", "td", "th", "tr", "dd", "dt", "option") and open_tags and tag in (x := [t for t, _ in open_tags[-4:]]) and not {"ul", "ol", "table", "dl", "div"} & set(x[x.index(tag) :]):
                 while pop() != tag:
                     pass
-            drop = _dropped(tag, m[3] or "", inside > 0)
+            drop = ("strong" if tag == "head" else "") if everything else _dropped(tag, m[3] or "", inside > 0)
             open_tags.append((tag, drop))
-            hidden += drop
+            hidden += drop == "strong"
+            if drop == "weak":
+                number += 1
+                weak.append(number)
             links += tag == "a"
             inside += tag in ("article", "main")
-    if not hidden:
-        pieces.append(page[at:])
-    close(next((t for t, _ in reversed(open_tags) if t in BLOCK_TAGS), ""))
-    return found
+    put(page[at:])
+    close()
+    total = sum(len(b.text) for b, _ in found)
+    held: Counter = Counter()
+    for b, own in found:
+        held.update(dict.fromkeys(own, len(b.text)))
+    articles = {k for b, own in found if b.inside for k in own} if any(b.inside for b, _ in found) else set(held)
+    return [b for b, own in found if all(k in articles and held[k] >= WRAPPER * total for k in own)]
 
 
-def first_pass(block: Block, low: int = 70, high: int = 200, stop_low: float = 0.15, stop_high: float = 0.25, most_linked: float = 0.5) -> str:
-    """good, bad or undecided, from the block alone."""
-    size = len(block.text)
-    if block.link_chars / size > most_linked:
-        return "bad"
-    words = _WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
-    if size < low:
+def size_of(text: str) -> int:
+    """Characters, those of unspaced scripts twice."""
+    return len(text) + len(_WIDE.findall(text))
+
+
+def said_again(blocks: list[Block], times: int = 3, longest: int = 4) -> frozenset[str]:
+    """The short words that stand in a page's text at least so many times, outside link lists."""
+    counts = Counter(w for b in blocks if 2 * b.link_chars <= len(b.text) for w in _WORD.findall(b.text.lower()) if len(w) <= longest)
+    return frozenset(w for w, k in counts.items() if k >= times and not w.isdigit())
+
+
+def first_pass(block: Block, own: frozenset[str] = frozenset(), low: int = 70, stop_low: float = 0.12, stop_high: float = 0.25, most_linked: float = 0.5) -> str:
+    """good, bad or undecided, from the block alone; own: the page's own stop words."""
+    if block.link_chars > most_linked * len(block.text):
+        return "undecided" if block.inside and block.tag == "p" else "bad"
+    if size_of(block.text) < low:
         return "undecided"
-    if stops >= stop_high and size >= high:
+    words = _WORD.findall(block.text.lower())
+    stops = sum(w in STOP_WORDS or w in own for w in words) / max(len(words), 1)
+    if stops >= stop_high:
         return "good"
-    if stops >= stop_low or block.inside:
-        return "undecided"
-    return "bad"
+    return "undecided" if stops >= stop_low or block.inside else "bad"
 
 
-def second_pass(blocks: list[Block], labels: list[str], edge: str) -> list[str]:
-    """Undecided blocks take the nearest decided neighbour's label; edge: what lies before the first and after the last."""
+def second_pass(blocks: list[Block], labels: list[str], marked: bool) -> list[str]:
+    """Undecided blocks take the nearest decided neighbour's label; marked: the blocks are those of a marked article."""
     n = len(labels)
-    before, after = [(n + 1, edge)] * n, [(n + 1, edge)] * n
-    last = (-1, edge)
-    for i in range(n):
-        before[i] = (i - last[0], last[1])
-        if labels[i] != "undecided":
-            last = (i, labels[i])
-    last = (n, edge)
+    before: list[tuple[int, str]] = []
+    after: list[tuple[int, str]] = [(0, "")] * n
+    last = (-1, "")
+    for i, label in enumerate(labels):
+        before.append((i - last[0], last[1]))
+        if label != "undecided":
+            last = (i, label)
+    last = (n, "")
     for i in range(n - 1, -1, -1):
         after[i] = (last[0] - i, last[1])
         if labels[i] != "undecided":
@@ -166,7 +226,17 @@ def second_pass(blocks: list[Block], labels: list[str], edge: str) -> list[str]:
     out = []
     for block, label, (d, x), (e, y) in zip(blocks, labels, before, after):
         if label == "undecided":
-            label = y if block.tag in HEADINGS else x if d < e else y if e < d else "bad" if "bad" in (x, y) else "good"
+            said = bool(_SENTENCE.search(block.text)) or size_of(block.text) >= 70
+            edge = "good" if marked or said else "bad"
+            x, y = x or edge, y or edge
+            if marked and not block.link_chars:
+                label = "good"
+            elif block.tag in HEADINGS:
+                label = y
+            elif d == e:
+                label = x if x == y else "good" if marked or said else "bad"
+            else:
+                label = x if d < e else y
         out.append(label)
     return out
 
@@ -174,14 +244,23 @@ def second_pass(blocks: list[Block], labels: list[str], edge: str) -> list[str]:
 def main_text(page: str | None) -> str:
     """The good blocks of a page, two line feeds between them; empty for a null page."""
     blocks = blocks_of(page)
-    marked = [b for b in blocks if b.inside]
-    blocks = marked or blocks
-    labels = second_pass(blocks, [first_pass(b) for b in blocks], "good" if marked else "bad")
+    inside = [b for b in blocks if b.inside]
+    marked = sum(len(b.text) for b in inside) >= MARKED * sum(len(b.text) for b in blocks) > 0
+    blocks = inside if marked else [Block(b.tag, b.text, b.link_chars, False) for b in blocks]
+    own = said_again(blocks)
+    labels = second_pass(blocks, [first_pass(b, own) for b in blocks], marked)
+    if "good" not in labels:
+        some = any(not b.link_chars and size_of(b.text) >= 70 for b in blocks)
+        labels = ["good" if some and not b.link_chars else "bad" for b in blocks]
     return "\n\n".join(b.text for b, x in zip(blocks, labels) if x == "good")
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) for each row of pages (page_id, url, html), repeated rows included; n_chars: code points of text."""
+    """(page_id, url, text, n_chars) for each row of pages (page_id, url, html), repeated rows included; n_chars: code points of text.
+
+    A null or empty page has an empty text; long ones are taken in whole, in
+    time linear in their length. Other columns of pages are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -134,10 +134,6 @@ def _number(stream: Column, at: Column | int) -> Column:
     return F.conv(F.substr(stream, F.lit(2) * (at % 62) + 1, F.lit(4)), 16, 10).cast("int")
 
 
-def _pick(values: list[str], n: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), n % len(values) + 1)
-
-
 def _places(text: Column, upto: Column) -> Column:
     """How many of the first characters of text are ASCII letters or digits."""
     return F.length(F.regexp_replace(F.substr(text, F.lit(1), upto), r"[^0-9A-Za-z]", ""))
@@ -192,14 +188,19 @@ def _script(word: Column) -> Column:
     return found.otherwise("latin")
 
 
-def _word(key: str, canon: Column, role: Column, gender: Column, attempt: Column) -> Column:
+def _listed(values: list[str]) -> Column:
+    return F.split(F.lit(",".join(values)), ",")
+
+
+def _word(stream: Column, script: Column, role: Column, gender: Column, attempt: Column) -> Column:
     """A name for a name's word: a given one (from the second attempt on, several joined by hyphens) or a family one."""
-    stream, script = _nibbles(key, F.lit("word"), canon, attempt.cast("string")), _script(canon)
-    given = F.coalesce(*(F.when((gender == g) & (script == s), F.array_join(F.transform(F.sequence(F.lit(0), F.least(attempt, F.lit(7))), lambda i: _pick(names, _number(stream, 4 * i))), "-")) for (g, s), names in GIVEN.items()))  # noqa: B023
-    more = F.sequence(F.lit(10), F.lit(14) + F.least(F.floor(attempt / 2), F.lit(8)).cast("int"))
-    stem = F.coalesce(*(F.when(script == s, F.array_join(F.transform(more, lambda i: _pick(parts, _number(stream, 2 * i))), "")) for s, parts in SYLLABLES.items()))  # noqa: B023
+    names = F.coalesce(*(F.when((gender == g) & (script == s), _listed(x)) for (g, s), x in GIVEN.items()))
+    parts = F.coalesce(*(F.when(script == s, _listed(x)) for s, x in SYLLABLES.items()))
+    values = F.when(role == "given", names).otherwise(parts)
+    places = F.when(role == "given", F.sequence(F.lit(0), F.least(attempt, F.lit(7)))).otherwise(F.sequence(F.lit(0), F.lit(4) + F.least(F.floor(attempt / 2), F.lit(8)).cast("int")))
+    picked = F.transform(places, lambda i: F.element_at(values, _number(stream, 2 * i) % F.size(values) + 1))
     ending = F.coalesce(*(F.when((script == s) & (gender == g), e) for (s, g), e in ENDINGS.items()), F.lit(""))
-    return F.when(role == "given", given).otherwise(F.concat(F.initcap(stem), ending))
+    return F.when(role == "given", F.array_join(picked, "-")).otherwise(F.concat(F.initcap(F.array_join(picked, "")), ending))
 
 
 def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -216,7 +217,7 @@ def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
         .when(kind == "secret", F.length(F.regexp_extract(e, r"^([^=:]*[=:] ?\"?)", 1)))
         .otherwise(0)
     )
-    keyed = keyed.withColumn("_body", body).withColumn("_keep", stays)
+    keyed = keyed.withColumn("_body", body).withColumn("_keep", stays).withColumn("_script", _script(F.col("canon")))
     keyed = keyed.withColumn("_alike", F.when(~kind.isin("ip", "word"), _alike(F.col("_body"), stream, F.col("_keep"), kind.isin("card", "phone", "iban"), kind == "ipv6")))
     alike = F.col("_alike")
     check = ((10 - luhn(F.concat(F.substr(F.regexp_replace(alike, "[^0-9]", ""), F.lit(1), F.length(F.regexp_replace(e, "[^0-9]", "")) - 1), F.lit("0")))) % 10).cast("string")
@@ -226,10 +227,10 @@ def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
         .when(kind == "ip", _ip(e, stream, F.col("attempt")))
         .when(kind == "ipv6", local)
         .when(kind == "card", F.concat(F.substr(alike, F.lit(1), F.length(alike) - 1), check))
-        .when(kind == "word", _word(key, F.col("canon"), F.col("role"), F.col("gender"), F.col("attempt")))
+        .when(kind == "word", _word(stream, F.col("_script"), F.col("role"), F.col("gender"), F.col("attempt")))
         .otherwise(alike)
     )
-    return keyed.withColumn("new", new).drop("_stream", "_domain", "_of_domain", "_body", "_keep", "_alike")
+    return keyed.withColumn("new", new).drop("_stream", "_domain", "_of_domain", "_body", "_keep", "_script", "_alike")
 
 
 def _cut(text: Column, pattern: str) -> Column:
