@@ -1,8 +1,14 @@
 """WARC derivatives: from response records, linked metadata and plain-text conversion records.
 
 Each derivative refers to its response by WARC-Refers-To, keeps its target
-URI, date and digests, and has digests of its own. Records are read from and
-written to the WARC 1.1 format; digests are SHA-1 in base 32 as usual there.
+URI, date and digests, and has digests of its own. A conversion has all text
+that a reader of the page sees, navigation, forms and comments too; other text
+is taken as it is, and what is no text (images, say) gives metadata only. The
+transfer codings chunked, gzip and deflate are undone; of others (br, zstd) the
+metadata names the one that was not, and there is no conversion.
+
+Records are read from and written to the WARC 1.1 format; digests are SHA-1 in
+base 32 as usual there. Files are read as streams, a record at a time.
 """
 
 from __future__ import annotations
@@ -10,6 +16,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import json
 import re
 import uuid
@@ -17,6 +24,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +34,8 @@ CRLF = b"\r\n"
 RECORD = "record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, payload_digest string, headers map<string,string>, block binary"
 _SCHEMA = pa.schema([*((c, pa.string()) for c in "record_type record_id refers_to target_uri date content_type block_digest payload_digest".split()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
 _NAMES = {"WARC-Type": "record_type", "WARC-Record-ID": "record_id", "WARC-Refers-To": "refers_to", "WARC-Target-URI": "target_uri", "WARC-Date": "date", "Content-Type": "content_type", "WARC-Block-Digest": "block_digest", "WARC-Payload-Digest": "payload_digest"}
-_LINK = re.compile(r"<(a|img|link|script|iframe)\b[^>]*?\b(?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.I | re.S)
+_LINK = re.compile(r"<(a|img|link|script|iframe)\b[^<>]*?\b(?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TITLE = re.compile(r"<title\b[^<>]*>([^<]*)", re.I)
 _CHARSET = re.compile(r"charset=[\"']?([\w.:-]+)", re.I)
 
 
@@ -49,52 +57,97 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0], [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:]) if k.strip()], payload
 
 
+def unchunked(payload: bytes) -> bytes:
+    """A chunked payload put together; as it is if it isn't chunked, and up to the first broken chunk."""
+    out, at = [], 0
+    while (end := payload.find(CRLF, at)) >= 0:
+        size = re.fullmatch(rb"\s*([0-9A-Fa-f]{1,8})\s*(?:;.*)?", payload[at:end], re.S)
+        if not size:
+            break
+        n = int(size[1], 16)
+        out.append(payload[end + 2 : end + 2 + n])
+        if n == 0:
+            return b"".join(out)
+        at = end + 2 + n + 2
+    return b"".join(out) if out else payload
+
+
+def plain_payload(payload: bytes, headers: list[tuple[str, str]]) -> tuple[bytes, str | None]:
+    """The payload with its codings undone, the last first, and the first coding that can't be."""
+    values = {k.lower(): v.lower() for k, v in headers}
+    if "chunked" in values.get("transfer-encoding", ""):
+        payload = unchunked(payload)
+    codings = [x.strip() for x in values.get("content-encoding", "").split(",") if x.strip() not in ("", "identity")]
+    for coding in reversed(codings):
+        try:
+            if coding in ("gzip", "x-gzip"):
+                payload = gzip.decompress(payload)
+            elif coding == "deflate":
+                try:
+                    payload = zlib.decompress(payload)
+                except zlib.error:
+                    payload = zlib.decompress(payload, -zlib.MAX_WBITS)
+            else:
+                return payload, coding
+        except (OSError, EOFError, zlib.error):
+            if not payload[:2] == b"\x1f\x8b":  # stored after decoding, under the old header
+                return payload, None
+            return payload, coding
+    return payload, None
+
+
 def decoded(payload: bytes, headers: list[tuple[str, str]]) -> str:
-    """The payload as text: transfer compression undone, in the charset of the header or of the page, else UTF-8."""
+    """A payload as text, in the charset of the header or of the page; in UTF-8 where that is unknown."""
     values = {k.lower(): v for k, v in headers}
-    try:
-        if "gzip" in values.get("content-encoding", ""):
-            payload = gzip.decompress(payload)
-        elif "deflate" in values.get("content-encoding", ""):
-            payload = zlib.decompress(payload)
-    except (OSError, EOFError, zlib.error):
-        pass
     named = _CHARSET.search(values.get("content-type", "")) or _CHARSET.search(payload[:2048].decode("ascii", "replace"))
     try:
         return payload.decode(named[1] if named else "utf-8", "replace")
-    except LookupError:
+    except (LookupError, UnicodeError):  # unknown, or none for text
         return payload.decode("utf-8", "replace")
 
 
+def form_of(headers: list[tuple[str, str]], payload: bytes) -> str:
+    """html, text or other, by the content type, or by the first bytes without one."""
+    kind = next((v for k, v in headers if k.lower() == "content-type"), "").split(";")[0].strip().lower()
+    if kind in ("text/html", "application/xhtml+xml") or (not kind and payload.lstrip()[:1] in (b"<", b"")):
+        return "html"
+    return "text" if kind.startswith("text/") or kind.endswith(("json", "xml", "javascript")) else "other"
+
+
 def plain_text(page: str) -> str:
-    """The text of all blocks outside scripts, navigation and the like, a line each."""
-    return "\n".join(b.text for b in blocks_of(page))
+    """The text of all blocks that a reader sees, a line each."""
+    return "\n".join(b.text for b in blocks_of(page, everything=True))
 
 
-def _metadata(row: dict, status: str, headers: list[tuple[str, str]], page: str, payload: bytes) -> bytes:
+def _metadata(row: dict, status: str, headers: list[tuple[str, str]], page: str, payload: bytes, undecoded: str | None) -> bytes:
     title = _TITLE.search(page)
     links = [{"tag": t.lower(), "url": a or b or c} for t, a, b, c in _LINK.findall(page)]
     source = {k: row[v] for k, v in _NAMES.items() if row[v] is not None} | dict(row["headers"] or {})
     body = {
         "warc": source,
-        "http": {"status": status, "headers": headers, "payload_length": len(payload), "payload_digest": digest(payload)},
+        "http": {"status": status, "headers": headers, "payload_length": len(payload), "payload_digest": digest(payload)} | ({"undecoded": undecoded} if undecoded else {}),
         "html": {"title": " ".join(title[1].split()) if title else None, "links": links},
     }
-    return json.dumps(body, ensure_ascii=False, sort_keys=True).encode()
+    return json.dumps(body, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace")
 
 
 def derive_one(row: dict) -> list[dict]:
-    """The metadata and the conversion record of a response; none for a record of another type."""
+    """The metadata and, of text, the conversion record of a response; none for a record of another type."""
     if row["record_type"] != "response":
         return []
     block = row["block"] or b""
     status, headers, payload = split_http(block)
-    page = decoded(payload, headers)
+    body, undecoded = plain_payload(payload, headers)
+    form = "other" if undecoded else form_of(headers, body)
+    text = decoded(body, headers) if form != "other" else ""
     own = {"refers_to": row["record_id"], "target_uri": row["target_uri"], "date": row["date"]}
     kept = dict(row["headers"] or {}) | {"WARC-Source-Block-Digest": row["block_digest"] or digest(block), "WARC-Source-Payload-Digest": row["payload_digest"] or digest(payload)}
+    made = [("metadata", "application/json", _metadata(row, status, headers, text if form == "html" else "", payload, undecoded))]
+    if form != "other":
+        made.append(("conversion", "text/plain; charset=utf-8", (plain_text(text) if form == "html" else text).encode("utf-8", "replace")))
     out = []
-    for kind, content_type, made in (("metadata", "application/json", _metadata(row, status, headers, page, payload)), ("conversion", "text/plain; charset=utf-8", plain_text(page).encode())):
-        out.append(own | {"record_type": kind, "record_id": record_id(row["record_id"], kind), "content_type": content_type, "block_digest": digest(made), "payload_digest": digest(made), "headers": list(kept.items()), "block": made})
+    for kind, content_type, data in made:
+        out.append(own | {"record_type": kind, "record_id": record_id(row["record_id"], kind), "content_type": content_type, "block_digest": (d := digest(data)), "payload_digest": d, "headers": list(kept.items()), "block": data})
     return out
 
 
@@ -109,10 +162,11 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
 
 
 def derive(responses: DataFrame) -> DataFrame:
-    """Two records, metadata and conversion, for each response record (columns of RECORD); others give none.
+    """A metadata and, of text, a conversion record for each response record (columns of RECORD); others give none.
 
     Null blocks count as empty. Repeated records give repeated derivatives with
-    the same ids, since these follow from the response's.
+    the same ids, since these follow from the response's. Other columns are left
+    out; long blocks are taken in whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +183,7 @@ def responses_from_pages(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -
     def one(page_id: object, url: str | None, page: str | None) -> dict:
         payload = (page or "").encode()
         block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
-        return {"record_type": "response", "record_id": record_id(page_id, url), "refers_to": None, "target_uri": url, "date": date, "content_type": "application/http; msgtype=response", "block_digest": digest(block), "payload_digest": digest(payload), "headers": [("WARC-Page-ID", str(page_id))], "block": block}
+        return {"record_type": "response", "record_id": record_id(page_id, url, d := digest(block)), "refers_to": None, "target_uri": url, "date": date, "content_type": "application/http; msgtype=response", "block_digest": d, "payload_digest": digest(payload), "headers": [("WARC-Page-ID", str(page_id))], "block": block}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,24 +202,79 @@ def format_record(row: dict) -> bytes:
     return "\r\n".join(lines).encode() + CRLF + CRLF + block + CRLF + CRLF
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file, compressed by record, as a whole, or not at all; ends at a broken record."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (start := data.find(b"WARC/", at)) >= 0:
-        end = data.find(CRLF + CRLF, start)
-        if end < 0:
-            return
-        pairs = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in data[start:end].decode("utf-8", "replace").split("\r\n")[1:])]
+def parse(stream: io.BufferedIOBase) -> Iterator[dict]:
+    """The records of a WARC stream, uncompressed, one at a time.
+
+    Where a record can't be read, one of type `unreadable` stands for it, with
+    the place in the stream and the reason, and reading goes on at the next line
+    that begins a record.
+    """
+    at, line, lost = 0, stream.readline(), None
+
+    def unreadable(place: int, reason: str) -> dict:
+        return dict.fromkeys(_NAMES.values()) | {"record_type": "unreadable", "headers": [("Offset", str(place)), ("Reason", reason)], "block": b""}
+
+    while line:
+        begin = at
+        at += len(line)
+        if not line.startswith(b"WARC/"):
+            if line.strip() and lost is None:
+                lost = begin
+            line = stream.readline()
+            continue
+        if lost is not None:
+            yield unreadable(lost, "no record begins here")
+            lost = None
+        pairs: list[tuple[str, str]] = []
+        while (line := stream.readline()).strip() and not line.startswith(b"WARC/"):
+            at += len(line)
+            k, _, v = line.decode("utf-8", "replace").partition(":")
+            pairs.append((k.strip(), v.strip()))
         values = {k.lower(): v for k, v in pairs}
         length = values.get("content-length", "")
-        if not length.isdigit() or end + 4 + int(length) > len(data):
+        if line.startswith(b"WARC/") or not line or not re.fullmatch("[0-9]{1,18}", length):
+            yield unreadable(begin, "the headers end early" if line.startswith(b"WARC/") or not line else "no length")
+            if not line.startswith(b"WARC/"):
+                at += len(line)
+                line = stream.readline()
+            continue
+        at += len(line)
+        block = stream.read(int(length))
+        at += len(block)
+        if len(block) < int(length):
+            yield unreadable(begin, f"{len(block)} of {length} bytes")
             return
         row = {v: values.get(k.lower()) for k, v in _NAMES.items()}
         known = {k.lower() for k in _NAMES} | {"content-length"}
-        at = end + 4 + int(length)
-        yield row | {"headers": [x for x in pairs if x[0].lower() not in known], "block": data[end + 4 : at]}
+        yield row | {"headers": [x for x in pairs if x[0].lower() not in known], "block": block}
+        line = stream.readline()
+
+
+class _Members(io.RawIOBase):
+    """The bytes of a gzip stream, member after member; a broken member ends it."""
+
+    def __init__(self, raw: io.BufferedIOBase) -> None:
+        self.raw, self.rest = gzip.GzipFile(fileobj=raw), True
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        if not self.rest:
+            return 0
+        try:
+            data = self.raw.read1(len(into))
+        except (OSError, EOFError, zlib.error):
+            self.rest = False
+            return 0
+        into[: len(data)] = data
+        return len(data)
+
+
+def records_in(raw: io.BufferedIOBase) -> Iterator[dict]:
+    """The records of a WARC file, compressed by record, as a whole, or not at all."""
+    first = raw.peek(2)[:2]
+    return parse(io.BufferedReader(_Members(raw), 1 << 20) if first == b"\x1f\x8b" else raw)
 
 
 def formatted(records: DataFrame, compress: bool = True) -> DataFrame:
@@ -180,23 +289,45 @@ def formatted(records: DataFrame, compress: bool = True) -> DataFrame:
     return records.select(*_SCHEMA.names).mapInArrow(run, "record_id string, warc binary")
 
 
+def _batches(raw: io.BufferedIOBase) -> Iterator[pa.RecordBatch]:
+    rows: list[dict] = []
+    size = 0
+    for row in records_in(raw):
+        rows.append(row)
+        size += len(row["block"])
+        if len(rows) >= 256 or size >= 16 << 20:
+            yield _batch(rows)
+            rows, size = [], 0
+    yield _batch(rows)
+
+
 def parsed(files: DataFrame) -> DataFrame:
     """The records (columns of RECORD) in files (content binary), such as spark.read.format("binaryFile") gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("content"):
-                rows: list[dict] = []
-                for row in parse(data.as_py() or b""):
-                    rows.append(row)
-                    if len(rows) >= 256:
-                        yield _batch(rows)
-                        rows = []
-                yield _batch(rows)
+                yield from _batches(io.BufferedReader(io.BytesIO(data.as_py() or b"")))
 
     return files.select("content").mapInArrow(run, RECORD)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the WARC files under path, a file a task."""
-    return parsed(spark.read.format("binaryFile").load(path).repartition(F.col("path")))
+    """The records of the WARC files under path, a file a task, each read as a stream.
+
+    Where the store is one that only Spark opens, files come whole.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    try:
+        fs.FileSystem.from_uri(re.sub("^file:/*", "/", path.split("*")[0]))
+    except (pa.ArrowInvalid, OSError):
+        return parsed(files.repartition(F.col("path")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                system, at = fs.FileSystem.from_uri(re.sub("^file:/*", "/", name))
+                with system.open_input_file(at) as opened:
+                    yield from _batches(io.BufferedReader(opened, 1 << 20))
+
+    return files.select("path").repartition(F.col("path")).mapInArrow(run, RECORD)

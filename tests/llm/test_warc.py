@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import json
 
 from hypothesis import given, settings
@@ -32,7 +33,7 @@ def test_derivatives_refer_to_their_response(spark):
         assert r["headers"]["WARC-Source-Payload-Digest"] == source["payload_digest"]
         assert r["block_digest"] == sha(bytes(r["block"])) and r["headers"]["WARC-Page-ID"] == source["headers"]["WARC-Page-ID"]
     text = next(r for r in got if r["record_type"] == "conversion" and r["target_uri"])
-    assert bytes(text["block"]).decode() == "Text & more\nlink"
+    assert bytes(text["block"]).decode() == "menu\nText & more\nlink"
     meta = json.loads(bytes(next(r for r in got if r["record_type"] == "metadata" and r["target_uri"])["block"]))
     assert meta["html"] == {"title": "A B", "links": [{"tag": "a", "url": "/x"}]}
     assert meta["http"]["headers"][0] == ["Content-Type", "text/html; charset=utf-8"] and meta["warc"]["WARC-Type"] == "response"
@@ -60,17 +61,54 @@ def test_files_round_trip(spark, tmp_path):
 def test_parse_gives_what_was_formatted(blocks, tail):
     rows = [{n: None for n in warc._SCHEMA.names} | {"record_type": "response", "record_id": f"<urn:{i}>", "headers": [("X-Y", "z: 1")], "block": b} for i, b in enumerate(blocks)]
     data = b"".join(map(warc.format_record, rows))
-    assert [(r["record_id"], r["block"], r["headers"]) for r in warc.parse(data)] == [(r["record_id"], r["block"], r["headers"]) for r in rows]
-    list(warc.parse(tail)) if tail[:2] != b"\x1f\x8b" else None
+    assert [(r["record_id"], r["block"], r["headers"]) for r in warc.parse(io.BytesIO(data))] == [(r["record_id"], r["block"], r["headers"]) for r in rows]
+    list(warc.parse(io.BytesIO(tail)))
+    found = list(warc.records_in(io.BufferedReader(io.BytesIO(data + tail + warc.CRLF + data))))
+    assert [r["block"] for r in found if r["record_type"] == "response"][: len(blocks)] == blocks
 
 
 def test_payloads():
     head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=iso-8859-1\r\nContent-Encoding: gzip\r\n\r\n".encode()
     status, headers, payload = warc.split_http(head + gzip.compress("é".encode("latin-1")))
-    assert status == "HTTP/1.1 200 OK" and warc.decoded(payload, headers) == "é"
-    assert warc.decoded(b"broken", headers) == "broken"
+    body, undecoded = warc.plain_payload(payload, headers)
+    assert status == "HTTP/1.1 200 OK" and undecoded is None and warc.decoded(body, headers) == "é"
+    assert warc.plain_payload(b"broken", headers) == (b"broken", None)
+    assert warc.plain_payload(b"x", [("Content-Encoding", "br")]) == (b"x", "br")
+    chunked = b"4\r\nWiki\r\n6;a=b\r\npedia \r\n0\r\n\r\n"
+    assert warc.plain_payload(chunked, [("Transfer-Encoding", "chunked")]) == (b"Wikipedia ", None) and warc.unchunked(b"plain") == b"plain"
     assert warc.split_http(b"plain") == ("", [], b"plain")
-    assert warc.decoded("é".encode(), [("Content-Type", "text/html; charset=none-such")]) == "é"
+    for charset in ("none-such", "undefined", "idna", "base64"):
+        assert warc.decoded("é".encode(), [("Content-Type", f"text/html; charset={charset}")]) == "é"
+
+
+def response(kind, payload, coding=None):
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: {kind}\r\n" + (f"Content-Encoding: {coding}\r\n" if coding else "") + "\r\n"
+    return dict.fromkeys(warc._SCHEMA.names) | {"record_type": "response", "record_id": "<urn:1>", "block": head.encode() + payload}
+
+
+def test_forms_of_content():
+    made = lambda *x: {r["record_type"]: r["block"] for r in warc.derive_one(response(*x))}
+    assert set(made("image/png", b"\x89PNG")) == {"metadata"}
+    assert made("text/plain", b"a <b> c")["conversion"] == b"a <b> c" and made("application/json", b'{"a": 1}')["conversion"] == b'{"a": 1}'
+    assert made("text/html", b"<form><p>in a form</p></form><script>x</script>")["conversion"] == b"in a form"
+    odd = made("text/html", b"?", "br")
+    assert set(odd) == {"metadata"} and json.loads(odd["metadata"])["http"]["undecoded"] == "br"
+
+
+def test_pages_that_differ_only_in_html_have_ids_of_their_own(spark):
+    pages = spark.createDataFrame([(1, "u", "a"), (1, "u", "b")], "page_id long, url string, html string")
+    assert warc.responses_from_pages(pages).select("record_id").distinct().count() == 2
+
+
+def test_broken_records_are_reported_and_passed():
+    row = {n: None for n in warc._SCHEMA.names} | {"record_type": "response", "record_id": "<urn:1>", "headers": [], "block": b"body"}
+    good = warc.format_record(row)
+    data = good + b"garbage\r\n" + b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: x\r\n\r\nrest\r\n" + good + b"WARC/1.1\r\nContent-Length: 99\r\n\r\nshort"
+    found = list(warc.records_in(io.BufferedReader(io.BytesIO(data))))
+    assert [r["record_type"] for r in found] == ["response", "unreadable", "unreadable", "unreadable", "response", "unreadable"]
+    assert found[1]["headers"][0] == ("Offset", str(len(good))) and found[-1]["headers"][1][1] == "5 of 99 bytes"
+    zipped = gzip.compress(good) + gzip.compress(good)[:-12]
+    assert [r["record_type"] for r in warc.records_in(io.BufferedReader(io.BytesIO(zipped)))][0] == "response"
 
 
 def test_other_records_and_empty_tables(spark):
