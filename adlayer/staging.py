@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +22,26 @@ def shared_dir(spark: SparkSession) -> str:
     return _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="adlayer-"))
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again."""
+_open: list[list[str]] = []
+
+
+def stage(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
+    """df written as Parquet to the shared folder and read again; outer: the table outlives the innermost scratch()."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if at := _open[: len(_open) - outer]:
+        at[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end, but for outer ones; nothing that reads them may be left to run."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _open.pop():
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
