@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import stage
+from ..staging import scratch, stage
 
-__all__ = ["bounded_sample", "fold_of", "node_of", "split_join", "stage", "text_key"]
+__all__ = ["bounded_sample", "fold_of", "node_of", "scratch", "split_join", "stage", "text_key"]
 
 
 def bounded_sample(df: DataFrame, key: Column, max_rows: int, seed: int = 7) -> DataFrame:

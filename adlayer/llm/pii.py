@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import scratch, stage
 
 # The forms of address by gender, with the patterns of the entities. Repeated groups are possessive or
 # bounded, so that no text makes Java's matcher recurse.
@@ -333,7 +333,8 @@ def pseudonymise(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
     some = F.col("_al_key").isNotNull()
     held = marked.where(some).select("_al_key", F.posexplode("_al_pieces").alias("at", "entity")).where("at % 2 = 1").distinct()
     held = stage(held, "held")
-    new = stage(resolve(held.select("entity"), key), "surrogates")
+    with scratch(docs.sparkSession):
+        new = stage(resolve(held.select("entity"), key), "surrogates", outer=True)
     put = held.join(new, "entity", "left").groupBy("_al_key").agg(F.sort_array(F.collect_list(F.struct("at", "entity", "new"))).alias("_al_new"))
     put = put.select("_al_key", F.transform("_al_new", lambda x: F.coalesce(x["new"], x["entity"])).alias("_al_put"), F.size(F.filter("_al_new", lambda x: x["new"].isNotNull())).alias("n_entities"))
     with_any = marked.where(some).join(put, "_al_key")

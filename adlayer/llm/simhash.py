@@ -442,7 +442,7 @@ def keep_first(docs: DataFrame, width: int = 5) -> DataFrame:
     """
     from .similar import near_copies
 
-    found = stage(near_copies(docs, width), "groups")
+    found = near_copies(docs, width)
     own = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("component_key"))
     counted = found.groupBy("doc_id", "text_key").agg(F.bool_or(own).alias("stays"), F.count("*").alias("n"))
     odd = stage(counted.where("not stays or n > 1").select(F.col("doc_id").alias("_al_id"), F.col("text_key").alias("_al_key"), F.col("stays").alias("_al_stays")), "later")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from adlayer.llm import similar, simhash
 
@@ -43,7 +44,7 @@ def texts():
     return list(enumerate(made))
 
 
-@pytest.mark.parametrize("options", [{}, {"small": 2, "sample_rows": 40, "block": 2}])
+@pytest.mark.parametrize("options", [{}, {"small": 2, "sampled": 1, "block": 2}])
 def test_groups_are_those_of_all_pairs(spark, options):
     rows = texts()
     got = {r["doc_id"]: r["component_id"] for r in similar.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()}
@@ -54,3 +55,29 @@ def test_those_that_stay_are_the_firsts_of_all_pairs(spark):
     rows = texts()
     kept = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == set(by_all_pairs(rows).values())
+
+
+def test_sketches_keep_pairs_at_the_similarity():
+    """Of pairs of sets at exactly 0.8, of any size, none is dropped; most at 0.5 are."""
+    draw = np.random.default_rng(3)
+    kept = dropped = 0
+    for union in (5, 10, 40, 100, 300, 1000, 5000):
+        for _ in range(60):
+            every = np.unique(draw.integers(-(2**63), 2**63, union, dtype=np.int64))
+            for share, low in ((0.8, True), (0.5, False)):
+                both = round(share * union)
+                a, b = np.sort(np.r_[every[:both], every[both::2]]), np.sort(np.r_[every[:both], every[both + 1 :: 2]])
+                rows = [np.frombuffer(similar.sketch(x), np.uint8)[None] for x in (a, b)]
+                fine = similar.plausible(*rows, np.array([len(a) + len(b)]))[0][0]
+                kept, dropped = kept + (low and fine), dropped + (not low and not fine)
+    assert kept == 420 and dropped > 250
+
+
+def test_nulls_repeats_and_other_columns(spark):
+    long = "one two three four five six seven eight nine ten"
+    rows = [(1, long, 7), (None, long, 7), (None, "of its own with null id here", 7), (2, "some other text of words that stays", 7), (2, "some other text of words that stays", 7), (2, "another text under the same id of two", 7), (3, None, 7), (4, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node int")
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, long), (None, rows[2][1]), (2, rows[3][1]), (2, rows[5][1]), (3, None)], key=str)
+    assert simhash.keep_first(docs.where("false")).count() == 0
