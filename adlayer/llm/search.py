@@ -1,25 +1,24 @@
-"""Exact BM25 top-k search over sharded inverted indexes with block-max pruning.
+"""Exact BM25 top-k search over sharded inverted indexes with block-max WAND pruning.
 
 Queries are whole texts. They are taken in blocks of bounded size; a block's
-vocabulary goes to all tasks, and two passes follow. The first counts, over
-all documents, in how many each term of the block occurs. The second builds an
-inverted index for each shard of `shard_docs` documents, with idf and mean
-length of the whole corpus in its impacts and the largest impact of each term
-in each run of `block_docs` documents, and runs every query of the block on it:
-
-* A query whose blocks' summed maxima stay below its threshold (the k-th best
-  score so far in this task) skips the shard.
-* WAND's pivot: with terms by ascending maximum, those whose maxima sum to
-  less than the threshold can't carry a document alone. The postings of the
-  others are read first; a document then counts if its partial score and its
-  block's maxima of the unread terms reach the threshold, which the k-th
-  partial score raises. Further lists are read, the strongest first, while
-  many documents still count.
-* These documents, best bound first, are scored in full from their own terms,
-  while the threshold rises.
-
-Scores use statistics of the whole corpus and are summed in one order, so they
-don't depend on the shards, and merging the tasks' k best is exact.
+vocabulary goes to all tasks, which write each document's known words by number
+to the shared folder, once. From these come the documents that have each term,
+and an inverted index for each shard of bounded size, with idf and mean length
+of the whole corpus in its impacts. A list is cut into cells, its postings in one
+block of `block_docs` documents, each with its largest impact. For a query and
+shard, a few batches of blocks at a time instead of one document at a time:
+
+* Shallow: the cells' maxima give each block's bound. Blocks below the threshold
+  (the k-th best score so far in this task) are passed without a look at their
+  postings; the others go by falling bound, so that the threshold rises early.
+* Pivot: the terms whose maxima sum to less than the threshold can't carry a
+  document alone. The others' postings are read; a document goes on if these and
+  its block's maxima of the light terms reach the threshold.
+* Deep: light postings are read only in blocks where a document goes on. Those
+  that still reach the threshold are scored from their own terms.
+
+Final scores use statistics of the whole corpus and are summed in one order, so
+they don't depend on the shards, and merging the tasks' k best is exact.
 """
 
 from __future__ import annotations
@@ -33,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stage
+
 _WORD = re.compile(r"\w+")
 SLACK = 1e-9
 
@@ -50,52 +51,41 @@ def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... for size[0] numbers, then the same from first[1] on, ..."""
+    ends = np.cumsum(size)
+    return np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Shard:
-    """Documents by position: forward index (terms ascending within a document), inverted lists and block maxima."""
-
-    def __init__(self, ids: list[int], lengths: list[int], terms: list[np.ndarray], tfs: list[np.ndarray], idf: np.ndarray, mean: float, k1: float, b: float, block_docs: int) -> None:
-        self.ids = np.array(ids, dtype=np.int64)
-        n, sizes = len(ids), np.array([len(t) for t in terms], dtype=np.int64)
-        self.start = np.r_[0, np.cumsum(sizes)]
-        self.terms = np.concatenate(terms) if n else np.zeros(0, np.int32)
-        tf = np.concatenate(tfs).astype(float) if n else np.zeros(0)
+    """Documents by position: forward index (terms ascending within a document), inverted lists, and their cells."""
+
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray, mean: float, k1: float, b: float, block_docs: int) -> None:
+        self.ids, n = ids, len(ids)
+        self.start, self.terms = np.r_[0, np.cumsum(sizes)], terms
+        tf = counts.astype(float)
         doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
-        norm = k1 * (1 - b + b * np.array(lengths, dtype=float) / max(mean, 1e-12))
-        self.impact = idf[self.terms] * tf * (k1 + 1) / (tf + norm[doc])
-        order = np.argsort(self.terms, kind="stable")
+        norm = k1 * (1 - b + b * lengths.astype(float) / max(mean, 1e-12))
+        self.impact = idf[terms] * tf * (k1 + 1) / (tf + norm[doc])
+        order = np.argsort(terms, kind="stable")
         self.doc, self.inverted = doc[order], self.impact[order]
-        own = self.terms[order]
-        self.first = np.searchsorted(own, np.arange(len(idf) + 1))
+        own = terms[order]
         self.block_of = np.arange(n, dtype=np.int32) // block_docs
-        self.blocks = int(self.block_of[-1]) + 1 if n else 0
-        cell = own.astype(np.int64) * max(self.blocks, 1) + self.block_of[self.doc] if n else np.zeros(0, np.int64)
-        heads = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
-        self.cell_max = np.maximum.reduceat(self.inverted, heads) if len(heads) else np.zeros(0)
-        self.cell_block = (cell[heads] % max(self.blocks, 1)).astype(np.int32)
-        self.cell_first = np.searchsorted(own[heads], np.arange(len(idf) + 1)) if len(heads) else np.zeros(len(idf) + 1, np.int64)
+        self.blocks = -(-n // block_docs)
+        cell = own.astype(np.int64) * max(self.blocks, 1) + self.block_of[self.doc]
+        self.cell_start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+        self.cell_size = np.diff(np.r_[self.cell_start, len(cell)])
+        self.cell_max = np.maximum.reduceat(self.inverted, self.cell_start) if len(cell) else np.zeros(0)
+        self.cell_block = self.block_of[self.doc[self.cell_start]]
+        self.cell_first = np.searchsorted(own[self.cell_start], np.arange(len(idf) + 1))
         self.term_max = np.zeros(len(idf))
-        if len(heads):
-            np.maximum.at(self.term_max, own[heads], self.cell_max)
-
-    def bounds(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """For each block, the sum of the terms' weighted maxima."""
-        if not len(terms):
-            return np.zeros(self.blocks)
-        a, z = self.cell_first[terms], self.cell_first[terms + 1]
-        spans = list(zip(a.tolist(), z.tolist()))
-        where = np.concatenate([self.cell_block[x:y] for x, y in spans])
-        most = np.concatenate([self.cell_max[x:y] for x, y in spans]) * np.repeat(weights, z - a)
-        return np.bincount(where, most, self.blocks)
-
-    def partial(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """For each document, the score from these terms."""
-        if not len(terms):
-            return np.zeros(len(self.ids))
-        a, z = self.first[terms], self.first[terms + 1]
-        spans = list(zip(a.tolist(), z.tolist()))
-        where = np.concatenate([self.doc[x:y] for x, y in spans])
-        score = np.concatenate([self.inverted[x:y] for x, y in spans]) * np.repeat(weights, z - a)
-        return np.bincount(where, score, len(self.ids))
+        np.maximum.at(self.term_max, own[self.cell_start], self.cell_max)
+
+    def partial(self, cells: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """For each document, the score from the postings in these cells, each times its weight."""
+        size = self.cell_size[cells]
+        at = _spans(self.cell_start[cells], size)
+        return np.bincount(self.doc[at], self.inverted[at] * np.repeat(weights, size), len(self.ids))
 
     def full(self, docs: np.ndarray, dense: np.ndarray) -> np.ndarray:
         """Whole scores of some documents; dense: the query's weight of each term."""
@@ -104,9 +94,8 @@ class Shard:
         has = np.flatnonzero(size)
         if len(has):
             n = size[has]
-            heads = np.r_[0, np.cumsum(n)[:-1]]
-            at = np.repeat(self.start[docs[has]] - heads, n) + np.arange(n.sum())
-            out[has] = np.add.reduceat(dense[self.terms[at]] * self.impact[at], heads)
+            at = _spans(self.start[docs[has]], n)
+            out[has] = np.add.reduceat(dense[self.terms[at]] * self.impact[at], np.cumsum(n) - n)
         return out
 
 
@@ -128,103 +117,117 @@ class Best:
 
 
 def evaluate(shard: Shard, terms: np.ndarray, weights: np.ndarray, best: Best, dense: np.ndarray) -> int:
-    """Bring the query's best up to date with a shard; returns how many documents were scored in full.
-
-    Partial scores are lower bounds, so the k-th of them raises the threshold
-    as lists are read, and lists are read only as long as too many documents
-    can still reach it.
-    """
-    most = shard.term_max[terms] * weights
-    live = most > 0
-    order = np.flatnonzero(live)[np.argsort(-most[live], kind="stable")]
-    terms, weights, most = terms[order], weights[order], most[order]
+    """Bring the query's best up to date with a shard; returns how many of its postings were read."""
+    most_of_term = shard.term_max[terms] * weights
+    terms, weights, most_of_term = terms[most_of_term > 0], weights[most_of_term > 0], most_of_term[most_of_term > 0]
     if not len(terms):
         return 0
-    low = best.threshold
-    bound = shard.bounds(terms, weights)
-    if bound.max() < low * (1 - SLACK):
-        return 0
-    after = np.r_[np.cumsum(most[::-1])[::-1][1:], 0.0]  # what the lists after each can add at most
-    score = np.zeros(len(shard.ids))
-    at = 0
-    pivot = min(len(terms), int(np.searchsorted(-after, -low, side="right")) + 1) if low > 0 else max(1, len(terms) // 4)
-    left = bound.copy()
-    while True:
-        score += shard.partial(terms[at:pivot], weights[at:pivot])
-        left -= shard.bounds(terms[at:pivot], weights[at:pivot])
-        at = pivot
-        if len(score) >= best.k:
-            low = max(low, float(np.partition(score, len(score) - best.k)[len(score) - best.k]))
-        floor = low * (1 - SLACK) - SLACK
-        most_of = score + left[shard.block_of]
-        can = (bound[shard.block_of] >= floor) & (most_of >= floor) & (most_of > SLACK)
-        docs = np.flatnonzero(can)
-        if at == len(terms) or len(docs) <= 4 * best.k:
-            break
-        pivot = min(len(terms), at + max(16, (len(terms) - at) // 2))
-    reach = score[docs] + left[shard.block_of[docs]]
-    docs, reach = docs[np.argsort(-reach, kind="stable")], -np.sort(-reach)
+    size = shard.cell_first[terms + 1] - shard.cell_first[terms]
+    cells = _spans(shard.cell_first[terms], size)
+    which = np.repeat(np.arange(len(terms)), size)
+    block, weight = shard.cell_block[cells], weights[which]
+    most = shard.cell_max[cells] * weight
+    bound = np.bincount(block, most, shard.blocks)
+    order = np.argsort(-bound, kind="stable")
+    order = order[: np.count_nonzero(bound)]
+    ascending = np.argsort(most_of_term, kind="stable")
+    summed = np.cumsum(most_of_term[ascending])
     dense[terms] = weights
-    done, step = 0, 2 * best.k
-    while done < len(docs) and reach[done] >= best.threshold * (1 - SLACK) - SLACK:
-        part = docs[done : done + step]
-        best.add(shard.full(part, dense), shard.ids[part])
-        done += len(part)
+    read, at, step = 0, 0, max(1, len(order) // 8)
+    while at < len(order):
+        floor = best.threshold * (1 - SLACK)
+        own = order[at : at + step]
+        at, step = at + step, 3 * step
+        own = own[bound[own] >= floor]
+        if not len(own):
+            break  # bounds fall
+        mark = np.zeros(shard.blocks, bool)
+        mark[own] = True
+        light = np.zeros(len(terms), bool)
+        light[ascending[summed < floor]] = True
+        inside, light_cell = mark[block], light[which]
+        heavy = np.flatnonzero(inside & ~light_cell)
+        score = shard.partial(cells[heavy], weight[heavy])
+        read += int(shard.cell_size[cells[heavy]].sum())
+        if light.any():
+            rest = np.flatnonzero(inside & light_cell)
+            reach = np.bincount(block[rest], most[rest], shard.blocks)
+            on = np.flatnonzero(score > 0)
+            on = on[score[on] + reach[shard.block_of[on]] >= floor]
+            mark[:] = False
+            mark[shard.block_of[on]] = True
+            rest = rest[mark[block[rest]]]
+            read += int(shard.cell_size[cells[rest]].sum())
+            score[on] += shard.partial(cells[rest], weight[rest])[on]
+        docs = np.flatnonzero(score > 0)
+        if len(docs) > best.k:
+            kth = np.partition(score[docs], len(docs) - best.k)[len(docs) - best.k]
+            floor = max(floor, float(kth) * (1 - SLACK))
+        docs = docs[score[docs] >= floor]
+        best.add(shard.full(docs, dense), shard.ids[docs])
     dense[terms] = 0
-    return done
+    return read
 
 
-def _numbered(text: str | None, get) -> tuple[np.ndarray, np.ndarray, int]:
-    """Numbers of the known terms, ascending, their counts, and the text's length in words."""
-    words = words_of(text)
-    found = [i for w in words if (i := get(w)) is not None]
-    terms, counts = np.unique(np.array(found, dtype=np.int32), return_counts=True)
-    return terms, counts, len(words)
+def _index(vocabulary):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, length, terms, counts): each document's known words by number, ascending."""
+        get = vocabulary.value.get
+        for batch in batches:
+            length, size, terms, counts = [], [0], [], []
+            for text in batch.column("text").to_pylist():
+                words = words_of(text)
+                found = np.array([i for w in words if (i := get(w)) is not None], np.int32)
+                own, n = np.unique(found, return_counts=True)
+                length.append(len(words))
+                size.append(size[-1] + len(own))
+                terms.append(own)
+                counts.append(n.astype(np.int32))
+            none, ends = np.zeros(0, np.int32), pa.array(size, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(length, pa.int32()), *(pa.ListArray.from_arrays(ends, pa.array(np.concatenate([none, *x]))) for x in (terms, counts))], ["doc_id", "length", "terms", "counts"])
+
+    return run
 
 
-def _count(vocabulary):
+def _count(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(term, n) over the task's documents; term -1: documents, -2: words."""
-        terms, total, docs = vocabulary.value, 0, 0
-        counts = np.zeros(len(terms), dtype=np.int64)
+        counts, total, docs = np.zeros(size, np.int64), 0, 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                own = set(map(terms.get, words))
-                own.discard(None)
-                counts[list(own)] += 1
-                total, docs = total + len(words), docs + 1
+            counts += np.bincount(batch.column("terms").flatten().to_numpy(), minlength=size)
+            total, docs = total + int(batch.column("length").to_numpy().sum()), docs + batch.num_rows
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, -2, some].astype(np.int32)), pa.array(np.r_[docs, total, counts[some]].astype(np.int64))], ["term", "n"])
 
     return run
 
 
-def _search(vocabulary, queries, idf: np.ndarray, mean: float, k: int, k1: float, b: float, shard_docs: int, block_docs: int):
+def _search(queries, idf: np.ndarray, mean: float, k: int, k1: float, b: float, shard_docs: int, shard_postings: int, block_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, asked = vocabulary.value.get, queries.value
+        asked = queries.value
         best = [Best(k) for _ in asked]
         dense = np.zeros(len(idf))
-        ids: list[int] = []
-        rest: tuple[list, list, list] = ([], [], [])
+        held: list[pa.RecordBatch] = []
+        docs = postings = 0
 
         def finish() -> None:
-            shard = Shard(ids, *rest, idf, mean, k1, b, block_docs)
-            for (_, terms, weights), own in zip(asked, best):
-                evaluate(shard, terms, weights, own, dense)
-            ids.clear()
-            for x in rest:
-                x.clear()
+            table = pa.Table.from_batches(held).combine_chunks()
+            terms, counts = (table.column(x).combine_chunks() for x in ("terms", "counts"))
+            sizes = np.diff(terms.offsets.to_numpy())
+            shard = Shard(table.column("doc_id").to_numpy(), table.column("length").to_numpy(), sizes, terms.flatten().to_numpy(), counts.flatten().to_numpy(), idf, mean, k1, b, block_docs)
+            for (_, own, weights), so_far in zip(asked, best):
+                evaluate(shard, own, weights, so_far, dense)
+            held.clear()
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                terms, counts, length = _numbered(text, get)
-                ids.append(doc_id)
-                for x, v in zip(rest, (length, terms, counts)):
-                    x.append(v)
-                if len(ids) >= shard_docs:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                held.append(part)
+                docs, postings = docs + part.num_rows, postings + len(part.column("terms").flatten())
+                if docs >= shard_docs or postings >= shard_postings:
                     finish()
-        if ids:
+                    docs = postings = 0
+        if held:
             finish()
         for at in range(0, len(asked), 512):
             part = [(q[0], o) for q, o in zip(asked[at : at + 512], best[at : at + 512])]
@@ -236,7 +239,7 @@ def _search(vocabulary, queries, idf: np.ndarray, mean: float, k: int, k1: float
     return run
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, shard_docs: int = 16_384, block_docs: int = 64, max_terms: int = 1_000_000) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, shard_docs: int = 16_384, shard_postings: int = 6_000_000, block_docs: int = 64, max_terms: int = 1_000_000, task_docs: int = 250_000) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best of docs (doc_id long, text) for each of queries (query_id long, text).
 
     Words are lower-cased runs of letters and digits; a word counts in a query
@@ -246,15 +249,15 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
     count in the statistics); of repeated rows each document counts, each query
     once. max_terms bounds the sum of the distinct words of the queries in a
     block; longer query sets go through the documents once more for each block.
+    A shard has shard_docs documents or shard_postings postings at most (one
+    document may have more), a task about task_docs documents.
     """
-    spark = docs.sparkSession
-    sc = spark.sparkContext
+    sc = docs.sparkSession.sparkContext
     asked = queries.where("query_id is not null").select("query_id", "text").distinct()
-    terms = asked.mapInArrow(_query_terms, "query_id long, terms array<string>, counts array<int>")
+    terms = stage(asked.mapInArrow(_query_terms, "query_id long, terms array<string>, counts array<int>"), "queries")
     total = terms.agg(F.sum(F.size("terms"))).first()[0] or 0
     blocks = -(-max(total, 1) // max_terms)
     corpus = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    few = max(4 * sc.defaultParallelism, 1)
     out = None
     for block in range(blocks):
         rows = terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
@@ -262,9 +265,12 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
         packed = []
         for r in sorted(rows, key=lambda r: r["query_id"]):
             own = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in r["terms"]], dtype=np.int32)
-            packed.append((r["query_id"], own, np.array(r["counts"], dtype=float)))
-        known, sent = sc.broadcast(vocabulary), sc.broadcast(packed)
-        counted = corpus.mapInArrow(_count(known), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+            order = np.argsort(own)
+            packed.append((r["query_id"], own[order], np.array(r["counts"], dtype=float)[order]))
+        known = sc.broadcast(vocabulary)
+        index = stage(corpus.mapInArrow(_index(known), "doc_id long, length int, terms array<int>, counts array<int>"), "index")
+        known.destroy()
+        counted = index.select("length", "terms").mapInArrow(_count(len(vocabulary)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
         n = {r[0]: r[1] for r in counted}
         every, words = n.get(-1, 0), n.get(-2, 0)
         df = np.zeros(len(vocabulary))
@@ -272,7 +278,11 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
             if term >= 0:
                 df[term] = count
         idf = np.log(1 + (every - df + 0.5) / (df + 0.5))
-        found = corpus.where("doc_id is not null").coalesce(few).mapInArrow(_search(known, sent, idf, words / max(every, 1), k, k1, b, shard_docs, block_docs), "query_id long, doc_id long, score double")
+        tasks = max(4 * sc.defaultParallelism, -(-every // task_docs))
+        sent = sc.broadcast(packed)
+        found = index.where("doc_id is not null").coalesce(tasks).mapInArrow(_search(sent, idf, words / max(every, 1), k, k1, b, shard_docs, shard_postings, block_docs), "query_id long, doc_id long, score double")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+        found = stage(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score"), "found")
+        sent.destroy()
         out = found if out is None else out.unionByName(found)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    return out

@@ -57,16 +57,37 @@ def test_edge_cases(spark):
     assert search.search(docs, spark.createDataFrame([], "query_id long, text string")).count() == 0
 
 
-def test_pruning_leaves_documents_out():
+def test_postings_are_left_unread():
+    """Counted as read: far fewer than the query's lists hold; the k best are those of scoring every document."""
     rng = np.random.default_rng(1)
-    terms = [np.unique(rng.zipf(1.3, 40) % 500).astype(np.int32) for _ in range(4000)]
-    df = np.bincount(np.concatenate(terms), minlength=500)
-    idf = np.log(1 + (4000 - df + 0.5) / (df + 0.5))
-    shard = search.Shard(list(range(4000)), [len(t) for t in terms], terms, [np.ones(len(t)) for t in terms], idf, 30.0, 1.2, 0.75, 64)
-    dense, best = np.zeros(500), search.Best(10)
-    query = np.sort(terms[17])
-    scored = search.evaluate(shard, query, np.ones(len(query)), best, dense)
-    dense[query] = 1
-    every = shard.full(np.arange(4000), dense)
-    want = np.lexsort((np.arange(4000), -every))[:10]
-    assert best.ids.tolist() == want.tolist() and scored < 2000
+    topic = np.repeat(np.arange(40), 500)  # documents of one topic stand together
+    terms = [np.unique(np.r_[rng.zipf(1.3, 30) % 400, 400 + 15 * t + rng.integers(0, 15, 6)]).astype(np.int32) for t in topic]
+    sizes = np.array(list(map(len, terms)))
+    df = np.bincount(np.concatenate(terms), minlength=1000)
+    idf = np.log(1 + (len(terms) - df + 0.5) / (df + 0.5))
+    every = np.concatenate(terms)
+    shard = search.Shard(np.arange(len(terms)), sizes, sizes, every, np.ones(len(every), int), idf, sizes.mean(), 1.2, 0.75, 64)
+    shares = []
+    for q in range(0, 20_000, 997):
+        query = np.r_[terms[q][:6], terms[q][-4:]]  # frequent words and words of the topic
+        dense, best, weights = np.zeros(1000), search.Best(10), np.ones(len(query))
+        read = search.evaluate(shard, query, weights, best, dense)
+        assert not dense.any()
+        dense[query] = 1
+        scores = shard.full(np.arange(len(terms)), dense)
+        want = np.lexsort((np.arange(len(terms)), -scores))[:10]
+        assert best.ids.tolist() == want.tolist() and best.scores.tolist() == scores[want].tolist()
+        shares.append(read / df[query].sum())
+        again = search.evaluate(shard, query, weights, search.Best(10), np.zeros(1000))
+        assert again == read
+    assert np.mean(shares) < 0.25 and max(shares) < 0.6
+
+
+def test_words_of_all_documents_still_match():
+    """A word that every document has scores next to nothing, but not nothing."""
+    n = 10**4
+    idf = np.array([math.log(1 + 0.5 / (10**12 + 0.5))])
+    shard = search.Shard(np.arange(n), np.ones(n, int), np.ones(n, int), np.zeros(n, np.int32), np.ones(n, int), idf, 1.0, 1.2, 0.75, 64)
+    best = search.Best(10)
+    search.evaluate(shard, np.array([0]), np.ones(1), best, np.zeros(1))
+    assert best.ids.tolist() == list(range(10)) and (best.scores > 0).all()
