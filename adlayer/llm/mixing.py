@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stage, text_key
+
 BINS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -57,18 +59,20 @@ def key_of(doc_id: Column, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, epochs: int = 3, seed: int = 11) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, repeats) for each row of docs (doc_id, text, source).
+    """(doc_id, source, size, source_size, target, taken, repeats, text_key) for each row of docs (doc_id, text, source).
 
     size: words of the text, null 0. repeats: how often the mix takes the
     document; taken: repeats x size. weights: (source, weight), by default 1,
     2, 3 in turn. Null is a source like any other. Rows with one doc_id are
-    ordered by size; equal ones among them are alike, and any may be the one
-    that the quota ends at. Sources are taken to be few against documents.
+    ordered by size, then text_key, a hash of the text; equal ones among them
+    are alike, and any may be the one that the quota ends at. Sources are taken to be few against documents: one
+    task orders their sizes. Other columns of docs don't matter; an empty table
+    gives an empty mix.
     """
-    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), key_of(F.col("doc_id"), seed).alias("key"))
-    sized = sized.withColumn("bin", (F.conv(F.substring("key", 1, 3), 16, 10)).cast("int"))
+    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), key_of(F.col("doc_id"), seed).alias("key"), text_key(F.col("text")).alias("text_key"))
+    sized = stage(sized.withColumn("bin", (F.conv(F.substring("key", 1, 3), 16, 10)).cast("int")), "sizes")  # texts are split into words once
     bins = sized.groupBy("source", "bin").agg(F.sum("size").alias("words"))
-    weights = weigh_in_turn(docs.select("source")) if weights is None else weights
+    weights = weigh_in_turn(sized.select("source")) if weights is None else weights
     by_source = bins.groupBy("source").agg(F.sum("words").alias("source_size"))
     targets = fill(by_source, weights, epochs)
     whole = F.floor(F.col("target") / F.greatest("source_size", F.lit(1))).cast("int")
@@ -84,9 +88,9 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, epochs: int = 3, seed
     )
     placed = sized.join(cut, F.col("source").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("of_bin")))
     ends = (F.col("below") < F.col("quota")) & (F.col("upto") > F.col("quota"))
-    names = ["doc_id", "source", "size", "source_size", "target", "whole"]
+    names = ["doc_id", "source", "size", "source_size", "target", "whole", "text_key"]
     clear = placed.where(~ends).select(*names, ((F.col("quota") > 0) & (F.col("upto") <= F.col("quota"))).cast("int").alias("once"))
-    run = F.sum("size").over(Window.partitionBy("source", "bin").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum("size").over(Window.partitionBy("source", "bin").orderBy("key", "size", "text_key").rowsBetween(Window.unboundedPreceding, 0))
     tight = placed.where(ends).withColumn("run", F.col("below") + run).select(*names, (F.col("run") - F.col("size") / 2 <= F.col("quota")).cast("int").alias("once"))
     repeats = F.col("whole") + F.col("once")
-    return clear.unionByName(tight).select("doc_id", "source", "size", "source_size", "target", (repeats * F.col("size")).cast("long").alias("taken"), repeats.cast("int").alias("repeats"))
+    return clear.unionByName(tight).select("doc_id", "source", "size", "source_size", "target", (repeats * F.col("size")).cast("long").alias("taken"), repeats.cast("int").alias("repeats"), "text_key")

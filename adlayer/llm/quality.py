@@ -27,7 +27,7 @@ from .common import bounded_sample
 
 WORD_BUCKETS = 1 << 14
 LEVELS = 12
-_UPPER, _DIGIT, _MARK = (re.compile(p) for p in (r"[A-ZÀ-ÖØ-Þ]", r"[0-9]", r"[^\w\s]"))
+_UPPER, _DIGIT, _MARK = (re.compile(p) for p in ("[" + "".join(filter(str.isupper, map(chr, range(0x10000)))) + "]", r"[0-9]", r"[^\w\s]"))
 #: Structure statistics and metadata, each cut into LEVELS levels between two values.
 STATISTICS = {
     "log_words": (0.0, 10.0), "word_length": (0.0, 16.0), "upper": (0.0, 1.0), "digits": (0.0, 0.5), "marks": (0.0, 0.5), "distinct": (0.0, 1.0),

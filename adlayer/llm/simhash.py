@@ -381,13 +381,15 @@ def classes(edges: DataFrame, most: int = 40) -> DataFrame:
     """(node, root) for each node of edges (a, b): the smallest node that it is connected to.
 
     Alternates large-star and small-star steps until the edges stay the same.
+    The centre of a large class has an edge to each of its nodes; such are
+    split from the rest.
     """
     edges = stage(edges.where("a <> b"), "edges")
-    before = None
+    before, total = None, edges.count()
     for _ in range(most):
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = stage(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "least")
+        large = split_join(both, least, ["a"], 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
@@ -397,7 +399,7 @@ def classes(edges: DataFrame, most: int = 40) -> DataFrame:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, total = now, now[0]
     else:
         raise RuntimeError(f"classes have not settled after {most} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

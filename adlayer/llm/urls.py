@@ -116,7 +116,9 @@ def fit(labelled: DataFrame, max_rows: int = 20_000, trees: int = 15, depth: int
     if not total or blocked in (0, total):
         return UrlModel(None, suffixes, prior)
     sample = bounded_sample(rows, F.col("url"), max_rows)
-    ready = stage(_ready(sample, suffixes, prior).select("label", *FEATURES), "training")
+    own = counted.select(F.col("suffix").alias("of"), "n", "blocked")  # a row's own label doesn't count in its suffix's share
+    others = sample.join(own, suffix_of(F.col("host")) == F.col("of")).select("url", "host", "path", "label", F.log1p(F.col("n") - 1).alias("suffix_seen"), ((F.col("blocked") - F.col("label") + 2 * prior) / (F.col("n") + 1)).alias("suffix_block_share"))
+    ready = stage(with_lexical(others).select("label", *FEATURES), "training")
     data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(ready).select("label", "features")
     learner = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=seed, checkpointInterval=-1, maxMemoryInMB=64)
     return UrlModel(learner.fit(data), suffixes, prior)
@@ -133,7 +135,8 @@ def judge(urls: DataFrame, rules: list[Rule], model: UrlModel, threshold: float
     rule: the pattern of the longest rule that fits, or null; verdict: the
     rule's, else block if the trees' probability of a block, block_score, is at
     least threshold, else allow. Null urls and those without `://` have an
-    empty host and path and are judged by the trees like any other.
+    empty host and path and are judged by the trees like any other. Other
+    columns of urls are left out, whatever their names.
     """
     split = urls.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     split = split.withColumn("_rule", rule_for(rules, F.col("host"), F.col("path")))

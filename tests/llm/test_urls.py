@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,3 +67,21 @@ def test_one_label_or_none(spark):
     blocked = urls.labelled_by([urls.Rule("block", "net/")], pages)
     assert {r["verdict"] for r in urls.judge(pages, [], urls.fit(blocked)).collect()} == {"block"}
     assert urls.judge(pages.where("false"), [], urls.fit(none)).count() == 0
+
+
+def test_held_out_urls(spark):
+    """Trained on some of the labelled URLs, right on the others."""
+    draw = random.Random(4)
+    word = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = []
+    for i in range(900):
+        spam = draw.random() < 0.4
+        host = f"{word(5)}-{word(4)}-{draw.randrange(10**6)}.{draw.choice(['net', 'info'])}" if spam else f"{word(7)}.{draw.choice(['org', 'net'])}"
+        path = f"/{draw.randrange(10**8)}/{word(20)}?a={i}&b={word(9)}&c=1" if spam else f"/{word(6)}/{word(5)}"
+        rows.append((i, f"http://{host}{path}", int(spam)))
+    df = spark.createDataFrame(rows, "page_id long, url string, label int").withColumns({"host": urls.host_of(F.col("url")), "path": urls.path_of(F.col("url"))})
+    held = F.crc32("url") % 4 == 0
+    model = urls.fit(df.where(~held).select("url", "host", "path", "label"), trees=5, depth=3)
+    got = urls.judge(df.where(held).withColumn("verdict", F.lit("clash")), [], model).join(df.select("page_id", "label"), "page_id").collect()
+    hits = sum(r["verdict"] == "block" and r["label"] for r in got)
+    assert hits >= 0.95 * sum(r["label"] for r in got) and hits >= 0.95 * sum(r["verdict"] == "block" for r in got)
