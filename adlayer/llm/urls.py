@@ -64,7 +64,7 @@ def _count(text: Column, what: str) -> Column:
 
 
 LEXICAL = ["url_length", "host_length", "path_length", "depth", "labels", "digit_share", "host_digits", "host_hyphens", "marks", "parameters", "query_length", "has_fragment", "secure", "host_entropy", "path_entropy", "longest_label"]
-FEATURES = [*LEXICAL, "suffix_seen", "suffix_block_share"]
+FEATURES = [*LEXICAL, "suffix_seen", "suffix_block_share", "section_seen", "section_block_share"]
 
 
 def with_lexical(urls: DataFrame) -> DataFrame:
@@ -94,39 +94,58 @@ def with_lexical(urls: DataFrame) -> DataFrame:
 
 @dataclass
 class UrlModel:
-    """trees: None where the training rows have one label or none; that label (block or not) then holds for all."""
+    """trees: None where the training rows have one label or none; that label (block or not) then holds for all.
+
+    suffixes: (suffix, n, blocked), sections: (suffix, section, n, blocked), of labelled rows that the trees haven't seen.
+    """
 
     trees: GBTClassificationModel | None
     suffixes: DataFrame
+    sections: DataFrame
     prior: float
 
 
+def section_of(path: Column) -> Column:
+    """The first part of a path."""
+    return F.substring_index(F.ltrim(path, F.lit("/")), "/", 1)
+
+
 def fit(labelled: DataFrame, max_rows: int = 20_000, trees: int = 15, depth: int = 4, seed: int = 5) -> UrlModel:
     """Learn from labelled (url, host, path, label): label 1 is block, 0 allow, others are left out.
 
-    max_rows bounds the rows that the trees are trained on; the counts of
-    suffixes take all labelled rows.
+    Half of the rows, by a hash of the url, give the statistics of suffixes and
+    of sections (suffix and first part of the path), the other half trains the
+    trees: a row's own label is in no feature of its own. max_rows bounds the
+    rows that the trees are trained on; the statistics take all of their half.
     """
     rows = labelled.where("label in (0, 1)").select("url", "host", "path", F.col("label").cast("double").alias("label"))
-    counted = rows.withColumn("suffix", suffix_of(F.col("host"))).groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
-    counted = stage(counted, "suffixes")
-    total, blocked = counted.agg(F.sum("n"), F.sum("blocked")).first()
+    half = F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(2)) == 0
+    placed = rows.withColumn("suffix", suffix_of(F.col("host"))).withColumn("section", section_of(F.col("path")))
+    sections = stage(placed.groupBy("suffix", "section").agg(F.count_if(half).alias("n"), F.sum(F.when(half, F.col("label")).otherwise(0.0)).alias("blocked"), F.count("*").alias("every"), F.sum("label").alias("every_blocked")), "sections")
+    total, blocked = sections.agg(F.sum("every"), F.sum("every_blocked")).first()
     prior = (blocked or 0.0) / total if total else 0.0
-    suffixes = counted.select("suffix", F.log1p("n").alias("suffix_seen"), ((F.col("blocked") + 2 * prior) / (F.col("n") + 2)).alias("suffix_block_share"))
+    suffixes = sections.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"))
+    sections = sections.select("suffix", "section", "n", "blocked")
     if not total or blocked in (0, total):
-        return UrlModel(None, suffixes, prior)
-    sample = bounded_sample(rows, F.col("url"), max_rows)
-    own = counted.select(F.col("suffix").alias("of"), "n", "blocked")  # a row's own label doesn't count in its suffix's share
-    others = sample.join(own, suffix_of(F.col("host")) == F.col("of")).select("url", "host", "path", "label", F.log1p(F.col("n") - 1).alias("suffix_seen"), ((F.col("blocked") - F.col("label") + 2 * prior) / (F.col("n") + 1)).alias("suffix_block_share"))
-    ready = stage(with_lexical(others).select("label", *FEATURES), "training")
+        return UrlModel(None, suffixes, sections, prior)
+    sample = bounded_sample(rows.where(~half), F.col("url"), max_rows)
+    ready = stage(_ready(sample, suffixes, sections, prior).select("label", *FEATURES), "training")
+    if ready.select("label").distinct().count() < 2:
+        return UrlModel(None, suffixes, sections, prior)
     data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(ready).select("label", "features")
     learner = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=seed, checkpointInterval=-1, maxMemoryInMB=64)
-    return UrlModel(learner.fit(data), suffixes, prior)
+    return UrlModel(learner.fit(data), suffixes, sections, prior)
 
 
-def _ready(urls: DataFrame, suffixes: DataFrame, prior: float) -> DataFrame:
-    joined = with_lexical(urls).withColumn("_suffix", suffix_of(F.col("host"))).join(suffixes, F.col("_suffix") == F.col("suffix"), "left").drop("_suffix", "suffix")
-    return joined.fillna({"suffix_seen": 0.0, "suffix_block_share": prior})
+def _ready(urls: DataFrame, suffixes: DataFrame, sections: DataFrame, prior: float) -> DataFrame:
+    """urls (url, host, path, ...) with all features. What a section hasn't shown comes from its suffix, and that from all rows."""
+    made = with_lexical(urls).withColumn("_suffix", suffix_of(F.col("host"))).withColumn("_section", section_of(F.col("path")))
+    of_suffix = suffixes.select(F.col("suffix").alias("_suffix"), F.col("n").alias("_n"), F.col("blocked").alias("_blocked"))
+    of_section = sections.select(F.col("suffix").alias("_suffix"), F.col("section").alias("_section"), F.col("n").alias("_m"), F.col("blocked").alias("_held"))
+    joined = made.join(of_suffix, "_suffix", "left").join(of_section, ["_suffix", "_section"], "left").fillna(0, ["_n", "_blocked", "_m", "_held"])
+    share = (F.col("_blocked") + 2 * prior) / (F.col("_n") + 2)
+    joined = joined.withColumns({"suffix_seen": F.log1p("_n"), "suffix_block_share": share, "section_seen": F.log1p("_m"), "section_block_share": (F.col("_held") + 2 * share) / (F.col("_m") + 2)})
+    return joined.drop("_suffix", "_section", "_n", "_blocked", "_m", "_held")
 
 
 def judge(urls: DataFrame, rules: list[Rule], model: UrlModel, threshold: float = 0.5) -> DataFrame:
@@ -143,7 +162,7 @@ def judge(urls: DataFrame, rules: list[Rule], model: UrlModel, threshold: float
     if model.trees is None:
         scored = split.withColumn("block_score", F.lit(float(model.prior)))
     else:
-        ready = _ready(split, model.suffixes, model.prior)
+        ready = _ready(split, model.suffixes, model.sections, model.prior)
         assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(ready)
         scored = model.trees.transform(assembled).withColumn("block_score", vector_to_array("probability")[1])
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("block_score") >= threshold, "block").otherwise("allow"))
