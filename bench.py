@@ -2,7 +2,7 @@
 
 Each query is run once to warm up and timed on a second run, written to the
 no-op sink so that all its rows are computed; its seconds go to the error stream
-as it ends. The reference publishes rates of its simulation engines only, which
+as it ends. Published rates are of simulation engines only, which
 are not rebuilt here, so these seconds compare with earlier rounds.
 """
 
