@@ -68,9 +68,9 @@ def test_sketches_keep_pairs_at_the_similarity():
                 both = round(share * union)
                 a, b = np.sort(np.r_[every[:both], every[both::2]]), np.sort(np.r_[every[:both], every[both + 1 :: 2]])
                 rows = [np.frombuffer(similar.sketch(x), np.uint8)[None] for x in (a, b)]
-                fine = similar.plausible(*rows, np.array([len(a) + len(b)]))[0][0]
+                fine = similar.plausible(*rows, np.array([len(a)]), np.array([len(b)]))[0][0]
                 kept, dropped = kept + (low and fine), dropped + (not low and not fine)
-    assert kept == 420 and dropped > 250
+    assert kept == 420 and dropped > 330
 
 
 def test_nulls_repeats_and_other_columns(spark):
