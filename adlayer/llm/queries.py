@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, langid, mixing, pii, quality, search, simhash, urls, warc
+from . import centroids, decontaminate, html_text, langid, minhash, mixing, pii, quality, search, simhash, urls, warc
 from .common import bounded_sample, fold_of
 
 
@@ -79,6 +79,54 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+#: What op11_minhash_near_dedup gives: all pairs of different sets that share a shingle, then the least id within reach.
+OP11_SQL = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS s FROM cut),
+nodes AS (SELECT md5(array_to_string(s, '|')) AS node, any_value(s) AS s, any_value(len(s)) AS n, MIN(doc_id) AS first FROM sets WHERE len(s) > 0 GROUP BY 1),
+each AS (SELECT node, n, unnest(s) AS g FROM nodes),
+links AS (
+  SELECT a.node AS a, b.node AS b FROM each a JOIN each b ON a.g = b.g AND a.node <> b.node AND 100 * LEAST(a.n, b.n) >= 85 * GREATEST(a.n, b.n)
+  GROUP BY a.node, b.node HAVING 100 * COUNT(*) >= 85 * (any_value(a.n) + any_value(b.n) - COUNT(*))),
+reach(node, other) AS (SELECT node, node FROM nodes UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other),
+least AS (SELECT r.node, MIN(n.first) AS component_id FROM reach r JOIN nodes n ON n.node = r.other GROUP BY r.node)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE component_id END AS component_id,
+       s.doc_id IS NOT DISTINCT FROM CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE component_id END AS kept
+FROM sets s LEFT JOIN least l ON l.node = md5(array_to_string(s.s, '|'))
+"""
+
+
+def _op13_sql(rounds: int = 3) -> str:
+    """Every vector against every centroid, three rounds and a last assignment."""
+    near = """SELECT vec_id, place, v, c.k AS cluster, list_sum(list_transform(list_zip(v, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+  FROM kept, c{0} c QUALIFY ROW_NUMBER() OVER (PARTITION BY place ORDER BY d, cluster) = 1"""
+    parts = ["""WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v, ROW_NUMBER() OVER () AS place FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+kept AS MATERIALIZED (SELECT * FROM whole),
+c0 AS MATERIALIZED (SELECT (ROW_NUMBER() OVER (ORDER BY sha256('1:' || COALESCE(vec_id::VARCHAR, '')), v) - 1)::INT AS k, v AS c FROM kept QUALIFY k < 16)"""]
+    for i in range(rounds):
+        parts.append(f"a{i} AS ({near.format(i)})")
+        parts.append(f"s{i} AS (SELECT cluster, j, SUM(v[j])::BIGINT AS x, COUNT(*) AS n FROM a{i}, range(1, 65) r(j) GROUP BY ALL)")
+        parts.append(f"m{i} AS (SELECT cluster, list((x - ((x % n) + n) % n) // n ORDER BY j) AS c FROM s{i} GROUP BY cluster)")
+        parts.append(f"c{i + 1} AS MATERIALIZED (SELECT k, COALESCE(m.c, c.c) AS c FROM c{i} c LEFT JOIN m{i} m ON m.cluster = c.k)")
+    parts.append(f"a{rounds} AS ({near.format(rounds)})")
+    return ",\n".join(parts) + f"""
+SELECT vec_id, cluster, d AS distance, SUM(d) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, SUM(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.k = a.cluster"""
+
+
 #: What op6_mix_sources gives: sources, water level, then each source's documents in the order of their key.
 OP6_SQL = r"""
 WITH sized AS (
@@ -121,6 +169,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_language_id": op9_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_minhash_near_dedup": op11_minhash_near_dedup,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_mix_sources": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_mix_sources": OP6_SQL, "op11_minhash_near_dedup": OP11_SQL, "op13_centroid_clusters": _op13_sql()}
