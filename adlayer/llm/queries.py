@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontaminate, html_text, langid, minhash, mixing, pii, quality, search, simhash, urls, warc
+from ..staging import shared_dir
+from . import centroids, decontaminate, html_text, langid, minhash, mixing, phrases, pii, quality, search, simhash, urls, warc
 from .common import bounded_sample, fold_of
 
 
@@ -39,7 +41,10 @@ def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = warc.derive(warc.responses_from_pages(table(spark, sf_dir, "pages")))
+    """The pages as a crawler's WARC files, read back, and what is derived from these."""
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(warc.responses_from_pages(table(spark, sf_dir, "pages")), path)
+    made = warc.derive(warc.read(spark, path))
     source = lambda k: F.try_element_at(F.col("headers"), F.lit(k))
     return made.select(
         source("WARC-Page-ID").cast("long").alias("page_id"), "record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "block_digest",
@@ -84,6 +89,10 @@ def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -108,6 +117,26 @@ FROM sets s LEFT JOIN least l ON l.node = md5(array_to_string(s.s, '|'))
 """
 
 
+#: What op12_phrase_collocations gives: every phrase of one to five words counted.
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT COALESCE(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+cut AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+spans AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM cut, range(1, 6) s(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, COUNT(*) AS f FROM spans GROUP BY ALL),
+totals AS (SELECT lang, SUM(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+often AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE f >= 100),
+held AS (SELECT lang, unnest([array_to_string(w[1:k - 1], ' '), array_to_string(w[2:k], ' ')]) AS phrase, f FROM often WHERE k > 2),
+closed AS (SELECT * FROM often o WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM held h WHERE h.lang = o.lang AND h.phrase = o.phrase AND 100 * h.f >= 100 * o.f)),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, x.f AS l, y.f AS r, n, (1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f) AS score, j
+  FROM closed c JOIN totals t ON t.lang = c.lang, range(1, 5) s(j), often x, often y
+  WHERE j < c.k AND x.lang = c.lang AND x.phrase = array_to_string(c.w[1:j], ' ') AND y.lang = c.lang AND y.phrase = array_to_string(c.w[j + 1:c.k], ' ')),
+best AS (SELECT * FROM cuts QUALIFY ROW_NUMBER() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM best QUALIFY rank <= 2000
+"""
+
+
 def _op13_sql(rounds: int = 3) -> str:
     """Every vector against every centroid, three rounds and a last assignment."""
     near = """SELECT vec_id, place, v, c.k AS cluster, list_sum(list_transform(list_zip(v, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
@@ -170,7 +199,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_minhash_near_dedup": op11_minhash_near_dedup,
+    "op12_phrase_collocations": op12_phrase_collocations,
     "op13_centroid_clusters": op13_centroid_clusters,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_mix_sources": OP6_SQL, "op11_minhash_near_dedup": OP11_SQL, "op13_centroid_clusters": _op13_sql()}
+ORACLE_SQL: dict[str, str] = {"op6_mix_sources": OP6_SQL, "op11_minhash_near_dedup": OP11_SQL, "op12_phrase_collocations": OP12_SQL, "op13_centroid_clusters": _op13_sql()}

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ _SCHEMA = pa.schema([*((c, pa.string()) for c in "record_type record_id refers_t
 _NAMES = {"WARC-Type": "record_type", "WARC-Record-ID": "record_id", "WARC-Refers-To": "refers_to", "WARC-Target-URI": "target_uri", "WARC-Date": "date", "Content-Type": "content_type", "WARC-Block-Digest": "block_digest", "WARC-Payload-Digest": "payload_digest"}
 _LINK = re.compile(r"<(a|img|link|script|iframe)\b[^<>]*?\b(?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TITLE = re.compile(r"<title\b[^<>]*>([^<]*)", re.I)
+_BLANK = re.compile(rb"\r?\n\r?\n")
 _CHARSET = re.compile(r"charset=[\"']?([\w.:-]+)", re.I)
 
 
@@ -52,8 +54,9 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     """Status line, headers in order and payload of an HTTP response; no headers if the block isn't one."""
     if not block.startswith(b"HTTP/"):
         return "", [], block
-    head, _, payload = block.partition(CRLF + CRLF)
-    lines = head.decode("iso-8859-1").split("\r\n")
+    end = _BLANK.search(block)  # some servers end lines with LF alone
+    head, payload = (block[: end.start()], block[end.end() :]) if end else (block, b"")
+    lines = head.decode("iso-8859-1").replace("\r\n", "\n").split("\n")
     return lines[0], [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:]) if k.strip()], payload
 
 
@@ -202,73 +205,172 @@ def format_record(row: dict) -> bytes:
     return "\r\n".join(lines).encode() + CRLF + CRLF + block + CRLF + CRLF
 
 
+#: Bytes of a line, of a record's headers and of its block, at most: a value of a row has to hold the block.
+_LINE, _HEAD, LONGEST = 1 << 16, 1 << 20, 1 << 30
+_PIECE = 1 << 20
+#: Stands on a line of its own, with the place in the file, where a gzip member broke; 255 is in no header.
+_BROKEN = b"\xffbroken gzip member at "
+
+
+class _Tape:
+    """A stream that can take back what was read; at: the place of the next byte."""
+
+    def __init__(self, stream: io.BufferedIOBase) -> None:
+        self.stream, self.held, self.at = stream, b"", 0
+
+    def line(self) -> bytes:
+        """Up to a line's end, _LINE bytes at most."""
+        end = self.held.find(b"\n", 0, _LINE) + 1
+        if not end and len(self.held) < _LINE:
+            self.held += self.stream.readline(_LINE - len(self.held))
+            end = self.held.find(b"\n", 0, _LINE) + 1
+        return self._take(end or min(len(self.held), _LINE))
+
+    def _take(self, n: int) -> bytes:
+        data, self.held = self.held[:n], self.held[n:]
+        self.at += len(data)
+        return data
+
+    def read(self, n: int) -> bytes:
+        """n bytes, or as many as there are, read piece by piece."""
+        parts = [self._take(min(n, len(self.held)))]
+        n -= len(parts[0])
+        while n and (piece := self.stream.read(min(n, _PIECE))):
+            parts.append(piece)
+            self.at += len(piece)
+            n -= len(piece)
+        return b"".join(parts)
+
+    def back(self, data: bytes) -> None:
+        self.held, self.at = data + self.held, self.at - len(data)
+
+
 def parse(stream: io.BufferedIOBase) -> Iterator[dict]:
     """The records of a WARC stream, uncompressed, one at a time.
 
-    Where a record can't be read, one of type `unreadable` stands for it, with
-    the place in the stream and the reason, and reading goes on at the next line
-    that begins a record.
+    A record is one if its headers end, give a length, and the block of that
+    length is followed by an empty line or the stream's end. Whatever else
+    stands in the stream gives records of type `unreadable`, one for each span,
+    with its place and the reason; behind its first line reading goes on at the
+    next line that begins a record, within what a wrong length takes in too.
+    Blocks beyond LONGEST are unreadable.
     """
-    at, line, lost = 0, stream.readline(), None
+    tape, lost, told = _Tape(stream), None, False
 
     def unreadable(place: int, reason: str) -> dict:
         return dict.fromkeys(_NAMES.values()) | {"record_type": "unreadable", "headers": [("Offset", str(place)), ("Reason", reason)], "block": b""}
 
-    while line:
-        begin = at
-        at += len(line)
+    while line := tape.line():
+        begin = tape.at - len(line)
         if not line.startswith(b"WARC/"):
-            if line.strip() and lost is None:
+            if line.startswith(_BROKEN):
+                yield unreadable(int(line[len(_BROKEN) :]), "a broken gzip member, by the place in the file")
+                lost, told = None, True
+            elif line.strip() and lost is None and not told:
                 lost = begin
-            line = stream.readline()
             continue
         if lost is not None:
             yield unreadable(lost, "no record begins here")
-            lost = None
+        lost, told = None, False
         pairs: list[tuple[str, str]] = []
-        while (line := stream.readline()).strip() and not line.startswith(b"WARC/"):
-            at += len(line)
+        head = b""
+        while (line := tape.line()).strip() and not line.startswith((b"WARC/", _BROKEN)) and len(head) < _HEAD:
+            head += line
             k, _, v = line.decode("utf-8", "replace").partition(":")
             pairs.append((k.strip(), v.strip()))
         values = {k.lower(): v for k, v in pairs}
         length = values.get("content-length", "")
-        if line.startswith(b"WARC/") or not line or not re.fullmatch("[0-9]{1,18}", length):
-            yield unreadable(begin, "the headers end early" if line.startswith(b"WARC/") or not line else "no length")
-            if not line.startswith(b"WARC/"):
-                at += len(line)
-                line = stream.readline()
+        if line.strip() or not line:
+            tape.back(line)
+            yield unreadable(begin, "the headers end early")
+            continue
+        if not re.fullmatch("[0-9]{1,18}", length) or int(length) > LONGEST:
+            yield unreadable(begin, "no length" if not length.isdigit() else f"{length} bytes are too many")
+            told = length.isdigit()
             continue
-        at += len(line)
-        block = stream.read(int(length))
-        at += len(block)
-        if len(block) < int(length):
-            yield unreadable(begin, f"{len(block)} of {length} bytes")
-            return
+        block = tape.read(int(length))
+        end = tape.read(4)
+        if len(block) < int(length) or end not in (b"", CRLF + CRLF) and not re.fullmatch(rb"(\r?\n){1,2}", end) and not re.match(rb"\n\n", end):
+            tape.back(block + end)
+            yield unreadable(begin, f"{len(block)} of {length} bytes" if len(block) < int(length) else f"what follows the {length} bytes is no end")
+            told = True
+            continue
+        if end[:2] == b"\n\n":
+            tape.back(end[2:])
         row = {v: values.get(k.lower()) for k, v in _NAMES.items()}
         known = {k.lower() for k in _NAMES} | {"content-length"}
         yield row | {"headers": [x for x in pairs if x[0].lower() not in known], "block": block}
-        line = stream.readline()
+    if lost is not None:
+        yield unreadable(lost, "no record begins here")
 
 
 class _Members(io.RawIOBase):
-    """The bytes of a gzip stream, member after member; a broken member ends it."""
+    """The bytes of a gzip stream, member after member. What can't be unpacked is a line of _BROKEN; reading goes on at the next member that can."""
 
     def __init__(self, raw: io.BufferedIOBase) -> None:
-        self.raw, self.rest = gzip.GzipFile(fileobj=raw), True
+        self.raw, self.held, self.at, self.out = raw, b"", 0, b""
+        self.member, self.began, self.told, self.gave = None, 0, False, False
 
     def readable(self) -> bool:
         return True
 
     def readinto(self, into) -> int:
-        if not self.rest:
-            return 0
+        while not self.out and self._more():
+            pass
+        n = min(len(into), len(self.out))
+        into[:n] = self.out[:n]
+        self.out = self.out[n:]
+        return n
+
+    def _fill(self) -> bool:
+        data = self.raw.read(_PIECE)
+        self.held += data
+        return bool(data)
+
+    def _break(self) -> None:
+        """The member is given up; the next is looked for behind its beginning."""
+        if not self.told:
+            self.out += CRLF + _BROKEN + str(self.began).encode() + CRLF
+        self.told, self.member = True, None
+
+    def _more(self) -> bool:
+        """One step; False at the end."""
+        if self.member is None:
+            if not self.held and not self._fill():
+                return False
+            start = self.held.find(b"\x1f\x8b\x08")
+            skipped = self.held if start < 0 else self.held[:start]
+            if start < 0 and self._fill():  # the sign may be cut in two
+                return True
+            if skipped.strip(b"\0") and not self.told:
+                self.began = self.at
+                self._break()
+            self.at, self.held = self.at + len(skipped), self.held[len(skipped) :]
+            if start >= 0:
+                self.member, self.began, self.gave = zlib.decompressobj(31), self.at, False
+                self.at, self.head, self.held = self.at + 3, self.held[:3], self.held[3:]
+            return True
+        head, self.head = self.head, b""
+        if not self.held and not head and not self._fill():
+            self._break()  # the file ends within the member
+            return True
+        given = self.held
         try:
-            data = self.raw.read1(len(into))
-        except (OSError, EOFError, zlib.error):
-            self.rest = False
-            return 0
-        into[: len(data)] = data
-        return len(data)
+            self.out += self.member.decompress(head + given, _PIECE)
+        except zlib.error:
+            self._break()
+            return True
+        self.gave |= bool(self.out)
+        if self.member.eof:
+            rest = self.member.unused_data
+            self.member, self.told = None, False
+        else:
+            rest = self.member.unconsumed_tail
+            self.told &= not self.gave
+        self.at, self.held = self.at + len(given) - len(rest), rest
+        if self.member is not None and not rest and not self.out and not self._fill():
+            self._break()
+        return True
 
 
 def records_in(raw: io.BufferedIOBase) -> Iterator[dict]:
@@ -281,10 +383,11 @@ def formatted(records: DataFrame, compress: bool = True) -> DataFrame:
     """(record_id, warc binary): each record as a WARC record, by default a gzip member of its own, so that files can be joined end to end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = list(_rows(batch))
-            made = [gzip.compress(x, mtime=0) if compress else x for x in map(format_record, rows)]
-            yield pa.RecordBatch.from_arrays([pa.array([r["record_id"] for r in rows], pa.string()), pa.array(made, pa.binary())], ["record_id", "warc"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                rows = list(_rows(whole.slice(at, 256)))
+                made = [gzip.compress(x, mtime=0) if compress else x for x in map(format_record, rows)]
+                yield pa.RecordBatch.from_arrays([pa.array([r["record_id"] for r in rows], pa.string()), pa.array(made, pa.binary())], ["record_id", "warc"])
 
     return records.select(*_SCHEMA.names).mapInArrow(run, "record_id string, warc binary")
 
@@ -331,3 +434,28 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     yield from _batches(io.BufferedReader(opened, 1 << 20))
 
     return files.select("path").repartition(F.col("path")).mapInArrow(run, RECORD)
+
+
+def write(records: DataFrame, path: str, level: int = 1) -> int:
+    """The records as WARC files in the folder path, a gzip member each, a file for each partition; returns how many.
+
+    A task that runs again writes the same file again. The folder is one that
+    all executors reach by the library of files (a mounted one, or a store).
+    """
+    system, root = fs.FileSystem.from_uri(re.sub("^file:/*", "/", path))
+    system.create_dir(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, to = fs.FileSystem.from_uri(re.sub("^file:/*", "/", path))
+        part, n = TaskContext.get().partitionId(), 0
+        hidden = f"{to}/.{uuid.uuid4().hex}"
+        with own.open_output_stream(hidden) as out:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    for row in _rows(batch.slice(at, 256)):
+                        out.write(gzip.compress(format_record(row), level, mtime=0))
+                        n += 1
+        own.move(hidden, f"{to}/part-{part:06d}.warc.gz")
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    return records.select(*_SCHEMA.names).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -116,3 +116,81 @@ def test_other_records_and_empty_tables(spark):
     made = warc.derive(warc.responses_from_pages(pages))
     assert warc.derive(made).count() == 0 and made.count() == 2
     assert warc.derive(warc.responses_from_pages(pages.where("false"))).count() == 0
+
+
+def made_records(n):
+    return [{k: None for k in warc._SCHEMA.names} | {"record_type": "response", "record_id": f"<urn:{i}>", "headers": [("X", "y")], "block": f"block {i} ".encode() * 40} for i in range(n)]
+
+
+def told(data):
+    """(ids of the records, places of unreadable spans)."""
+    found = list(warc.records_in(io.BufferedReader(io.BytesIO(data))))
+    return [r["record_id"] for r in found if r["record_type"] == "response"], [int(r["headers"][0][1]) for r in found if r["record_type"] == "unreadable"]
+
+
+def test_wrong_lengths_lose_no_whole_record():
+    rows = made_records(5)
+    good = list(map(warc.format_record, rows))
+    own = len(rows[1]["block"])
+    ids = lambda *k: [f"<urn:{i}>" for i in k]
+    for length in (own + 20, own + 140, own + len(good[2]) + 30, 10**6, 10**15, own - 20):
+        wrong = good[1].replace(f"Content-Length: {own}".encode(), f"Content-Length: {length}".encode())
+        assert told(b"".join([good[0], wrong, *good[2:]])) == (ids(0, 2, 3, 4), [len(good[0])]), length
+        assert told(gzip.compress(good[0]) + gzip.compress(wrong) + gzip.compress(good[2]))[0] == ids(0, 2), length
+    assert told(b"".join(good[:2]) + b"lost at the end") == (ids(0, 1), [len(good[0]) + len(good[1])])
+    assert told(good[0] + good[1][:-4]) == (ids(0, 1), []) and told(good[0] + good[1][:-10]) == (ids(0), [len(good[0])])
+    assert told(b"junk " * 50_000 + b"\n" + good[0]) == (ids(0), [0])
+    found, lost = told(good[0] + b"WARC/1.1\r\n" + b"A: b\r\n" * 400_000 + good[1])
+    assert found == ids(0, 1) and lost[0] == len(good[0])
+
+
+def test_broken_members_are_passed():
+    rows = made_records(6)
+    good = [gzip.compress(warc.format_record(r), mtime=0) for r in rows]
+    ids = lambda *k: [f"<urn:{i}>" for i in k]
+    at = [sum(map(len, good[:i])) for i in range(7)]
+    head = bytearray(good[2])
+    head[2] = 7
+    assert told(b"".join([*good[:2], bytes(head), *good[3:]])) == (ids(0, 1, 3, 4, 5), [at[2]])
+    middle = bytearray(good[2])
+    middle[len(middle) // 2 :] = bytes(len(middle) - len(middle) // 2)
+    found, lost = told(b"".join([*good[:2], bytes(middle), *good[3:]]))
+    assert [x for x in found if x != "<urn:2>"] == ids(0, 1, 3, 4, 5) and at[2] in lost
+    cut = b"".join([*good[:2], good[2][:-30], *good[3:]])
+    assert [x for x in told(cut)[0] if x != "<urn:2>"] == ids(0, 1, 3, 4, 5)
+    assert told(b"".join(good[:3]) + bytes(512) + b"".join(good[3:])) == (ids(*range(6)), [])  # padding
+    assert told(b"".join(good[:3]) + b"noise" * 9 + b"".join(good[3:])) == (ids(*range(6)), [at[3]])
+    whole = gzip.compress(b"".join(map(warc.format_record, rows * 3000)), mtime=0)
+    found, lost = told(whole[: len(whole) // 2])
+    assert 1000 < len(found) < 18000 and lost and found == (ids(*range(6)) * 3000)[: len(found)]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(0, 400), st.binary(min_size=1, max_size=12))
+def test_any_damage_to_one_record_leaves_the_others(place, noise):
+    rows = made_records(3)
+    good = list(map(warc.format_record, rows))
+    hit = bytearray(good[1])
+    hit[place : place + len(noise)] = noise.replace(b"W", b"-")
+    for pack in (bytes, gzip.compress):
+        assert [x for x in told(pack(good[0]) + pack(bytes(hit)) + pack(good[2]))[0] if x in ("<urn:0>", "<urn:2>")] == ["<urn:0>", "<urn:2>"]
+
+
+def test_line_feeds_alone():
+    row = response("text/plain", b"")
+    row["block"] = b"HTTP/1.1 200 OK\nContent-Type: text/plain\n\nbody\n\nmore"
+    assert {r["record_type"]: r["block"] for r in warc.derive_one(row)}["conversion"] == b"body\n\nmore"
+
+
+def test_derivatives_in_plain_code(spark, tmp_path):
+    """Written by tasks, read back, derived; links, titles and ids again in plain code."""
+    pages = spark.createDataFrame([(i, f"http://x.org/{i}", f"<title>t {i}</title><p>one {i}<p>two<a href=/{i}>l</a>" if i % 3 else None) for i in range(40)], "page_id long, url string, html string")
+    responses = warc.responses_from_pages(pages.repartition(4))
+    assert warc.write(responses, str(tmp_path / "w")) == 40
+    got = warc.derive(warc.read(spark, str(tmp_path / "w"))).collect()
+    of = {r["headers"]["WARC-Page-ID"] + r["record_type"]: r for r in got}
+    assert len(got) == len(of) == 80 and {r["record_id"] for r in got} == {r["record_id"] for r in warc.derive(responses).collect()}
+    for i in range(40):
+        text, meta = of[f"{i}conversion"], json.loads(bytes(of[f"{i}metadata"]["block"]))
+        assert bytes(text["block"]).decode() == (f"one {i}\ntwol" if i % 3 else "") and text["refers_to"] == of[f"{i}metadata"]["refers_to"]
+        assert meta["html"] == ({"title": f"t {i}", "links": [{"tag": "a", "url": f"/{i}"}]} if i % 3 else {"title": None, "links": []})
