@@ -2,16 +2,27 @@
 
 A patch is a band of whole rows. Sites, neighbours and hash classes are
 numbered within the patch, and pairs across its edge don't count.
+
+Pairs of neighbours are found where the sites are: a task takes the rows of its
+partition in blocks, looks each neighbour up in the block's arrays, and gives
+out only what is open at the block's edges, which alone is shuffled and joined.
+Where partitions hold runs of whole rows, as files and tables in the order of
+sites do, that is a row of sites or two for each block; by_site() makes it so.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions import splitmix
 from ..schemas import BUCKETS, MAX_SPECIES, VACANT
+from ..staging import stage
 
 PATCH_SEED = 0x5EED000000000000
 
@@ -36,21 +47,100 @@ def edges(placed: DataFrame, width: int, forward: bool = True) -> DataFrame:
     return placed.select("patch_id", F.col("site").alias("a"), F.explode(near).alias("n")).select("patch_id", "a", F.col("n.ord").alias("ord"), F.col("n.site").alias("b"))
 
 
-def edge_states(placed: DataFrame, width: int, forward: bool = True) -> DataFrame:
-    """edges with both states: an equi-join on patch and site, a few rows for each site.
+#: Sites of a block.
+BLOCK = 1 << 20
+#: The neighbours of a site by their order: rows down, columns right in even and in odd rows; those counted once for each pair.
+_STEPS = [(0, -1, -1), (0, 1, 1), (-1, -1, 0), (-1, 0, 1), (1, -1, 0), (1, 0, 1)]
+_FORWARD = (1, 4, 5)
+
+
+def by_site(placed: DataFrame) -> DataFrame:
+    """placed, dealt so that each partition has a run of sites."""
+    return placed.repartitionByRange("patch_id", "site").sortWithinPartitions("patch_id", "site")
+
+
+class _Block:
+    """Sites of a partition, sorted; near(ord): where each site's neighbour stands, -1 outside the lattice, -2 outside the block."""
+
+    def __init__(self, batches: list[pa.RecordBatch], width: int) -> None:
+        take = lambda c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in batches])
+        patch, site = take("patch_id").astype(np.int64), take("site").astype(np.int64)
+        order = np.lexsort((site, patch))
+        self.patch, self.site, self.width = patch[order], site[order], width
+        self.state, self.rows = take("state").astype(np.int64)[order], take("rows").astype(np.int64)[order]
+        number = np.cumsum(np.r_[0, self.patch[1:] != self.patch[:-1]])  # of the patch in the block
+        self.base = number * (max(int((self.rows * width).max()), int(self.site.max())) + 1)
+
+    def near(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """(where, site) of the neighbour of that order."""
+        down, even, odd = _STEPS[order]
+        row, col = np.divmod(self.site, self.width)
+        r, c = row + down, col + np.where(row % 2 == 1, odd, even)
+        inside = (r >= 0) & (r < self.rows) & (c >= 0) & (c < self.width)
+        to = np.where(inside, r * self.width + c, 0)
+        key, wanted = self.base + self.site, self.base + to
+        found = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+        return np.where(inside, np.where(key[found] == wanted, found, -2), -1), to
+
+    def open_sites(self, orders: tuple[int, ...]) -> np.ndarray:
+        """Sites that have a neighbour of these orders outside the block."""
+        return np.flatnonzero(np.logical_or.reduce([self.near(i)[0] == -2 for i in orders]))
+
+
+_HALO = "patch_id long, kind long, site long, other long, x long, y long, n long"
 
-    A patch may hold all sites; the join key has the site in it, so no key is large.
-    """
-    near = X.neighbours(F.col("row"), F.col("col"), width, F.col("rows"), forward)
-    out = placed.select("patch_id", F.col("site").alias("a"), F.col("state").alias("state_a"), F.explode(near).alias("n")).select("patch_id", "a", "state_a", F.col("n.ord").alias("ord"), F.col("n.site").alias("b"))
-    other = placed.select("patch_id", F.col("site").alias("b"), F.col("state").alias("state_b"))
-    return out.join(other, ["patch_id", "b"])
+
+def _blocks(width: int, inner):
+    """Rows of _HALO from each block: what inner(block) gives, as columns of arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for columns in inner(_Block(held, width)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(x, len(columns[0])).astype(np.int64)) for x in columns], [c.split(" ")[0] for c in _HALO.split(", ")])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= BLOCK:
+                yield from done()
+                held, n = [], 0
+        if held:
+            yield from done()
+
+    return run
+
+
+def _halo(placed: DataFrame, width: int, inner) -> DataFrame:
+    return placed.select("patch_id", "site", "state", "rows").mapInArrow(_blocks(width, inner), _HALO)
+
+
+def _counted(block: _Block) -> Iterator[tuple]:
+    """kind 0: pairs by patch and states (x, y); 1: pairs with a neighbour (other) that isn't there; 2: sites that others look for."""
+    for i in _FORWARD:
+        at, to = block.near(i)
+        known, lost = np.flatnonzero(at >= 0), np.flatnonzero(at == -2)
+        a, b = block.state[known], block.state[at[known]]
+        pair = np.stack([block.patch[known], np.minimum(a, b), np.maximum(a, b)])
+        (patch, low, high), n = np.unique(pair, axis=1, return_counts=True)
+        yield patch, 0, 0, 0, low, high, n
+        yield block.patch[lost], 1, block.site[lost], to[lost], block.state[lost], 0, 1
+    back = block.open_sites(tuple(i for i in range(len(_STEPS)) if i not in _FORWARD))
+    yield block.patch[back], 2, block.site[back], 0, block.state[back], 0, 1
 
 
 def pair_counts(placed: DataFrame, width: int) -> DataFrame:
     """(patch_id, low, high, n): neighbouring pairs by their two states."""
-    low, high = X.canonical_pair(F.col("state_a"), F.col("state_b"))
-    return edge_states(placed, width).groupBy("patch_id", low.alias("low"), high.alias("high")).agg(F.count("*").alias("n"))
+    halo = stage(_halo(placed, width, _counted), "halo")
+    lost = halo.where("kind = 1").select("patch_id", F.col("other").alias("site"), "x")
+    across = lost.join(halo.where("kind = 2").select("patch_id", "site", F.col("x").alias("y")), ["patch_id", "site"])
+    low, high = X.canonical_pair(F.col("x"), F.col("y"))
+    every = halo.where("kind = 0").select("patch_id", F.col("x").alias("low"), F.col("y").alias("high"), "n").unionByName(across.select("patch_id", low.alias("low"), high.alias("high"), F.lit(1).cast("long").alias("n")))
+    sums = every.groupBy("patch_id", "low", "high").agg(F.sum("n").alias("n"))
+    kinds = dict(placed.dtypes)
+    return sums.select(F.col("patch_id").cast(kinds["patch_id"]), F.col("low").cast(kinds["state"]), F.col("high").cast(kinds["state"]), "n")
 
 
 def template_pairs(reactions: DataFrame) -> DataFrame:
@@ -65,7 +155,10 @@ def site_counts(placed: DataFrame, species: DataFrame) -> DataFrame:
 
     species: (bit), eight rows at most. Corrupt sites count nowhere.
     """
-    bits = F.broadcast(species.select("bit").limit(MAX_SPECIES))  # eight rows
+    known = [r["bit"] for r in species.select("bit").distinct().limit(MAX_SPECIES + 1).collect()]
+    if len(known) > MAX_SPECIES:
+        raise ValueError(f"a lattice has at most {MAX_SPECIES} species")
+    bits = F.broadcast(species.select("bit").distinct())  # eight rows
     both = placed.join(bits, (F.col("state") == VACANT) | (F.col("state") == F.col("bit")))
     seeded = both.withColumn("_seed", F.lit(splitmix.signed(PATCH_SEED)).cast("long").bitwiseXOR(F.col("patch_id").cast("long")))
     hashed = splitmix.with_site_bucket(seeded, "bucket", F.col("site"), F.col("bit"), F.col("_seed"))
@@ -98,10 +191,33 @@ def propensities(live: DataFrame, pressures: dict[int, float] | None = None) ->
     return live.withColumn("weight", F.col("rate_q16") * F.col("live") * X.pressure_factor(a, pa, pb, F.col("is_bimolecular"), of))
 
 
+def _looked_for(state_a: int, state_b: int):
+    """kind 0: a site in state_a, its first neighbour (other) in state_b within the block, and its order (n); 1: neighbours that aren't there; 2: sites in state_b that others look for."""
+
+    def inner(block: _Block) -> Iterator[tuple]:
+        own = block.state == state_a
+        for i in range(len(_STEPS)):
+            at, to = block.near(i)
+            hit = np.flatnonzero(own & (at >= 0) & (block.state[at] == state_b))
+            lost = np.flatnonzero(own & (at == -2))
+            yield block.patch[hit], 0, block.site[hit], to[hit], 0, 0, i
+            yield block.patch[lost], 1, block.site[lost], to[lost], 0, 0, i
+            own = own & ~((at >= 0) & (block.state[at] == state_b))
+        edge = block.open_sites(tuple(range(len(_STEPS))))
+        edge = edge[block.state[edge] == state_b]
+        yield block.patch[edge], 2, block.site[edge], 0, 0, 0, 0
+
+    return inner
+
+
 def pair_candidates(placed: DataFrame, width: int, state_a: int, state_b: int) -> DataFrame:
     """(patch_id, a, b): sites in state_a with their first neighbour, in neighbour order, in state_b."""
-    found = edge_states(placed, width, forward=False).where((F.col("state_a") == state_a) & (F.col("state_b") == state_b))
-    return found.groupBy("patch_id", "a").agg(F.min_by("b", "ord").alias("b"))
+    halo = stage(_halo(placed, width, _looked_for(state_a, state_b)), "halo")
+    there = halo.where("kind = 2").select("patch_id", F.col("site").alias("other"))
+    across = halo.where("kind = 1").join(there, ["patch_id", "other"], "left_semi")
+    every = halo.where("kind = 0").unionByName(across)
+    found = every.groupBy("patch_id", F.col("site").alias("a")).agg(F.min_by("other", "n").alias("b"))
+    return found.select(F.col("patch_id").cast(dict(placed.dtypes)["patch_id"]), "a", "b")
 
 
 def histogram(lattice: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import BUCKETS
+from ..staging import stage
 from .ordered import numbered
 
 
@@ -49,28 +50,69 @@ def species_counts(records: DataFrame, species: DataFrame) -> DataFrame:
     return species.select("species").join(counts, "species", "left").fillna(0, ["n", "with_barrier"])
 
 
-def ranked(records: DataFrame, order: list[Column]) -> DataFrame:
-    """records (species, energy_mev, ...) with `rank` from 0 by energy, then order, within the species, and `n`, its records.
+#: Accuracy of the sketches, and the share of ranks around a cut that they leave open.
+SKETCH, OPEN = 4000, 0.002
+#: Species up to which what is known of each is sent to all tasks.
+FEW = 10_000
 
-    A species, or one energy, can have most of the rows, so no window takes
-    either: rows are numbered over all species in one order, and a species
-    begins at its smallest number. order should tell rows apart.
+
+def _brackets(rows: DataFrame, buckets: int) -> DataFrame:
+    """(species, n, cuts): for each cut between buckets, its rank from 0 and energies lo and hi that the row of that rank lies between, by exact counts.
+
+    A mergeable sketch of each species' energies gives the brackets; where
+    counting shows that one misses its rank, it takes in all energies.
     """
-    placed = numbered(records, ["species", "energy_mev", *order], "_place")
-    starts = placed.groupBy("species").agg(F.min("_place").alias("_first"), F.count("*").alias("n"))
-    return placed.join(starts, "species").withColumn("rank", F.col("_place") - F.col("_first")).drop("_place", "_first")
+    of = F.least(F.lit(buckets).cast("long"), F.col("n"))
+    sketched = rows.groupBy("species").agg(F.count("*").alias("n"), F.min("e").alias("low"), F.max("e").alias("high"), F.kll_sketch_agg_bigint("e", F.lit(SKETCH)).alias("sketch"))
+    many = (F.col("n") > 1) & F.lit(buckets > 1)
+    cuts = sketched.where(many).withColumn("b", F.explode(F.expr("sequence(1L, least(n, %d) - 1)" % buckets))).withColumn("rank", F.floor(F.col("b") * F.col("n") / of))
+    at = lambda by: F.kll_sketch_get_quantile_bigint("sketch", F.array(*(F.lit(min(1.0, max(0.0, b / buckets + by))) for b in range(1, buckets))))
+    whole = F.col("n") < buckets  # then a cut isn't at a share of the ranks
+    near = lambda by, end: F.when(whole, F.col(end)).otherwise(F.get(at(by), F.col("b").cast("int") - 1))
+    asked = stage(cuts.select("species", "n", "low", "high", "b", "rank", near(-OPEN, "low").alias("lo"), near(OPEN, "high").alias("hi")), "asked")
+    each = asked.groupBy("species").agg(F.sort_array(F.collect_list(F.struct("b", "lo", "hi"))).alias("cuts"))  # of `buckets` - 1 cuts
+    counted = _known(rows, each).select("species", F.explode(F.transform("cuts", lambda c: F.struct(c["b"].alias("b"), (F.col("e") < c["lo"]).cast("long").alias("under"), (F.col("e") <= c["hi"]).cast("long").alias("upto")))).alias("c"))
+    counted = counted.groupBy("species", F.col("c.b").alias("b")).agg(F.sum("c.under").alias("under"), F.sum("c.upto").alias("upto"))
+    found = asked.join(counted, ["species", "b"])
+    fine = (F.col("under") <= F.col("rank")) & (F.col("upto") > F.col("rank"))
+    sure = found.select("species", "n", F.struct("b", "rank", F.when(fine, F.col("lo")).otherwise(F.col("low")).alias("lo"), F.when(fine, F.col("hi")).otherwise(F.col("high")).alias("hi")).alias("c"))
+    one = sketched.where(~many).select("species", "n", F.array().cast("array<struct<b:bigint,rank:bigint,lo:bigint,hi:bigint>>").alias("cuts"))
+    return sure.groupBy("species", "n").agg(F.sort_array(F.collect_list("c")).alias("cuts")).unionByName(one)
+
+
+def _known(rows: DataFrame, each: DataFrame) -> DataFrame:
+    """rows joined to a row of each species; it is broadcast if there are few, so that a large species isn't one task."""
+    return rows.join(F.broadcast(each) if each.limit(FEW + 1).count() <= FEW else each, "species")
 
 
 def quantile_buckets(records: DataFrame, order: list[Column], buckets: int = BUCKETS) -> DataFrame:
     """(species, bucket, n, mean_energy_mev, mean_ea_mev) of equal-count energy buckets of each species.
 
     With n records there are B = min(buckets, n) buckets, and bucket b takes
-    the ranks from floor(b n / B) on. mean_ea_mev is over measured barriers
-    only, null without any. Sums are of integers, so no order changes them.
+    the ranks from floor(b n / B) on, by energy (null first), then order, which
+    should tell rows apart. mean_ea_mev is over measured barriers only, null
+    without any. Sums are of integers, so no order changes them. Records
+    without a species are left out.
+
+    No table is sorted: an energy beyond all brackets of the cuts tells its
+    bucket by itself, and such rows are summed where they are. Only rows within
+    a bracket, a few thousandths or those of one frequent energy, get exact
+    ranks, in the order of ranges.
     """
-    n, rank = F.col("n"), F.col("rank")
-    of = F.least(F.lit(buckets), n)
-    bucket = F.floor(((rank + 1) * of - 1) / n).cast("int")
-    placed = ranked(records, order).withColumn("bucket", bucket)
-    sums = placed.groupBy("species", "bucket").agg(F.count("*").alias("n"), F.sum(F.col("energy_mev").cast("long")).alias("_e"), F.sum(F.col("real_ea_mev").cast("long")).alias("_ea"), F.count("real_ea_mev").alias("_barriers"))
-    return sums.select("species", "bucket", "n", (F.col("_e") / F.col("n")).alias("mean_energy_mev"), (F.col("_ea") / F.nullif(F.col("_barriers"), F.lit(0))).alias("mean_ea_mev"))
+    names = [f"_o{i}" for i in range(len(order))]
+    rows = records.where("species is not null").select("species", "energy_mev", "real_ea_mev", F.coalesce(F.col("energy_mev").cast("long"), F.lit(-(1 << 62))).alias("e"), *(c.alias(n) for c, n in zip(order, names)))
+    known = stage(_brackets(rows, buckets), "brackets")
+    placed = _known(rows, known)
+    placed = placed.withColumn("_below", F.size(F.filter("cuts", lambda c: c["hi"] < F.col("e")))).withColumn("_near", F.exists("cuts", lambda c: (c["lo"] <= F.col("e")) & (F.col("e") <= c["hi"])))
+    sums = [F.count("*").alias("n"), F.sum(F.col("energy_mev").cast("long")).alias("_e"), F.sum(F.col("real_ea_mev").cast("long")).alias("_ea"), F.count("real_ea_mev").alias("_barriers")]
+    far = stage(placed.where("not _near").groupBy("species", F.col("_below").alias("bucket")).agg(*sums), "far")
+    near = numbered(placed.where("_near").select("species", "energy_mev", "real_ea_mev", "e", "_below", *names, F.col("n").alias("_n")), ["species", "e", *names], "_place")
+    starts = near.groupBy("species").agg(F.min("_place").alias("_first"))
+    outside = far.groupBy("species").agg(F.collect_list(F.struct("bucket", "n")).alias("_far"))  # `buckets` at most
+    ranked = _known(near, starts.join(outside, "species", "left"))
+    passed = F.aggregate(F.filter(F.coalesce("_far", F.array().cast("array<struct<bucket:int,n:bigint>>")), lambda f: f["bucket"] <= F.col("_below")), F.lit(0).cast("long"), lambda a, f: a + f["n"])
+    of, rank = F.least(F.lit(buckets), F.col("_n")), F.col("_place") - F.col("_first") + passed
+    bucket = F.floor(((rank + 1) * of - 1) / F.col("_n")).cast("int")
+    both = ranked.withColumn("bucket", bucket).groupBy("species", "bucket").agg(*sums).unionByName(far)
+    whole = both.groupBy("species", "bucket").agg(*(F.sum(c).alias(c) for c in ("n", "_e", "_ea", "_barriers")))
+    return whole.select("species", "bucket", "n", (F.col("_e") / F.col("n")).alias("mean_energy_mev"), (F.col("_ea") / F.nullif(F.col("_barriers"), F.lit(0))).alias("mean_ea_mev"))

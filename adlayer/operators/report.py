@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..schemas import VACANT
+from ..sources.placed import shared, write_placed
 from .lattice import histogram
+from .ordered import running_sums
 
 
 def coverage_percent(rows: DataFrame, series: list[str]) -> DataFrame:
@@ -36,6 +38,18 @@ def summary(lattice: DataFrame, species: dict[int, str]) -> DataFrame:
     return histogram(lattice).groupBy(label.otherwise("corrupt").alias("label")).agg(F.sum("sites").alias("sites"))
 
 
-def write_coverage_csv(rows: DataFrame, path: str) -> None:
-    """One CSV file with a header, in the order of events; a row for each sample."""
-    rows.coalesce(1).sortWithinPartitions("event").write.mode("overwrite").csv(path, header=True)
+def write_coverage_csv(rows: DataFrame, path: str, parts: str = "auto") -> None:
+    """One CSV file with a header, in the order of events; a row for each sample. Each task puts its lines at their own places.
+
+    Where tasks can't write into one file, or with parts, a folder of CSV files in order.
+    """
+    if parts == "parts" or parts == "auto" and not shared(path):
+        rows.repartitionByRange("event").sortWithinPartitions("event").write.mode("overwrite").csv(path, header=True)
+        return
+    head = (",".join(rows.columns) + "\n").encode()
+    lines = rows.select("event", F.concat(F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns)), F.lit("\n")).cast("binary").alias("data"))
+    ends = running_sums(lines.withColumn("size", F.octet_length("data")), [], ["event"], {"end": "size"})
+    size = len(head) + (ends.agg(F.max("end")).first()[0] or 0)
+    at, none = F.col("end") - F.col("size"), F.lit([]).cast("array<double>")
+    placed = ends.select((at + len(head)).cast("long").alias("at"), "data", at.cast("long").alias("first"), F.col("size").cast("long").alias("count"), none.alias("lows"), none.alias("highs"))
+    write_placed(placed, path, head, size, size - len(head), layout="one")

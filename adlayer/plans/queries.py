@@ -17,6 +17,7 @@ from ..sources import binary, landing
 from ..sources import config as cfg
 from ..staging import shared_dir
 from ..streaming import events as S
+from ..streaming import replay as streamed
 from . import standins as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,17 +192,18 @@ def nearest_usable_bin(spark, sf_dir):
     return C.usable_bin_at_or_below(sizes, spark.range(60).select(F.col("id").cast("int").alias("bin")))
 
 
-_DEMO = 4096
+_DEMO_SQL = "((SELECT COUNT(*) FROM part) + 31) // 32 * 32"
 
 
 @query(
-    f"""WITH d AS (SELECT id, {sql_draw(str(0xC0FFEE00C0FFEE00), 'id')} AS raw FROM (SELECT range AS id FROM range(1, {_DEMO + 1}))),
+    f"""WITH d AS (SELECT id, {sql_draw(str(0xC0FFEE00C0FFEE00), 'id')} AS raw FROM (SELECT unnest(range(1, {_DEMO_SQL} + 1)) AS id)),
 cut AS (SELECT id, GREATEST(raw % 16777216, 1)::BIGINT AS rate_q16, (((raw >> 24) % 8) * 256 + (raw >> 27) % 8)::INT AS transition_a, (raw >> 30) % 8 = 0 AS is_bimolecular, (((raw >> 33) % 8) * 256 + (raw >> 36) % 8)::INT AS b FROM d),
 made AS (SELECT *, (length(bin(rate_q16)) - 1)::INT AS bin_id FROM cut)
 SELECT (ROW_NUMBER() OVER (ORDER BY bin_id, id) - 1)::INT AS reaction_id, rate_q16, bin_id, transition_a, CASE WHEN is_bimolecular THEN b ELSE 0 END AS transition_b, is_bimolecular FROM made"""
 )
 def demo_catalogue(spark, sf_dir):
-    return C.demo_catalogue(spark, _DEMO)
+    """As many reactions as parts, in whole blocks."""
+    return C.demo_catalogue(spark, T.table(spark, sf_dir, "part").count())
 
 
 # Labels, landed records
@@ -325,11 +327,6 @@ def adsorption_runs(spark, sf_dir):
     return landing.adsorption_runs(runs, mapping, cfg.parse(CONFIG)).select("species", "sid", "energy_mev", "facet")
 
 
-@query("SELECT * FROM (VALUES (0, 'O', 2, 'dissociative'), (1, 'N', 1, 'dissociative'), (2, 'NO', 16, 'molecular'), (3, 'NH', 4, 'product_only'), (4, 'NH3', 32, 'molecular')) AS v(idx, name, bit, role)")
-def config_species(spark, sf_dir):
-    return cfg.parse(CONFIG).species_frame(spark).select("idx", "name", "bit", "role")
-
-
 # Lattices
 
 
@@ -395,9 +392,9 @@ def pair_candidates(spark, sf_dir):
     return L.pair_candidates(placed(spark, sf_dir), T.WIDTH, 1, 2)
 
 
-@query(f"WITH {T.TEMPLATES_SQL} SELECT DISTINCT LEAST(transition_a >> 8, transition_b >> 8)::INT AS low, GREATEST(transition_a >> 8, transition_b >> 8)::INT AS high FROM templates WHERE is_bimolecular")
+@query(f"{CATALOGUE_SQL} SELECT DISTINCT LEAST(transition_a >> 8, transition_b >> 8)::INT AS low, GREATEST(transition_a >> 8, transition_b >> 8)::INT AS high FROM reactions WHERE is_bimolecular")
 def template_pairs(spark, sf_dir):
-    return L.template_pairs(T.templates(spark))
+    return L.template_pairs(built(spark, sf_dir))
 
 
 @query("SELECT event_id, CASE event_type WHEN 'view' THEN xor(s & 65534, 1) WHEN 'click' THEN (s & 7) | 2 WHEN 'purchase' THEN s & ~1 WHEN 'signup' THEN s & ~2 ELSE (s & ~3) | 5 END::INT AS state FROM (SELECT *, (event_id % 8)::INT AS s FROM events)")
@@ -432,6 +429,17 @@ def categorical_draw(spark, sf_dir):
     return choose.by_search(draws, choose.cumulative(part, [], "choice", "weight"), "u").select("o_orderkey", "choice")
 
 
+@query(
+    f"""WITH w AS (SELECT o_orderkey, o_orderkey % 4 AS patch_id, -ln({sql_uniform(sql_draw('29', 'o_orderkey + 1'))}) / o_totalprice::DOUBLE AS wait FROM orders)
+SELECT o_orderkey, patch_id, round(wait, 12) AS wait, round(SUM(wait) OVER (PARTITION BY patch_id ORDER BY o_orderkey), 9) AS sim_time FROM w"""
+)
+def running_clock(spark, sf_dir):
+    """Each event's waiting time at its patch's total propensity, and the patch's clock after it."""
+    own = splitmix.with_uniform(T.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 4).alias("patch_id"), F.col("o_totalprice").cast("double").alias("total")), "u", 29, F.col("o_orderkey") + 1)
+    clock = ordered.running_sums(own.withColumn("wait", X.waiting_time(F.col("u"), F.col("total"))), ["patch_id"], ["o_orderkey"], {"sim_time": "wait"})
+    return clock.select("o_orderkey", "patch_id", F.round("wait", 12).alias("wait"), F.round("sim_time", 9).alias("sim_time"))
+
+
 def touch_sql(bits: list[int], source: str, order: str) -> str:
     parts = " + ".join(f"COALESCE(last_value(CASE WHEN (transition & {b}) <> 0 THEN {b} WHEN ((transition >> 8) & {b}) <> 0 THEN 0 END IGNORE NULLS) OVER w, 0)" for b in bits)
     return f"""after AS (SELECT *, ({parts})::INT AS state_after FROM {source} WINDOW w AS (PARTITION BY site_idx ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
@@ -516,6 +524,23 @@ def energy_file(spark, sf_dir):
     return binary.read_energies(spark, path).select("species", "energy_mev", "sid", "real_ea_mev", "metal", "facet", F.round("energy_ev", 6).alias("energy_ev"))
 
 
+@query(f"WITH {T.RECORDS_SQL} SELECT (sid % 10)::INT AS species, energy_mev, sid, (sid % 13)::INT AS metal, (facet * 11)::INT AS facet FROM records WHERE sid % 10 IN (1, 3, 5) AND sid % 13 = 4 AND facet * 11 <= 330")
+def energy_file_filtered(spark, sf_dir):
+    """Filters that reach the file: it is ordered by metal and facet, and runs of records that can't match aren't opened."""
+    path = _file(spark, "energies")
+    binary.write_energies(numbered_records(spark, sf_dir), path, by=["metal", "facet"])
+    found = binary.read_energies(spark, path).where("metal = 4 and facet <= 330 and species in (1, 3, 5)")
+    return found.select("species", "energy_mev", "sid", "metal", "facet")
+
+
+@query(f"{CATALOGUE_SQL} SELECT reaction_id, rate_q16, transition_a FROM reactions WHERE reaction_id IN (0, 3, 13, 40, 1000000)")
+def reactions_by_id(spark, sf_dir):
+    """Reads by id open the blocks asked for."""
+    path = _file(spark, "catalogue")
+    binary.write_catalogue(built(spark, sf_dir), path, "gated", list(zip(T.BITS, T.TYPES)), parts="parts")
+    return binary.read_catalogue(spark, path).reactions.where("reaction_id in (0, 3, 13, 40, 1000000)").select("reaction_id", "rate_q16", "transition_a")
+
+
 @query(f"WITH {T.PAIRS_SQL} SELECT (sid % 9)::INT AS species_a, (sid % 5)::INT AS species_b, energy_mev, sid, ea_mev, (sid % 13)::INT AS metal, facet, is_dissociative FROM pairs WHERE sid % 9 < 8")
 def bimolecular_file(spark, sf_dir):
     path = _file(spark, "pairs")
@@ -535,7 +560,7 @@ def catalogue_file(spark, sf_dir):
 @query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {b}, '{n}')" for i, (b, n) in enumerate(zip(T.BITS, T.TYPES))) + ") AS v(idx, bit, name)")
 def catalogue_header(spark, sf_dir):
     path = _file(spark, "catalogue")
-    binary.write_catalogue(C.demo_catalogue(spark, 40), path, "static", list(zip(T.BITS, T.TYPES)))
+    binary.write_catalogue(built(spark, sf_dir), path, "gated", list(zip(T.BITS, T.TYPES)))
     return spark.createDataFrame([(i, b, n) for i, (b, n) in enumerate(binary.read_catalogue(spark, path).species)], "idx int, bit int, name string")
 
 
@@ -607,43 +632,52 @@ def first_of_species(spark, sf_dir):
     return landing.clean_adsorptions(nodes(spark, sf_dir), cfg.parse(CONFIG), limit=7).select("species", "sid")
 
 
-# Configurations
+# Configurations: a text for each row of a table, read by tasks
 
 _SPECIES_LINE = "[species]\nQ = 1, Q2gas, 0.5, Qstar, dissociative, 0\n"
-#: Texts and whether they are configurations.
+#: Texts and whether they are configurations; @ stands for a number of the row.
 _TEXTS = [
-    ("whole", CONFIG, True), ("empty", "", True), ("comment", "# nothing", True), ("later scalar wins", "[bep]\nalpha = 1\nalpha = 2", True),
-    ("no section", "alpha = 1", False), ("unknown section", "[colour]", False), ("no value", "[bep]\nalpha", False), ("no number", "[bep]\nalpha = x", False), ("unknown key", "[system]\ncolour = red", False), ("facet too large", "[system]\nfacet = 70000", False),
-    ("fields missing", "[species]\nQ = 1, -, -", False), ("two bits", "[species]\nQ = 3, -, -, -, molecular, -", False), ("unknown role", "[species]\nQ = 1, -, -, -, other, -", False),
-    ("name twice", _SPECIES_LINE + "Q = 2, -, -, -, molecular, -", False), ("bit twice", _SPECIES_LINE + "R = 1, -, -, -, molecular, -", False), ("undeclared species", _SPECIES_LINE + "[bimolecular]\nx = Q, R, recombination, -", False),
-    ("unknown direction", _SPECIES_LINE + "[bimolecular]\nx = Q, Q, sideways, -", False), ("nine species", "[species]\n" + "".join(f"S{i} = {1 << min(i, 7)}, -, -, -, molecular, -\n" for i in range(9)), False),
+    ("whole", CONFIG, True), ("empty", "", True), ("comment", "# nothing @", True), ("later scalar wins", "[bep]\nalpha = 1\nalpha = @", True),
+    ("no section", "alpha = @", False), ("unknown section", "[colour]", False), ("no value", "[bep]\nalpha", False), ("no number", "[bep]\nalpha = x@", False), ("unknown key", "[system]\ncolour = @", False), ("facet too large", "[system]\nfacet = 7000@", False),
+    ("fields missing", "[species]\nQ@ = 1, -, -", False), ("two bits", "[species]\nQ@ = 3, -, -, -, molecular, -", False), ("unknown role", "[species]\nQ@ = 1, -, -, -, other, -", False),
+    ("name twice", _SPECIES_LINE + "Q = 2, -, -, -, molecular, -", False), ("bit twice", _SPECIES_LINE + "R@ = 1, -, -, -, molecular, -", False), ("undeclared species", _SPECIES_LINE + "[bimolecular]\nx = Q, R@, recombination, -", False),
+    ("unknown direction", _SPECIES_LINE + "[bimolecular]\nx = Q, Q, sideways@, -", False), ("nine species", "[species]\n" + "".join(f"S{i} = {1 << min(i, 7)}, -, -, -, molecular, -\n" for i in range(9)), False),
 ]
 
 
-def _accepts(text: str) -> bool:
-    try:
-        cfg.parse(text)
-    except cfg.ConfigError:
-        return False
-    return True
+@query(f"SELECT o_orderkey, o_orderkey % {len(_TEXTS)} IN ({', '.join(str(i) for i, (_, _, ok) in enumerate(_TEXTS) if ok)}) AS accepted FROM orders")
+def config_validation(spark, sf_dir):
+    own = F.element_at(F.array(*(F.lit(t) for _, t, _ in _TEXTS)), (F.col("o_orderkey") % len(_TEXTS) + 1).cast("int"))
+    texts = T.table(spark, sf_dir, "orders").select("o_orderkey", F.replace(own, F.lit("@"), F.col("o_orderkey").cast("string")).alias("text"))
+    return cfg.parsed(texts, "text").select("o_orderkey", F.col("error").isNull().alias("accepted"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {str(ok).lower()})" for n, _, ok in _TEXTS) + ") AS v(text, accepted)")
-def config_validation(spark, sf_dir):
-    return spark.createDataFrame([(n, _accepts(t)) for n, t, _ in _TEXTS], "text string, accepted boolean")
+def _systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s_suppkey, c): the configuration of each supplier: its species A, with a bit of its nation, and another, and two reactions."""
+    k, bit = F.col("s_suppkey").cast("string"), F.expr("cast(shiftleft(1, cast(s_nationkey % 7 as int)) as string)")
+    lines = F.concat(F.lit("[species]\nA"), k, F.lit(" = "), bit, F.lit(", Agas, 0.5, Astar, dissociative, "), k, F.lit("\nB = 128, -, -, Bstar, product_only, -\n[bimolecular]\nfirst = A"), k, F.lit(", B, dissociative, ABgas\nsecond = A"), k, F.lit(", A"), k, F.lit(", recombination, A2gas\n"))
+    return cfg.parsed(T.table(spark, sf_dir, "supplier").select("s_suppkey", lines.alias("text")), "text")
 
 
-@query("SELECT * FROM (VALUES (0, 'nitrous', 1, 2), (1, 'nitrogen', 1, 1), (2, 'ammonia', 1, 3)) AS v(ord, key, species_a, species_b)")
+@query("SELECT s_suppkey, 0::INT AS idx, 'A' || s_suppkey AS name, (1 << (s_nationkey % 7)::INT)::INT AS bit, 'dissociative' AS role FROM supplier UNION ALL SELECT s_suppkey, 1, 'B', 128, 'product_only' FROM supplier")
+def config_species(spark, sf_dir):
+    return _systems(spark, sf_dir).select("s_suppkey", F.inline("species")).select("s_suppkey", "idx", "name", "bit", "role")
+
+
+@query("SELECT s_suppkey, v.* FROM supplier, (VALUES (0, 'first', 0, 1), (1, 'second', 0, 0)) AS v(ord, key, species_a, species_b)")
 def config_reactions(spark, sf_dir):
     """The species that reactions name, by number."""
-    return cfg.parse(CONFIG).bimolecular_frame(spark).select("ord", "key", "species_a", "species_b")
+    return _systems(spark, sf_dir).select("s_suppkey", F.inline("bimolecular")).select("s_suppkey", "ord", "key", "species_a", "species_b")
 
 
-@query("SELECT * FROM (VALUES ('O', 1.0::DOUBLE), ('N', 4.0), ('NO', 2.5), ('NH', 1.0), ('NH3', 1.0)) AS v(species, pressure)")
+@query("SELECT s_suppkey, 'A' || s_suppkey AS species, CASE WHEN s_suppkey % 3 = 0 THEN 2.5 WHEN s_suppkey % 3 = 1 THEN s_suppkey ELSE 1.0 END::DOUBLE AS pressure FROM supplier UNION ALL SELECT s_suppkey, 'B', 1.0::DOUBLE FROM supplier")
 def config_pressures(spark, sf_dir):
     """Given pressures win over older ones; unknown older ones are left out."""
-    found = cfg.resolve_pressures(cfg.parse(CONFIG), {"NO": 2.5}, {"NO": 9.0, "N": 4.0, "XX": 3.0})
-    return spark.createDataFrame(list(found.items()), "species string, pressure double")
+    own = _systems(spark, sf_dir).select("s_suppkey", "species")
+    k, name = F.col("s_suppkey"), F.concat(F.lit("A"), F.col("s_suppkey").cast("string"))
+    given = F.when(k % 3 == 0, F.create_map(name, F.lit(2.5)))
+    older = F.create_map(F.when(k % 3 == 2, F.lit("XX")).otherwise(name), k.cast("double"))
+    return own.select("s_suppkey", F.explode(cfg.pressures_of("species", given, older)).alias("species", "pressure"))
 
 
 @query(f"WITH {T.RECORDS_SQL} SELECT COUNT(*) AS records, false AS empty_is_taken FROM records")
@@ -678,3 +712,20 @@ def session_events(spark, sf_dir):
 @query("SELECT CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in T.EVENT_TRANSITIONS.items()) + " END::INT AS transition, COUNT(*) AS n FROM events GROUP BY 1")
 def net_transitions(spark, sf_dir):
     return S.net_transitions(T.events(spark, sf_dir), F.col("transition")).select("transition", "n")
+
+
+@query(f"WITH {T.EVENTS_SQL}, inside AS (SELECT *, ROW_NUMBER() OVER (ORDER BY sim_time, ord) AS n FROM log), {touch_sql([1, 2, 4], 'inside', 'n')} SELECT ord, state_before, state_after FROM replayed")
+def event_stream_replay(spark, sf_dir):
+    """The log as a stream of files with times in no order; a last row moves the watermark past all."""
+    table = T.table(spark, sf_dir, "events")
+    own = T.events(spark, sf_dir).select("ord", F.timestamp_seconds("sim_time").alias("time"), "site_idx", "transition")
+    first, last = table.select(F.min(F.col("ts").cast("timestamp")).alias("a"), F.max(F.col("ts").cast("timestamp")).alias("z")).selectExpr("unix_seconds(a)", "unix_seconds(z)").first()
+    late = last - first + 2
+    path = _file(spark, "log")
+    own.repartition(4, F.xxhash64("ord")).write.parquet(f"{path}/log")
+    spark.range(1).selectExpr("-1L AS ord", f"timestamp_seconds({last + 2 * late}) AS time", "-1L AS site_idx", "0 AS transition").write.mode("append").parquet(f"{path}/log")
+    rows = spark.readStream.schema("ord long, time timestamp, site_idx long, transition int").option("maxFilesPerTrigger", 2).parquet(f"{path}/log")
+    states = streamed.states(rows, f"{late} seconds")
+    run = states.writeStream.format("parquet").option("path", f"{path}/states").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(streamed.STATES).parquet(f"{path}/states").select("ord", "state_before", "state_after").where("ord >= 0")
