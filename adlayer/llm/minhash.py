@@ -14,10 +14,12 @@ may be wrong, of the other places' values. Texts that share a key are
 candidates, and candidates within the threshold are compared as whole sets.
 
 Equal sets are one row from the start. Of a group at a key, all are first
-compared with its first member; classes come from what links. Pairs of members
-that are then in different classes are looked at in blocks of the group, in two
-rounds: each member's nearest, then, where classes are still apart, all. So a
-group of near copies never gives all its pairs, and no link is lost.
+compared with its first member; classes come from what links. Where members of
+a group are then in different classes, the signatures tell which classes have
+members within the threshold, and connected ones are a family. A family's texts
+are dealt once to the task that compares them (a large one in blocks, of which
+those within its largest class never meet), and that gives links only, at most
+one for each member. So no step gives all pairs of a group, and no link is lost.
 """
 
 from __future__ import annotations
@@ -145,62 +147,114 @@ def _within(symbols: int, distance: int):
     return run
 
 
-def _across(symbols: int, distance: int, percent: int, best: bool):
-    """(a, b): members of different classes within the distance, from entries sorted by key and cell; best: of each member the nearest only."""
+class _Joined:
+    """Disjoint sets of 0..n-1; root: each member's, up to date after every join."""
 
-    def pairs(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(rows["size"], kind="stable")
-        ids, root, size, part, sign = (rows[x][order] for x in ("id", "root", "size", "part", "signature"))
-        several = part.min() != part.max()  # a cell of two parts has their common pairs only
-        nearest, least = np.full(len(ids), -1), np.full(len(ids), symbols + 1)
-        last = np.searchsorted(size, size * 100 // percent, side="right")
-        step = max(1, (1 << 23) // (symbols * len(ids)))
-        for at in range(0, len(ids), step):
-            own, upto = np.arange(at, min(at + step, len(ids))), last[min(at + step, len(ids)) - 1]
-            other = np.arange(at, upto)
-            apart = (sign[own][:, None] != sign[other]).sum(axis=2, dtype=np.int16)
-            fine = (apart <= distance) & (root[own][:, None] != root[other]) & (other > own[:, None]) & (other < last[own][:, None])
-            if several:
-                fine &= part[own][:, None] != part[other]
-            x, y = np.nonzero(fine)
-            if best:
-                d, x, y = apart[x, y], own[x], other[y]
-                for u, v in ((x, y), (y, x)):
-                    by = np.lexsort((d, u))
-                    u, v, w = u[by], v[by], d[by]
-                    head = np.flatnonzero(np.r_[True, u[1:] != u[:-1]]) if len(u) else np.zeros(0, np.int64)
-                    nearer = head[w[head] < least[u[head]]]
-                    least[u[nearer]], nearest[u[nearer]] = w[nearer], v[nearer]
-            elif len(x):
-                yield batch_of(ids[own[x]], ids[other[y]])
-        if best and (some := np.flatnonzero(nearest >= 0)).size:
-            yield batch_of(ids[some], ids[nearest[some]])
-
-    def batch_of(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+    def __init__(self, names: np.ndarray) -> None:
+        _, first, back = np.unique(names, return_index=True, return_inverse=True)
+        self.root = first[back]
+
+    def join(self, x: int, y: int) -> bool:
+        if self.root[x] == self.root[y]:
+            return False
+        self.root[self.root == self.root[y]] = self.root[x]
+        return True
+
+
+def _grouped(names: list[str], done):
+    """Gives done() the rows of each value of the first two columns, from rows sorted by them; the group that a batch ends in waits for the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The group that a batch ends in is kept for the next batch."""
-        rest: list[dict[str, np.ndarray]] = []
+        rest: list[pa.RecordBatch] = []
         last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in ("key", "cell", "id", "root", "size", "part")} | {"signature": _values(batch.column("signature"), symbols)}
-            change = np.flatnonzero((rows["key"][1:] != rows["key"][:-1]) | (rows["cell"][1:] != rows["cell"][:-1])) + 1
-            for x, y in itertools.pairwise([0, *change.tolist(), batch.num_rows]):
-                group = rows["key"][x], rows["cell"][x]
+            x, y = (batch.column(n).to_numpy(zero_copy_only=False) for n in names)
+            change = np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+            for begin, end in itertools.pairwise([0, *change.tolist(), batch.num_rows]):
+                group = x[begin], y[begin]
                 if rest and group != last:
-                    yield from pairs({n: np.concatenate([r[n] for r in rest]) for n in rest[0]})
+                    yield done(pa.Table.from_batches(rest).combine_chunks().to_batches()[0])
                     rest = []
                 last = group
-                rest.append({n: v[x:y] for n, v in rows.items()})
+                rest.append(batch.slice(begin, end - begin))
         if rest:
-            yield from pairs({n: np.concatenate([r[n] for r in rest]) for n in rest[0]})
+            yield done(pa.Table.from_batches(rest).combine_chunks().to_batches()[0])
 
     return run
 
 
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], ["a", "b"])
+
+
+def _akin(symbols: int, distance: int, percent: int):
+    """(a, b): classes of a key's group that have members within the distance, as a tree of each connected set of them."""
+
+    def done(rows: pa.RecordBatch) -> pa.RecordBatch:
+        sizes = rows.column("size").to_numpy()
+        order = np.argsort(sizes, kind="stable")
+        size, root, part = (rows.column(c).to_numpy()[order] for c in ("size", "root", "part"))
+        sign = _values(rows.column("signature"), symbols)[order]
+        several, joined, found = part.min() != part.max(), _Joined(root), []
+        last = np.searchsorted(size, size * 100 // percent, side="right")
+        step = max(1, (1 << 23) // (symbols * len(size)))
+        for at in range(0, len(size), step):
+            own, upto = np.arange(at, min(at + step, len(size))), last[min(at + step, len(size)) - 1]
+            other = np.arange(at, upto)
+            fine = (joined.root[own][:, None] != joined.root[other]) & (other > own[:, None]) & (other < last[own][:, None])
+            if several:  # a cell of two parts has their common pairs only
+                fine &= part[own][:, None] != part[other]
+            if fine.any():
+                fine &= (sign[own][:, None] != sign[other]).sum(axis=2, dtype=np.int16) <= distance
+                for x, y in zip(*(v.tolist() for v in np.nonzero(fine))):
+                    if joined.join(own[x], other[y]):
+                        found.append((int(root[own[x]]), int(root[other[y]])))
+        return _pairs(found)
+
+    return _grouped(["key", "cell"], done)
+
+
+#: Bits that a set's shingles are hashed into, to bound what two sets share from above.
+_BITS = 1 << 14
+
+
+def _compared(width: int, percent: int):
+    """(a, b): links between members of different classes in a cell of a family, a tree of each class that they make."""
+    shingles = Shingles(width)
+
+    def done(rows: pa.RecordBatch) -> pa.RecordBatch:
+        order = np.argsort(rows.column("size").to_numpy(), kind="stable")
+        ids, root, size, part = (rows.column(c).to_numpy()[order] for c in ("id", "root", "size", "part"))
+        texts = rows.column("text").cast(pa.binary()).take(pa.array(order))
+        sets = [shingles(x.as_py()) for x in texts]
+        bits = np.zeros((len(sets), _BITS // 64), np.uint64)
+        for i, own in enumerate(sets):
+            place = own.view(np.uint64) % np.uint64(_BITS)
+            np.bitwise_or.at(bits[i], place >> np.uint64(6), np.uint64(1) << (place & np.uint64(63)))
+        lost = size - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)  # shingles that share a bit with others of the set
+        several, joined, found = part.min() != part.max(), _Joined(root), []
+        last = np.searchsorted(size, size * 100 // percent, side="right")
+        for i in range(len(sets)):
+            other = np.arange(i + 1, last[i])
+            other = other[joined.root[other] != joined.root[i]]
+            if several:
+                other = other[part[other] != part[i]]
+            for at in range(0, len(other), 1024):
+                some = other[at : at + 1024]
+                most = np.bitwise_count(bits[some] & bits[i]).sum(axis=1, dtype=np.int64) + np.minimum(lost[some], lost[i])
+                for j in some[(100 + percent) * most >= percent * (size[some] + size[i])].tolist():
+                    if joined.root[i] != joined.root[j]:
+                        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                        if (100 + percent) * both >= percent * (len(sets[i]) + len(sets[j])):
+                            joined.join(i, j)
+                            found.append((int(ids[i]), int(ids[j])))
+        return _pairs(found)
+
+    return _grouped(["family", "cell"], done)
+
+
 def _linked(width: int, percent: int):
     """(a, b) of the rows (a, b, of_a, of_b) whose texts reach the similarity."""
 
@@ -224,7 +278,7 @@ def _linked(width: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, empty_alike: bool = False, symbols: int = SYMBOLS, errors: int = ERRORS, block: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, empty_alike: bool = False, symbols: int = SYMBOLS, errors: int = ERRORS, block: int = 2048) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id, component_key) for each row of docs (doc_id, text), repeated rows included.
 
     Sets with a Jaccard similarity of percent / 100 or more link. n_shingles:
@@ -233,8 +287,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, empty_al
     the text; component_key: that of the row with the smallest doc_id (of
     several, the smallest). Texts without words, null ones too, link with
     nothing, or with each other if empty_alike. An empty table gives an empty
-    result; other columns of docs don't matter. Groups of more than `block`
-    sets at a key are divided into pairs of blocks.
+    result; other columns of docs don't matter. Groups and families of more than
+    `block` sets are divided into pairs of blocks.
     """
     with scratch(docs.sparkSession):
         return stage(_near_duplicates(docs, width, percent, empty_alike, symbols, errors, block), "groups", outer=True)
@@ -275,27 +329,41 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int, empty_alike: boo
         both = ends(pairs, sets, ["size", "signature"]).where(f"least(size_a, size_b) * 100 >= greatest(size_a, size_b) * {percent}")
         return stage(both.mapInArrow(_within(symbols, distance), "a long, b long"), "likely")
 
-    def apart(found: DataFrame, best: bool) -> DataFrame:
-        """Pairs of members of one group that are in different classes: each member's nearest, or all."""
-        named = met.where("members > 2").join(found.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", "members", F.coalesce("root", "id").alias("root"))
-        mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-        parts = F.ceil(F.col("members") / block).cast("long")
-        own = named.join(mixed, "key").join(sets.select("id", "size", "signature"), "id").withColumn("part", F.pmod(F.xxhash64("id"), parts))
-        spread = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-        cell = F.least("part", "other") * parts + F.greatest("part", "other")
-        dealt = spread.select("key", cell.alias("cell"), "id", "root", "size", "part", "signature").repartition("key", "cell").sortWithinPartitions("key", "cell")
-        return dealt.mapInArrow(_across(symbols, distance, percent, best), "a long, b long").distinct()
-
     tried = likely(met.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
-    links = verified(tried)
-    found = classes(links)
-    for best in (True, False):
-        more = stage(apart(found, best).join(tried, ["a", "b"], "left_anti"), "more")
-        if not more.isEmpty():
-            links, tried = links.union(verified(more)), tried.union(more)
-            found = classes(links)
-
-    named = sets.join(found.select(F.col("node").alias("id"), "root"), "id", "left").select("digest", "n", "size", "first", F.coalesce("root", "id").alias("root"))
+    found = classes(verified(tried)).select(F.col("node").alias("id"), "root")
+    rooted = stage(sets.where("size > 0").select("id", "size").join(found, "id", "left").select("id", "size", F.coalesce("root", "id").alias("root")), "rooted")
+
+    # families: classes that have members within the distance in a group
+    named = met.where("members > 2").join(rooted, "id")
+    mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    parts = F.ceil(F.col("members") / block).cast("long")
+    own = named.join(mixed, "key").join(sets.select("id", "signature"), "id").withColumn("part", F.pmod(F.xxhash64("id"), parts))
+    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    cell = F.least("part", "other") * parts + F.greatest("part", "other")
+    dealt = spread.select("key", cell.alias("cell"), "root", "size", "part", "signature").repartition("key", "cell").sortWithinPartitions("key", "cell")
+    akin = stage(dealt.mapInArrow(_akin(symbols, distance, percent), "a long, b long").distinct(), "akin")
+    if not akin.isEmpty():
+        families = classes(akin)
+        families = families.union(families.select("root", "root").distinct()).toDF("root", "family")
+        members = stage(rooted.join(families, "root"), "members")
+        each = members.groupBy("family", "root").agg(F.count("*").alias("own"))
+        each = each.groupBy("family").agg(F.sum("own").alias("all"), F.max_by("root", "own").alias("main"), F.max("own").alias("most"))
+        # parts 0 to p - 1 have the largest class, whose members needn't meet; the others p to q - 1
+        p, q = F.ceil(F.col("most") / block).cast("long"), F.ceil(F.col("most") / block).cast("long") + F.ceil((F.col("all") - F.col("most")) / block).cast("long")
+        placed = members.join(each, "family").withColumn("p", p).withColumn("q", q)
+        placed = placed.withColumn("part", F.when(F.col("root") == F.col("main"), F.pmod(F.xxhash64("id"), "p")).otherwise(F.col("p") + F.pmod(F.xxhash64("id"), F.col("q") - F.col("p"))))
+        placed = placed.join(texts_of(members.select(F.col("id").alias("a"), F.col("id").alias("b"))), "id")
+        begin = F.when(F.col("part") < F.col("p"), F.col("p")).otherwise(F.lit(0).cast("long"))
+        placed = placed.withColumn("other", F.explode(F.sequence(begin, F.col("q") - 1)))
+        cell = F.least("part", "other") * F.col("q") + F.greatest("part", "other")
+        placed = placed.select("family", cell.alias("cell"), "id", "root", "size", "part", "text").repartition("family", "cell").sortWithinPartitions("family", "cell")
+        more = placed.mapInArrow(_compared(width, percent), "a long, b long").distinct()
+        for x in "ab":
+            more = more.join(rooted.select(F.col("id").alias(x), F.col("root").alias(f"of_{x}")), x)
+        joined = classes(more.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("least"))
+        rooted = rooted.join(joined, "root", "left").select("id", F.coalesce("least", "root").alias("root"))
+
+    named = sets.join(rooted.select("id", "root"), "id", "left").select("digest", "n", "size", "first", F.coalesce("root", "id").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("least"))
     labels = stage(named.join(least, "root").select("digest", "n", "size", "least"), "labels")
     out = split_join(rows.select("doc_id", "text_key", "digest"), labels, ["digest"], total)
