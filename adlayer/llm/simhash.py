@@ -439,12 +439,12 @@ def keep_first(docs: DataFrame, width: int = 5) -> DataFrame:
     A group: texts with a Jaccard similarity of 0.8 or more over distinct
     shingles of `width` words, linked in any number of steps. At that
     similarity fingerprints tell texts apart only roughly, and within their
-    radius is a fixed share of all pairs; so the shingles themselves are
-    compared.
+    radius is a fixed share of all pairs; so the pigeonhole principle is put to
+    longer signatures (minhash), and the shingles themselves are compared.
     """
-    from .similar import near_copies
+    from .minhash import near_duplicates as by_shingles
 
-    found = near_copies(docs, width)
+    found = by_shingles(docs, width, 80, empty_alike=True)
     own = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("component_key"))
     counted = found.groupBy("doc_id", "text_key").agg(F.bool_or(own).alias("stays"), F.count("*").alias("n"))
     odd = stage(counted.where("not stays or n > 1").select(F.col("doc_id").alias("_al_id"), F.col("text_key").alias("_al_key"), F.col("stays").alias("_al_stays")), "later")
