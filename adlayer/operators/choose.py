@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import running_sums
+from .ordered import last_known, running_sums
 
 
 def cumulative(choices: DataFrame, by: list[str], order: str, weight: str) -> DataFrame:
@@ -21,14 +21,15 @@ def by_range(draws: DataFrame, spans: DataFrame, u: str = "u") -> DataFrame:
     return draws.join(spans, (F.col("lo") <= at) & (at < F.col("hi")))
 
 
-def by_search(draws: DataFrame, spans: DataFrame, u: str = "u", slices: int = 4096) -> DataFrame:
-    """by_range for many choices: spans of one table, cut where they cross slices of the total, meet draws by slice.
+def by_search(draws: DataFrame, spans: DataFrame, u: str = "u") -> DataFrame:
+    """by_range for many choices: spans of one table and draws stand in one order, and each draw takes the last span before it.
 
-    A slice has the choices that fall into it, so neither side is broadcast and
-    no draw meets more than those.
+    The order is dealt by ranges, so neither many draws on one choice nor many
+    choices within a small part of the total are one task, and no draw meets
+    more than its span.
     """
-    cut = lambda x: F.least(F.floor(x * slices / F.col("total")), F.lit(slices - 1)).cast("int")
-    own = spans.where(F.col("hi") > F.col("lo")).withColumn("_slice", F.explode(F.sequence(cut(F.col("lo")), cut(F.col("hi")))))
-    total = F.broadcast(spans.agg(F.max("total").alias("total")))  # one row
-    asked = draws.crossJoin(total).withColumn("_at", F.col(u) * F.col("total")).withColumn("_slice", cut(F.col("_at"))).drop("total")
-    return asked.join(own, "_slice").where((F.col("lo") <= F.col("_at")) & (F.col("_at") < F.col("hi"))).drop("_slice", "_at")
+    total = F.broadcast(spans.agg(F.max("total").alias("_total")))  # one row
+    own = spans.where(F.col("hi") > F.col("lo")).select(F.col("lo").cast("double").alias("_at"), F.lit(0).alias("_side"), F.struct(*spans.columns).alias("_span"))
+    asked = draws.crossJoin(total).select((F.col(u) * F.col("_total")).alias("_at"), F.lit(1).alias("_side"), F.struct(*draws.columns).alias("_draw"))
+    found = last_known(own.unionByName(asked, allowMissingColumns=True), [], ["_at", "_side"], {"_found": "_span"})
+    return found.where((F.col("_side") == 1) & (F.col("_at") < F.col("_found.hi"))).select("_draw.*", "_found.*")

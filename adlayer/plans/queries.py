@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..functions import splitmix
 from ..operators import catalogue as C
-from ..operators import choose, ordered, records as R, replay, report
+from ..operators import appended, choose, ordered, records as R, replay, report
 from ..operators import lattice as L
 from ..sources import binary, landing
 from ..sources import config as cfg
@@ -310,6 +310,14 @@ def upsert_by_sid(spark, sf_dir):
     return landing.upsert(*_passes(spark, sf_dir)).select("sid", "energy", "tag")
 
 
+@query(f"{UPSERT_SQL} SELECT sid, energy, tag FROM pass2 WHERE n = 1 UNION ALL SELECT sid, energy, tag FROM pass1 WHERE sid NOT IN (SELECT sid FROM pass2)")
+def upsert_stored(spark, sf_dir):
+    """Into a table dealt to buckets by sid, which isn't shuffled again."""
+    first, second = _passes(spark, sf_dir)
+    target = landing.store_by_key(first, f"stored_{uuid.uuid4().hex}", _file(spark, "stored"))
+    return landing.upsert_stored(target, second).select("sid", "energy", "tag")
+
+
 @query(f"{UPSERT_SQL}, keys AS (SELECT DISTINCT sid FROM pass2) SELECT COUNT(*) FILTER (sid IN (SELECT sid FROM pass1)) AS upgraded, COUNT(*) FILTER (sid NOT IN (SELECT sid FROM pass1)) AS added FROM keys")
 def upsert_counts(spark, sf_dir):
     return landing.upsert_counts(*_passes(spark, sf_dir))
@@ -480,6 +488,17 @@ def coverage_timeseries(spark, sf_dir):
     return covered(spark, sf_dir)
 
 
+@query(f"{COVERAGE_SQL} SELECT *, {T.SITES_SQL} - vacant - O - CO AS other FROM coverage")
+def coverage_appended(spark, sf_dir):
+    """The log in three appends by time: each costs its own events."""
+    kept = appended.Coverage(spark, _file(spark, "coverage"), [("O", 1), ("CO", 2)], T.sites(spark, sf_dir), T.EVERY, bits=[1, 2, 4])
+    log = T.events(spark, sf_dir)
+    a, b = log.approxQuantile("sim_time", [0.3, 0.75], 0.01)
+    for part in ("sim_time < %r" % a, "sim_time >= %r and sim_time < %r" % (a, b), "sim_time >= %r" % b):
+        kept.append(log.where(part))
+    return kept.rows()
+
+
 @query(f"{COVERAGE_SQL} SELECT event, round(sim_time * 1e6, 0) AS time_us, 100.0 * vacant / {T.SITES_SQL}::DOUBLE AS vacant, 100.0 * O / {T.SITES_SQL}::DOUBLE AS O, 100.0 * CO / {T.SITES_SQL}::DOUBLE AS CO FROM coverage")
 def coverage_percent(spark, sf_dir):
     return report.coverage_percent(covered(spark, sf_dir).drop("other"), ["vacant", "O", "CO"]).withColumn("time_us", F.round("time_us", 0))
@@ -626,6 +645,27 @@ def landed_pages(spark, sf_dir):
     return landing.clean_adsorptions(found, cfg.parse(CONFIG)).select("sid", "species", "metal", "facet")
 
 
+@query("SELECT event_id AS sid, CASE event_id % 9 WHEN 0 THEN 2 ELSE 4 END::INT AS species FROM events WHERE event_id % 9 IN (0, 5) AND event_id % 11 > 0 AND event_id % 3 > 0 AND event_id % 5 = 0")
+def stored_nodes(spark, sf_dir):
+    """Landed nodes stored by metal and facet; the filters reach the scan."""
+    path = _file(spark, "nodes")
+    landing.store_nodes(landing.read_pages(spark, landed(spark, sf_dir)), path)
+    return landing.clean_adsorptions(landing.read_nodes(spark, path, "Pd4", "100"), cfg.parse(CONFIG)).select("sid", "species")
+
+
+@query("SELECT event_id % 64 AS page, CASE WHEN event_id % 64 > 0 THEN (event_id % 64 - 1)::VARCHAR END AS after, COUNT(*)::INT AS nodes FROM events GROUP BY 1")
+def page_chain(spark, sf_dir):
+    """Pages put in the order of their cursors, whatever files they are in."""
+    pages = spark.read.schema(landing.PAGE).json(landed(spark, sf_dir))
+    info = F.col("data.reactions.pageInfo")
+    k = info["endCursor"].cast("long")
+    last = pages.agg(F.max(k)).first()[0]
+    asked = pages.withColumn("after", F.when(k > 0, (k - 1).cast("string"))).withColumn("data", F.col("data").withField("reactions.pageInfo.hasNextPage", k < last))
+    path = _file(spark, "chain")
+    asked.repartition(5, F.xxhash64(k)).select(F.to_json(F.struct("data", "after")).alias("value")).write.text(path)
+    return landing.read_chain(spark, path).select("page", "after", F.size("nodes").alias("nodes"))
+
+
 @query("WITH c AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN 2 ELSE 4 END::INT AS species FROM events WHERE event_id % 9 IN (0, 5) AND event_id % 11 > 0) SELECT species, event_id AS sid FROM c QUALIFY ROW_NUMBER() OVER (PARTITION BY species ORDER BY base64(('Reaction:' || event_id)::BLOB)) <= 7")
 def first_of_species(spark, sf_dir):
     """The first seven of each species, by id."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import facet_code, metal_index, mev_from_ev, miller_facet, pure_metal, sid_from_id, stoichiometry
+from ..staging import stage
 from .config import Config
 
 TOLERANCE = 1e-6
@@ -33,6 +34,67 @@ def read_pages(spark: SparkSession, path: str, metal: str | None = None, facet:
     return fine.select("file", F.posexplode(F.filter("data.reactions.edges", wanted)).alias("place", "edge")).select("edge.node.*", "file", "place")
 
 
+def read_chain(spark: SparkSession, path: str) -> DataFrame:
+    """(page, after, end, nodes) of landed pages that follow each other by cursors: page is the place in the chain from 0, nodes its rows as an array.
+
+    Each answer stands with the cursor that it was asked `after`, null for the
+    first. Files and lines may come in any order. The chain has to be whole: one
+    first page, one last, each cursor followed by one page, none in a loop; else
+    it is an error that names a cursor. No pages are an empty result.
+    """
+    schema = PAGE + ", after string"
+    pages = spark.read.schema(schema).json(path)
+    fine = pages.where(F.when(F.col("errors").isNotNull(), F.raise_error(F.col("errors"))).otherwise(F.lit(True)).cast("boolean"))
+    about = F.col("data.reactions")
+    return chained(stage(fine.select("after", about["pageInfo"]["endCursor"].alias("end"), F.coalesce(about["pageInfo"]["hasNextPage"], F.lit(False)).alias("more"), F.transform(about["edges"], lambda e: e["node"]).alias("nodes")), "pages")).drop("more")
+
+
+def chained(pages: DataFrame) -> DataFrame:
+    """pages (after, end, more, ...) with `page`, the place in the chain from 0; an error where it isn't one whole chain.
+
+    Places come from pointers that double: after k rounds each page knows the
+    page 2^k further on, so n pages take log2 n joins of cursors, without rows.
+    """
+
+    def first_of(df: DataFrame, column: str) -> str | None:
+        row = df.select(column).first()
+        return None if row is None else str(row[0])
+
+    def broken(what: str, cursor: str | None) -> None:
+        if cursor is not None:
+            raise ValueError(f"{what}: {cursor}")
+
+    own = stage(pages.select("after", "end", "more"), "cursors")
+    count = own.count()
+    broken("pages are asked after one cursor", first_of(own.groupBy("after").count().where("count > 1"), "after"))
+    broken("pages end at one cursor", first_of(own.where("more").groupBy("end").count().where("count > 1"), "end"))
+    broken("no page follows the cursor", first_of(own.where("more").join(own.select(F.col("after").alias("end")), "end", "left_anti"), "end"))
+    broken("no page ends at the cursor", first_of(own.where("after is not null").join(own.where("more").select(F.col("end").alias("after")), "after", "left_anti"), "after"))
+    if count and not own.where("after is null").count():
+        raise ValueError("there is no first page")
+    ahead = own.select(F.coalesce(F.concat(F.lit("+"), "after"), F.lit("")).alias("at"), F.when(F.col("more"), F.concat(F.lit("+"), "end")).alias("to"), F.col("more").cast("long").alias("left"))
+    for _ in range(max(count - 1, 0).bit_length()):
+        jump = ahead.select(F.col("at").alias("to"), F.col("to").alias("_to"), F.col("left").alias("_left"))
+        ahead = stage(ahead.join(jump, "to", "left").select("at", F.col("_to").alias("to"), (F.col("left") + F.coalesce("_left", F.lit(0))).alias("left")), "ahead")
+    broken("cursors go in a loop", first_of(ahead.where("to is not null"), "at"))
+    places = ahead.select("at", (F.lit(count - 1) - F.col("left")).cast("long").alias("page"))
+    return pages.withColumn("at", F.coalesce(F.concat(F.lit("+"), "after"), F.lit(""))).join(places, "at").select("page", *pages.columns)
+
+
+def store_nodes(nodes: DataFrame, path: str) -> None:
+    """Nodes as a table in the order of metal, facet and id, so that filters on these pass by most of its row groups."""
+    own = [c.split(" ")[0] for c in NODE.split(", ")]
+    nodes.select(*own).repartitionByRange("surfaceComposition", "facet", "id").sortWithinPartitions("surfaceComposition", "facet", "id").write.mode("overwrite").parquet(path)
+
+
+def read_nodes(spark: SparkSession, path: str, metal: str | None = None, facet: str | None = None) -> DataFrame:
+    """The nodes of a metal and facet out of store_nodes(); both filters reach the scan."""
+    found = spark.read.schema(NODE).parquet(path)
+    for column, value in (("surfaceComposition", metal), ("facet", facet)):
+        found = found if value is None else found.where(F.col(column) == value)
+    return found
+
+
 def prepared(nodes: DataFrame) -> DataFrame:
     """One row for each id with a reaction energy: maps of stoichiometry, sid, meV, metal and facet numbers.
 
@@ -146,6 +208,21 @@ def upsert(first: DataFrame, second: DataFrame, key: str = "sid", order: str = "
     return best.select(*(F.col(key) if c == key else F.col("r")[c].alias(c) for c in first.columns))
 
 
+def store_by_key(rows: DataFrame, name: str, path: str, key: str = "sid", order: str = "id", buckets: int = 64) -> DataFrame:
+    """rows, the last by order of each key, as the table `name` at path, dealt to buckets by key."""
+    best = upsert(rows, rows.limit(0), key, order)
+    best.write.bucketBy(buckets, key).sortBy(key).mode("overwrite").option("path", path).saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
+def upsert_stored(target: DataFrame, delta: DataFrame, key: str = "sid", order: str = "id") -> DataFrame:
+    """upsert() of delta into a table of store_by_key(), which has a row for each key: only delta is shuffled, to the table's buckets."""
+    names = [c for c in target.columns if c != key]
+    last = delta.groupBy(key).agg(F.max_by(F.struct(*names), F.col(order).cast("string")).alias("_new"))
+    both = target.hint("shuffle_merge").join(last.hint("shuffle_merge"), key, "full_outer")
+    return both.select(*(F.col(c) if c == key else F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c) for c in target.columns))
+
+
 def upsert_counts(first: DataFrame, second: DataFrame, key: str = "sid") -> DataFrame:
     """(upgraded, added): keys of second that first has, and that it lacks."""
     mine, theirs = first.select(key).distinct().withColumn("_has", F.lit(1)), second.select(key).distinct()
