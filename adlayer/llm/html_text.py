@@ -43,7 +43,7 @@ COMMENT_NAMES = frozenset("comment comments commentlist disqus respond reply rep
 STATES = frozenset("has no not with without is show hide open closed enabled disabled active status".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 PAGE_HEADER_NAMES = frozenset("header masthead topbar".split())
-RAW_TAGS = "script|style|noscript|template|iframe|svg|canvas|object|textarea|math|title"
+RAW_TAGS = "script|style|noscript|template|iframe|svg|canvas|object|textarea|annotation|annotation-xml|title"
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 # Stop words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
@@ -53,7 +53,7 @@ STOP_WORDS = frozenset(
     el los las y del que por con para una su al lo como más o pero sus este ya entre cuando muy sin sobre también me hasta hay donde quien desde todo nos""".split()
 )
 
-_TAG = re.compile(r"<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>")
+_TAG = re.compile(r"<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^<>])*+)>|<[!?][^>]*>")
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW_TAGS.split("|")}
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -61,8 +61,8 @@ _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff"
 _WORD = re.compile(rf"[{_UNSPACED}]|[^\W{_UNSPACED}]+")
 _WIDE = re.compile(f"[{_UNSPACED}]")
 _SENTENCE = re.compile(r"[.!?…:;。！？।؟][\"'”’»)\]]*$")
-#: Share of a page's text that makes an element its wrapper, or a marked article the whole of it.
-WRAPPER, MARKED = 0.6, 1 / 3
+#: Share of a page's text that makes an element its wrapper, even if it is named for comments, or a marked article the whole of it.
+WRAPPER, WHOLE, MARKED = 0.6, 0.9, 1 / 3
 
 
 @dataclass
@@ -74,7 +74,7 @@ class Block:
 
 
 def _dropped(tag: str, attributes: str, inside: bool) -> str:
-    """strong: the element goes; weak: it goes unless it holds most of the page; empty: it stays."""
+    """strong: the element goes; weak: it goes unless it holds most of the page; apart: unless it holds all articles, or nearly the whole page; empty: it stays."""
     if tag in DROPPED_TAGS or (tag == "header" and not inside):
         return "weak" if tag == "form" else "strong"
     if "=" not in attributes:
@@ -91,7 +91,7 @@ def _dropped(tag: str, attributes: str, inside: bool) -> str:
             if parts & STATES:
                 continue
             if parts & COMMENT_NAMES and tag not in ("body", "html", "main"):
-                return "strong"
+                return "strong" if inside or tag == "article" else "apart"
             if tag not in ("body", "html", "article", "main") and (parts & DROPPED_NAMES or (not inside and parts & PAGE_HEADER_NAMES)):
                 found = "weak"
     return found
@@ -108,6 +108,7 @@ def blocks_of(page: str | None, everything: bool = False) -> list[Block]:
     linked = 0
     open_tags: list[tuple[str, str]] = []
     weak: list[int] = []  # the numbers of the open elements that only their name speaks against
+    apart: set[int] = set()  # those that are named for comments
     number = hidden = links = inside = 0
 
     def close() -> None:
@@ -124,7 +125,7 @@ def blocks_of(page: str | None, everything: bool = False) -> list[Block]:
         nonlocal hidden, links, inside
         tag, drop = open_tags.pop()
         hidden -= drop == "strong"
-        if drop == "weak":
+        if drop in ("weak", "apart"):
             weak.pop()
         links -= tag == "a"
         inside -= tag in ("article", "main")
@@ -169,9 +170,11 @@ def blocks_of(page: str | None, everything: bool = False) -> list[Block]:
             drop = ("strong" if tag == "head" else "") if everything else _dropped(tag, m[3] or "", inside > 0)
             open_tags.append((tag, drop))
             hidden += drop == "strong"
-            if drop == "weak":
+            if drop in ("weak", "apart"):
                 number += 1
                 weak.append(number)
+                if drop == "apart":
+                    apart.add(number)
             links += tag == "a"
             inside += tag in ("article", "main")
     put(page[at:])
@@ -181,7 +184,15 @@ def blocks_of(page: str | None, everything: bool = False) -> list[Block]:
     for b, own in found:
         held.update(dict.fromkeys(own, len(b.text)))
     articles = {k for b, own in found if b.inside for k in own} if any(b.inside for b, _ in found) else set(held)
-    return [b for b, own in found if all(k in articles and held[k] >= WRAPPER * total for k in own)]
+    marked = [own for b, own in found if b.inside]
+
+    def stays(k: int) -> bool:
+        if k in apart:
+            return all(k in own for own in marked) if marked else held[k] >= WHOLE * total
+        return k in articles and held[k] >= WRAPPER * total
+
+    kept = {k: stays(k) for k in held}
+    return [b for b, own in found if all(kept[k] for k in own)]
 
 
 def size_of(text: str) -> int:

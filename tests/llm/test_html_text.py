@@ -133,3 +133,25 @@ def test_tables(spark):
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in h.extract(pages).collect()) == [(0, "", 0), (1, "", 0), (1, "", 0), (2, "x", 1)]
     assert h.extract(pages.where("false")).count() == 0
+
+
+LONG = "The story of the town is told here in a long sentence that goes on for some time, and that is what it says. "
+
+
+def test_wrappers_named_for_comments():
+    """A wrapper of the page, or of its article, stays; a section of comments goes, also one with articles of its own."""
+    body = f"<h1>Title of it</h1><p>{LONG}</p><p>{LONG}</p>"
+    want = h.main_text(f"<article>{body}</article>")
+    assert LONG.strip() in want
+    assert h.main_text(f'<div id="page-comments"><article>{body}</article></div>') == want
+    assert h.main_text(f'<div class="single comments"><article>{body}</article></div>') == want
+    assert LONG.strip() in h.main_text(f'<div class="single comments">{body}</div>')
+    remarks = f'<ol class="comments"><li class="comment"><article><p>{LONG.replace("story", "remark")}</p></article></li></ol>'
+    assert h.main_text(f"<article>{body}</article>{remarks}") == want
+    assert "remark" not in h.main_text(f"<div>{body}{body}</div>" + remarks.replace("article", "div"))
+    assert "remark" not in h.main_text(f'<article>{body}<div class="comments"><p>{LONG.replace("story", "remark")}</p></div></article>')
+
+
+def test_formulas_and_odd_attributes_stay_in_place():
+    page = f"<article><p>{LONG}It is <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation encoding='t'>x+1</annotation></math> here.</p><p data-x=it's title=\"a > b\">{LONG}</p></article>"
+    assert h.main_text(page) == f"{LONG}It is x+1 here.\n\n{LONG.strip()}"
