@@ -57,27 +57,20 @@ FEW = 10_000
 
 
 def _brackets(rows: DataFrame, buckets: int) -> DataFrame:
-    """(species, n, cuts): for each cut between buckets, its rank from 0 and energies lo and hi that the row of that rank lies between, by exact counts.
+    """A row for each species: n, and for each cut between buckets its rank from 0 and the energies lo and hi that the row of that rank should lie between.
 
-    A mergeable sketch of each species' energies gives the brackets; where
-    counting shows that one misses its rank, it takes in all energies.
+    A mergeable sketch of the species' energies tells these.
     """
-    of = F.least(F.lit(buckets).cast("long"), F.col("n"))
-    sketched = rows.groupBy("species").agg(F.count("*").alias("n"), F.min("e").alias("low"), F.max("e").alias("high"), F.kll_sketch_agg_bigint("e", F.lit(SKETCH)).alias("sketch"))
-    many = (F.col("n") > 1) & F.lit(buckets > 1)
-    cuts = sketched.where(many).withColumn("b", F.explode(F.expr("sequence(1L, least(n, %d) - 1)" % buckets))).withColumn("rank", F.floor(F.col("b") * F.col("n") / of))
-    at = lambda by: F.kll_sketch_get_quantile_bigint("sketch", F.array(*(F.lit(min(1.0, max(0.0, b / buckets + by))) for b in range(1, buckets))))
-    whole = F.col("n") < buckets  # then a cut isn't at a share of the ranks
-    near = lambda by, end: F.when(whole, F.col(end)).otherwise(F.get(at(by), F.col("b").cast("int") - 1))
-    asked = stage(cuts.select("species", "n", "low", "high", "b", "rank", near(-OPEN, "low").alias("lo"), near(OPEN, "high").alias("hi")), "asked")
-    each = asked.groupBy("species").agg(F.sort_array(F.collect_list(F.struct("b", "lo", "hi"))).alias("cuts"))  # of `buckets` - 1 cuts
-    counted = _known(rows, each).select("species", F.explode(F.transform("cuts", lambda c: F.struct(c["b"].alias("b"), (F.col("e") < c["lo"]).cast("long").alias("under"), (F.col("e") <= c["hi"]).cast("long").alias("upto")))).alias("c"))
-    counted = counted.groupBy("species", F.col("c.b").alias("b")).agg(F.sum("c.under").alias("under"), F.sum("c.upto").alias("upto"))
-    found = asked.join(counted, ["species", "b"])
-    fine = (F.col("under") <= F.col("rank")) & (F.col("upto") > F.col("rank"))
-    sure = found.select("species", "n", F.struct("b", "rank", F.when(fine, F.col("lo")).otherwise(F.col("low")).alias("lo"), F.when(fine, F.col("hi")).otherwise(F.col("high")).alias("hi")).alias("c"))
-    one = sketched.where(~many).select("species", "n", F.array().cast("array<struct<b:bigint,rank:bigint,lo:bigint,hi:bigint>>").alias("cuts"))
-    return sure.groupBy("species", "n").agg(F.sort_array(F.collect_list("c")).alias("cuts")).unionByName(one)
+    shares = [b / buckets for b in range(1, buckets)]
+    at = lambda by: F.kll_sketch_get_quantile_bigint("sketch", F.array(*(F.lit(min(1.0, max(0.0, x + by))) for x in shares)))
+    known = rows.groupBy("species").agg(F.count("*").alias("n"), F.min("e").alias("low"), F.max("e").alias("high"), F.kll_sketch_agg_bigint("e", F.lit(SKETCH)).alias("sketch"))
+    if shares:
+        known = known.withColumn("los", at(-OPEN)).withColumn("his", at(OPEN))
+    few = F.col("n") < buckets  # then a cut isn't at a share of the ranks
+    cuts = {}
+    for i in range(1, buckets):
+        cuts |= {f"rank{i}": F.floor(F.lit(i) * F.col("n") / buckets), f"lo{i}": F.when(few, F.col("low")).otherwise(F.col("los")[i - 1]), f"hi{i}": F.when(few, F.col("high")).otherwise(F.col("his")[i - 1])}
+    return known.select("species", "n", "low", "high", *(c.alias(x) for x, c in cuts.items()))
 
 
 def _known(rows: DataFrame, each: DataFrame) -> DataFrame:
@@ -101,18 +94,29 @@ def quantile_buckets(records: DataFrame, order: list[Column], buckets: int = BUC
     """
     names = [f"_o{i}" for i in range(len(order))]
     rows = records.where("species is not null").select("species", "energy_mev", "real_ea_mev", F.coalesce(F.col("energy_mev").cast("long"), F.lit(-(1 << 62))).alias("e"), *(c.alias(n) for c, n in zip(order, names)))
+    sums = [F.count("*").alias("_n"), F.sum(F.col("energy_mev").cast("long")).alias("_e"), F.sum(F.col("real_ea_mev").cast("long")).alias("_ea"), F.count("real_ea_mev").alias("_barriers")]
+    cuts, e = range(1, buckets), F.col("e")
+    total = lambda of: sum((c.cast("int") for c in of), F.lit(0))
+    below = total([F.col(f"hi{i}") < e for i in cuts])
+    near = total([e.between(F.col(f"lo{i}"), F.col(f"hi{i}")) for i in cuts]) > 0
     known = stage(_brackets(rows, buckets), "brackets")
-    placed = _known(rows, known)
-    placed = placed.withColumn("_below", F.size(F.filter("cuts", lambda c: c["hi"] < F.col("e")))).withColumn("_near", F.exists("cuts", lambda c: (c["lo"] <= F.col("e")) & (F.col("e") <= c["hi"])))
-    sums = [F.count("*").alias("n"), F.sum(F.col("energy_mev").cast("long")).alias("_e"), F.sum(F.col("real_ea_mev").cast("long")).alias("_ea"), F.count("real_ea_mev").alias("_barriers")]
-    far = stage(placed.where("not _near").groupBy("species", F.col("_below").alias("bucket")).agg(*sums), "far")
-    near = numbered(placed.where("_near").select("species", "energy_mev", "real_ea_mev", "e", "_below", *names, F.col("n").alias("_n")), ["species", "e", *names], "_place")
-    starts = near.groupBy("species").agg(F.min("_place").alias("_first"))
-    outside = far.groupBy("species").agg(F.collect_list(F.struct("bucket", "n")).alias("_far"))  # `buckets` at most
-    ranked = _known(near, starts.join(outside, "species", "left"))
-    passed = F.aggregate(F.filter(F.coalesce("_far", F.array().cast("array<struct<bucket:int,n:bigint>>")), lambda f: f["bucket"] <= F.col("_below")), F.lit(0).cast("long"), lambda a, f: a + f["n"])
-    of, rank = F.least(F.lit(buckets), F.col("_n")), F.col("_place") - F.col("_first") + passed
-    bucket = F.floor(((rank + 1) * of - 1) / F.col("_n")).cast("int")
-    both = ranked.withColumn("bucket", bucket).groupBy("species", "bucket").agg(*sums).unionByName(far)
-    whole = both.groupBy("species", "bucket").agg(*(F.sum(c).alias(c) for c in ("n", "_e", "_ea", "_barriers")))
-    return whole.select("species", "bucket", "n", (F.col("_e") / F.col("n")).alias("mean_energy_mev"), (F.col("_ea") / F.nullif(F.col("_barriers"), F.lit(0))).alias("mean_ea_mev"))
+    while True:
+        placed = _known(rows, known).withColumn("_below", below).withColumn("_near", near)
+        counts = [F.count_if(e < F.col(f"lo{i}")).alias(f"under{i}") for i in cuts] + [F.count_if(e <= F.col(f"hi{i}")).alias(f"upto{i}") for i in cuts]
+        parts = stage(placed.groupBy("species", "_below", "_near").agg(*sums, *counts), "parts")
+        counted = known.join(parts.groupBy("species").agg(*(F.sum(f"{c}{i}").alias(f"{c}{i}") for i in cuts for c in ("under", "upto")), F.count("*").alias("_parts")), "species")
+        missed = {i: (F.col("n") >= buckets) & ((F.col(f"under{i}") > F.col(f"rank{i}")) | (F.col(f"upto{i}") <= F.col(f"rank{i}"))) for i in cuts}
+        if not cuts or counted.where(total(missed.values()) > 0).isEmpty():
+            break
+        wide = {f"{x}{i}": F.when(m, F.col(end)).otherwise(F.col(f"{x}{i}")) for i, m in missed.items() for x, end in (("lo", "low"), ("hi", "high"))}
+        known = stage(counted.withColumns(wide).select(known.columns), "brackets")
+    far = parts.where("not _near").groupBy("species", F.col("_below").alias("bucket")).agg(*(F.sum(c).alias(c) for c in ("_n", "_e", "_ea", "_barriers")))
+    ranked = numbered(placed.where("_near").select("species", "energy_mev", "real_ea_mev", "e", "_below", *names, "n"), ["species", "e", *names], "_place")
+    starts = ranked.groupBy("species").agg(F.min("_place").alias("_first"))
+    outside = far.groupBy("species").agg(*(F.sum(F.when(F.col("bucket") <= j, F.col("_n"))).alias(f"_upto{j}") for j in range(buckets)))
+    passed = F.coalesce(F.get(F.array(*(f"_upto{j}" for j in range(buckets))), F.col("_below")), F.lit(0))
+    rank, of = F.col("_place") - F.col("_first") + passed, F.least(F.lit(buckets), F.col("n"))
+    bucket = F.floor(((rank + 1) * of - 1) / F.col("n")).cast("int")
+    both = _known(ranked, starts.join(outside, "species", "left")).withColumn("bucket", bucket).groupBy("species", "bucket").agg(*sums).unionByName(far)
+    whole = both.groupBy("species", "bucket").agg(*(F.sum(c).alias(c) for c in ("_n", "_e", "_ea", "_barriers")))
+    return whole.select("species", "bucket", F.col("_n").alias("n"), (F.col("_e") / F.col("_n")).alias("mean_energy_mev"), (F.col("_ea") / F.nullif(F.col("_barriers"), F.lit(0))).alias("mean_ea_mev"))
