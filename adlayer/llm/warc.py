@@ -37,6 +37,7 @@ _SCHEMA = pa.schema([*((c, pa.string()) for c in "record_type record_id refers_t
 _NAMES = {"WARC-Type": "record_type", "WARC-Record-ID": "record_id", "WARC-Refers-To": "refers_to", "WARC-Target-URI": "target_uri", "WARC-Date": "date", "Content-Type": "content_type", "WARC-Block-Digest": "block_digest", "WARC-Payload-Digest": "payload_digest"}
 _LINK = re.compile(r"<(a|img|link|script|iframe)\b[^<>]*?\b(?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TITLE = re.compile(r"<title\b[^<>]*>([^<]*)", re.I)
+_VERSION = re.compile(rb"WARC/\d\.\d\r?\n\Z")
 _BLANK = re.compile(rb"\r?\n\r?\n")
 _CHARSET = re.compile(r"charset=[\"']?([\w.:-]+)", re.I)
 
@@ -252,7 +253,8 @@ def parse(stream: io.BufferedIOBase) -> Iterator[dict]:
     length is followed by an empty line or the stream's end. Whatever else
     stands in the stream gives records of type `unreadable`, one for each span,
     with its place and the reason; behind its first line reading goes on at the
-    next line that begins a record, within what a wrong length takes in too.
+    next line that begins a record, or ends as such a line does, within what a
+    wrong length takes in too.
     Blocks beyond LONGEST are unreadable.
     """
     tape, lost, told = _Tape(stream), None, False
@@ -268,7 +270,9 @@ def parse(stream: io.BufferedIOBase) -> Iterator[dict]:
                 lost, told = None, True
             elif line.strip() and lost is None and not told:
                 lost = begin
-            continue
+            if not (inner := _VERSION.search(line)):  # a record whose line what was lost runs into
+                continue
+            begin, line = tape.at - len(inner[0]), inner[0]
         if lost is not None:
             yield unreadable(lost, "no record begins here")
         lost, told = None, False
