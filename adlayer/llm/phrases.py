@@ -9,9 +9,13 @@ of hashes. Both bitmaps have a bit for each bucket, whatever the data; what they
 let through by chance costs work, and exact counts decide. Only phrases whose
 parts both came through are hashed for the next pass.
 
+The first pass cuts the texts and writes them as numbers of words, a dictionary
+for each batch; the others read these.
+
 The counters bound what the filter can tell apart: with more than about
 min_count occurrences a bucket nearly all buckets are set, and Apriori is left.
-`buckets` should grow with the corpus up to what tasks and the network bear.
+So there is a bucket for about every ten words, up to MOST_BUCKETS; a task gives
+out no more than its own distinct phrases, however many buckets there are.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -30,38 +35,40 @@ from .common import scratch, stage
 SEED = 42
 #: Buckets of a slice: a place in it has 16 bits.
 SLICE = 1 << 16
-#: Documents that are cut at once, and phrases a task holds before it gives them out.
-_ROWS, _HELD = 512, 400_000
+#: Documents of a batch, and words and phrases a task holds before it gives them out.
+_ROWS, _HELD = 1024, 250_000
 # What ends a piece, as bytes; 255 is in no UTF-8 text and stands for it.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _CUT = bytes.maketrans(_ENDS, b"\xff" * len(_ENDS))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Buckets, at most: 4 MB as a bitmap, 128 MB as a task's counters.
+MOST_BUCKETS = 1 << 25
+
+
 def words_of(text: bytes) -> list[bytes]:
     """The words of a UTF-8 text, A-Z lower-cased; b'\\xff' stands between pieces."""
     return text.lower().translate(_CUT).replace(b"\xff", b" \xff ").split()
 
 
-class Words:
-    """Numbers and hashes of words; number 0 is the end of a piece."""
+class Words(dict):
+    """Numbers of words, in the order in which they come; 0 is the end of a piece. spelt, table: the words and their hashes by number."""
 
     def __init__(self) -> None:
-        self.known, self.hashes = {b"\xff": 0}, [0]
-
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        known = self.known
-        if len(known) > 1_000_000:
-            self.__init__()
-            known = self.known
-        for w in set(words):
-            if w not in known:
-                known[w] = len(known)
-                self.hashes.append(xxhash.xxh64_intdigest(w, SEED))
-        ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        if len(self.hashes) > len(getattr(self, "table", ())):
-            self.table = np.array(self.hashes, np.uint64)
-        return ids, self.table[ids]
+        super().__init__({b"\xff": 0})
+        self.spelt, self.table = [b"\xff"], np.zeros(1 << 16, np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        if n >= len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[n] = xxhash.xxh64_intdigest(word, SEED)
+        self.spelt.append(word)
+        return n
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 def _longer(hashed: np.ndarray, each: np.ndarray, k: int) -> np.ndarray:
@@ -94,14 +101,21 @@ def bucket(hashed: np.ndarray, buckets: int) -> np.ndarray:
     return (hashed >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
 
 
-_RAW = "lang string, phrase string, n long, slice int, at binary, counts binary"
+_COUNTED = ("lang string", "phrase string", "n long")
+_BUCKETS = ("slice int", "at binary", "counts binary")
+_TEXTS = ("lang string", "words array<string>", "hashes binary", "ids binary")
+#: What a pass gives: counted phrases, counters of buckets, and, of the first, texts as numbers.
+_RAW = ", ".join(dict.fromkeys([*_COUNTED, *_BUCKETS, *_TEXTS]))
+_KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
+
 
+def _raw(rows: int, /, **columns: pa.Array) -> pa.RecordBatch:
+    names = [c.split(" ") for c in _RAW.split(", ")]
+    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(rows, _KINDS[kind]) for c, kind in names], [c for c, _ in names])
 
-def _counted_rows(groups: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-    for lang, own in groups.items():
-        n, none = len(own), pa.nulls(len(own), pa.binary())
-        columns = [pa.array([lang] * n, pa.string()), pa.array(list(own), pa.binary()).cast(pa.string()), pa.array(list(own.values()), pa.int64()), pa.nulls(n, pa.int32()), none, none]
-        yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n", "slice", "at", "counts"])
+
+def _counted_rows(lang: str, phrases: list[bytes], n: np.ndarray) -> pa.RecordBatch:
+    return _raw(len(phrases), lang=pa.array([lang] * len(phrases), pa.string()), phrase=pa.array(phrases, pa.binary()).cast(pa.string()), n=pa.array(n, pa.int64()))
 
 
 def _bucket_rows(counts: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
@@ -113,27 +127,21 @@ def _bucket_rows(counts: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
         if len(some):
             dense = len(some) * (2 + kind.itemsize) >= own.nbytes
             at, n = (b"", own) if dense else (some.astype(np.uint16).tobytes(), own[some])
-            columns = [pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([k // SLICE], pa.int32()), pa.array([at], pa.binary()), pa.array([n.tobytes()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n", "slice", "at", "counts"])
-
+            yield _raw(1, slice=pa.array([k // SLICE], pa.int32()), at=pa.array([at], pa.binary()), counts=pa.array([n.tobytes()], pa.binary()))
 
-def _pass(k: int, most: int, buckets: int, hashed: bool, seen: Bits | None, parts: Bits | None):
-    """Exact counts of phrases of k words that seen and parts let through; if hashed, bucket counts of those of k + 1."""
 
-    def exact(words: list[bytes], ids: np.ndarray, own: np.ndarray, at: np.ndarray, found: Counter) -> None:
-        _, first, back, n = np.unique(own[at], return_index=True, return_inverse=True, return_counts=True)
-        same = np.ones(len(at), bool)
-        for j in range(k):
-            same &= ids[at + j] == ids[at[first][back] + j]
-        if not same.all():  # two phrases of one hash
-            found.update(b" ".join(words[i : i + k]) for i in at.tolist())
-            return
-        for i, c in zip(at[first].tolist(), n.tolist()):
-            found[b" ".join(words[i : i + k])] += c
+def _first(most: int, buckets: int, hashed: bool):
+    """Counts of words, texts as numbers and, if hashed, bucket counts of phrases of two words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, found = Words(), {}
+        known, found = Words(), {}
         counts = np.zeros(buckets if hashed else 0, np.uint32)
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for lang, n in found.items():
+                some = np.flatnonzero(n)
+                yield _counted_rows(lang, [known.spelt[i] for i in some.tolist()], n[some])
+
         for whole in batches:
             for at in range(0, whole.num_rows, _ROWS):
                 batch = whole.slice(at, _ROWS)
@@ -144,30 +152,79 @@ def _pass(k: int, most: int, buckets: int, hashed: bool, seen: Bits | None, part
                         own += words_of(text)
                         own.append(b"\xff")
                 for lang, words in together.items():
-                    counter = found.setdefault(lang, Counter())
-                    if k == 1 and not hashed:
-                        counter.update(words)
-                        del counter[b"\xff"]
-                        continue
-                    ids, each = number(words)
-                    of = hashes(each, lang.encode(), k + hashed)
-                    inside = [ids[: len(of[1])] > 0]
-                    for i in range(2, k + 1 + hashed):
-                        inside.append(inside[-1][: len(of[i])] & inside[0][i - 1 :])
-                    keep = inside[k - 1]
-                    if k == 1:
-                        counter.update(words)
-                        del counter[b"\xff"]
-                    else:
-                        passed = parts(of[k - 1])
-                        keep = keep & seen(of[k]) & passed[: len(keep)] & passed[1 : len(keep) + 1]
-                        exact(words, ids, of[k], np.flatnonzero(keep), counter)
-                    if hashed and len(keep) > 1:
-                        np.add.at(counts, bucket(of[k + 1][keep[:-1] & keep[1:] & inside[k]], buckets), 1)
-                if sum(map(len, found.values())) > _HELD:
-                    yield from _counted_rows(found)
-                    found = {}
-        yield from _counted_rows(found)
+                    ids = known.numbers(words)
+                    n = np.bincount(ids, minlength=len(known))
+                    n[0] = 0
+                    old = found.get(lang)
+                    if old is not None:
+                        n[: len(old)] += old
+                    found[lang] = n
+                    if hashed:
+                        of = hashes(known.table[ids], lang.encode(), 2)[2]
+                        np.add.at(counts, bucket(of[(ids[:-1] > 0) & (ids[1:] > 0)], buckets), 1)
+                        here = np.zeros(len(known), np.int32)  # the batch's own numbers
+                        here[ids] = 1
+                        here[0] = 0
+                        some = np.flatnonzero(here)
+                        here[some] = np.arange(1, len(some) + 1)
+                        order = [known.spelt[i] for i in some.tolist()]
+                        yield _raw(1, lang=pa.array([lang], pa.string()), words=pa.array([order], pa.list_(pa.binary())).cast(pa.list_(pa.string())), hashes=pa.array([known.table[some].tobytes()], pa.binary()), ids=pa.array([here[ids].tobytes()], pa.binary()))
+                if len(known) > _HELD:
+                    yield from given()
+                    known, found = Words(), {}
+        yield from given()
+        yield from _bucket_rows(counts, most)
+
+    return run
+
+
+def _pass(k: int, most: int, buckets: int, hashed: bool, words: Bits, seen: Bits, parts: Bits):
+    """Exact counts of the phrases of k words, k over 1, that seen and parts let through; if hashed, bucket counts of those of k + 1. words: the frequent ones."""
+
+    def exact(spelt: pa.Array, ids: np.ndarray, own: np.ndarray, at: np.ndarray, found: Counter) -> None:
+        group, _ = pd.factorize(own[at])
+        n = np.bincount(group)
+        first = np.empty(len(n), np.int64)
+        first[group[::-1]] = at[::-1]
+        for j in range(k):
+            if (ids[at + j] != ids[first[group] + j]).any():  # two phrases of one hash: each by itself
+                first, n = at, np.ones(len(at), np.int64)
+                break
+        named = np.unique(ids[(first[:, None] + np.arange(k)).ravel()])
+        text = dict(zip(named.tolist(), spelt.take(pa.array(named - 1)).cast(pa.binary()).to_pylist()))
+        for row, c in zip(ids[first[:, None] + np.arange(k)].tolist(), n.tolist()):
+            found[b" ".join([text[i] for i in row])] += c
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, Counter] = {}
+        counts = np.zeros(buckets if hashed else 0, np.uint32)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                lang = batch.column("lang")[i].as_py()
+                table = np.frombuffer(batch.column("hashes")[i].as_py(), np.uint64)
+                ids = np.frombuffer(batch.column("ids")[i].as_py(), np.int32).astype(np.int64)
+                often = np.r_[False, words(hashes(table, lang.encode(), 1)[1])]
+                ids = np.where(often[ids], ids, 0)
+                ids = ids[(ids > 0) | np.r_[True, ids[:-1] > 0]]  # one end in place of a run of rare words
+                of = hashes(np.r_[np.uint64(0), table][ids], lang.encode(), k + hashed)
+                inside = [ids > 0]
+                for j in range(2, k + 1 + hashed):
+                    inside.append(inside[-1][: len(of[j])] & inside[0][j - 1 :])
+                passed = parts(of[k - 1])
+                n = len(inside[k - 1])
+                keep = inside[k - 1] & passed[:n] & passed[1 : n + 1]
+                keep[keep] = seen(of[k][keep])
+                at = np.flatnonzero(keep)
+                if len(at):
+                    exact(batch.column("words")[i].values, ids, of[k], at, found.setdefault(lang, Counter()))
+                if hashed and n > 1:
+                    np.add.at(counts, bucket(of[k + 1][keep[:-1] & keep[1:] & inside[k]], buckets), 1)
+            if sum(map(len, found.values())) > _HELD:
+                for lang, own in found.items():
+                    yield _counted_rows(lang, list(own), np.array(list(own.values())))
+                found = {}
+        for lang, own in found.items():
+            yield _counted_rows(lang, list(own), np.array(list(own.values()), np.int64))
         yield from _bucket_rows(counts, most)
 
     return run
@@ -177,11 +234,11 @@ def _marked(buckets: int):
     """Bucket rows of the phrases of rows (lang, phrase, size), all of one size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, counts = Words(), np.zeros(buckets, np.uint32)
+        counts = np.zeros(buckets, np.uint32)
         for batch in batches:
             for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").cast(pa.binary()).to_pylist()):
-                words = phrase.split(b" ")
-                counts[bucket(hashes(number(words)[1], lang.encode(), len(words))[-1], buckets)] = 1
+                each = np.array([xxhash.xxh64_intdigest(w, SEED) for w in phrase.split(b" ")], np.uint64)
+                counts[bucket(hashes(each, lang.encode(), len(each))[-1], buckets)] = 1
         yield from _bucket_rows(counts, 1)
 
     return run
@@ -224,27 +281,35 @@ def bitmap(rows: DataFrame, most: int, buckets: int) -> Bits:
     return Bits(bits)
 
 
-def frequent(docs: DataFrame, text: str = "text", group: str = "lang", min_count: int = 100, longest: int = 5, buckets: int = 1 << 22) -> tuple[DataFrame, DataFrame]:
+def frequent(docs: DataFrame, text: str = "text", group: str = "lang", min_count: int = 100, longest: int = 5, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, size, f) of the phrases of 1 to `longest` words that a group has min_count times, (lang, n) words of each group).
 
     Phrases lie within pieces, occurrences may overlap. A null group is `und`,
-    a null text is empty. buckets is a power of two, 8 at least.
+    a null text is empty. buckets is a power of two, 8 at least; by default it
+    follows the characters of all texts.
     """
+    if buckets is None:
+        size = docs.agg(F.sum(F.length(F.col(f"`{text}`")))).first()[0] or 0
+        buckets = min(max(1 << 16, 1 << (size // 64).bit_length()), MOST_BUCKETS)
     if buckets < 8 or buckets & (buckets - 1):
         raise ValueError("buckets is a power of two, 8 at least")
     own = docs.select(F.coalesce(F.col(f"`{group}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").alias("text"))
-    found, seen, parts, totals = [], None, None, None
+    found, words, seen, parts, texts, totals = [], None, None, None, None, None
     for k in range(1, longest + 1):
-        raw = stage(own.mapInArrow(_pass(k, min_count, buckets, k < longest, seen, parts), _RAW), f"pass{k}")
-        sums = raw.where("phrase is not null").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+        hashed = k < longest
+        run = _first(min_count, buckets, hashed) if k == 1 else _pass(k, min_count, buckets, hashed, words, seen, parts)
+        raw = stage((own if k == 1 else texts).mapInArrow(run, _RAW), f"pass{k}")
+        counted = raw.where("phrase is not null").select("lang", "phrase", "n")
         if k == 1:
-            totals = stage(raw.where("phrase is not null").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-        sums = stage(sums.select("lang", "phrase", F.lit(k).alias("size"), "f"), f"frequent{k}")
+            totals = stage(counted.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+            texts = raw.where("ids is not null").select("lang", "words", "hashes", "ids")
+        sums = stage(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count).select("lang", "phrase", F.lit(k).alias("size"), "f"), f"frequent{k}")
         found.append(sums)
-        if k < longest:
+        if hashed:
             if sums.isEmpty():
                 break
             seen, parts = bitmap(raw, min_count, buckets), bitmap(sums.mapInArrow(_marked(buckets), _RAW), 1, buckets)
+            words = words or parts
     whole = found[0]
     for more in found[1:]:
         whole = whole.union(more)
@@ -255,7 +320,7 @@ def _part(begin: str, size: str) -> str:
     return f"array_join(slice(split(phrase, ' '), {begin}, {size}), ' ')"
 
 
-def collocations(docs: DataFrame, text: str = "text", group: str = "lang", min_count: int = 100, longest: int = 5, top: int = 2000, buckets: int = 1 << 22) -> DataFrame:
+def collocations(docs: DataFrame, text: str = "text", group: str = "lang", min_count: int = 100, longest: int = 5, top: int = 2000, buckets: int | None = None) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of each group's first `top` phrases of two words and more.
 
     a: the phrase's count, n: the group's words. A cut after k words has counts

@@ -60,10 +60,11 @@ def test_filters_prune(spark):
     """A phrase of rare parts, or of a rare bucket, isn't counted."""
     rows = made(2) + [(f"q{i} z{i} q{i}", "en") for i in range(500)]
     df = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
-    raw = df.selectExpr("coalesce(lang, 'und') as lang", "text").mapInArrow(p._pass(1, 20, 1 << 18, True, None, None), p._RAW)
+    own = df.selectExpr("coalesce(lang, 'und') as lang", "text")
+    raw = own.mapInArrow(p._first(20, 1 << 18, True), p._RAW).cache()
     words = raw.where("phrase is not null").groupBy("lang", "phrase").sum("n").toDF("lang", "phrase", "f").where("f >= 20")
     seen, parts = p.bitmap(raw, 20, 1 << 18), p.bitmap(words.mapInArrow(p._marked(1 << 18), p._RAW), 1, 1 << 18)
-    counted = df.selectExpr("coalesce(lang, 'und') as lang", "text").mapInArrow(p._pass(2, 20, 1 << 18, False, seen, parts), p._RAW).collect()
+    counted = raw.where("ids is not null").mapInArrow(p._pass(2, 20, 1 << 18, False, parts, seen, parts), p._RAW).collect()
     assert counted and not [r for r in counted if "q1" in r["phrase"].split() or r["n"] < 5]
 
 
