@@ -14,7 +14,7 @@ for each batch; the others read these.
 
 The counters bound what the filter can tell apart: with more than about
 min_count occurrences a bucket nearly all buckets are set, and Apriori is left.
-So there is a bucket for about every ten words, up to MOST_BUCKETS; a task gives
+So there is a bucket for about every twenty words, up to MOST_BUCKETS; a task gives
 out no more than its own distinct phrases, however many buckets there are.
 """
 
@@ -36,7 +36,7 @@ SEED = 42
 #: Buckets of a slice: a place in it has 16 bits.
 SLICE = 1 << 16
 #: Documents of a batch, and words and phrases a task holds before it gives them out.
-_ROWS, _HELD = 1024, 250_000
+_ROWS, _HELD = 512, 200_000
 # What ends a piece, as bytes; 255 is in no UTF-8 text and stands for it.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _CUT = bytes.maketrans(_ENDS, b"\xff" * len(_ENDS))
@@ -290,7 +290,7 @@ def frequent(docs: DataFrame, text: str = "text", group: str = "lang", min_count
     """
     if buckets is None:
         size = docs.agg(F.sum(F.length(F.col(f"`{text}`")))).first()[0] or 0
-        buckets = min(max(1 << 16, 1 << (size // 64).bit_length()), MOST_BUCKETS)
+        buckets = min(max(1 << 16, 1 << (size // 128).bit_length()), MOST_BUCKETS)
     if buckets < 8 or buckets & (buckets - 1):
         raise ValueError("buckets is a power of two, 8 at least")
     own = docs.select(F.coalesce(F.col(f"`{group}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").alias("text"))
