@@ -278,6 +278,57 @@ def _linked(width: int, percent: int):
     return run
 
 
+def _ends(pairs: DataFrame, other: DataFrame, names: list[str]) -> DataFrame:
+    """pairs with the columns of other (id, names...) for both ends."""
+    for x in "ba":
+        pairs = pairs.join(other.select(F.col("id").alias(x), *(F.col(n).alias(f"{n}_{x}") for n in names)), x)
+    return pairs
+
+
+def _texts_of(ids: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, text) of the sets in ids (id), each of its first row."""
+    wanted = ids.distinct().join(sets, "id").select("id", F.col("first.id").alias("own"), F.col("first.key").alias("key"))
+    found = texts.join(wanted, texts["doc_id"].eqNullSafe(F.col("own")) & (F.col("text_key") == F.col("key"))).select("id", "text")
+    return stage(found.dropDuplicates(["id"]), "texts")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets that link. Sorted by a, so that a first member's text is cut once."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    both = _ends(pairs, _texts_of(ids, sets, texts).withColumnRenamed("text", "of"), ["of"])
+    return stage(both.sortWithinPartitions("a").mapInArrow(_linked(width, percent), "a long, b long"), "links")
+
+
+def within_families(members: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """(root, least): which classes of members (root, id, size, family) all links between classes of one family join."""
+    each = members.groupBy("family", "root").agg(F.count("*").alias("own"))
+    each = each.groupBy("family").agg(F.sum("own").alias("all"), F.max_by("root", "own").alias("main"), F.max("own").alias("most"))
+    # parts 0 to p - 1 have the largest class, whose members needn't meet; the others p to q - 1
+    p, q = F.ceil(F.col("most") / block).cast("long"), F.ceil(F.col("most") / block).cast("long") + F.ceil((F.col("all") - F.col("most")) / block).cast("long")
+    placed = members.join(each, "family").withColumn("p", p).withColumn("q", q)
+    placed = placed.withColumn("part", F.when(F.col("root") == F.col("main"), F.pmod(F.xxhash64("id"), "p")).otherwise(F.col("p") + F.pmod(F.xxhash64("id"), F.col("q") - F.col("p"))))
+    placed = placed.join(_texts_of(members.select("id"), sets, texts), "id")
+    begin = F.when(F.col("part") < F.col("p"), F.col("p")).otherwise(F.lit(0).cast("long"))
+    placed = placed.withColumn("other", F.explode(F.sequence(begin, F.col("q") - 1)))
+    cell = F.least("part", "other") * F.col("q") + F.greatest("part", "other")
+    placed = placed.select("family", cell.alias("cell"), "id", "root", "size", "part", "text").repartition("family", "cell").sortWithinPartitions("family", "cell")
+    more = placed.mapInArrow(_compared(width, percent), "a long, b long").distinct()
+    for x in "ab":
+        more = more.join(members.select(F.col("id").alias(x), F.col("root").alias(f"of_{x}")), x)
+    return classes(more.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("least"))
+
+
+def labelled(rows: DataFrame, sets: DataFrame, rooted: DataFrame, total: int, empty_alike: bool) -> DataFrame:
+    """What near_duplicates gives, from rows (doc_id, text_key, digest), their sets and each set's class: rooted (id, root)."""
+    named = sets.join(rooted.select("id", "root"), "id", "left").select("digest", "n", "size", "first", F.coalesce("root", "id").alias("root"))
+    least = named.groupBy("root").agg(F.min("first").alias("least"))
+    labels = stage(named.join(least, "root").select("digest", "n", "size", "least"), "labels")
+    out = split_join(rows.select("doc_id", "text_key", "digest"), labels, ["digest"], total)
+    alone = (F.col("size") == 0) & F.lit(not empty_alike)
+    component = lambda own, of: F.when(alone, F.col(own)).otherwise(F.col("least")[of])
+    return out.select("doc_id", "text_key", F.col("size").alias("n_shingles"), component("doc_id", "id").alias("component_id"), component("text_key", "key").alias("component_key"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, empty_alike: bool = False, symbols: int = SYMBOLS, errors: int = ERRORS, block: int = 2048) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id, component_key) for each row of docs (doc_id, text), repeated rows included.
 
@@ -308,29 +359,12 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int, empty_alike: boo
     groups = keys.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("members")).where("members > 1")
     met = stage(keys.join(groups, "key"), "met")
 
-    def ends(pairs: DataFrame, other: DataFrame, names: list[str]) -> DataFrame:
-        """pairs with the columns of other (id, names...) for both ends."""
-        for x in "ba":
-            pairs = pairs.join(other.select(F.col("id").alias(x), *(F.col(n).alias(f"{n}_{x}") for n in names)), x)
-        return pairs
-
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(sets, "id")
-        wanted = wanted.select("id", F.col("first.id").alias("own"), F.col("first.key").alias("key"))
-        found = texts.join(wanted, texts["doc_id"].eqNullSafe(F.col("own")) & (F.col("text_key") == F.col("key"))).select("id", "text")
-        return stage(found.dropDuplicates(["id"]), "texts")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that link. Sorted by a, so that a first member's text is cut once."""
-        both = ends(pairs, texts_of(pairs).withColumnRenamed("text", "of"), ["of"])
-        return stage(both.sortWithinPartitions("a").mapInArrow(_linked(width, percent), "a long, b long"), "links")
-
     def likely(pairs: DataFrame) -> DataFrame:
-        both = ends(pairs, sets, ["size", "signature"]).where(f"least(size_a, size_b) * 100 >= greatest(size_a, size_b) * {percent}")
+        both = _ends(pairs, sets, ["size", "signature"]).where(f"least(size_a, size_b) * 100 >= greatest(size_a, size_b) * {percent}")
         return stage(both.mapInArrow(_within(symbols, distance), "a long, b long"), "likely")
 
     tried = likely(met.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
-    found = classes(verified(tried)).select(F.col("node").alias("id"), "root")
+    found = classes(verified(tried, sets, texts, width, percent)).select(F.col("node").alias("id"), "root")
     rooted = stage(sets.where("size > 0").select("id", "size").join(found, "id", "left").select("id", "size", F.coalesce("root", "id").alias("root")), "rooted")
 
     # families: classes that have members within the distance in a group
@@ -346,27 +380,7 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int, empty_alike: boo
         families = classes(akin)
         families = families.union(families.select("root", "root").distinct()).toDF("root", "family")
         members = stage(rooted.join(families, "root"), "members")
-        each = members.groupBy("family", "root").agg(F.count("*").alias("own"))
-        each = each.groupBy("family").agg(F.sum("own").alias("all"), F.max_by("root", "own").alias("main"), F.max("own").alias("most"))
-        # parts 0 to p - 1 have the largest class, whose members needn't meet; the others p to q - 1
-        p, q = F.ceil(F.col("most") / block).cast("long"), F.ceil(F.col("most") / block).cast("long") + F.ceil((F.col("all") - F.col("most")) / block).cast("long")
-        placed = members.join(each, "family").withColumn("p", p).withColumn("q", q)
-        placed = placed.withColumn("part", F.when(F.col("root") == F.col("main"), F.pmod(F.xxhash64("id"), "p")).otherwise(F.col("p") + F.pmod(F.xxhash64("id"), F.col("q") - F.col("p"))))
-        placed = placed.join(texts_of(members.select(F.col("id").alias("a"), F.col("id").alias("b"))), "id")
-        begin = F.when(F.col("part") < F.col("p"), F.col("p")).otherwise(F.lit(0).cast("long"))
-        placed = placed.withColumn("other", F.explode(F.sequence(begin, F.col("q") - 1)))
-        cell = F.least("part", "other") * F.col("q") + F.greatest("part", "other")
-        placed = placed.select("family", cell.alias("cell"), "id", "root", "size", "part", "text").repartition("family", "cell").sortWithinPartitions("family", "cell")
-        more = placed.mapInArrow(_compared(width, percent), "a long, b long").distinct()
-        for x in "ab":
-            more = more.join(rooted.select(F.col("id").alias(x), F.col("root").alias(f"of_{x}")), x)
-        joined = classes(more.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("least"))
+        joined = within_families(members, sets, texts, width, percent, block)
         rooted = rooted.join(joined, "root", "left").select("id", F.coalesce("least", "root").alias("root"))
 
-    named = sets.join(rooted.select("id", "root"), "id", "left").select("digest", "n", "size", "first", F.coalesce("root", "id").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("least"))
-    labels = stage(named.join(least, "root").select("digest", "n", "size", "least"), "labels")
-    out = split_join(rows.select("doc_id", "text_key", "digest"), labels, ["digest"], total)
-    alone = (F.col("size") == 0) & F.lit(not empty_alike)
-    component = lambda own, of: F.when(alone, F.col(own)).otherwise(F.col("least")[of])
-    return out.select("doc_id", "text_key", F.col("size").alias("n_shingles"), component("doc_id", "id").alias("component_id"), component("text_key", "key").alias("component_key"))
+    return labelled(rows, sets, rooted, total, empty_alike)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, node_of, split_join, stage, text_key
+from .common import bounded_sample, node_of, scratch, split_join, stage, text_key
 
 BITS = 64
 SEED = 42
@@ -57,11 +57,11 @@ def _mixed(hashes: np.ndarray) -> np.ndarray:
     return (z ^ (z >> np.uint64(31))).astype(">u8")
 
 
-def fingerprint_bytes(text: bytes | None, width: int = 3, extra: int = 0) -> bytes:
+def fingerprint_bytes(text: bytes | None, width: int = 3, extra: int = 0, once: bool = False) -> bytes:
     """The fingerprint of a UTF-8 text, most significant byte first; zero bytes without words.
 
     extra: so many further words of 64 bits, from the hashes mixed again and
-    again, follow.
+    again, follow. once: a shingle counts once, however often it comes.
     """
     words = (text or b"").lower().split()  # of bytes: A-Z and the six ASCII spaces only
     if not words:
@@ -69,7 +69,7 @@ def fingerprint_bytes(text: bytes | None, width: int = 3, extra: int = 0) -> byt
     digest = xxhash.xxh64_digest
     join = b" ".join
     made = [digest(join(s), SEED) for s in zip(*(words[i:] for i in range(width)))] or [digest(join(words), SEED)]
-    hashes = np.frombuffer(b"".join(made), dtype=">u8")
+    hashes = np.frombuffer(b"".join(dict.fromkeys(made) if once else made), dtype=">u8")
     out = [_majority(hashes)]
     for _ in range(extra):
         hashes = _mixed(hashes)
@@ -433,18 +433,85 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, extra: int
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: How the pipeline's similar texts are found: bits that fingerprints over three-word shingles may differ in, further words of 64 bits, and bits in all.
+RADIUS, EXTRA, BOTH = 12, 2, 56
+
+
+def _printed(width: int, extra: int):
+    """(doc_id, text_key, digest, size, fp, more): the set of shingles of `width` words, and the fingerprint of the text's three-word ones, each once."""
+    from .minhash import Shingles
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(width)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                texts = batch.column("text").cast(pa.binary()).to_pylist()
+                sets = [shingles(x) for x in texts]
+                made = [fingerprint_bytes(x, 3, extra, once=True) for x in texts]
+                digests = pa.array([xxhash.xxh128_digest(x.tobytes(), SEED) for x in sets], pa.binary())
+                fps = np.frombuffer(b"".join([x[:8] for x in made]), dtype=">i8").astype(np.int64)
+                columns = [batch.column("doc_id"), batch.column("text_key"), digests, pa.array(list(map(len, sets)), pa.int64()), pa.array(fps), pa.array([x[8:] for x in made], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "digest", "size", "fp", "more"])
+
+    return run
+
+
+def similar(docs: DataFrame, width: int = 5, percent: int = 80, radius: int = RADIUS, extra: int = EXTRA, both: int = BOTH, block: int = 2048) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, component_key) for each row of docs (doc_id, text), as minhash.near_duplicates gives them.
+
+    The generalised pigeonhole join makes classes of the fingerprints that link
+    (`radius` bits of the first word, `both` in all); texts of one class link if
+    their whole sets of shingles of `width` words have a Jaccard similarity of
+    percent / 100. All of a class are compared with its first text, then those
+    that are still apart with each other, a class of more than `block` texts in
+    pairs of blocks. Texts without words are alike.
+    """
+    with scratch(docs.sparkSession):
+        return stage(_similar(docs, width, percent, radius, extra, both, block), "groups", outer=True)
+
+
+def _similar(docs: DataFrame, width: int, percent: int, radius: int, extra: int, both: int, block: int) -> DataFrame:
+    from . import minhash
+
+    kind = dict(docs.select("doc_id").dtypes)["doc_id"]
+    texts = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
+    rows = stage(texts.mapInArrow(_printed(width, extra), f"doc_id {kind}, text_key string, digest binary, size long, fp long, more binary"), "printed")
+    total = rows.count()
+    first = F.min(node_of(F.col("doc_id"), F.col("text_key"))).alias("first")
+    same = (F.first(c).alias(c) for c in ("size", "fp", "more"))  # of one set, one fingerprint
+    sets = rows.groupBy("digest").agg(first, F.count("*").alias("n"), *same)
+    sets = stage(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
+
+    distinct = stage(sets.where("size > 0").groupBy("fp", "more").agg(F.min("id").alias("node"), F.count("*").alias("n")), "distinct")
+    pairs = links(distinct, radius, both)
+    for side in "ab":
+        pairs = pairs.join(distinct.select(F.col("fp").alias(side), F.col("more").alias(f"{side}_more"), F.col("node").alias(f"{side}_node")), [side, f"{side}_more"])
+    found = classes(pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")))
+    family = distinct.join(found, "node", "left").select("fp", "more", "n", F.coalesce("root", "node").alias("family"))
+    several = family.groupBy("family").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("family")
+    own = stage(sets.where("size > 0").select("id", "size", "fp", "more").join(family.join(several, "family"), ["fp", "more"]).select("id", "size", "family"), "families")
+
+    tried = own.where("id <> family").select(F.col("family").alias("a"), F.col("id").alias("b"))
+    joined = classes(minhash.verified(tried, sets, texts, width, percent)).select(F.col("node").alias("id"), "root")
+    members = stage(own.join(joined, "id", "left").select("id", "size", "family", F.coalesce("root", "id").alias("root")), "members")
+    apart = members.groupBy("family").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("family")
+    open_ = stage(members.join(apart, "family"), "open")
+    rooted = members.select("id", "root")
+    if not open_.isEmpty():
+        more = minhash.within_families(open_, sets, texts, width, percent, block)
+        rooted = rooted.join(more, "root", "left").select("id", F.coalesce("least", "root").alias("root"))
+    return minhash.labelled(rows, sets, rooted, total, empty_alike=True)
+
+
 def keep_first(docs: DataFrame, width: int = 5) -> DataFrame:
     """The rows of docs, all columns, that are the first (smallest doc_id, null last) of their group; of rows with one id and text, one stays.
 
-    A group: texts with a Jaccard similarity of 0.8 or more over distinct
-    shingles of `width` words, linked in any number of steps. At that
-    similarity fingerprints tell texts apart only roughly, and within their
-    radius is a fixed share of all pairs; so the pigeonhole principle is put to
-    longer signatures (minhash), and the shingles themselves are compared.
+    A group: texts that similar() links in any number of steps, by SimHash and
+    then by a Jaccard similarity of 0.8 or more over distinct shingles of
+    `width` words.
     """
-    from .minhash import near_duplicates as by_shingles
-
-    found = by_shingles(docs, width, 80, empty_alike=True)
+    found = similar(docs, width)
     own = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("component_key"))
     counted = found.groupBy("doc_id", "text_key").agg(F.bool_or(own).alias("stays"), F.count("*").alias("n"))
     odd = stage(counted.where("not stays or n > 1").select(F.col("doc_id").alias("_al_id"), F.col("text_key").alias("_al_key"), F.col("stays").alias("_al_stays")), "later")

@@ -19,7 +19,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with a similarity of 0.8 or more over five-word shingles, linked in any number of steps, the first stays."""
+    """Of documents that SimHash links (generalised pigeonhole join) at a similarity of 0.8 or more over five-word shingles, in any number of steps, the first stays."""
     return simhash.keep_first(docs)
 
 

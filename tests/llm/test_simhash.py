@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import random
 import re
 
 import numpy as np
@@ -139,3 +140,27 @@ def test_one_of_each_group_stays(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, fp string")
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 4]
+
+
+def test_the_pipeline_takes_its_groups_from_the_pigeonhole_join(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng, base = random.Random(3), [[f"w{i}x{k}" for i in range(200)] for k in range(6)]
+    texts = [" ".join(b) for b in base]
+    for b in base:
+        for edits in (1, 2, 3, 4, 60):
+            own = b.copy()
+            for i in rng.sample(range(200), edits):
+                own[i] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    called, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a, **k: called.append(a[1:]) or links(*a, **k))
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, DATA).collect()}
+    assert called == [(simhash.RADIUS, simhash.BOTH)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            root = [root[i] if r == root[j] else r for r in root]
+    assert got == set(root) and len(got) < len(texts)
