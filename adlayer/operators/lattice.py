@@ -47,8 +47,8 @@ def edges(placed: DataFrame, width: int, forward: bool = True) -> DataFrame:
     return placed.select("patch_id", F.col("site").alias("a"), F.explode(near).alias("n")).select("patch_id", "a", F.col("n.ord").alias("ord"), F.col("n.site").alias("b"))
 
 
-#: Sites of a block.
-BLOCK = 1 << 20
+#: Sites of a block; where rows of sites are long, so many rows instead.
+BLOCK, BLOCK_ROWS = 1 << 17, 16
 #: The neighbours of a site by their order: rows down, columns right in even and in odd rows; those counted once for each pair.
 _STEPS = [(0, -1, -1), (0, 1, 1), (-1, -1, 0), (-1, 0, 1), (1, -1, 0), (1, 0, 1)]
 _FORWARD = (1, 4, 5)
@@ -68,8 +68,8 @@ class _Block:
         order = np.lexsort((site, patch))
         self.patch, self.site, self.width = patch[order], site[order], width
         self.state, self.rows = take("state").astype(np.int64)[order], take("rows").astype(np.int64)[order]
-        number = np.cumsum(np.r_[0, self.patch[1:] != self.patch[:-1]])  # of the patch in the block
-        self.base = number * (max(int((self.rows * width).max()), int(self.site.max())) + 1)
+        self.number = np.cumsum(np.r_[0, self.patch[1:] != self.patch[:-1]])  # of the patch in the block
+        self.base = self.number * (max(int((self.rows * width).max()), int(self.site.max())) + 1)
 
     def near(self, order: int) -> tuple[np.ndarray, np.ndarray]:
         """(where, site) of the neighbour of that order."""
@@ -93,6 +93,8 @@ _HALO = "patch_id long, kind long, site long, other long, x long, y long, n long
 def _blocks(width: int, inner):
     """Rows of _HALO from each block: what inner(block) gives, as columns of arrays."""
 
+    most = max(BLOCK, BLOCK_ROWS * width)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
@@ -101,12 +103,14 @@ def _blocks(width: int, inner):
                 yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(x, len(columns[0])).astype(np.int64)) for x in columns], [c.split(" ")[0] for c in _HALO.split(", ")])
 
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                n += batch.num_rows
-            if n >= BLOCK:
-                yield from done()
-                held, n = [], 0
+            while batch.num_rows:  # a large batch is cut too
+                part = batch.slice(0, most - n)
+                batch = batch.slice(part.num_rows)
+                held.append(part)
+                n += part.num_rows
+                if n >= most:
+                    yield from done()
+                    held, n = [], 0
         if held:
             yield from done()
 
@@ -119,13 +123,15 @@ def _halo(placed: DataFrame, width: int, inner) -> DataFrame:
 
 def _counted(block: _Block) -> Iterator[tuple]:
     """kind 0: pairs by patch and states (x, y); 1: pairs with a neighbour (other) that isn't there; 2: sites that others look for."""
+    states, code = np.unique(block.state, return_inverse=True)
+    first = np.unique(block.number, return_index=True)[1]  # of each patch
     for i in _FORWARD:
         at, to = block.near(i)
         known, lost = np.flatnonzero(at >= 0), np.flatnonzero(at == -2)
-        a, b = block.state[known], block.state[at[known]]
-        pair = np.stack([block.patch[known], np.minimum(a, b), np.maximum(a, b)])
-        (patch, low, high), n = np.unique(pair, axis=1, return_counts=True)
-        yield patch, 0, 0, 0, low, high, n
+        a, b = code[known], code[at[known]]
+        pair, n = np.unique((block.number[known] * len(states) + np.minimum(a, b)) * len(states) + np.maximum(a, b), return_counts=True)
+        patch, low, high = pair // len(states) ** 2, pair // len(states) % len(states), pair % len(states)
+        yield block.patch[first[patch]], 0, 0, 0, states[low], states[high], n
         yield block.patch[lost], 1, block.site[lost], to[lost], block.state[lost], 0, 1
     back = block.open_sites(tuple(i for i in range(len(_STEPS)) if i not in _FORWARD))
     yield block.patch[back], 2, block.site[back], 0, block.state[back], 0, 1

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +149,24 @@ def test_configurations_in_rows(spark):
     for bad in ((own("X", 2.0), none), (own("O", -1.0), none)):
         with pytest.raises(Exception, match="pressure"):
             at(*bad)
+
+
+def test_blocks_of_sites_are_bounded_whatever_the_batches():
+    n, sizes = 300_000, []
+    site = np.arange(n)
+    batch = pa.RecordBatch.from_pydict({"patch_id": np.zeros(n, np.int64), "site": site, "state": site % 3, "rows": np.full(n, n // 50)})
+
+    def inner(block):
+        sizes.append(len(block.site))
+        yield from L._counted(block)
+
+    rows = pa.Table.from_batches(list(L._blocks(50, inner)(iter([batch])))).to_pandas()
+    assert sum(sizes) == n and max(sizes) <= 1 << 17
+    known = rows[rows["kind"] == 0]
+    a, b = rows[rows["kind"] == 1], rows[rows["kind"] == 2]
+    r, c = np.divmod(site, 50)
+    want = 0
+    for down, even, odd in [L._STEPS[i] for i in L._FORWARD]:
+        to_r, to_c = r + down, c + np.where(r % 2 == 1, odd, even)
+        want += int(((to_r < n // 50) & (to_c >= 0) & (to_c < 50)).sum())
+    assert known["n"].sum() + len(a) == want and set(a["other"]) <= set(b["site"])
