@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -170,3 +171,59 @@ def test_blocks_of_sites_are_bounded_whatever_the_batches():
         to_r, to_c = r + down, c + np.where(r % 2 == 1, odd, even)
         want += int(((to_r < n // 50) & (to_c >= 0) & (to_c < 50)).sum())
     assert known["n"].sum() + len(a) == want and set(a["other"]) <= set(b["site"])
+
+
+def test_calls_to_the_store_follow_buckets(spark):
+    """A batch's events of a bucket are one entry, and an earlier timer replaces the later one."""
+    class Value:
+        def __init__(self):
+            self.held, self.calls = None, 0
+
+        def get(self):
+            return self.held
+
+        def update(self, x):
+            self.held = x
+
+        def clear(self):
+            self.held = None
+
+    class Items(Value):
+        def get(self):
+            return iter(self.held or [])
+
+        def put(self, x):
+            self.held = list(x)
+
+        def appendValue(self, x):
+            self.calls += 1
+            self.held = [*(self.held or []), x]
+
+        def appendList(self, x):
+            self.calls += len(x)
+            self.held = [*(self.held or []), *x]
+
+    class Handle:
+        def __init__(self):
+            self.timers = []
+            self.getValueState = lambda *a: Value()
+            self.getListState = lambda *a: Items()
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    class Times:
+        getCurrentWatermarkInMs = staticmethod(lambda: 10**9)
+
+    handle, own = Handle(), replay._Replay()
+    own.init(handle)
+    rows = [(1_000 * (200 - i), i, i % 5, (1, 2, 256, 512)[i % 4]) for i in range(200)]
+    for part in (rows[:100], rows[100:]):
+        frame = pd.DataFrame(part, columns=["micros", "ord", "site_idx", "transition"])
+        list(own.handleInputRows((0,), iter([frame[:50], frame[50:]]), None))
+    assert own.waiting.calls == 2 and len(handle.timers) == 1
+    got = pd.concat(list(own.handleExpiredTimer((0,), Times, None)))
+    assert {(r.site_idx, r.ord, r.state_before, r.state_after) for r in got.itertuples()} == applied(rows)
