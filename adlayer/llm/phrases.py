@@ -37,6 +37,8 @@ SEED = 42
 SLICE = 1 << 16
 #: Documents of a batch, and words and phrases a task holds before it gives them out.
 _ROWS, _HELD = 512, 200_000
+#: Tasks of a pass over numbered texts, for each core.
+_TASKS = 2
 # What ends a piece, as bytes; 255 is in no UTF-8 text and stands for it.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _CUT = bytes.maketrans(_ENDS, b"\xff" * len(_ENDS))
@@ -298,7 +300,9 @@ def frequent(docs: DataFrame, text: str = "text", group: str = "lang", min_count
     for k in range(1, longest + 1):
         hashed = k < longest
         run = _first(min_count, buckets, hashed) if k == 1 else _pass(k, min_count, buckets, hashed, words, seen, parts)
-        raw = stage((own if k == 1 else texts).mapInArrow(run, _RAW), f"pass{k}")
+        # a task gives each of its phrases out once: so many tasks as run at a time, however many parts the texts have
+        source = own if k == 1 else texts.coalesce(_TASKS * docs.sparkSession.sparkContext.defaultParallelism)
+        raw = stage(source.mapInArrow(run, _RAW), f"pass{k}")
         counted = raw.where("phrase is not null").select("lang", "phrase", "n")
         if k == 1:
             totals = stage(counted.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
