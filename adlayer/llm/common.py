@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import scratch, stage
 
-__all__ = ["bounded_sample", "fold_of", "node_of", "scratch", "split_join", "stage", "text_key"]
+__all__ = ["arrow_rows", "bounded_sample", "fold_of", "node_of", "scratch", "split_join", "stage", "text_key"]
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is run inside gets rows of many bytes each in Arrow batches of so many at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
 
 
 def bounded_sample(df: DataFrame, key: Column, max_rows: int, seed: int = 7) -> DataFrame:

@@ -10,7 +10,9 @@ let through by chance costs work, and exact counts decide. Only phrases whose
 parts both came through are hashed for the next pass.
 
 The first pass cuts the texts and writes them as numbers of words, a dictionary
-for each batch; the others read these.
+for each batch; the others read these. A task gives out each of its phrases once, and
+a frequent phrase is in nearly every task; so these passes have a few tasks a core,
+however many parts the texts are in, and get the texts a few batches at a time.
 
 The counters bound what the filter can tell apart: with more than about
 min_count occurrences a bucket nearly all buckets are set, and Apriori is left.
@@ -30,13 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, stage
+from .common import arrow_rows, scratch, stage
 
 SEED = 42
 #: Buckets of a slice: a place in it has 16 bits.
 SLICE = 1 << 16
 #: Documents of a batch, and words and phrases a task holds before it gives them out.
 _ROWS, _HELD = 512, 200_000
+#: A pass over numbered texts: tasks for each core, characters of a task beyond that, rows (of a batch of documents each) that a task gets at once.
+_TASKS, _TASK_CHARS, _GOT = 2, 1 << 30, 16
 # What ends a piece, as bytes; 255 is in no UTF-8 text and stands for it.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _CUT = bytes.maketrans(_ENDS, b"\xff" * len(_ENDS))
@@ -109,6 +113,11 @@ _RAW = ", ".join(dict.fromkeys([*_COUNTED, *_BUCKETS, *_TEXTS]))
 _KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
 
 
+def _number(words: int) -> np.dtype:
+    """What a text's numbers of so many different words are written as."""
+    return np.min_scalar_type(words)
+
+
 def _raw(rows: int, /, **columns: pa.Array) -> pa.RecordBatch:
     names = [c.split(" ") for c in _RAW.split(", ")]
     return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(rows, _KINDS[kind]) for c, kind in names], [c for c, _ in names])
@@ -168,7 +177,7 @@ def _first(most: int, buckets: int, hashed: bool):
                         some = np.flatnonzero(here)
                         here[some] = np.arange(1, len(some) + 1)
                         order = [known.spelt[i] for i in some.tolist()]
-                        yield _raw(1, lang=pa.array([lang], pa.string()), words=pa.array([order], pa.list_(pa.binary())).cast(pa.list_(pa.string())), hashes=pa.array([known.table[some].tobytes()], pa.binary()), ids=pa.array([here[ids].tobytes()], pa.binary()))
+                        yield _raw(1, lang=pa.array([lang], pa.string()), words=pa.array([order], pa.list_(pa.binary())).cast(pa.list_(pa.string())), hashes=pa.array([known.table[some].tobytes()], pa.binary()), ids=pa.array([here[ids].astype(_number(len(some))).tobytes()], pa.binary()))
                 if len(known) > _HELD:
                     yield from given()
                     known, found = Words(), {}
@@ -202,7 +211,7 @@ def _pass(k: int, most: int, buckets: int, hashed: bool, words: Bits, seen: Bits
             for i in range(batch.num_rows):
                 lang = batch.column("lang")[i].as_py()
                 table = np.frombuffer(batch.column("hashes")[i].as_py(), np.uint64)
-                ids = np.frombuffer(batch.column("ids")[i].as_py(), np.int32).astype(np.int64)
+                ids = np.frombuffer(batch.column("ids")[i].as_py(), _number(len(table))).astype(np.int64)
                 often = np.r_[False, words(hashes(table, lang.encode(), 1)[1])]
                 ids = np.where(often[ids], ids, 0)
                 ids = ids[(ids > 0) | np.r_[True, ids[:-1] > 0]]  # one end in place of a run of rare words
@@ -288,17 +297,22 @@ def frequent(docs: DataFrame, text: str = "text", group: str = "lang", min_count
     a null text is empty. buckets is a power of two, 8 at least; by default it
     follows the characters of all texts.
     """
+    size = docs.agg(F.sum(F.length(F.col(f"`{text}`")))).first()[0] or 0
     if buckets is None:
-        size = docs.agg(F.sum(F.length(F.col(f"`{text}`")))).first()[0] or 0
         buckets = min(max(1 << 16, 1 << (size // 128).bit_length()), MOST_BUCKETS)
     if buckets < 8 or buckets & (buckets - 1):
         raise ValueError("buckets is a power of two, 8 at least")
     own = docs.select(F.coalesce(F.col(f"`{group}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").alias("text"))
+    tasks = max(_TASKS * docs.sparkSession.sparkContext.defaultParallelism, size // _TASK_CHARS)
     found, words, seen, parts, texts, totals = [], None, None, None, None, None
     for k in range(1, longest + 1):
         hashed = k < longest
         run = _first(min_count, buckets, hashed) if k == 1 else _pass(k, min_count, buckets, hashed, words, seen, parts)
-        raw = stage((own if k == 1 else texts).mapInArrow(run, _RAW), f"pass{k}")
+        if k == 1:
+            raw = stage(own.mapInArrow(run, _RAW), "pass1")
+        else:
+            with arrow_rows(docs.sparkSession, _GOT):
+                raw = stage(texts.coalesce(tasks).mapInArrow(run, _RAW), f"pass{k}")
         counted = raw.where("phrase is not null").select("lang", "phrase", "n")
         if k == 1:
             totals = stage(counted.groupBy("lang").agg(F.sum("n").alias("n")), "totals")

@@ -77,3 +77,24 @@ def test_odd_rows(spark):
     assert p.collocations(df.where("false")).count() == 0 and p.collocations(df.where("score < 4")).count() == 0
     with pytest.raises(ValueError, match="power of two"):
         p.frequent(df, buckets=100)
+
+
+def test_few_tasks_give_counts(spark, monkeypatch):
+    """A phrase is given out once a task, by two tasks a core at most, however many parts the texts are in; the session stays as it was."""
+    rows, most, batches, real = made(), [], spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), p.stage
+
+    def stage(df, name, **rest):
+        out = real(df, name, **rest)
+        if re.fullmatch("pass[2-5]", name):
+            most.append(out.where("phrase is not null").groupBy("lang", "phrase").count().agg({"count": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(p, "stage", stage)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = p.collocations(spark.createDataFrame(rows, "text string, lang string").repartition(20), min_count=20, top=40)
+        assert sorted(map(tuple, got.collect())) == plain(rows, 20, 40)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert 0 < max(most) <= 2 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batches
