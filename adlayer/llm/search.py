@@ -8,11 +8,14 @@ of the whole corpus in its impacts. A list is cut into cells, its postings in on
 block of `block_docs` documents, each with its largest impact. For a query and
 shard, a few batches of blocks at a time instead of one document at a time:
 
+* Long lists, of words that a fair share of the shard's documents have, are also held
+  by document; a product of matrices sums them for some queries at once. These sums
+  stand for the lists in all bounds below, which so are tighter than by the maxima.
 * Shallow: the cells' maxima give each block's bound. Blocks below the threshold
   (the k-th best score so far in this task) are passed without a look at their
   postings; the others go by falling bound, so that the threshold rises early.
-* Pivot: the terms whose maxima sum to less than the threshold can't carry a
-  document alone. The others' postings are read; a document goes on if these and
+* Pivot: the terms whose maxima sum to less than the threshold (and the best sum of
+  long lists) leaves open can't carry a document alone. The others' postings are read; a document goes on if these and
   its block's maxima of the light terms reach the threshold.
 * Deep: light postings are read only in blocks where a document goes on. Those
   that still reach the threshold are scored from their own terms.
@@ -36,6 +39,12 @@ from .common import stage
 
 _WORD = re.compile(r"\w+")
 SLACK = 1e-9
+#: A list is long from a document in so many on; of a shard so many lists, at most, are held by document (64 MB at 16,384 documents).
+LONG, MOST_LONG = 32, 1024
+#: Several times what sums of MOST_LONG positive numbers in single precision can be off, relatively.
+ROUNDED = 4e-4
+#: Queries whose long lists are summed at once.
+_QUERIES = 128
 
 
 def words_of(text: str | None) -> list[str]:
@@ -71,7 +80,8 @@ class Shard:
         self.doc, self.inverted = doc[order], self.impact[order]
         own = terms[order]
         self.block_of = np.arange(n, dtype=np.int32) // block_docs
-        self.blocks = -(-n // block_docs)
+        self.blocks, self.block_start = -(-n // block_docs), np.arange(0, n, block_docs)
+        self.block_size = np.diff(np.r_[self.block_start, n])
         cell = own.astype(np.int64) * max(self.blocks, 1) + self.block_of[self.doc]
         self.cell_start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
         self.cell_size = np.diff(np.r_[self.cell_start, len(cell)])
@@ -80,6 +90,27 @@ class Shard:
         self.cell_first = np.searchsorted(own[self.cell_start], np.arange(len(idf) + 1))
         self.term_max = np.zeros(len(idf))
         np.maximum.at(self.term_max, own[self.cell_start], self.cell_max)
+        begin = np.r_[self.cell_start, len(cell)][self.cell_first]
+        df = np.diff(begin)
+        long = np.argsort(-df, kind="stable")[:MOST_LONG]
+        long = long[df[long] * LONG >= max(n, 1)]
+        self.long_at = np.full(len(idf), -1, np.int32)  # a term's row in long, or -1
+        self.long_at[long] = np.arange(len(long))
+        self.long = np.zeros((len(long), n), np.float32)
+        for row, t in zip(self.long, long):
+            row[self.doc[begin[t] : begin[t + 1]]] = self.inverted[begin[t] : begin[t + 1]]
+
+    def long_sums(self, asked: list) -> np.ndarray:
+        """For each query (id, terms, weights) and document, at least its score from the long lists, by ROUNDED more at most."""
+        of = np.zeros((len(asked), len(self.long)), np.float32)
+        for row, (_, terms, weights) in zip(of, asked):
+            at = self.long_at[terms]
+            row[at[at >= 0]] = weights[at >= 0]
+        used = of.any(axis=0)
+        few = 2 * np.count_nonzero(used) < len(used)
+        sums = of[:, used] @ self.long[used] if few else of @ self.long
+        sums *= np.float32(1 + ROUNDED / 2)
+        return sums
 
     def partial(self, cells: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """For each document, the score from the postings in these cells, each times its weight."""
@@ -110,29 +141,39 @@ class Best:
         return float(self.scores[-1]) if len(self.scores) == self.k else 0.0
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        s, i = np.r_[self.scores, scores], np.r_[self.ids, ids]
+        s, i = np.concatenate([self.scores, scores]), np.concatenate([self.ids, ids])
         order = np.lexsort((i, -s))[: self.k]
         order = order[s[order] > 0]
         self.scores, self.ids = s[order], i[order]
 
 
-def evaluate(shard: Shard, terms: np.ndarray, weights: np.ndarray, best: Best, dense: np.ndarray) -> int:
-    """Bring the query's best up to date with a shard; returns how many of its postings were read."""
+def evaluate(shard: Shard, terms: np.ndarray, weights: np.ndarray, best: Best, dense: np.ndarray, sums: np.ndarray | None = None) -> int:
+    """Bring the query's best up to date with a shard; returns how many of its postings were read.
+
+    sums: the query's row of long_sums; without it, long lists are read as the others are.
+    """
     most_of_term = shard.term_max[terms] * weights
     terms, weights, most_of_term = terms[most_of_term > 0], weights[most_of_term > 0], most_of_term[most_of_term > 0]
     if not len(terms):
         return 0
+    dense[terms] = weights
+    every, slack = terms, SLACK
+    if sums is not None:
+        short = shard.long_at[terms] < 0
+        terms, weights, most_of_term, slack = terms[short], weights[short], most_of_term[short], SLACK + ROUNDED
     size = shard.cell_first[terms + 1] - shard.cell_first[terms]
     cells = _spans(shard.cell_first[terms], size)
     which = np.repeat(np.arange(len(terms)), size)
     block, weight = shard.cell_block[cells], weights[which]
     most = shard.cell_max[cells] * weight
     bound = np.bincount(block, most, shard.blocks)
+    if sums is not None:
+        of_block = np.maximum.reduceat(sums, shard.block_start)
+        bound = bound + of_block
     order = np.argsort(-bound, kind="stable")
     order = order[: np.count_nonzero(bound)]
     ascending = np.argsort(most_of_term, kind="stable")
     summed = np.cumsum(most_of_term[ascending])
-    dense[terms] = weights
     read, at, step = 0, 0, max(1, len(order) // 8)
     while at < len(order):
         floor = best.threshold * (1 - SLACK)
@@ -144,28 +185,29 @@ def evaluate(shard: Shard, terms: np.ndarray, weights: np.ndarray, best: Best, d
         mark = np.zeros(shard.blocks, bool)
         mark[own] = True
         light = np.zeros(len(terms), bool)
-        light[ascending[summed < floor]] = True
+        light[ascending[summed < (floor if sums is None else floor - of_block[own].max())]] = True
         inside, light_cell = mark[block], light[which]
         heavy = np.flatnonzero(inside & ~light_cell)
         score = shard.partial(cells[heavy], weight[heavy])
+        if sums is not None:
+            score = score + np.where(np.repeat(mark, shard.block_size), sums, 0)
         read += int(shard.cell_size[cells[heavy]].sum())
         if light.any():
             rest = np.flatnonzero(inside & light_cell)
             reach = np.bincount(block[rest], most[rest], shard.blocks)
-            on = np.flatnonzero(score > 0)
-            on = on[score[on] + reach[shard.block_of[on]] >= floor]
+            on = np.flatnonzero((score > 0) & (score + np.repeat(reach, shard.block_size) >= floor))
             mark[:] = False
             mark[shard.block_of[on]] = True
             rest = rest[mark[block[rest]]]
             read += int(shard.cell_size[cells[rest]].sum())
             score[on] += shard.partial(cells[rest], weight[rest])[on]
-        docs = np.flatnonzero(score > 0)
+        docs = np.flatnonzero(score >= floor if floor > 0 else score > 0)
         if len(docs) > best.k:
             kth = np.partition(score[docs], len(docs) - best.k)[len(docs) - best.k]
-            floor = max(floor, float(kth) * (1 - SLACK))
+            floor = max(floor, float(kth) * (1 - slack))
         docs = docs[score[docs] >= floor]
         best.add(shard.full(docs, dense), shard.ids[docs])
-    dense[terms] = 0
+    dense[every] = 0
     return read
 
 
@@ -215,8 +257,10 @@ def _search(queries, idf: np.ndarray, mean: float, k: int, k1: float, b: float,
             terms, counts = (table.column(x).combine_chunks() for x in ("terms", "counts"))
             sizes = np.diff(terms.offsets.to_numpy())
             shard = Shard(table.column("doc_id").to_numpy(), table.column("length").to_numpy(), sizes, terms.flatten().to_numpy(), counts.flatten().to_numpy(), idf, mean, k1, b, block_docs)
-            for (_, own, weights), so_far in zip(asked, best):
-                evaluate(shard, own, weights, so_far, dense)
+            for at in range(0, len(asked), _QUERIES):
+                some = asked[at : at + _QUERIES]
+                for (_, own, weights), so_far, sums in zip(some, best[at : at + _QUERIES], shard.long_sums(some)):
+                    evaluate(shard, own, weights, so_far, dense, sums)
             held.clear()
 
         for batch in batches:

@@ -91,3 +91,29 @@ def test_words_of_all_documents_still_match():
     best = search.Best(10)
     search.evaluate(shard, np.array([0]), np.ones(1), best, np.zeros(1))
     assert best.ids.tolist() == list(range(10)) and (best.scores > 0).all()
+
+
+def test_long_lists_are_summed_at_once():
+    """Whole documents as queries: the sums of long lists hold, few postings are left to read, and the k best are those of scoring every document."""
+    rng = np.random.default_rng(2)
+    terms = [np.unique(np.r_[rng.zipf(1.2, 120) % 3000, rng.integers(0, 3000, 20)]).astype(np.int32) for _ in range(3001)]
+    sizes = np.array(list(map(len, terms)))
+    every = np.concatenate(terms)
+    idf = np.log(1 + (len(terms) - (df := np.bincount(every, minlength=3000)) + 0.5) / (df + 0.5))
+    shard = search.Shard(np.arange(len(terms)), sizes, sizes, every, rng.integers(1, 5, len(every)), idf, sizes.mean(), 1.2, 0.75, 64)
+    asked = [(q, terms[q], rng.integers(1, 9, sizes[q]).astype(float)) for q in range(0, 3001, 100)] + [(-1, terms[7][:2], np.ones(2)), (-2, terms[7][:0], np.ones(0))]
+    read = plain = 0
+    for (q, own, weights), sums in zip(asked, shard.long_sums(asked)):
+        dense, best = np.zeros(3000), search.Best(10)
+        dense[own[shard.long_at[own] >= 0]] = weights[shard.long_at[own] >= 0]
+        exact = shard.full(np.arange(len(terms)), dense)
+        assert (exact <= sums).all() and (sums <= exact * (1 + search.ROUNDED)).all()
+        dense[:] = 0
+        read += search.evaluate(shard, own, weights, best, dense, sums)
+        plain += search.evaluate(shard, own, weights, search.Best(10), dense)
+        assert not dense.any()
+        dense[own] = weights
+        scores = shard.full(np.arange(len(terms)), dense)
+        want = np.lexsort((np.arange(len(terms)), -scores))[:10]
+        assert best.ids.tolist() == want[scores[want] > 0].tolist() and best.scores.tolist() == scores[want[scores[want] > 0]].tolist()
+    assert 4 * read < plain
