@@ -21,15 +21,15 @@ def by_range(draws: DataFrame, spans: DataFrame, u: str = "u") -> DataFrame:
     return draws.join(spans, (F.col("lo") <= at) & (at < F.col("hi")))
 
 
-def by_search(draws: DataFrame, spans: DataFrame, u: str = "u") -> DataFrame:
+def by_search(draws: DataFrame, spans: DataFrame, u: str = "u", slices: int | None = None) -> DataFrame:
     """by_range for many choices: spans of one table and draws stand in one order, and each draw takes the last span before it.
 
     The order is dealt by ranges, so neither many draws on one choice nor many
     choices within a small part of the total are one task, and no draw meets
-    more than its span.
+    more than its span. slices: how many ranges, at most.
     """
     total = F.broadcast(spans.agg(F.max("total").alias("_total")))  # one row
     own = spans.where(F.col("hi") > F.col("lo")).select(F.col("lo").cast("double").alias("_at"), F.lit(0).alias("_side"), F.struct(*spans.columns).alias("_span"))
     asked = draws.crossJoin(total).select((F.col(u) * F.col("_total")).alias("_at"), F.lit(1).alias("_side"), F.struct(*draws.columns).alias("_draw"))
-    found = last_known(own.unionByName(asked, allowMissingColumns=True), [], ["_at", "_side"], {"_found": "_span"})
+    found = last_known(own.unionByName(asked, allowMissingColumns=True), [], ["_at", "_side"], {"_found": "_span"}, slices)
     return found.where((F.col("_side") == 1) & (F.col("_at") < F.col("_found.hi"))).select("_draw.*", "_found.*")

@@ -16,9 +16,12 @@ from ..staging import stage
 _LOW = (1 << 33) - 1
 
 
-def ranged(df: DataFrame, order: list[str | Column]) -> DataFrame:
-    """df with `_range`, the number of the row's range, and `_in`, its place in it from 0; ranges follow each other in the order."""
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+def ranged(df: DataFrame, order: list[str | Column], ranges: int | None = None) -> DataFrame:
+    """df with `_range`, the number of the row's range, and `_in`, its place in it from 0; ranges follow each other in the order.
+
+    ranges: how many there are at most; by default as many as a shuffle has partitions.
+    """
+    dealt = (df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     return stage(dealt.withColumn("_range", F.shiftright("_id", 33)).withColumn("_in", F.col("_id").bitwiseAND(F.lit(_LOW))).drop("_id"), "ordered")
 
 
@@ -45,9 +48,9 @@ def running_sums(df: DataFrame, by: list[str], order: list[str | Column], sums:
     return summed.join(starts, [*by, "_range"]).withColumns({n: F.col(f"_in_{n}") + F.col(f"_of_{n}") for n in sums}).select(*df.columns, *sums)
 
 
-def last_known(df: DataFrame, by: list[str], order: list[str | Column], values: dict[str, str]) -> DataFrame:
+def last_known(df: DataFrame, by: list[str], order: list[str | Column], values: dict[str, str], ranges: int | None = None) -> DataFrame:
     """df with, for each name in values, that column's last value other than null in the row or those before it with the same values of by."""
-    dealt = ranged(df, [*by, *order])
+    dealt = ranged(df, [*by, *order], ranges)
     held = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_in"))).alias(f"_of_{n}") for n, c in values.items()]
     each = dealt.groupBy(*by, "_range").agg(*held)
     starts = each.select(*by, "_range", *(F.last(f"_of_{n}", ignorenulls=True).over(_earlier(by)).alias(f"_of_{n}") for n in values))
