@@ -378,31 +378,28 @@ def links(distinct: DataFrame, radius: int = 3, both: int = BITS, block: int = 2
 
 
 def classes(edges: DataFrame, most: int = 40) -> DataFrame:
-    """(node, root) for each node of edges (a, b): the smallest node that it is connected to.
+    """(node, root) for each node of edges (a, b) but the roots: the smallest node that it is connected to.
 
-    Alternates large-star and small-star steps until the edges stay the same.
-    The centre of a large class has an edge to each of its nodes; such are
-    split from the rest.
+    Alternates large-star and small-star steps until all classes are stars: each
+    node has greater neighbours only, or a single one, which is smaller. The
+    centre of a large class has an edge to each of its nodes; such are split
+    from the rest. Each step is a short plan of its own over a staged table, as
+    each shuffle and broadcast of a plan takes memory of the driver.
     """
     edges = stage(edges.where("a <> b"), "edges")
-    before, total = None, edges.count()
     for _ in range(most):
         both = edges.union(edges.select("b", "a"))
-        least = stage(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "least")
-        large = split_join(both, least, ["a"], 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        moved = down.join(least, "a")
-        small = moved.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        least = stage(both.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("last"), F.count("*").alias("n")), "least")
+        total, unsettled = least.agg(F.sum("n"), F.count_if(F.expr("m < a and m < last"))).first()
+        if not unsettled:
+            return least.where("m < a").select(F.col("a").alias("node"), F.col("m").alias("root"))
+        up = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        large = split_join(up, least.select("a", F.least("a", "m").alias("m"), "n"), ["a"], total)
+        large = stage(large.select(F.col("b").alias("a"), F.col("m").alias("b")), "large")
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        small = small.select(F.inline(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))))
         edges = stage(small.where("a <> b").distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before, total = now, now[0]
-    else:
-        raise RuntimeError(f"classes have not settled after {most} rounds")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    raise RuntimeError(f"classes have not settled after {most} rounds")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, extra: int = 0, both: int = BITS, block: int = 262_144) -> DataFrame:

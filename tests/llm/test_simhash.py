@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from adlayer.llm import simhash
+from adlayer.llm.common import split_join
 
 DATA = "/root/testdata/sf0.01"
 
@@ -132,6 +133,25 @@ def test_classes_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(1, 61)}, 101: 100}
 
 
+def test_classes_that_are_stars_take_no_step(spark, monkeypatch):
+    staged, stage = [], simhash.stage
+    monkeypatch.setattr(simhash, "stage", lambda df, name: staged.append(name) or stage(df, name))
+    stars = [(1, i) for i in range(2, 9)] + [(i, 10) for i in range(11, 14)] + [(11, 10), (20, 20)]
+    got = {r["node"]: r["root"] for r in simhash.classes(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {**{i: 1 for i in range(2, 9)}, **{i: 10 for i in range(11, 14)}}
+    assert staged == ["edges", "least"]
+
+
+def test_only_keys_of_many_rows_are_split_off(spark):
+    rows = spark.createDataFrame([(1 if i < 600 else i, i) for i in range(1000)], "k long, i long")
+    labels = rows.groupBy("k").count().withColumnRenamed("count", "n")
+    few = split_join(rows.where("i >= 600"), labels.where("k <> 1"), ["k"], 400)
+    many = split_join(rows, labels, ["k"], 1000)
+    assert [x._jdf.queryExecution().analyzed().toString().count("Union") for x in (few, many)] == [0, 1]
+    assert {(r["i"], r["n"]) for r in few.collect()} == {(i, 1) for i in range(600, 1000)} and few.count() == 400
+    assert {(r["i"], r["n"]) for r in many.collect()} == {(i, 600 if i < 600 else 1) for i in range(1000)} and many.count() == 1000
+
+
 def test_one_of_each_group_stays(spark):
     words = [f"w{i}" for i in range(300)]
     near = words.copy()
