@@ -55,15 +55,16 @@ def node_of(doc_id: Column, key: Column) -> Column:
     return F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), key.alias("key"))
 
 
-def split_join(rows: DataFrame, labels: DataFrame, keys: list[str], total: int, most: int = 10_000, few: int = 512) -> DataFrame:
+def split_join(rows: DataFrame, labels: DataFrame, keys: list[str], total: int, most: int = 10_000, few: int = 512, largest: int | None = None) -> DataFrame:
     """rows joined to labels (keys, n, ...), which has each key once, with the n rows that have it of `total`.
 
     Keys of more than total / most rows, which are `most` at most, and of more
     than `few` are broadcast; so no task gets all rows of a hot key. Without
     any it is one plain join. keys may not be null; labels are read several times.
+    largest: the greatest n, if it is known.
     """
     bound = max(total // most, few)
-    if labels.where(F.col("n") > bound).isEmpty():
+    if labels.where(F.col("n") > bound).isEmpty() if largest is None else largest <= bound:
         return rows.join(labels, keys)
     hot = stage(labels.where(F.col("n") > bound), "hot")
     names = F.broadcast(hot.select(keys))

@@ -19,7 +19,8 @@ pairs. Groups beyond `block` rows are divided into pairs of blocks, so no task
 gets more than two blocks of one group.
 
 Classes come from alternating large-star and small-star steps over the links,
-each step written to the shared folder.
+each step written to the shared folder; where nodes are numbers, tasks first
+make forests of the links that they have.
 """
 
 from __future__ import annotations
@@ -377,6 +378,31 @@ def links(distinct: DataFrame, radius: int = 3, both: int = BITS, block: int = 2
     return dealt.mapInArrow(_matches(scheme, high, radius, both), "a long, a_more binary, b long, b_more binary").distinct()
 
 
+#: Edges of a task, and those that it makes a forest of at once.
+_EDGES = 1 << 16
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): of some _EDGES edges (a, b) at a time, one to each node from the smallest that they lead to."""
+
+    def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        names, at = np.unique(np.concatenate([x.column(c).to_numpy() for c in "ab" for x in held]), return_inverse=True)
+        found, (a, b) = _Classes(len(names)), np.split(at, 2)
+        for s in range(0, len(a), 1 << 12):
+            found.join(a[s : s + (1 << 12)], b[s : s + (1 << 12)])
+        other = np.flatnonzero(found.root != np.arange(len(names)))
+        return pa.RecordBatch.from_arrays([pa.array(names[found.root[other]]), pa.array(names[other])], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= _EDGES:
+            yield done(held)
+            held = []
+    if held:
+        yield done(held)
+
+
 def classes(edges: DataFrame, most: int = 40) -> DataFrame:
     """(node, root) for each node of edges (a, b) but the roots: the smallest node that it is connected to.
 
@@ -384,22 +410,34 @@ def classes(edges: DataFrame, most: int = 40) -> DataFrame:
     node has greater neighbours only, or a single one, which is smaller. The
     centre of a large class has an edge to each of its nodes; such are split
     from the rest. Each step is a short plan of its own over a staged table, as
-    each shuffle and broadcast of a plan takes memory of the driver.
+    each shuffle and broadcast of a plan takes memory of the driver. Between
+    these steps tasks of _EDGES edges make forests of them where nodes are
+    numbers, so that few steps are left.
     """
-    edges = stage(edges.where("a <> b"), "edges")
-    for _ in range(most):
+    numbers = dict(edges.dtypes)["a"] == "bigint"
+
+    def forest(df: DataFrame) -> DataFrame:
+        return df.mapInArrow(_forest, "a long, b long")
+
+    edges = edges.where("a <> b")
+    edges = stage(forest(edges) if numbers else edges, "edges")
+    for step in range(most):
         both = edges.union(edges.select("b", "a"))
         least = stage(both.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("last"), F.count("*").alias("n")), "least")
-        total, unsettled = least.agg(F.sum("n"), F.count_if(F.expr("m < a and m < last"))).first()
+        total, largest, unsettled = least.agg(F.sum("n"), F.max("n"), F.count_if(F.expr("m < a and m < last"))).first()
         if not unsettled:
             return least.where("m < a").select(F.col("a").alias("node"), F.col("m").alias("root"))
+        if numbers and step % 2 == 0:
+            edges = stage(forest(edges.coalesce(-(-total // 2 // _EDGES))), "edges")
+            continue
         up = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        large = split_join(up, least.select("a", F.least("a", "m").alias("m"), "n"), ["a"], total)
+        large = split_join(up, least.select("a", F.least("a", "m").alias("m"), "n"), ["a"], total, largest=largest)
         large = stage(large.select(F.col("b").alias("a"), F.col("m").alias("b")), "large")
         small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         small = small.select(F.inline(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))))
-        edges = stage(small.where("a <> b").distinct(), "edges")
-    raise RuntimeError(f"classes have not settled after {most} rounds")
+        small = small.where("a <> b")
+        edges = stage(forest(small) if numbers else small.distinct(), "edges")
+    raise RuntimeError(f"classes have not settled after {most} steps")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, extra: int = 0, both: int = BITS, block: int = 262_144) -> DataFrame:

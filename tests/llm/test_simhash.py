@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -142,6 +143,29 @@ def test_classes_that_are_stars_take_no_step(spark, monkeypatch):
     assert staged == ["edges", "least"]
 
 
+@pytest.mark.parametrize("edges_of_a_task", [1 << 16, 64])
+def test_forests_leave_few_steps(spark, monkeypatch, edges_of_a_task):
+    staged, stage = [], simhash.stage
+    monkeypatch.setattr(simhash, "stage", lambda df, name: staged.append(name) or stage(df, name))
+    monkeypatch.setattr(simhash, "_EDGES", edges_of_a_task)
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(i, i + 1) for i in range(1000, 1040)]
+    root = {x: x for e in edges for x in e}
+    for a, b in edges:
+        old, new = max(root[a], root[b]), min(root[a], root[b])
+        root = {x: new if r == old else r for x, r in root.items()}
+    got = {r["node"]: r["root"] for r in simhash.classes(spark.createDataFrame(edges, "a long, b long").repartition(16)).collect()}
+    assert got == {x: r for x, r in root.items() if x != r}
+    assert staged.count("large") <= (0 if edges_of_a_task > 64 else 2)
+
+
+def test_a_forest_keeps_what_its_edges_join():
+    batches = [pa.RecordBatch.from_pydict({"a": [9, 5, 7], "b": [5, 3, 8]}), pa.RecordBatch.from_pydict({"a": [8, 1, 3], "b": [7, 2, 9]})]
+    found = [(x["a"], x["b"]) for batch in simhash._forest(iter(batches)) for x in batch.to_pylist()]
+    assert sorted(found) == [(1, 2), (3, 5), (3, 9), (7, 8)]
+    assert list(simhash._forest(iter([]))) == []
+
+
 def test_only_keys_of_many_rows_are_split_off(spark):
     rows = spark.createDataFrame([(1 if i < 600 else i, i) for i in range(1000)], "k long, i long")
     labels = rows.groupBy("k").count().withColumnRenamed("count", "n")
