@@ -117,3 +117,56 @@ def test_long_lists_are_summed_at_once():
         want = np.lexsort((np.arange(len(terms)), -scores))[:10]
         assert best.ids.tolist() == want[scores[want] > 0].tolist() and best.scores.tolist() == scores[want[scores[want] > 0]].tolist()
     assert 4 * read < plain
+
+
+@pytest.mark.parametrize("options", [{"pass_terms": 300}, {"max_terms": 700, "pass_terms": 200, "shard_docs": 60, "block_docs": 4}])
+def test_queries_in_some_passes(spark, options):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 300").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    queries = docs.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
+    assert found(search.search(docs, queries, **options)) == brute(rows, [r for r in rows if r[0] % 50 == 0])
+
+
+def test_texts_are_read_once_for_queries_of_the_same_words(spark, monkeypatch):
+    """The words of all queries together fit a task, however many queries have them."""
+    staged, stage = [], search.stage
+    monkeypatch.setattr(search, "stage", lambda df, name: staged.append(name) or stage(df, name))
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{w}" for w in rng.integers(0, 23, 19 + i))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(search.search(docs, docs.withColumnRenamed("doc_id", "query_id"), max_terms=30)) == brute(rows, rows)
+    assert staged.count("index") == 1
+
+
+def test_alike_documents_share_a_shard():
+    """Documents of two languages, which share some words, mixed: each goes to its own; the k best are those of scoring every document, over two parts."""
+    rng = np.random.default_rng(3)
+    n, vocabulary = 3000, 6000
+    language = rng.integers(0, 2, n)
+    drawn = [np.r_[[l] * 9, 2 + (rng.zipf(1.2, 80) % 2900) * 2 + l, rng.integers(5900, vocabulary, 2)] if i % 500 else [] for i, l in enumerate(language)]
+    lists = [np.unique(np.array(x, np.int32), return_counts=True) for x in drawn]
+    size, terms, counts = np.array([len(t) for t, _ in lists]), np.concatenate([t for t, _ in lists]), np.concatenate([c for _, c in lists])
+    start, length = np.cumsum(size) - size, np.array(list(map(len, drawn)))
+    idf = np.log(1 + (n - (df := np.bincount(terms, minlength=vocabulary)) + 0.5) / (df + 0.5))
+    parts, whole = [], search.Shard(np.arange(n), length, size, terms, counts, idf, length.mean(), 1.2, 0.75, 64)
+    for i, j in ((0, 2000), (2000, n)):
+        to = start[j] if j < n else len(terms)
+        groups = search.alike(size[i:j], terms[start[i] : to], counts[start[i] : to])
+        assert sorted(np.concatenate(groups).tolist()) == list(range(j - i)) and all((np.diff(g) > 0).all() for g in groups)
+        assert sorted(len(set(language[g[size[g + i] > 0] + i])) for g in groups)[-2:] == [1, 1]
+        at = [search._spans(start[g + i], size[g + i]) for g in groups]
+        parts.append([search.Shard(g + i, length[g + i], size[g + i], terms[a], counts[a], idf, length.mean(), 1.2, 0.75, 64) for g, a in zip(groups, at)])
+    asked = [(q, *lists[q]) for q in range(0, n, 30) if size[q]] + [(-1, np.array([2, 4, 5901], np.int32), np.ones(3))]
+    best, dense = [search.Best(10) for _ in asked], np.zeros(vocabulary)
+    for shards in parts:
+        search.answer(shards, asked, best, dense)
+        assert not dense.any()
+    for (_, own, weights), got in zip(asked, best):
+        dense[own] = weights
+        scores = whole.full(np.arange(n), dense)
+        dense[own] = 0
+        want = np.lexsort((np.arange(n), -scores))[:10]
+        want = want[scores[want] > 0]
+        assert got.ids.tolist() == want.tolist() and got.scores.tolist() == scores[want].tolist()
+    few, own = search.Best(10), [(0, np.array([0], np.int32), np.ones(1))]
+    assert search.answer(parts[0], own, [few], dense) == 0 and set(language[few.ids]) == {0}  # a long list: by its sums
