@@ -211,6 +211,7 @@ _LINE, _HEAD, LONGEST = 1 << 16, 1 << 20, 1 << 30
 _PIECE = 1 << 20
 #: Stands on a line of its own, with the place in the file, where a gzip member broke; 255 is in no header.
 _BROKEN = b"\xffbroken gzip member at "
+_BROKEN_LINE = re.compile(re.escape(_BROKEN) + rb"([0-9]{1,19})\r\n")
 
 
 class _Tape:
@@ -265,8 +266,8 @@ def parse(stream: io.BufferedIOBase) -> Iterator[dict]:
     while line := tape.line():
         begin = tape.at - len(line)
         if not line.startswith(b"WARC/"):
-            if line.startswith(_BROKEN):
-                yield unreadable(int(line[len(_BROKEN) :]), "a broken gzip member, by the place in the file")
+            if broken := _BROKEN_LINE.fullmatch(line):
+                yield unreadable(int(broken[1]), "a broken gzip member, by the place in the file")
                 lost, told = None, True
             elif line.strip() and lost is None and not told:
                 lost = begin
@@ -278,7 +279,7 @@ def parse(stream: io.BufferedIOBase) -> Iterator[dict]:
         lost, told = None, False
         pairs: list[tuple[str, str]] = []
         head = b""
-        while (line := tape.line()).strip() and not line.startswith((b"WARC/", _BROKEN)) and len(head) < _HEAD:
+        while (line := tape.line()).strip() and not (line.startswith(b"WARC/") or _BROKEN_LINE.fullmatch(line)) and len(head) < _HEAD:
             head += line
             k, _, v = line.decode("utf-8", "replace").partition(":")
             pairs.append((k.strip(), v.strip()))

@@ -8,6 +8,7 @@ import hashlib
 import io
 import json
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -67,6 +68,18 @@ def test_parse_gives_what_was_formatted(blocks, tail):
     assert [r["block"] for r in found if r["record_type"] == "response"][: len(blocks)] == blocks
 
 
+@pytest.mark.parametrize("rest", [b"", b"\r\n", b"x\r\n", b"-1\r\n", b"1_0\r\n", b"9" * 5000 + b"\r\n"])
+def test_bytes_like_the_mark_of_a_broken_member(rest):
+    """The mark without a place is what stands in a file, not a gzip member that broke."""
+    mark = b"\xffbroken gzip member at " + rest
+    row = {n: None for n in warc._SCHEMA.names} | {"record_type": "response", "record_id": "<urn:1>", "headers": [], "block": b"b"}
+    data = warc.format_record(row)
+    lost, found = warc.parse(io.BytesIO(mark + warc.CRLF + data))
+    assert (lost["record_type"], lost["headers"]) == ("unreadable", [("Offset", "0"), ("Reason", "no record begins here")]) and found["block"] == b"b"
+    headers = data.replace(b"Content-Length", mark.removesuffix(warc.CRLF) + b": z\r\nContent-Length")
+    assert [r["block"] for r in warc.parse(io.BytesIO(headers))] == [b"b"]
+
+
 def test_payloads():
     head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=iso-8859-1\r\nContent-Encoding: gzip\r\n\r\n".encode()
     status, headers, payload = warc.split_http(head + gzip.compress("é".encode("latin-1")))
