@@ -212,6 +212,7 @@ _PIECE = 1 << 20
 #: Stands on a line of its own, with the place in the file, where a gzip member broke; 255 is in no header.
 _BROKEN = b"\xffbroken gzip member at "
 _BROKEN_LINE = re.compile(re.escape(_BROKEN) + rb"([0-9]{1,19})\r\n")
+_BEGINS = re.compile(rb"WARC/|" + _BROKEN_LINE.pattern + rb"\Z")
 
 
 class _Tape:
@@ -279,7 +280,7 @@ def parse(stream: io.BufferedIOBase) -> Iterator[dict]:
         lost, told = None, False
         pairs: list[tuple[str, str]] = []
         head = b""
-        while (line := tape.line()).strip() and not (line.startswith(b"WARC/") or _BROKEN_LINE.fullmatch(line)) and len(head) < _HEAD:
+        while (line := tape.line()).strip() and not (line.startswith((b"WARC/", _BROKEN)) and _BEGINS.match(line)) and len(head) < _HEAD:
             head += line
             k, _, v = line.decode("utf-8", "replace").partition(":")
             pairs.append((k.strip(), v.strip()))
