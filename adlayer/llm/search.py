@@ -57,6 +57,8 @@ ROUNDED = 4e-4
 SPARSE = 4
 #: Queries whose long lists are summed at once, and about how many postings of other lists.
 _QUERIES, _POSTINGS = 128, 1 << 18
+#: Texts of about so many words are numbered at once.
+_WORDS = 1 << 18
 #: A part is cut into so many shards at most, of about so many documents at least and a share of the part's.
 MOST_SHARDS, LEAST_DOCS, LEAST_SHARE = 8, 256, 32
 
@@ -308,14 +310,9 @@ def _index(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(doc_id, length, terms, counts): each document's known words by number, ascending."""
         get = vocabulary.value.get
-        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
-            length, numbers = [], []
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                length.append(len(words))
-                numbers.extend(map(get, words, repeat(-1)))
+
+        def packed(ids: pa.Array, length: list[int], numbers: list[int]) -> pa.RecordBatch:
             key = np.array(numbers, np.int64)
-            del numbers
             key += np.repeat(np.arange(len(length)), length) << 32
             key = key[(key & 0xFFFFFFFF) != 0xFFFFFFFF]
             key.sort()
@@ -323,7 +320,17 @@ def _index(vocabulary):
             n, key = np.diff(np.r_[first, len(key)]), key[first]
             ends = pa.array(np.searchsorted(key, np.arange(len(length) + 1) << 32).astype(np.int32))
             lists = (pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (key & 0xFFFFFFFF, n))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(length, pa.int32()), *lists], ["doc_id", "length", "terms", "counts"])
+            return pa.RecordBatch.from_arrays([ids, pa.array(length, pa.int32()), *lists], ["doc_id", "length", "terms", "counts"])
+
+        for batch in batches:
+            begin, length, numbers = 0, [], []
+            for at, text in enumerate(batch.column("text"), 1):
+                words = words_of(text.as_py())
+                length.append(len(words))
+                numbers.extend(map(get, words, repeat(-1)))
+                if len(numbers) >= _WORDS or at == batch.num_rows:
+                    yield packed(batch.column("doc_id").slice(begin, at - begin), length, numbers)
+                    begin, length, numbers = at, [], []
 
     return run
 
@@ -481,7 +488,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
             some = own.where(F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(passes)) == turn).toArrow().sort_by("query_id").combine_chunks()
             lists, often = (some.column(x).combine_chunks() for x in ("terms", "counts"))
             start = lists.offsets.to_numpy()
-            sent = sc.broadcast((some.column("query_id").to_numpy(), start - start[0], lists.flatten().to_numpy(), often.flatten().to_numpy().astype(np.float32)))
+            sent = sc.broadcast((some.column("query_id").to_numpy(), start - start[0], lists.flatten().to_numpy(), often.flatten().to_numpy()))
             found = index.where("doc_id is not null").coalesce(tasks).mapInArrow(_search(sent, idf, all_words / max(every, 1), k, k1, b, shard_docs, shard_postings, block_docs), "query_id long, doc_id long, score double")
             rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
             found = stage(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score"), "found")

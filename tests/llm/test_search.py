@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from adlayer.llm import search
@@ -170,3 +172,14 @@ def test_alike_documents_share_a_shard():
         assert got.ids.tolist() == want.tolist() and got.scores.tolist() == scores[want].tolist()
     few, own = search.Best(10), [(0, np.array([0], np.int32), np.ones(1))]
     assert search.answer(parts[0], own, [few], dense) == 0 and set(language[few.ids]) == {0}  # a long list: by its sums
+
+
+@pytest.mark.parametrize("words", [1, 4, 1 << 18])
+def test_words_are_numbered_some_texts_at_a_time(monkeypatch, words):
+    monkeypatch.setattr(search, "_WORDS", words)
+    texts = ["b a b", None, "", "x y", "c x a a a", "b"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(9)), "text": ["a", "b", "c", *texts]}).slice(3)
+    made = list(search._index(SimpleNamespace(value={"a": 0, "b": 1, "c": 2}))(iter([batch, batch.slice(0, 0)])))
+    rows = [tuple(r.values()) for b in made for r in b.to_pylist()]
+    assert rows == [(3, 3, [0, 1], [1, 2]), (4, 0, [], []), (5, 0, [], []), (6, 2, [], []), (7, 5, [0, 2], [3, 1]), (8, 1, [1], [1])]
+    assert len(made) == {1: 4, 4: 3, 1 << 18: 1}[words]
